@@ -103,13 +103,8 @@ JOIN ({STRATA_SQL}) s USING (doc_id)
 
 # ------------------------------------------------------------------ MEMBERS
 
-ENSEMBLES = {
-    # fixed ensembles as data (O5): name -> filter over the (model, prompt) pairs
-    "all": F.lit(True),
-    "one-model-all-prompts": F.col("model") == "R",
-    "one-prompt-all-models": F.col("prompt") == "O",
-    "one-prompt-one-model": (F.col("model") == "A") & (F.col("prompt") == "F"),
-}
+# fixed ensembles as data (O5): name -> filter over the (model, prompt) pairs,
+# one SQL predicate used by Spark and by the oracle alike
 ENSEMBLES_SQL = {
     "all": "TRUE",
     "one-model-all-prompts": "model = 'R'",
@@ -122,7 +117,7 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
     pairs = pred(spark, sf_dir).select("model", "prompt").distinct()
     parts = [pairs.where(cond).select(F.lit(name).alias("ensemble"), "model", "prompt")
-             for name, cond in ENSEMBLES.items()]
+             for name, cond in ((n, F.expr(c)) for n, c in ENSEMBLES_SQL.items())]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -5,7 +5,79 @@ plan is clever (the PR grid evaluates every cell directly here)."""
 from __future__ import annotations
 
 from subjex.plans.fixtures import (ANSWERS_SQL, DATASET_SQL, DOCS_SQL, GOLD_SQL, MEMBERS_SQL,
-                                   PRED_SQL, RANK_INPUT_SQL, RESP_SQL, STRATA_SQL)
+                                   PRED_SQL, RANK_INPUT_SQL, RESP_SQL, STRATA_SQL, VEC_Q_SQL, VEC_V_SQL)
+
+
+def s9(x: str) -> str:
+    return f"(floor(({x}) * 1e9 + 0.5) / 1e9)"
+
+
+def r6(x: str) -> str:
+    return f"(floor(floor(({x}) * 1e9 + 0.5) / 1e9 * 1000000.0 + 0.5) / 1000000.0)"
+
+
+def knn_sql(q_sql: str, v_sql: str, k: int) -> str:
+    return f"""
+SELECT q.query_id, v.label_id, v.label_text, list_cosine_similarity(q.embedding, v.embedding) AS cosine
+FROM ({q_sql}) q CROSS JOIN ({v_sql}) v
+QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY cosine DESC, v.label_id) <= {k}
+"""
+
+
+def bm25_sql(q_sql: str, c_sql: str, k: int, k1: float = 1.2, b: float = 0.75) -> str:
+    """BM25 written out: tf, dl, df, idf; distinct query tokens."""
+    split = "'[^\\p{L}\\p{N}]+'"
+    return f"""
+WITH c AS ({c_sql}),
+ct AS (SELECT label_id, unnest(regexp_split_to_array(lower(label_text), {split})) AS token FROM c),
+tf AS (SELECT label_id, token, count(*) AS tf FROM ct WHERE token <> '' GROUP BY ALL),
+dl AS (SELECT label_id, sum(tf) AS dl FROM tf GROUP BY ALL),
+nn AS (SELECT count(*) AS n FROM c),
+av AS (SELECT CAST(sum(dl) AS DOUBLE) / (SELECT n FROM nn) AS avgdl FROM dl),
+df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+w AS (SELECT tf.label_id, tf.token,
+             ln(1 + ((SELECT n FROM nn) - df.df + 0.5) / (df.df + 0.5)) * tf.tf * ({k1} + 1)
+             / (tf.tf + {k1} * (1 - {b} + {b} * dl.dl / (SELECT avgdl FROM av))) AS weight
+      FROM tf JOIN dl USING (label_id) JOIN df USING (token)),
+qt AS (SELECT DISTINCT query_id, token FROM (
+         SELECT query_id, unnest(regexp_split_to_array(lower(query), {split})) AS token FROM ({q_sql}))
+       WHERE token <> ''),
+s AS (SELECT query_id, label_id, sum(weight) AS score FROM qt JOIN w USING (token) GROUP BY ALL)
+SELECT query_id, label_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {s9('score')} DESC, label_id) <= {k}
+"""
+
+
+TEXTQ_SQL = "SELECT item_id AS query_id, text AS query FROM benchmark"
+TEXTC_SQL = "SELECT CAST(doc_id AS VARCHAR) AS label_id, text AS label_text FROM documents"
+HY_ITEMS = ("SELECT e.vec_id AS item_id, e.label, CAST(e.embedding AS DOUBLE[]) AS embedding, d.text "
+            "FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id")
+HY_Q = f"SELECT item_id AS query_id, embedding, text AS query FROM ({HY_ITEMS}) WHERE label = 0"
+HY_V = (f"SELECT CAST(item_id AS VARCHAR) AS label_id, text AS label_text, embedding "
+        f"FROM ({HY_ITEMS}) WHERE label <> 0")
+
+
+def hybrid_sql(alpha: float = 0.7, k: int = 10) -> str:
+    return f"""
+WITH vl AS (SELECT query_id, label_id, cosine AS v FROM ({knn_sql(HY_Q, HY_V, k)})),
+kl AS (SELECT query_id, label_id, score AS k FROM ({bm25_sql(HY_Q, HY_V, k)})),
+vn AS (SELECT query_id, label_id,
+              CASE WHEN max(v) OVER w > min(v) OVER w THEN (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w)
+                   ELSE 1.0 END AS v
+       FROM vl WINDOW w AS (PARTITION BY query_id)),
+kn AS (SELECT query_id, label_id,
+              CASE WHEN max(k) OVER w > min(k) OVER w THEN (k - min(k) OVER w) / (max(k) OVER w - min(k) OVER w)
+                   ELSE 1.0 END AS k
+       FROM kl WINDOW w AS (PARTITION BY query_id)),
+f AS (SELECT coalesce(vn.query_id, kn.query_id) AS query_id, coalesce(vn.label_id, kn.label_id) AS label_id,
+             {alpha} * coalesce(vn.v, 0.0) + {round(1 - alpha, 10)} * coalesce(kn.k, 0.0) AS hybrid_score
+      FROM vn FULL OUTER JOIN kn ON vn.query_id = kn.query_id AND vn.label_id = kn.label_id),
+best AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {s9('hybrid_score')} DESC,
+                                                                   label_id) = 1)
+SELECT best.query_id, best.label_id, v.label_text AS term, {r6('best.hybrid_score')} AS hybrid_score,
+       {r6('list_cosine_similarity(q.embedding, v.embedding)')} AS cosine
+FROM best JOIN ({HY_Q}) q USING (query_id) JOIN ({HY_V}) v USING (label_id)
+"""
 
 R6 = "(floor(floor(({x}) * 1e9 + 0.5) / 1e9 * 1000000.0 + 0.5) / 1000000.0)"
 
@@ -283,4 +355,8 @@ SELECT any_value(s.text_type) AS text_type, any_value(s.language) AS language, v
        list(v.label_id ORDER BY v.score DESC, v.label_id) AS "dcterms:subject"
 FROM v JOIN s USING (doc_id) GROUP BY v.doc_id
 """
+    for name, k in (("q_knn_top1", 1), ("q_knn_topk", 5)):
+        q[name] = f"SELECT query_id, label_id, label_text, {r6('cosine')} AS cosine FROM ({knn_sql(VEC_Q_SQL, VEC_V_SQL, k)})"
+    q["q_bm25_top1"] = f"SELECT query_id, label_id, {r6('score')} AS score FROM ({bm25_sql(TEXTQ_SQL, TEXTC_SQL, 1)})"
+    q["q_hybrid_top1"] = hybrid_sql(0.7, 10)
     return q

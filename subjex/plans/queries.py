@@ -179,6 +179,39 @@ def q_submission(spark: SparkSession, sf: str) -> DataFrame:
     return submission(v, X.strata(spark, sf))
 
 
+# ------------------------------------------------------------- search
+
+def q_knn_top1(spark: SparkSession, sf: str) -> DataFrame:
+    from subjex.operators.knn import nearest
+    return rounded(nearest(X.vec_queries(spark, sf), X.vec_vocab(spark, sf), k=1))
+
+
+def q_knn_topk(spark: SparkSession, sf: str) -> DataFrame:
+    from subjex.operators.knn import nearest
+    return rounded(nearest(X.vec_queries(spark, sf), X.vec_vocab(spark, sf), k=5))
+
+
+def q_knn_ivf(spark: SparkSession, sf: str) -> DataFrame:
+    from subjex.operators.knn import nearest_clusters
+    return rounded(nearest_clusters(X.vec_queries(spark, sf), X.vec_vocab(spark, sf), k=1,
+                                    n_clusters=8, n_probe=3))
+
+
+def q_bm25_top1(spark: SparkSession, sf: str) -> DataFrame:
+    from subjex.operators.bm25 import bm25
+    return rounded(bm25(X.text_queries(spark, sf), X.text_corpus(spark, sf), k=1))
+
+
+def q_hybrid_top1(spark: SparkSession, sf: str) -> DataFrame:
+    from subjex.operators.bm25 import hybrid
+    items = X.hybrid_items(spark, sf)
+    q = items.where(F.col("label") == 0).select(F.col("item_id").alias("query_id"), "embedding",
+                                                F.col("text").alias("query"))
+    v = items.where(F.col("label") != 0).select(F.col("item_id").cast("string").alias("label_id"),
+                                                F.col("text").alias("label_text"), "embedding")
+    return rounded(hybrid(q, v, alpha=0.7, k_lists=10))
+
+
 REGISTRY = {
     "q_best_match": q_best_match,
     "q_threshold_split": q_threshold_split,
@@ -201,4 +234,9 @@ REGISTRY = {
     "q_parse_answers": q_parse_answers,
     "q_content_truncate": q_content_truncate,
     "q_submission": q_submission,
+    "q_knn_top1": q_knn_top1,
+    "q_knn_topk": q_knn_topk,
+    "q_knn_ivf": q_knn_ivf,
+    "q_bm25_top1": q_bm25_top1,
+    "q_hybrid_top1": q_hybrid_top1,
 }
