@@ -296,3 +296,25 @@ def records_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     rec = F.concat(F.lit('{"@graph":['), F.array_join(graph, ","), F.lit("]}"))
     return x.select("doc_id", F.col("lang").alias("language"), F.col("source").alias("text_type"),
                     rec.alias("json"))
+
+
+# ----------------------------------------------------------------- EXAMPLES
+
+def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few-shot examples: each user turn with the assistant turn after it;
+    prompt = the conversation, ord = the turn."""
+    c = table(spark, sf_dir, "conversations")
+    u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("text"))
+    a = c.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
+                                                     F.col("text").alias("keywords"))
+    return u.join(a, ["conv_id", "turn"], "inner").select(
+        F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("prompt"),
+        F.col("turn").cast("int").alias("ord"), "text", "keywords")
+
+
+EXAMPLES_SQL = """
+SELECT 'conv' || CAST(u.conv_id AS VARCHAR) AS prompt, CAST(u.turn AS INTEGER) AS ord, u.text AS text,
+       a.text AS keywords
+FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1
+WHERE u.role = 'user' AND a.role = 'assistant'
+"""

@@ -5,7 +5,19 @@ plan is clever (the PR grid evaluates every cell directly here)."""
 from __future__ import annotations
 
 from subjex.plans.fixtures import (ANSWERS_SQL, DATASET_SQL, DOCS_SQL, GOLD_SQL, MEMBERS_SQL,
-                                   PRED_SQL, RANK_INPUT_SQL, RESP_SQL, STRATA_SQL, VEC_Q_SQL, VEC_V_SQL)
+                                   PRED_SQL, RANK_INPUT_SQL, RESP_SQL, STRATA_SQL, VEC_Q_SQL, VEC_V_SQL,
+                                   EXAMPLES_SQL, TRIPLES_SQL, PREF_LABEL, ALT_LABEL)
+from subjex.operators.prompts import CHATML
+
+
+def _lit(s: str) -> str:
+    """A SQL string literal with newlines spelled as chr(10)."""
+    parts = s.replace("'", "''").split("\n")
+    return " || chr(10) || ".join(f"'{p}'" for p in parts)
+
+
+CHATML_SQL = {k: _lit(v) for k, v in CHATML.items()}
+CHATML_SQL["head"] = _lit(CHATML["instruction"].replace("{custom_instruction}", "Extrahiere Schlagwörter"))
 
 
 def s9(x: str) -> str:
@@ -359,4 +371,45 @@ FROM v JOIN s USING (doc_id) GROUP BY v.doc_id
         q[name] = f"SELECT query_id, label_id, label_text, {r6('cosine')} AS cosine FROM ({knn_sql(VEC_Q_SQL, VEC_V_SQL, k)})"
     q["q_bm25_top1"] = f"SELECT query_id, label_id, {r6('score')} AS score FROM ({bm25_sql(TEXTQ_SQL, TEXTC_SQL, 1)})"
     q["q_hybrid_top1"] = hybrid_sql(0.7, 10)
+    q["q_vocab_labels"] = f"""
+SELECT regexp_extract(s, '[^/]*$') AS label_id, nfc_normalize(o) AS label_text,
+       p = '{PREF_LABEL}' AS is_prefLabel
+FROM ({TRIPLES_SQL}) WHERE p IN ('{PREF_LABEL}', '{ALT_LABEL}')
+"""
+    q["q_records"] = """
+SELECT CAST(d.doc_id AS VARCHAR) AS doc_id,
+       CASE WHEN d.doc_id % 2 = 0 THEN t.title ELSE t.title || ' (cont.)' END AS title,
+       t.abstract AS abstract,
+       ['gnd:q' || coalesce(CAST(l.quality AS VARCHAR), 'na'), 'gnd:t' || coalesce(CAST(l.toxic AS VARCHAR), 'na')]
+           AS "dcterms:subject",
+       ['quality ' || d.source, 'toxic ' || d.lang] AS labels
+FROM documents d LEFT JOIN labels l USING (doc_id)
+JOIN (SELECT doc_id,
+             CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, 1, strpos(text, chr(10)) - 1) ELSE text END AS title,
+             CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS abstract
+      FROM documents) t USING (doc_id)
+"""
+    q["q_dedupe_docs"] = f"""
+WITH d AS ({DOCS_SQL}),
+two AS (SELECT *, 'dev' AS split FROM d WHERE language = 'de' UNION ALL SELECT *, 'train' AS split FROM d),
+dd AS (SELECT * FROM two QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY split) = 1)
+SELECT doc_id, split, language, text_type FROM dd
+WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+  AND doc_id IN (SELECT doc_id FROM labels)
+"""
+    q["q_sample_sizes"] = f"""
+WITH d AS ({DOCS_SQL}),
+c AS (SELECT language, text_type, count(*) AS cnt FROM d GROUP BY ALL)
+SELECT language, text_type,
+       CAST(round_even(300.0 / (SELECT count(*) FROM d) * cnt, 0) AS BIGINT) AS n_sampled
+FROM c WHERE round_even(300.0 / (SELECT count(*) FROM d) * cnt, 0) > 0
+"""
+    ex = CHATML_SQL
+    q["q_render_prompts"] = f"""
+SELECT prompt,
+       {ex['head']} || string_agg(replace({ex['example']}, '{{text}}', text)
+                                || replace({ex['keywords']}, '{{keywords}}', keywords), '' ORDER BY ord)
+       || {ex['test_item']} AS frame
+FROM ({EXAMPLES_SQL}) GROUP BY prompt
+"""
     return q

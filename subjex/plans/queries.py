@@ -212,6 +212,72 @@ def q_hybrid_top1(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(hybrid(q, v, alpha=0.7, k_lists=10))
 
 
+# ------------------------------------------------------------- sources / dataset
+
+def q_vocab_labels(spark: SparkSession, sf: str) -> DataFrame:
+    from subjex.sources.vocab import vocab_labels
+    return vocab_labels(X.triples(spark, sf), use_alt=True)
+
+
+def q_records(spark: SparkSession, sf: str) -> DataFrame:
+    from subjex.sources.records import extract_records
+    return extract_records(X.records_json(spark, sf), "json")
+
+
+def _two_splits(spark, sf):
+    d = X.docs(spark, sf)
+    return d.where(F.col("language") == "de").withColumn("split", F.lit("dev")) \
+        .unionByName(d.withColumn("split", F.lit("train")))
+
+
+def q_dedupe_docs(spark: SparkSession, sf: str) -> DataFrame:
+    from subjex.operators.records import dedupe_docs, exclude_docs, include_docs
+    lab = X.table(spark, sf, "labels")
+    deny = lab.where(F.col("toxic") == 1).select("doc_id")
+    allow = lab.select("doc_id")
+    out = include_docs(exclude_docs(dedupe_docs(_two_splits(spark, sf)), deny), allow)
+    return out.select("doc_id", "split", "language", "text_type")
+
+
+def q_sample_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    from subjex.operators.records import stratified_sample
+    d = X.docs(spark, sf).withColumn("subjects", F.lit("all-subjects"))
+    s = stratified_sample(d, 300, seed=42)
+    return s.groupBy("language", "text_type").agg(F.count(F.lit(1)).alias("n_sampled"))
+
+
+def q_render_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    from subjex.operators.prompts import CHATML, render_examples
+    return render_examples(X.examples(spark, sf), CHATML, instruction="Extrahiere Schlagwörter")
+
+
+def q_embed_batch(spark: SparkSession, sf: str) -> DataFrame:
+    from subjex.operators.infer import embed
+    return embed(X.docs(spark, sf).select("doc_id", "title"), "title", batch=32)
+
+
+# ------------------------------------------------------------- ensemble search
+
+def q_greedy_forward(spark: SparkSession, sf: str) -> DataFrame:
+    from subjex.operators.search import greedy_forward
+    p = X.pred(spark, sf).select(*MEMBER, "doc_id", "label_id", "score")
+    return rounded(greedy_forward(p, X.gold(spark, sf), rounds=3))
+
+
+def q_greedy_backward(spark: SparkSession, sf: str) -> DataFrame:
+    from subjex.operators.search import greedy_backward
+    p = X.pred(spark, sf).select(*MEMBER, "doc_id", "label_id", "score")
+    return rounded(greedy_backward(p, X.gold(spark, sf), rounds=3)[1])
+
+
+def q_sample_ensembles(spark: SparkSession, sf: str) -> DataFrame:
+    from subjex.operators.search import sample_ensembles, score_ensembles
+    p = X.pred(spark, sf)
+    existing = E.existing_members(p, big_models=["R"])
+    cands = sample_ensembles(existing, n=3, max_big=1, samples=8, seed=1)
+    return rounded(score_ensembles(p, cands, X.gold(spark, sf), top=10))
+
+
 REGISTRY = {
     "q_best_match": q_best_match,
     "q_threshold_split": q_threshold_split,
@@ -239,4 +305,13 @@ REGISTRY = {
     "q_knn_ivf": q_knn_ivf,
     "q_bm25_top1": q_bm25_top1,
     "q_hybrid_top1": q_hybrid_top1,
+    "q_vocab_labels": q_vocab_labels,
+    "q_records": q_records,
+    "q_dedupe_docs": q_dedupe_docs,
+    "q_sample_sizes": q_sample_sizes,
+    "q_render_prompts": q_render_prompts,
+    "q_embed_batch": q_embed_batch,
+    "q_greedy_forward": q_greedy_forward,
+    "q_greedy_backward": q_greedy_backward,
+    "q_sample_ensembles": q_sample_ensembles,
 }
