@@ -14,7 +14,8 @@ def clip01(c: Column) -> Column:
     """Clip to [0, 1]; NaN becomes NULL so that a later sum skips it,
     as pandas does (Spark's least/greatest would turn NaN into 1.0)."""
     x = nan_to_null(c.cast("double"))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    # least/greatest skip NULL arguments, so a NULL must bypass them
+    return F.when(x.isNull(), F.lit(None).cast("double")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def weighted(vote: Column, relevance: Column, weight: float) -> Column:

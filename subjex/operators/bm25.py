@@ -67,7 +67,7 @@ def bm25(queries: DataFrame, corpus: DataFrame, k: int = 1, query_col: str = "qu
                      F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qb"))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "label_id": [],
+        empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "label_id": pd.Series([], dtype=object),
                               "score": pd.Series([], dtype="float64")})
         if left.empty or right.empty:
             return empty
@@ -100,7 +100,7 @@ def bm25(queries: DataFrame, corpus: DataFrame, k: int = 1, query_col: str = "qu
             out_s.extend(acc[sel].tolist())
         if not out_q:
             return empty
-        return pd.DataFrame({"query_id": pd.Series(out_q, dtype="int64"), "label_id": out_l,
+        return pd.DataFrame({"query_id": pd.Series(out_q, dtype="int64"), "label_id": pd.Series(out_l, dtype=object),
                              "score": pd.Series(out_s, dtype="float64")})
 
     partial = qx.groupBy("qb", "vb").cogroup(dx.groupBy("qb", "vb")).applyInPandas(score, SCORE_SCHEMA)

@@ -146,6 +146,19 @@ def _strata_groups(df: DataFrame, by: Sequence[str], strata: Sequence[str], aggs
                       *[c for c in out.columns if c not in (*by, *strata) and not c.startswith("_g_")])
 
 
+def _all_strata(sums: DataFrame, denom: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Every gold stratum for every key, also where the key predicts none of
+    its documents (recall and F1 0 there, precision NULL). The strata list is
+    small (the cube of two low-cardinality columns) and rides along as a
+    scalar subquery; the keys come from the predictions."""
+    if not by:
+        return F.broadcast(denom).join(sums, list(STRATA), "left")
+    strata_arr = denom.select(F.collect_list(F.struct(*STRATA))).scalar()
+    keys = sums.select(*by).distinct().select(*by, F.explode(strata_arr).alias("_s")) \
+        .select(*by, *[F.col(f"_s.{c}").alias(c) for c in STRATA])
+    return keys.join(sums, [*by, *STRATA], "left").join(F.broadcast(denom), list(STRATA), "left")
+
+
 def _subsets(cols: Sequence[str]) -> list[list[str]]:
     res: list[list[str]] = [[]]
     for c in cols:
@@ -176,7 +189,8 @@ def set_scores(gold: DataFrame, pred: DataFrame, by: Sequence[str] = (),
             extra = _strata_groups(counts.where(F.col("n_gold") == 0), by, strata,
                                    [F.count(F.lit(1)).alias("n_extra")])
             sums = sums.join(extra, [*by, *STRATA], "left")
-        res = sums.join(F.broadcast(denom), list(STRATA), "left")  # one row per stratum
+        res = _all_strata(sums, denom, by).na.fill(0.0, ["s_prec", "s_rec", "s_f1", "s_rprec"]) \
+            .na.fill(0, ["n_has"])
         n_all = F.col("n_docs") + (F.coalesce(F.col("n_extra"), F.lit(0)) if include_unjudged else F.lit(0))
         vals = {
             "prec": safe_ratio(F.col("s_prec"), F.col("n_has")),
@@ -188,7 +202,7 @@ def set_scores(gold: DataFrame, pred: DataFrame, by: Sequence[str] = (),
         aggs = [F.sum("tp").alias("s_tp"), F.sum("n_pred").alias("s_pred")]
         sums = _strata_groups(counts, by, strata, aggs)
         denom = _strata_groups(gd, (), strata, [F.sum("n_gold").alias("s_gold")])
-        res = sums.join(F.broadcast(denom), list(STRATA), "left")
+        res = _all_strata(sums, denom, by).na.fill(0, ["s_tp", "s_pred"])
         p = safe_ratio(F.col("s_tp"), F.col("s_pred"))
         r = safe_ratio(F.col("s_tp"), F.col("s_gold"))
         vals = {"prec": p, "rec": r, "f1": safe_ratio(2 * p * r, p + r),
@@ -237,7 +251,7 @@ def pr_grid(gold: DataFrame, pred: DataFrame, by: Sequence[str] = (), steps: int
     """
     keys = [*by, "doc_id"]
     p = pred.where(F.col("score").isNotNull() & ~F.isnan("score")) \
-        .select(*keys, "label_id", "score").distinct()
+        .select(*keys, "label_id", stable_round(F.col("score"), 9).alias("score")).distinct()
     g = gold.select("doc_id", "label_id").withColumn("_hit", F.lit(1))
     tagged = p.join(g, ["doc_id", "label_id"], "left")
     ties = tagged.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("_n"),
@@ -328,6 +342,8 @@ def evaluate(gold: DataFrame, pred: DataFrame, by: Sequence[str] = (), steps: in
     """The evaluate stage: grid, curve, area, cut at the best cell, strata."""
     if set_only:
         return {"metrics": strata_scores(gold, pred, by)}
+    # scores are compared at 1e-9: summation noise must not split a tie
+    pred = pred.withColumn("score", stable_round(F.col("score"), 9))
     grid = pr_grid(gold, pred, by, steps, ordinal)
     curve = pr_curve(grid, by)
     best = opt_cutoff(grid, by)

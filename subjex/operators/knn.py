@@ -30,6 +30,12 @@ def _dim(df: DataFrame, col: str = "embedding") -> int:
     return int(row["d"]) if row else 0
 
 
+def _size(df: DataFrame, col: str = "embedding") -> tuple[int, int]:
+    """Row count and vector dimension in one aggregate job."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(col)).alias("d")).first()
+    return int(r["n"]), int(r["d"] or 0)
+
+
 def _topk_rows(qids, q, lids, ltexts, v, k):
     """Top-k of one (query block, vocabulary block) pair, in query chunks."""
     qn = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
@@ -54,8 +60,15 @@ def _topk_rows(qids, q, lids, ltexts, v, k):
             out_l.extend(lids[i] for i in order)
             out_t.extend(ltexts[i] for i in order)
             out_s.extend(row[order].tolist())
-    return pd.DataFrame({"query_id": pd.Series(out_q, dtype="int64"), "label_id": out_l,
-                         "label_text": out_t, "cosine": pd.Series(out_s, dtype="float64")})
+    if not out_q:
+        return empty_result()
+    return pd.DataFrame({"query_id": pd.Series(out_q, dtype="int64"), "label_id": pd.Series(out_l, dtype=object),
+                         "label_text": pd.Series(out_t, dtype=object), "cosine": pd.Series(out_s, dtype="float64")})
+
+
+def empty_result() -> pd.DataFrame:
+    return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "label_id": pd.Series([], dtype=object),
+                         "label_text": pd.Series([], dtype=object), "cosine": pd.Series([], dtype="float64")})
 
 
 def _stack(col: pd.Series) -> np.ndarray:
@@ -70,10 +83,9 @@ def nearest(queries: DataFrame, vocab: DataFrame, k: int = 1,
     ``vocab``: (label_id string, label_text string, embedding array<float>).
     Returns (query_id, label_id, label_text, cosine) with cosine in double.
     """
-    dim = _dim(vocab)
+    nq, _ = _size(queries)
+    nv, dim = _size(vocab)
     row_bytes = 8 * max(dim, 1) + 64
-    nq = queries.count()
-    nv = vocab.count()
     bq = block_count(nq, row_bytes, query_block_bytes)
     bv = block_count(nv, row_bytes, vocab_block_bytes)
     # fresh attributes on each side: both may derive from one table
@@ -87,7 +99,7 @@ def nearest(queries: DataFrame, vocab: DataFrame, k: int = 1,
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in ("query_id", "label_id", "label_text", "cosine")})
+            return empty_result()
         return _topk_rows(left["query_id"].tolist(), _stack(left["embedding"]),
                           right["label_id"].tolist(), right["label_text"].tolist(),
                           _stack(right["embedding"]), k)
@@ -145,9 +157,10 @@ def nearest_clusters(queries: DataFrame, vocab: DataFrame, k: int = 1, n_cluster
                                 "embedding": b["embedding"].to_numpy()[rep],
                                 "cluster": near.reshape(-1).astype("int32")})
 
-    dim = _dim(vocab)
+    nq, _ = _size(queries)
+    _, dim = _size(vocab)
     row_bytes = 8 * max(dim, 1) + 64
-    bq = block_count(queries.count(), row_bytes, query_block_bytes)
+    bq = block_count(nq, row_bytes, query_block_bytes)
     sizes = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n")).select(
         "cluster", F.greatest(F.lit(1), F.ceil(F.col("_n") * row_bytes / vocab_block_bytes)).cast("int").alias("nsub"))
     qx = queries.select(F.col("query_id").alias("query_id"), F.col("embedding").alias("embedding")).mapInPandas(
@@ -162,7 +175,7 @@ def nearest_clusters(queries: DataFrame, vocab: DataFrame, k: int = 1, n_cluster
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in ("query_id", "label_id", "label_text", "cosine")})
+            return empty_result()
         return _topk_rows(left["query_id"].tolist(), _stack(left["embedding"]),
                           right["label_id"].tolist(), right["label_text"].tolist(),
                           _stack(right["embedding"]), k)

@@ -34,7 +34,7 @@ def member_scores(pred: DataFrame, score: str = "score") -> DataFrame:
 
 def candidate_auc(gold: DataFrame, sets: DataFrame, steps: int = 100) -> DataFrame:
     """PR-AUC of every candidate set: ``sets`` holds (candidate, doc_id, label_id, score)."""
-    grid = V.pr_grid(gold, sets, by=["candidate"], steps=steps)
+    grid = V.pr_grid(gold, sets, by=["candidate"], steps=steps)  # scores compared at 1e-9
     return V.pr_auc(V.pr_curve(grid, by=["candidate"]), by=["candidate"])
 
 

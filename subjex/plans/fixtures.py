@@ -193,13 +193,14 @@ FROM lineitem
 
 
 def relevance_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One model answer per (doc, distinct term), as the rank stage asks once per term."""
+    """One model answer per (doc, distinct term), as the rank stage asks once
+    per term: the greatest answer text of the term's rows (deterministic)."""
     r = rank_input(spark, sf_dir)
-    return r.groupBy("doc_id", "term").agg(F.max_by("answer", "label_id").alias("answer"))
+    return r.groupBy("doc_id", "term").agg(F.max("answer").alias("answer"))
 
 
 ANSWERS_SQL = f"""
-SELECT doc_id, term, arg_max(answer, label_id) AS answer FROM ({RANK_INPUT_SQL}) GROUP BY doc_id, term
+SELECT doc_id, term, max(answer) AS answer FROM ({RANK_INPUT_SQL}) GROUP BY doc_id, term
 """
 
 

@@ -167,26 +167,32 @@ SELECT {bycols}{lang} AS language, {tt} AS text_type,
        count(*) AS n_has
 FROM d x {group}""")
     body = doc + ", s AS (" + " UNION ALL ".join(out) + ")"
-    body += """,
-nd AS (SELECT language, text_type, count(*) AS n_docs FROM gd GROUP BY CUBE (language, text_type))
+    strata_filter = "" if strata else "WHERE language = 'all' AND text_type = 'all'"
+    keys = f"(SELECT DISTINCT {by} FROM d)" if by else "(SELECT 1 AS one)"
+    body += f""",
+nd AS (SELECT coalesce(language, 'all') AS language, coalesce(text_type, 'all') AS text_type, count(*) AS n_docs
+       FROM gd GROUP BY CUBE (language, text_type)),
+st AS (SELECT * FROM nd {strata_filter}),
+allst AS (SELECT k.*, st.* FROM {keys} k CROSS JOIN st),
+j AS (SELECT allst.*, s.* EXCLUDE ({bycols}language, text_type)
+      FROM allst LEFT JOIN s USING ({bycols}language, text_type))
 """
-    nd_join = ("LEFT JOIN (SELECT coalesce(language, 'all') AS language, coalesce(text_type, 'all') AS text_type, "
-               "n_docs FROM nd) n USING (language, text_type)")
     if micro:
-        # micro uses total gold labels (overall only)
         return body + f"""
 SELECT {bycols}metric, value, language, text_type FROM (
   SELECT {bycols}language, text_type,
-         s_tp / s_pred AS p, s_tp / (SELECT CAST(sum(n_gold) AS DOUBLE) FROM gd) AS r,
-         s_tp / least((SELECT sum(n_gold) FROM gd), s_pred) AS rp
-  FROM s)
-CROSS JOIN LATERAL (VALUES ('prec', p), ('rec', r), ('f1', 2 * p * r / (p + r)), ('rprec', rp)) v(metric, value)
+         coalesce(s_tp, 0) / nullif(coalesce(s_pred, 0), 0) AS p,
+         coalesce(s_tp, 0) / (SELECT CAST(sum(n_gold) AS DOUBLE) FROM gd) AS r,
+         coalesce(s_tp, 0) / least((SELECT sum(n_gold) FROM gd), nullif(coalesce(s_pred, 0), 0)) AS rp
+  FROM j)
+CROSS JOIN LATERAL (VALUES ('prec', p), ('rec', r), ('f1', 2 * p * r / nullif(p + r, 0)), ('rprec', rp)) v(metric, value)
 """
     return body + f"""
 SELECT {bycols}metric, value, language, text_type FROM (
-  SELECT s.*, n.n_docs FROM s {nd_join})
-CROSS JOIN LATERAL (VALUES ('prec', s_prec / n_has), ('rec', s_rec / n_docs), ('f1', s_f1 / n_docs),
-                           ('rprec', s_rprec / n_has)) v(metric, value)
+  SELECT {bycols}language, text_type, n_docs, coalesce(s_prec, 0.0) AS s_prec, coalesce(s_rec, 0.0) AS s_rec,
+         coalesce(s_f1, 0.0) AS s_f1, coalesce(s_rprec, 0.0) AS s_rprec, coalesce(n_has, 0) AS n_has FROM j)
+CROSS JOIN LATERAL (VALUES ('prec', s_prec / nullif(n_has, 0)), ('rec', s_rec / n_docs), ('f1', s_f1 / n_docs),
+                           ('rprec', s_rprec / nullif(n_has, 0))) v(metric, value)
 """
 
 

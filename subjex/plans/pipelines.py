@@ -18,3 +18,78 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("ensemble", "doc_id", "label_id", stable_round(F.col("score"), 9).alias("score"))
     res = V.evaluate(X.gold(spark, sf_dir), votes, by=["ensemble"], steps=100)
     return res["metrics"].join(res["auc"], "ensemble", "left")
+
+
+def map_stage(completions: DataFrame, vocab: DataFrame, search: str = "vector", alpha: float = 0.7,
+              min_cosine: float = 0.7, id_table: DataFrame | None = None,
+              allowed: DataFrame | None = None, score_param: str = "hybrid_score",
+              encode=None, by=("model", "prompt")):
+    """M9: completions -> (predictions, removed, stats), one plan.
+
+    A2 count rows -> A3 distinct keywords -> embed once per keyword (M5) ->
+    nearest label (M1) or hybrid (M2) -> J3 attach -> P3 threshold ->
+    J4/P4 ids -> J5 allow-list -> A4 best match -> P5 score -> A15 stats.
+    ``vocab``: (label_id, label_text, embedding).
+    """
+    from subjex.operators import mapping as M
+    from subjex.operators.bm25 import hybrid
+    from subjex.operators.infer import embed
+    from subjex.operators.knn import nearest
+
+    rows = M.count_rows(completions)
+    cands = M.distinct_candidates(completions)
+    from subjex.session import cut_lineage
+    # the model runs once per distinct keyword; the result is checkpointed so
+    # that sizing and search read it instead of calling the model again
+    q = cut_lineage(embed(cands, "candidate", encode=encode).select(
+        F.xxhash64("candidate").alias("query_id"), "candidate", "embedding"))
+    if search == "vector":
+        found = nearest(q.select("query_id", "embedding"), vocab, k=1).select(
+            "query_id", "label_id", F.col("label_text").alias("term"),
+            F.col("cosine").alias("cosine_similarity"), F.lit(None).cast("double").alias("hybrid_score"))
+    elif search == "hybrid":
+        found = hybrid(q.select("query_id", "embedding", F.col("candidate").alias("query")), vocab,
+                       alpha=alpha).select("query_id", "label_id", "term",
+                                           F.col("cosine").alias("cosine_similarity"), "hybrid_score")
+    else:
+        raise ValueError("search must be 'vector' or 'hybrid'")
+    matches = q.select("query_id", "candidate").join(found, "query_id").drop("query_id")
+    attached = M.attach_matches(rows, matches)
+    kept, removed = M.split_threshold(attached, min_cosine)
+    if id_table is not None:
+        kept, _unmapped = M.translate_ids(kept, id_table)
+    else:
+        kept = M.prefix_ids(kept)
+    allowed_rows = M.allow(kept, allowed) if allowed is not None else kept
+    best = M.select_score(M.best_match(allowed_rows, by=list(by)), score_param)
+    stats = M.map_stats(best, removed, kept if allowed is not None else None,
+                        allowed_rows if allowed is not None else None, by=list(by))
+    return best, removed, stats
+
+
+def complete_stage(docs: DataFrame, frames: DataFrame, model: str, prompt: str, generate_fn,
+                   budget_words: int | None = None, batch: int = 20) -> DataFrame:
+    """The complete stage for one run: content (P2) -> fill (F6/F8) ->
+    generate (M6) -> parse (F1) -> completions rows."""
+    from subjex.functions.text import compose_content
+    from subjex.operators.infer import completions, generate
+    from subjex.operators.prompts import fill
+    content = docs.select("doc_id", compose_content(F.col("title"), F.col("abstract")).alias("content"))
+    prompts = fill(content.where(F.col("content").isNotNull()), frames, model, prompt, budget_words)
+    answers = generate(prompts, "text", generate_fn, batch=batch)
+    return completions(answers.select("model", "prompt", "doc_id", "answer"))
+
+
+def rank_stage(ensemble: DataFrame, docs: DataFrame, frame: str, generate_fn, threshold: float = 0.0,
+               max_suggestions: int = 50, score_param: str = "relevance", batch: int = 20) -> DataFrame:
+    """The rank stage: one relevance question per (doc, distinct term)
+    (F7/J8/V3), model answers (M7), parse (F2), accept (P7/W3), normalise
+    (A8-A10) -> ranked (doc_id, label_id, score)."""
+    from subjex.functions.text import compose_content
+    from subjex.operators import ranking as RK
+    from subjex.operators.infer import generate
+    content = docs.select("doc_id", compose_content(F.col("title"), F.col("abstract")).alias("content"))
+    prompts = RK.relevance_prompts(ensemble, content, frame)
+    answers = generate(prompts, "prompt", generate_fn, batch=batch).select("doc_id", "term", "answer")
+    accepted = RK.accept(answers, threshold, max_suggestions)
+    return RK.normalise_relevance(accepted, ensemble, score_param)

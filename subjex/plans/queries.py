@@ -278,6 +278,20 @@ def q_sample_ensembles(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(score_ensembles(p, cands, X.gold(spark, sf), top=10))
 
 
+def q_map_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """M9 end to end: keywords parsed from the assistant answers mapped onto
+    a vocabulary of part names (embedded by the hashed n-gram encoder)."""
+    from subjex.operators.infer import completions, embed
+    from subjex.plans.pipelines import map_stage
+    from subjex.sources.vocab import vocab_labels
+    comp = completions(X.responses(spark, sf))
+    from subjex.session import cut_lineage
+    vocab = cut_lineage(embed(vocab_labels(X.triples(spark, sf)), "label_text"))  # the built vocabulary (M8)
+    best, _removed, _stats = map_stage(comp, vocab, search="vector", min_cosine=0.3,
+                                       score_param="cosine_similarity")
+    return rounded(best)
+
+
 REGISTRY = {
     "q_best_match": q_best_match,
     "q_threshold_split": q_threshold_split,
@@ -314,4 +328,5 @@ REGISTRY = {
     "q_greedy_forward": q_greedy_forward,
     "q_greedy_backward": q_greedy_backward,
     "q_sample_ensembles": q_sample_ensembles,
+    "q_map_pipeline": q_map_pipeline,
 }

@@ -66,9 +66,9 @@ def extract_records(df: DataFrame, json_col: str = "json", strict_order: bool =
     ids = F.transform("_nodes", lambda n, i: F.struct(_vget(n, '$["@id"]', "string").alias("id"),
                                                       i.alias("pos")))
     # the record's last document node (later assignments win); none -> no doc_id
-    last_doc = F.element_at(F.filter(ids, lambda d: d["id"].startswith("https:")), -1)
+    last_doc = F.try_element_at(F.filter(ids, lambda d: d["id"].startswith("https:")), F.lit(-1))
     doc = x.select(*keep, "_nodes", last_doc["id"].alias("_doc_id"), last_doc["pos"].alias("_p"))
-    doc = doc.select("*", F.element_at(F.col("_nodes"), F.col("_p") + 1).alias("_node"))
+    doc = doc.select("*", F.try_element_at(F.col("_nodes"), F.col("_p") + 1).alias("_node"))
     node = F.col("_node")
     has_title = _has(node, "title")
     has_abs = has_title & _has(node, "abstract")
@@ -92,7 +92,7 @@ def extract_records(df: DataFrame, json_col: str = "json", strict_order: bool =
     def label_of(sid):
         cands = F.filter(F.col("_gnd"), lambda g: (g["id"] == sid) &
                          ((g["pos"] < F.col("_doc_pos")) if strict_order else F.lit(True)))
-        return F.element_at(cands, -1)["name"]
+        return F.try_element_at(cands, F.lit(-1))["name"]
 
     labels = F.filter(F.transform(F.coalesce(F.col("`dcterms:subject`"), F.array().cast("array<string>")),
                                   label_of), lambda s: s.isNotNull())
