@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subjex.operators.knn import block_count, nearest, top_k
+from subjex.operators.knn import block_count, nearest, spread, top_k
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 SCORE_SCHEMA = "query_id long, label_id string, score double"
@@ -34,77 +34,100 @@ def round9(x: np.ndarray) -> np.ndarray:
 def bm25_weights(corpus: DataFrame, text_col: str = "label_text",
                  k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(label_id, token, weight) with weight = idf * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl)),
-    idf = ln(1 + (N - df + 0.5) / (df + 0.5)), N = corpus rows, avgdl = tokens / N."""
-    toks = corpus.select("label_id", F.explode(tokens(F.col(text_col))).alias("token"))
-    tf = toks.groupBy("label_id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    dl = tf.groupBy("label_id").agg(F.sum("tf").alias("dl"))
-    n = corpus.select(F.count(F.lit(1))).scalar()
-    avgdl = dl.select(F.sum("dl")).scalar() / n
+    idf = ln(1 + (N - df + 0.5) / (df + 0.5)), N = corpus rows, avgdl = tokens / N.
+
+    One tokenisation feeds everything: the document length is the size of
+    its token array (no second aggregate), N and the token total come from
+    one aggregate, df from the (label, token) table."""
+    docs = spread(corpus.select("label_id", text_col)).select("label_id", tokens(F.col(text_col)).alias("_t"))
+    totals = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("_t")).alias("tokens")).first()
+    n = int(totals["n"])
+    avgdl = float(totals["tokens"] or 0) / max(n, 1)
+    tf = docs.select("label_id", F.size("_t").alias("dl"), F.explode("_t").alias("token")) \
+        .groupBy("label_id", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl)
-    return tf.join(dl, "label_id").join(df, "token") \
-        .select("label_id", "token", (idf * F.col("tf") * (k1 + 1) / norm).alias("weight"))
+    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl if avgdl > 0 else 1.0))
+    return tf.join(df, "token").select("label_id", "token", (idf * F.col("tf") * (k1 + 1) / norm).alias("weight"))
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, k: int = 1, query_col: str = "query",
+def bm25_index(corpus: DataFrame, text_col: str = "label_text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The keyword index of a vocabulary: postings (label_id, tok, weight),
+    built once and cut from its lineage (a reliable checkpoint); reuse it
+    for every query batch."""
+    from subjex.session import cut_lineage
+    w = bm25_weights(corpus, text_col, k1, b)
+    return cut_lineage(w.select("label_id", F.xxhash64("token").alias("tok"), "weight"))
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Concatenation of arange(lo[i], hi[i]) without a Python loop."""
+    n = hi - lo
+    keep = n > 0
+    lo, n = lo[keep], n[keep]
+    if not len(n):
+        return np.zeros(0, dtype=np.int64)
+    starts = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+    return starts + np.arange(n.sum())
+
+
+def bm25(queries: DataFrame, corpus: DataFrame | None = None, k: int = 1, query_col: str = "query",
          text_col: str = "label_text", k1: float = 1.2, b: float = 0.75,
-         query_block_bytes: int = 64 << 20, label_block_bytes: int = 256 << 20) -> DataFrame:
+         query_block_bytes: int = 64 << 20, label_block_bytes: int = 256 << 20,
+         index: DataFrame | None = None) -> DataFrame:
     """M3: the k labels of greatest BM25 score per query (distinct query tokens;
     labels sharing no token with a query are not returned; ties by label_id
-    after rounding scores to 1e-9)."""
-    w = bm25_weights(corpus, text_col, k1, b)
-    docs = w.groupBy("label_id").agg(F.collect_list("token").alias("toks"),
-                                     F.collect_list("weight").alias("ws"))
-    q = queries.select("query_id", F.array_distinct(tokens(F.col(query_col))).alias("qt"))
+    after rounding scores to 1e-9).
+
+    Tokens travel as 64-bit hashes. A task sorts its label block's postings
+    by token once, then scores each query with ``searchsorted`` ranges and a
+    ``bincount`` (vectorised, no per-token Python loop)."""
+    from subjex.functions.scores import stable_round
+    w = index if index is not None else bm25_index(corpus, text_col, k1, b)
+    q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col(query_col)))).alias("token")) \
+        .select("query_id", F.xxhash64("token").alias("tok")).distinct()
     n_pairs = w.count()
-    n_qtok = q.select(F.sum(F.size("qt"))).first()[0] or 0
-    bq = block_count(int(n_qtok), 48, query_block_bytes)
-    bv = block_count(n_pairs, 48, label_block_bytes)
-    qx = q.select("query_id", "qt", F.pmod(F.xxhash64("query_id"), F.lit(bq)).alias("qb"),
+    n_qtok = q.count()
+    bq = block_count(n_qtok, 24, query_block_bytes)
+    bv = block_count(n_pairs, 48, label_block_bytes, queries.sparkSession.sparkContext.defaultParallelism)
+    qx = q.select("query_id", "tok", F.pmod(F.xxhash64("query_id"), F.lit(bq)).alias("qb"),
                   F.explode(F.sequence(F.lit(0), F.lit(bv - 1))).alias("vb"))
-    dx = docs.select("label_id", "toks", "ws", F.pmod(F.xxhash64("label_id"), F.lit(bv)).alias("vb"),
-                     F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qb"))
+    dx = w.select("label_id", "tok", "weight", F.pmod(F.xxhash64("label_id"), F.lit(bv)).alias("vb"),
+                  F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qb"))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "label_id": pd.Series([], dtype=object),
                               "score": pd.Series([], dtype="float64")})
         if left.empty or right.empty:
             return empty
-        lids = right["label_id"].tolist()
-        order_id = np.argsort(np.argsort(np.asarray(lids, dtype=object), kind="stable"), kind="stable")
-        index: dict[str, tuple[list[int], list[float]]] = {}
-        for i, (ts, ws) in enumerate(zip(right["toks"], right["ws"])):
-            for t, wt in zip(ts, ws):
-                e = index.setdefault(t, ([], []))
-                e[0].append(i)
-                e[1].append(wt)
-        post = {t: (np.asarray(ix, dtype=np.int64), np.asarray(ws, dtype=np.float64)) for t, (ix, ws) in index.items()}
+        labels, lab = np.unique(right["label_id"].to_numpy(dtype=object), return_inverse=True)
+        order = np.argsort(right["tok"].to_numpy(), kind="stable")
+        toks = right["tok"].to_numpy()[order]
+        labs = lab[order]
+        wts = right["weight"].to_numpy(dtype=np.float64)[order]
         out_q, out_l, out_s = [], [], []
-        acc = np.zeros(len(lids))
-        for qid, qt in zip(left["query_id"].tolist(), left["qt"]):
-            acc[:] = 0.0
-            hit = np.zeros(len(lids), dtype=bool)
-            for t in qt:
-                p = post.get(t)
-                if p is not None:
-                    np.add.at(acc, p[0], p[1])
-                    hit[p[0]] = True
-            cand = np.nonzero(hit)[0]
-            if not len(cand):
+        left = left.sort_values("query_id", kind="stable")
+        qids = left["query_id"].to_numpy()
+        qtok = left["tok"].to_numpy()
+        cuts = np.flatnonzero(np.diff(qids)) + 1
+        for seg in np.split(np.arange(len(qids)), cuts):
+            t = qtok[seg]
+            idx = _ranges(np.searchsorted(toks, t, "left"), np.searchsorted(toks, t, "right"))
+            if not len(idx):
                 continue
-            s = round9(acc[cand])
-            sel = cand[np.lexsort((order_id[cand], -s))][:k]
-            out_q.extend([qid] * len(sel))
-            out_l.extend(lids[i] for i in sel)
-            out_s.extend(acc[sel].tolist())
+            sc = np.bincount(labs[idx], weights=wts[idx], minlength=len(labels))
+            cand = np.unique(labs[idx])
+            s9 = round9(sc[cand])
+            sel = cand[np.lexsort((cand, -s9))][:k]  # label index order = label_id order
+            out_q.extend([int(qids[seg[0]])] * len(sel))
+            out_l.extend(labels[sel].tolist())
+            out_s.extend(sc[sel].tolist())
         if not out_q:
             return empty
         return pd.DataFrame({"query_id": pd.Series(out_q, dtype="int64"), "label_id": pd.Series(out_l, dtype=object),
                              "score": pd.Series(out_s, dtype="float64")})
 
     partial = qx.groupBy("qb", "vb").cogroup(dx.groupBy("qb", "vb")).applyInPandas(score, SCORE_SCHEMA)
-    from subjex.functions.scores import stable_round
     ranked = partial.withColumn("_s9", stable_round(F.col("score"), 9))
     return top_k(ranked, k, "query_id", "_s9").drop("_s9")
 

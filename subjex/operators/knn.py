@@ -21,8 +21,23 @@ from pyspark.sql import functions as F
 RESULT_SCHEMA = "query_id long, label_id string, label_text string, cosine double"
 
 
-def block_count(n_rows: int, row_bytes: int, budget_bytes: int) -> int:
-    return max(1, math.ceil(n_rows * row_bytes / budget_bytes))
+def block_count(n_rows: int, row_bytes: int, budget_bytes: int, parallelism: int = 1,
+                min_rows: int = 50_000) -> int:
+    """Blocks so that one fits the memory budget, and, when there is enough
+    data (``min_rows`` per block), at least enough blocks to occupy the
+    cluster's cores."""
+    by_size = math.ceil(n_rows * row_bytes / budget_bytes)
+    by_cores = min(parallelism, n_rows // min_rows)
+    return max(1, by_size, by_cores)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer splits than cores a round-robin repartition
+    (small inputs only: a big input has many splits and is left alone)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def _dim(df: DataFrame, col: str = "embedding") -> int:
@@ -86,8 +101,9 @@ def nearest(queries: DataFrame, vocab: DataFrame, k: int = 1,
     nq, _ = _size(queries)
     nv, dim = _size(vocab)
     row_bytes = 8 * max(dim, 1) + 64
+    cores = queries.sparkSession.sparkContext.defaultParallelism
     bq = block_count(nq, row_bytes, query_block_bytes)
-    bv = block_count(nv, row_bytes, vocab_block_bytes)
+    bv = block_count(nv, row_bytes, vocab_block_bytes, cores, min_rows=20_000)
     # fresh attributes on each side: both may derive from one table
     q = queries.select(F.col("query_id").alias("query_id"), F.col("embedding").alias("embedding"),
                        F.pmod(F.xxhash64("query_id"), F.lit(bq)).alias("qb"),
