@@ -90,9 +90,9 @@ def bm25(queries: DataFrame, corpus: DataFrame | None = None, k: int = 1, query_
     n_qtok = q.count()
     bq = block_count(n_qtok, 24, query_block_bytes)
     bv = block_count(n_pairs, 48, label_block_bytes, queries.sparkSession.sparkContext.defaultParallelism)
-    qx = q.select("query_id", "tok", F.pmod(F.xxhash64("query_id"), F.lit(bq)).alias("qb"),
+    qx = q.select("query_id", "tok", F.pmod(F.xxhash64("query_id"), F.lit(bq)).cast("int").alias("qb"),
                   F.explode(F.sequence(F.lit(0), F.lit(bv - 1))).alias("vb"))
-    dx = w.select("label_id", "tok", "weight", F.pmod(F.xxhash64("label_id"), F.lit(bv)).alias("vb"),
+    dx = w.select("label_id", "tok", "weight", F.pmod(F.xxhash64("label_id"), F.lit(bv)).cast("int").alias("vb"),
                   F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qb"))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

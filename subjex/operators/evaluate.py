@@ -234,8 +234,15 @@ def threshold_index(score, steps: int):
     return F.when(score < 0, F.lit(-1)).otherwise(F.least(F.lit(steps).cast("long"), i1))
 
 
-def pr_grid(gold: DataFrame, pred: DataFrame, by: Sequence[str] = (), steps: int = 100,
-            ordinal: bool = False) -> DataFrame:
+def gold_doc_sets(gold: DataFrame) -> DataFrame:
+    """Per gold document: its label set and ``n_gold`` (one row per document;
+    a document's gold labels are few)."""
+    return gold.groupBy("doc_id").agg(F.collect_set("label_id").alias("_gl"),
+                                      F.count_distinct("label_id").alias("n_gold"))
+
+
+def pr_grid(gold: DataFrame | None, pred: DataFrame, by: Sequence[str] = (), steps: int = 100,
+            ordinal: bool = False, gold_sets: DataFrame | None = None) -> DataFrame:
     """Doc-averaged precision, recall and F1 at every cell (threshold, limit).
 
     A cell keeps ``rank <= limit and score >= threshold``; thresholds are
@@ -248,20 +255,45 @@ def pr_grid(gold: DataFrame, pred: DataFrame, by: Sequence[str] = (), steps: int
     a two-dimensional cumulative sum (thresholds downward, limits upward) then
     yields the sum over documents at every cell. Work: O(predictions) plus the
     grid, not predictions x cells.
+
+    Shuffles: the predictions move once, by document, to meet their
+    document's gold set; dedupe, tie groups and the per-document window reuse
+    that partitioning. The histogram is small, and the grid of each key
+    (bounded by steps x max predictions per document) sits in one partition,
+    so both cumulative sums and the curve need no further exchange.
     """
+    gs = gold_sets if gold_sets is not None else gold_doc_sets(gold)
+    n_docs = gs.select(F.count(F.lit(1))).scalar()
+    return pr_grid_tagged(tag_predictions(pred, gs, by), by, steps, ordinal, n_docs)
+
+
+def tag_predictions(pred: DataFrame, gold_sets: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Predictions as a set per (key, doc, label) (max score, at 1e-9), each
+    with ``_hit`` (label in the document's gold set) and ``n_gold`` (NULL for
+    documents outside gold). One shuffle, by document."""
     keys = [*by, "doc_id"]
     p = pred.where(F.col("score").isNotNull() & ~F.isnan("score")) \
-        .select(*keys, "label_id", stable_round(F.col("score"), 9).alias("score")).distinct()
-    g = gold.select("doc_id", "label_id").withColumn("_hit", F.lit(1))
-    tagged = p.join(g, ["doc_id", "label_id"], "left")
-    ties = tagged.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("_n"),
-                                              F.count("_hit").alias("_tp"))
+        .select(*keys, "label_id", stable_round(F.col("score"), 9).alias("score"))
+    tagged = p.join(gold_sets, "doc_id", "left")
+    return tagged.groupBy(*keys, "label_id").agg(
+        F.max("score").alias("score"), F.first("n_gold").alias("n_gold"),
+        F.coalesce(F.max(F.array_contains(F.col("_gl"), F.col("label_id")).cast("int")), F.lit(0)).alias("_hit"))
+
+
+def pr_grid_tagged(uniq: DataFrame, by: Sequence[str], steps: int = 100, ordinal: bool = False,
+                   n_docs=None) -> DataFrame:
+    """The grid from tagged predictions (see :func:`tag_predictions`);
+    ``n_docs`` = number of gold documents (a number or a scalar column)."""
+    from pyspark.sql import Column
+    n_docs = n_docs if isinstance(n_docs, Column) else F.lit(n_docs)
+    keys = [*by, "doc_id"]
+    uniq = uniq.withColumn("score", stable_round(F.col("score"), 9))  # idempotent
+    ties = uniq.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("_n"), F.sum("_hit").alias("_tp"),
+                                            F.first("n_gold").alias("n_gold"))
     # max predictions per document over every predicted document (gives the limits)
     max_preds = ties.groupBy(*keys).agg(F.sum("_n").alias("_cnt")) \
         .groupBy(*by).agg(F.max("_cnt").cast("int").alias("max_preds"))
-    gd = gold_docs(gold, ())
-    n_docs = gd.agg(F.count(F.lit(1)).alias("n_docs"))
-    judged = ties.join(gd.select("doc_id", "n_gold"), "doc_id", "inner")
+    judged = ties.where(F.col("n_gold").isNotNull())
 
     w = Window.partitionBy(*keys).orderBy(F.desc("score"))
     wrun = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -273,32 +305,33 @@ def pr_grid(gold: DataFrame, pred: DataFrame, by: Sequence[str] = (), steps: int
                  (F.col("_ctp") / F.col("_cn")).alias("v_prec"),
                  (F.col("_ctp") / F.col("n_gold")).alias("v_rec"),
                  (2 * F.col("_ctp") / (F.col("_cn") + F.col("n_gold"))).alias("v_f1"))
-    deltas = [(F.col(f"v_{m}") - F.lag(f"v_{m}", 1, 0.0).over(w)).alias(f"d_{m}")
+    deltas = [(F.col(f"v_{m}") - F.lag(f"v_{m}", 1, 0.0).over(w)).alias(f"h_{m}")
               for m in ("prec", "rec", "f1")]
-    first = F.when(F.lag("rank", 1).over(w).isNull(), F.lit(1)).otherwise(F.lit(0)).alias("d_has")
+    first = F.when(F.lag("rank", 1).over(w).isNull(), F.lit(1)).otherwise(F.lit(0)).alias("h_has")
     idx = F.lit(0).cast("long") if ordinal else threshold_index(F.col("score"), steps)
-    d = j.select(*by, "rank", idx.alias("ti"), *deltas, first)
-    hist = d.where(F.col("ti") >= 0).groupBy(*by, "ti", F.col("rank").alias("lim")).agg(
-        *[F.sum(f"d_{m}").alias(f"h_{m}") for m in ("prec", "rec", "f1", "has")])
+    d = j.select(*by, F.col("rank").cast("int").alias("lim"), idx.alias("ti"), *deltas, first) \
+        .where(F.col("ti") >= 0)
 
     n_thr = 0 if ordinal else steps
     cells = max_preds.select(*by, F.explode(F.sequence(F.lit(0), F.lit(n_thr))).alias("ti"), "max_preds") \
         .select(*by, F.col("ti").cast("long").alias("ti"),
-                F.explode(F.sequence(F.lit(1), F.col("max_preds"))).alias("lim"))
-    dense = cells.join(hist, [*by, "ti", "lim"], "left").na.fill(0.0, [f"h_{m}" for m in ("prec", "rec", "f1")]) \
-        .na.fill(0, ["h_has"])
+                F.explode(F.sequence(F.lit(1), F.col("max_preds"))).alias("lim"),
+                *[F.lit(0.0).alias(f"h_{m}") for m in ("prec", "rec", "f1")], F.lit(0).alias("h_has"))
+    both = d.select(*cells.columns).unionByName(cells)
+    both = both.repartition(*by) if by else both.repartition(1)  # one key's grid per partition
+    dense = both.groupBy(*by, "ti", "lim").agg(*[F.sum(f"h_{m}").alias(f"h_{m}")
+                                                 for m in ("prec", "rec", "f1", "has")])
     w_l = Window.partitionBy(*by, "ti").orderBy("lim").rowsBetween(Window.unboundedPreceding, 0)
     step1 = dense.select(*by, "ti", "lim", *[F.sum(f"h_{m}").over(w_l).alias(f"r_{m}")
                                               for m in ("prec", "rec", "f1", "has")])
     w_t = Window.partitionBy(*by, "lim").orderBy(F.desc("ti")).rowsBetween(Window.unboundedPreceding, 0)
     step2 = step1.select(*by, "ti", "lim", *[F.sum(f"r_{m}").over(w_t).alias(f"c_{m}")
                                               for m in ("prec", "rec", "f1", "has")])
-    n = n_docs.scalar()  # scalar subquery: one number, no join
     thr = F.lit(0.0) if ordinal else F.col("ti").cast("double") / F.lit(float(steps))
     return step2.select(*by, thr.alias("threshold"), F.col("lim").alias("limit"),
                         safe_ratio(F.col("c_prec"), F.col("c_has")).alias("precision"),
-                        safe_ratio(F.col("c_rec"), n).alias("recall"),
-                        safe_ratio(F.col("c_f1"), n).alias("f1"))
+                        safe_ratio(F.col("c_rec"), n_docs).alias("recall"),
+                        safe_ratio(F.col("c_f1"), n_docs).alias("f1"))
 
 
 def pr_curve(grid: DataFrame, by: Sequence[str] = (), digits: int = 9) -> DataFrame:

@@ -106,11 +106,11 @@ def nearest(queries: DataFrame, vocab: DataFrame, k: int = 1,
     bv = block_count(nv, row_bytes, vocab_block_bytes, cores, min_rows=20_000)
     # fresh attributes on each side: both may derive from one table
     q = queries.select(F.col("query_id").alias("query_id"), F.col("embedding").alias("embedding"),
-                       F.pmod(F.xxhash64("query_id"), F.lit(bq)).alias("qb"),
+                       F.pmod(F.xxhash64("query_id"), F.lit(bq)).cast("int").alias("qb"),
                        F.explode(F.sequence(F.lit(0), F.lit(bv - 1))).alias("vb"))
     v = vocab.select(F.col("label_id").alias("label_id"), F.col("label_text").alias("label_text"),
                      F.col("embedding").alias("embedding"),
-                     F.pmod(F.xxhash64("label_id"), F.lit(bv)).alias("vb"),
+                     F.pmod(F.xxhash64("label_id"), F.lit(bv)).cast("int").alias("vb"),
                      F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qb"))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -183,10 +183,10 @@ def nearest_clusters(queries: DataFrame, vocab: DataFrame, k: int = 1, n_cluster
         probe, "query_id long, embedding array<float>, cluster int")
     qx = qx.join(F.broadcast(sizes), "cluster", "inner")  # one row per cluster
     qx = qx.select("query_id", "embedding", "cluster", F.explode(F.sequence(F.lit(0), F.col("nsub") - 1)).alias("sub"),
-                   F.pmod(F.xxhash64("query_id"), F.lit(bq)).alias("qb"))
+                   F.pmod(F.xxhash64("query_id"), F.lit(bq)).cast("int").alias("qb"))
     vx = assigned.join(F.broadcast(sizes), "cluster", "inner").select(
         "label_id", "label_text", "embedding", "cluster",
-        F.pmod(F.xxhash64("label_id"), F.col("nsub")).alias("sub"),
+        F.pmod(F.xxhash64("label_id"), F.col("nsub")).cast("int").alias("sub"),
         F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qb"))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

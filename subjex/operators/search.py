@@ -32,9 +32,16 @@ def member_scores(pred: DataFrame, score: str = "score") -> DataFrame:
         .groupBy("member", "doc_id", "label_id").agg(F.max("score").alias("score"))
 
 
-def candidate_auc(gold: DataFrame, sets: DataFrame, steps: int = 100) -> DataFrame:
+def candidate_auc(gold: DataFrame | None, sets: DataFrame, steps: int = 100,
+                  gold_sets: DataFrame | None = None) -> DataFrame:
     """PR-AUC of every candidate set: ``sets`` holds (candidate, doc_id, label_id, score)."""
-    grid = V.pr_grid(gold, sets, by=["candidate"], steps=steps)  # scores compared at 1e-9
+    grid = V.pr_grid(gold, sets, by=["candidate"], steps=steps, gold_sets=gold_sets)  # scores compared at 1e-9
+    return V.pr_auc(V.pr_curve(grid, by=["candidate"]), by=["candidate"])
+
+
+def tagged_auc(sets: DataFrame, n_docs: int, steps: int = 100) -> DataFrame:
+    """PR-AUC of candidate sets already tagged with ``_hit`` and ``n_gold``."""
+    grid = V.pr_grid_tagged(sets, ["candidate"], steps, False, n_docs)
     return V.pr_auc(V.pr_curve(grid, by=["candidate"]), by=["candidate"])
 
 
@@ -50,6 +57,29 @@ def _replicate(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(F.explode(F.array(*[F.lit(n) for n in names])).alias("candidate"), "*")
 
 
+def _tags():
+    return [F.first("n_gold").alias("n_gold"), F.max("_hit").alias("_hit")]
+
+
+def _prepare(pred: DataFrame, gold: DataFrame, score: str, start: Sequence[str] | None = None):
+    """Member predictions joined with gold once (checkpointed) for all rounds."""
+    gs = V.gold_doc_sets(gold)
+    n_docs = gs.count()
+    m = member_scores(pred, score)
+    if start is not None:
+        m = m.where(F.col("member").isin(list(start)))
+    pt = cut_lineage(V.tag_predictions(m, gs, by=["member"]))
+    names = [r["member"] for r in pt.select("member").distinct().orderBy("member").collect()]
+    return pt, n_docs, names
+
+
+def _sets(rows: DataFrame, value) -> DataFrame:
+    """Candidate sets from (candidate, doc, label, part, tags) rows; the one
+    shuffle by (candidate, doc) serves the fusion, the ties and the window."""
+    return rows.repartition("candidate", "doc_id").groupBy("candidate", "doc_id", "label_id") \
+        .agg(value.alias("score"), *_tags())
+
+
 def greedy_forward(pred: DataFrame, gold: DataFrame, rounds: int = 70, weights: str = "equal",
                    steps: int = 100, score: str = "score") -> DataFrame:
     """Add, round by round, the member whose addition gives the best PR-AUC.
@@ -62,44 +92,41 @@ def greedy_forward(pred: DataFrame, gold: DataFrame, rounds: int = 70, weights:
     """
     if weights not in ("equal", "recurrent"):
         raise ValueError("weights must be 'equal' or 'recurrent'")
-    p = cut_lineage(member_scores(pred, score))
-    names = [r["member"] for r in p.select("member").distinct().orderBy("member").collect()]
+    pt, n_docs, names = _prepare(pred, gold, score)
+    cols = ["doc_id", "label_id", "n_gold", "_hit"]
     chain: list[tuple[str, float]] = []
-    spark = pred.sparkSession
     if weights == "equal":
-        running = None  # (doc_id, label_id, s): sum of the chosen members
+        running = None  # (doc_id, label_id, s, tags): sum of the chosen members
         for _ in range(min(rounds, len(names))):
             chosen = {c for c, _ in chain}
             remaining = [n for n in names if n not in chosen]
             k = len(chain)
-            cand = p.where(F.col("member").isin(remaining)).select(
-                F.col("member").alias("candidate"), "doc_id", "label_id", "score")
+            cand = pt.where(F.col("member").isin(remaining)).select(
+                F.col("member").alias("candidate"), *cols, F.col("score").alias("part"))
             if running is not None:
                 cand = cand.unionByName(_replicate(running, remaining).select(
-                    "candidate", "doc_id", "label_id", F.col("s").alias("score")))
-            sets = cand.groupBy("candidate", "doc_id", "label_id").agg((F.sum("score") / (k + 1)).alias("score"))
-            name, value = best_of(candidate_auc(gold, sets, steps))
+                    "candidate", *cols, F.col("s").alias("part")))
+            sets = _sets(cand, F.sum("part") / (k + 1))
+            name, value = best_of(tagged_auc(sets, n_docs, steps))
             chain.append((name, value))
-            add = p.where(F.col("member") == name).select("doc_id", "label_id", F.col("score").alias("s"))
+            add = pt.where(F.col("member") == name).select(*cols, F.col("score").alias("s"))
             running = add if running is None else running.unionByName(add) \
-                .groupBy("doc_id", "label_id").agg(F.sum("s").alias("s"))
+                .groupBy("doc_id", "label_id").agg(F.sum("s").alias("s"), *_tags())
             running = cut_lineage(running)
     else:
-        lists = p.select(F.col("member").alias("candidate"), "doc_id", "label_id", "score")
+        lists = pt.select(F.col("member").alias("candidate"), *cols, "score")
         for _ in range(min(rounds, len(names))):
             chosen = {c for c, _ in chain}
             remaining = [n for n in names if n not in chosen]
             current = lists.where(F.col("candidate").isin(remaining))
-            name, value = best_of(candidate_auc(gold, current, steps))
+            name, value = best_of(tagged_auc(current, n_docs, steps))
             chain.append((name, value))
             n = len(chain)
-            pick = current.where(F.col("candidate") == name).select("doc_id", "label_id", F.col("score").alias("y"))
-            mixed = current.select("candidate", "doc_id", "label_id", F.col("score").alias("part")).unionByName(
-                _replicate(pick, remaining).select("candidate", "doc_id", "label_id",
-                                                   (F.col("y") * n).alias("part")))
-            lists = cut_lineage(mixed.groupBy("candidate", "doc_id", "label_id")
-                                .agg((F.sum("part") / (n + 1)).alias("score")))
-    return spark.createDataFrame(chain, "model_prompt string, cum_score double")
+            pick = current.where(F.col("candidate") == name).select(*cols, F.col("score").alias("y"))
+            mixed = current.select("candidate", *cols, F.col("score").alias("part")).unionByName(
+                _replicate(pick, remaining).select("candidate", *cols, (F.col("y") * n).alias("part")))
+            lists = cut_lineage(_sets(mixed, F.sum("part") / (n + 1)))
+    return pred.sparkSession.createDataFrame(chain, "model_prompt string, cum_score double")
 
 
 def greedy_backward(pred: DataFrame, gold: DataFrame, start: Sequence[str] | None = None,
@@ -113,29 +140,25 @@ def greedy_backward(pred: DataFrame, gold: DataFrame, start: Sequence[str] | Non
     scores within 1e-10 of zero are kept. Returns (initial PR-AUC, chain of
     (model_prompt, score)).
     """
-    p = member_scores(pred, score)
-    if start is not None:
-        p = p.where(F.col("member").isin(list(start)))
-    p = cut_lineage(p)
-    current = [r["member"] for r in p.select("member").distinct().orderBy("member").collect()]
-    total = cut_lineage(p.groupBy("doc_id", "label_id").agg(F.sum("score").alias("s")))
+    pt, n_docs, current = _prepare(pred, gold, score, start)
+    cols = ["doc_id", "label_id", "n_gold", "_hit"]
+    total = cut_lineage(pt.groupBy("doc_id", "label_id").agg(F.sum("score").alias("s"), *_tags()))
     n = len(current)
-    init_set = total.select(F.lit("all").alias("candidate"), "doc_id", "label_id", (F.col("s") / n).alias("score"))
-    _, initial = best_of(candidate_auc(gold, init_set, steps))
+    init_set = total.select(F.lit("all").alias("candidate"), *cols, (F.col("s") / n).alias("score"))
+    _, initial = best_of(tagged_auc(init_set, n_docs, steps))
     chain: list[tuple[str, float]] = []
     for _ in range(rounds):
         if n < 2:
             break
-        minus = p.where(F.col("member").isin(current)).select(
-            F.col("member").alias("candidate"), "doc_id", "label_id", (-F.col("score")).alias("part"))
-        plus = _replicate(total, current).select("candidate", "doc_id", "label_id", F.col("s").alias("part"))
-        sets = plus.unionByName(minus).groupBy("candidate", "doc_id", "label_id") \
-            .agg(clip01(F.sum("part") / (n - 1)).alias("score")).where(F.abs("score") > EPS)
-        name, value = best_of(candidate_auc(gold, sets, steps))
+        minus = pt.where(F.col("member").isin(current)).select(
+            F.col("member").alias("candidate"), *cols, (-F.col("score")).alias("part"))
+        plus = _replicate(total, current).select("candidate", *cols, F.col("s").alias("part"))
+        sets = _sets(plus.unionByName(minus), clip01(F.sum("part") / (n - 1))).where(F.abs("score") > EPS)
+        name, value = best_of(tagged_auc(sets, n_docs, steps))
         chain.append((name, value))
-        gone = p.where(F.col("member") == name).select("doc_id", "label_id", (-F.col("score")).alias("s"))
-        total = cut_lineage(total.unionByName(gone).groupBy("doc_id", "label_id").agg(F.sum("s").alias("s"))
-                            .where(F.abs("s") > EPS))
+        gone = pt.where(F.col("member") == name).select(*cols, (-F.col("score")).alias("s"))
+        total = cut_lineage(total.unionByName(gone).groupBy("doc_id", "label_id")
+                            .agg(F.sum("s").alias("s"), *_tags()).where(F.abs("s") > EPS))
         current.remove(name)
         n -= 1
     return initial, pred.sparkSession.createDataFrame(chain, "model_prompt string, score double")

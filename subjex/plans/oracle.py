@@ -204,7 +204,8 @@ def _wrap_round(sql: str, keep: list[str], dbl: list[str]) -> str:
 def _grid_sql(pred_sql: str, by: str) -> str:
     """Brute force: every cell (threshold i/100, limit) x every gold document."""
     return f"""
-WITH p AS (SELECT DISTINCT {by}, doc_id, label_id, score FROM ({pred_sql}) WHERE score IS NOT NULL),
+WITH p AS (SELECT {by}, doc_id, label_id, max({s9('score')}) AS score FROM ({pred_sql})
+           WHERE score IS NOT NULL GROUP BY ALL),
 g AS (SELECT DISTINCT doc_id, label_id FROM ({GOLD_SQL})),
 gd AS (SELECT doc_id, count(*) AS n_gold FROM g GROUP BY doc_id),
 nd AS (SELECT count(*) AS n FROM gd),

@@ -119,3 +119,21 @@ def test_sample_ensembles_sizes(spark):
     assert sizes and all(n == 3 for n in sizes.values())
     big = m.where("model = 'R'").groupBy("ensemble").count().collect()
     assert all(r["count"] <= 1 for r in big)
+
+
+@pytest.mark.parametrize("parts", [3, 8, 13])
+def test_blocked_search_independent_of_shuffle_partitions(spark, parts):
+    """Block ids must hash alike on both cogroup sides (same type), whatever
+    the partition count."""
+    from subjex.plans import fixtures as X
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        q, v = _vec(spark)
+        got = knn.nearest(q, v, k=2, query_block_bytes=3000, vocab_block_bytes=9000).count()
+        assert got == 2 * q.count()
+        tq = X.text_queries(spark, SF)
+        n = bm25(tq, X.text_corpus(spark, SF), k=1, label_block_bytes=200_000).count()
+        assert n == tq.count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
