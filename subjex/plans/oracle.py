@@ -418,5 +418,49 @@ SELECT prompt,
                                 || replace({ex['keywords']}, '{{keywords}}', keywords), '' ORDER BY ord)
        || {ex['test_item']} AS frame
 FROM ({EXAMPLES_SQL}) GROUP BY prompt
+"""
+    q["q_unpredicted_docs"] = f"""
+SELECT DISTINCT doc_id FROM ({GOLD_SQL}) WHERE doc_id NOT IN (SELECT doc_id FROM ({PRED_SQL}))
+"""
+    q["q_match_docs"] = f"""
+WITH g AS (SELECT * FROM ({GOLD_SQL}) WHERE doc_id IN (SELECT doc_id FROM ({PRED_SQL}))),
+p AS (SELECT * FROM ({PRED_SQL}) WHERE doc_id IN (SELECT doc_id FROM g))
+SELECT (SELECT count(*) FROM g) AS n_gold_rows, (SELECT count(*) FROM p) AS n_pred_rows
+"""
+    lines = """
+SELECT 'conv' || CAST(conv_id AS VARCHAR) AS prompt, turn AS line_no,
+       CASE WHEN role = 'user' THEN 'Text: ' || replace(text, chr(10), ' ')
+            WHEN role = 'assistant' THEN 'Schlagwörter: ' || replace(text, chr(10), ' ')
+            ELSE 'IDN: ' || replace(text, chr(10), ' ') END AS line
+FROM conversations
+"""
+    strip = "regexp_replace({x}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+    q["q_prompt_lines"] = f"""
+WITH l AS ({lines}),
+k AS (SELECT *, starts_with(line, 'Schlagwörter: ') AS kw FROM l),
+s AS (SELECT *, coalesce(sum(CAST(kw AS INTEGER)) OVER (PARTITION BY prompt ORDER BY line_no
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM k),
+t AS (SELECT *, last_value(CASE WHEN starts_with(line, 'Text: ') THEN {strip.format(x="substr(line, 7)")} END IGNORE NULLS)
+                  OVER (PARTITION BY prompt, seg ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS txt
+      FROM s)
+SELECT prompt, CAST(seg + 1 AS INTEGER) AS ord, coalesce(txt, '') AS text,
+       {strip.format(x="substr(line, 15)")} AS keywords
+FROM t WHERE kw
+"""
+    q["q_translate_ids"] = f"""
+SELECT p.model, p.prompt, p.doc_id, p.label_id AS dnbinternal_gnd_idn, 'gnd:' || t.p_brand AS label_id
+FROM (SELECT model, prompt, doc_id, regexp_replace(label_id, '^gnd:', '') AS label_id FROM ({PRED_SQL})) p
+JOIN (SELECT CAST(p_partkey AS VARCHAR) AS idn, p_brand FROM part WHERE p_size <= 45) t ON p.label_id = t.idn
+"""
+    q["q_rank_stage"] = f"""
+WITH e AS (SELECT doc_id, label_id, term FROM ({VOTE_SQL}) WHERE ensemble = 'all'
+           AND doc_id IN (SELECT doc_id FROM ({DOCS_SQL}) WHERE title || ' ' || abstract IS NOT NULL)),
+t AS (SELECT DISTINCT doc_id, term FROM e),
+a AS (SELECT doc_id, term, CAST(length(term) % 11 AS DOUBLE) AS relevance FROM t),
+acc AS (SELECT * FROM a WHERE relevance >= 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY term) <= 50),
+lab AS (SELECT doc_id, term, max(label_id) AS label_id FROM e GROUP BY doc_id, term),
+j AS (SELECT acc.doc_id, lab.label_id, acc.relevance FROM acc JOIN lab USING (doc_id, term))
+SELECT doc_id, label_id, {r6("max(coalesce(relevance / nullif((SELECT max(relevance) FROM j), 0), 0.0))")} AS score
+FROM j GROUP BY doc_id, label_id
 """
     return q

@@ -292,6 +292,91 @@ def q_map_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(best)
 
 
+# ------------------------------------------------------------- more joins / stages
+
+def q_unpredicted_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """Gold documents no member predicts."""
+    return V.unpredicted_docs(X.gold(spark, sf), X.pred(spark, sf))
+
+
+def q_match_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows left on each side after matching documents both ways."""
+    g, p = V.match_docs(X.gold(spark, sf), X.pred(spark, sf))
+    return g.agg(F.count(F.lit(1)).alias("n_gold_rows")).select(
+        "n_gold_rows", p.select(F.count(F.lit(1))).scalar().alias("n_pred_rows"))
+
+
+def prompt_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Prompt-file lines made from conversations: user turns as ``Text:``,
+    assistant turns as ``Schlagwörter:``, system turns as ``IDN:`` lines."""
+    c = X.table(spark, sf, "conversations")
+    body = F.regexp_replace(F.col("text"), "\n", " ")
+    line = (F.when(F.col("role") == "user", F.concat(F.lit("Text: "), body))
+            .when(F.col("role") == "assistant", F.concat(F.lit("Schlagwörter: "), body))
+            .otherwise(F.concat(F.lit("IDN: "), body)))
+    return c.select(F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("prompt"),
+                    F.col("turn").alias("line_no"), line.alias("line"))
+
+
+def q_prompt_lines(spark: SparkSession, sf: str) -> DataFrame:
+    from subjex.sources.prompts import parse_prompt_lines
+    return parse_prompt_lines(prompt_lines(spark, sf))
+
+
+def q_translate_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """J4 + P4 + N10: internal ids (part keys) to external ids (brands) with
+    prefix; parts above size 45 have no mapping and are dropped."""
+    p = X.pred(spark, sf).select("model", "prompt", "doc_id",
+                                 F.regexp_replace("label_id", "^gnd:", "").alias("label_id"))
+    table = X.table(spark, sf, "part").where(F.col("p_size") <= 45) \
+        .select(F.col("p_partkey").cast("string").alias("idn"), F.col("p_brand").alias("gnd_id"))
+    mapped, _unmapped = M.translate_ids(p, table)
+    return mapped
+
+
+def _stub_keywords(prompts):
+    """Stand-in generator: the first five distinct words (over 3 letters) of
+    the document inside each prompt, comma separated (deterministic)."""
+    out = []
+    for p in prompts:
+        doc = p.rsplit("<|im_start|>user\n", 1)[-1].split("<|im_end|>", 1)[0]
+        seen = []
+        for w in doc.replace(",", " ").replace(".", " ").split():
+            if len(w) > 3 and w not in seen:
+                seen.append(w)
+            if len(seen) == 5:
+                break
+        out.append(", ".join(seen) + "\nmore text")
+    return out
+
+
+def _stub_relevance(prompts):
+    """Stand-in relevance model: the term's length mod 11."""
+    return [f"Relevanz: {len(p.rsplit(chr(10) + 'Schlagwort:', 1)[-1]) % 11}" for p in prompts]
+
+
+def q_complete_stage(spark: SparkSession, sf: str) -> DataFrame:
+    """Complete stage for the run whose prompt file has the most examples:
+    frames, fill, generate (stand-in model), parse."""
+    from subjex.operators.prompts import CHATML, render_examples
+    from subjex.plans.pipelines import complete_stage
+    ex = X.examples(spark, sf)
+    top = ex.groupBy("prompt").count().orderBy(F.desc("count"), "prompt").first()["prompt"]
+    frames = render_examples(ex.where(F.col("prompt") == top), CHATML).withColumn("model", F.lit("stub"))
+    return complete_stage(X.docs(spark, sf), frames, "stub", top, _stub_keywords, budget_words=200)
+
+
+def q_rank_stage(spark: SparkSession, sf: str) -> DataFrame:
+    """Rank stage over the 'all' ensemble (documents with content): one
+    question per (doc, distinct term), stand-in model, parse, accept, normalise."""
+    from subjex.functions.text import compose_content
+    from subjex.plans.pipelines import rank_stage
+    d = X.docs(spark, sf)
+    with_content = d.where(compose_content(F.col("title"), F.col("abstract")).isNotNull())
+    e = _vote(spark, sf).where(F.col("ensemble") == "all").join(with_content.select("doc_id"), "doc_id", "left_semi")
+    return rounded(rank_stage(e, d, "{text}", _stub_relevance, threshold=0.0, max_suggestions=50))
+
+
 REGISTRY = {
     "q_best_match": q_best_match,
     "q_threshold_split": q_threshold_split,
@@ -329,4 +414,10 @@ REGISTRY = {
     "q_greedy_backward": q_greedy_backward,
     "q_sample_ensembles": q_sample_ensembles,
     "q_map_pipeline": q_map_pipeline,
+    "q_unpredicted_docs": q_unpredicted_docs,
+    "q_match_docs": q_match_docs,
+    "q_prompt_lines": q_prompt_lines,
+    "q_translate_ids": q_translate_ids,
+    "q_complete_stage": q_complete_stage,
+    "q_rank_stage": q_rank_stage,
 }

@@ -1 +1 @@
-"""streaming."""
+"""Structured Streaming variants of the stateless stages."""
