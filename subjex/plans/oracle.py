@@ -406,10 +406,12 @@ WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
 """
     q["q_sample_sizes"] = f"""
 WITH d AS ({DOCS_SQL}),
-c AS (SELECT language, text_type, count(*) AS cnt FROM d GROUP BY ALL)
-SELECT language, text_type,
-       CAST(round_even(300.0 / (SELECT count(*) FROM d) * cnt, 0) AS BIGINT) AS n_sampled
-FROM c WHERE round_even(300.0 / (SELECT count(*) FROM d) * cnt, 0) > 0
+c AS (SELECT language, text_type, count(*) AS cnt FROM d GROUP BY ALL),
+s AS (SELECT language, text_type,
+             CASE WHEN 300 > (SELECT count(*) FROM d) THEN cnt
+                  ELSE CAST(round_even(300.0 / (SELECT count(*) FROM d) * cnt, 0) AS BIGINT) END AS n_sampled
+      FROM c)
+SELECT language, text_type, CAST(n_sampled AS BIGINT) AS n_sampled FROM s WHERE n_sampled > 0
 """
     ex = CHATML_SQL
     q["q_render_prompts"] = f"""
