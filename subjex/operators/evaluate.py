@@ -106,13 +106,18 @@ def doc_counts(gold: DataFrame, pred: DataFrame, by: Sequence[str] = (),
     predicted but not in gold are dropped unless ``include_unjudged``.
     """
     keys = [*by, "doc_id"]
-    p = pred.select(*keys, "label_id").distinct()
-    hits = p.join(gold.select("doc_id", "label_id").withColumn("_hit", F.lit(1)),
-                  on=["doc_id", "label_id"], how="left")
-    per_doc = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pred"),
-                                      F.count("_hit").alias("tp"))
+    gs = gold.groupBy("doc_id").agg(F.collect_set("label_id").alias("_gl"),
+                                    *[F.first(c, ignorenulls=True).alias(c) for c in strata]) \
+        .withColumn("n_gold", F.size("_gl"))
+    # one shuffle by document: the pair dedupe and the per-document counts
+    # below reuse the join's partitioning
     how = "left" if include_unjudged else "inner"
-    out = per_doc.join(gold_docs(gold, strata), "doc_id", how)
+    t = pred.select(*keys, "label_id").join(gs, "doc_id", how)
+    hit = F.coalesce(F.array_contains(F.col("_gl"), F.col("label_id")).cast("int"), F.lit(0))
+    pairs = t.groupBy(*keys, "label_id").agg(F.max(hit).alias("_hit"), F.first("n_gold").alias("n_gold"),
+                                             *[F.first(c).alias(c) for c in strata])
+    out = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pred"), F.sum("_hit").alias("tp"),
+                                   F.first("n_gold").alias("n_gold"), *[F.first(c).alias(c) for c in strata])
     return out.withColumn("n_gold", F.coalesce("n_gold", F.lit(0)))
 
 
@@ -237,8 +242,8 @@ def threshold_index(score, steps: int):
 def gold_doc_sets(gold: DataFrame) -> DataFrame:
     """Per gold document: its label set and ``n_gold`` (one row per document;
     a document's gold labels are few)."""
-    return gold.groupBy("doc_id").agg(F.collect_set("label_id").alias("_gl"),
-                                      F.count_distinct("label_id").alias("n_gold"))
+    return gold.groupBy("doc_id").agg(F.collect_set("label_id").alias("_gl")) \
+        .withColumn("n_gold", F.size("_gl"))
 
 
 def pr_grid(gold: DataFrame | None, pred: DataFrame, by: Sequence[str] = (), steps: int = 100,
