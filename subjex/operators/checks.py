@@ -1,4 +1,5 @@
-"""Run-time checks (S2 lives in sources.records; V1-V4, P14 in combine).
+"""Run-time checks E11 / A18 (S2 lives in sources.records; V3 in ranking,
+P14 in combine).
 
 Each check is one aggregate job that fails with a clear message; none pulls
 rows to the driver beyond a count."""

@@ -19,6 +19,7 @@ def combine(ensemble: DataFrame, ranked: DataFrame, weight: float = 0.3,
     fails the job when it is computed (NaN fails too, trap N4).
     """
     keys = [*by, "doc_id", "label_id"]
+    # The two score columns get the suffixes _ensemble / _relevance
     e = ensemble.withColumnRenamed("score", "score_ensemble")
     r = ranked.select(*keys, F.col("score").alias("score_relevance"))
     j = e.join(r, keys, "full_outer") \

@@ -21,10 +21,12 @@ def member_sizes(members: DataFrame) -> DataFrame:
 def vote(predictions: DataFrame, members: DataFrame) -> DataFrame:
     """A5 + A6.
 
-    Per member: best match per (doc, label) (A5). Then per (ensemble, doc,
+    Per member: best match per (doc, label) (A5; T1: the sort before
+    ``last`` is a ``max_by``). U1: the members' tables are one long table. Then per (ensemble, doc,
     label): score = sum of clipped cosines / number of members (an absent
     member counts 0), term = term of the latest member in member order,
-    maxima of hybrid score and cosine, count = members voting.
+    maxima of hybrid score and cosine, count = members voting (J14: the
+    count comes from the same group-by, no merge of two aggregates).
 
     The members table is tiny (ensembles x members) and broadcast; the
     predictions join on (model, prompt) so partition pruning applies when the

@@ -30,7 +30,7 @@ GND_PATTERN = r"(gnd:[0-9X-]+)"
 
 def gold_from_dataset(dataset: DataFrame, subject_col: str = "dcterms:subject",
                       doc_col: str = "doc_id", keep: Sequence[str] = STRATA) -> DataFrame:
-    """A stringified subject list (``"['gnd:1', 'gnd:2-3']"``) to long gold rows.
+    """S7 + U4 + U5: a stringified subject list (``"['gnd:1', 'gnd:2-3']"``) to long gold rows.
 
     Each comma piece contributes its first identifier; pieces without one are
     left out (count them with :func:`count_unparsed_pieces`).
@@ -100,7 +100,7 @@ def gold_docs(gold: DataFrame, strata: Sequence[str] = STRATA) -> DataFrame:
 
 def doc_counts(gold: DataFrame, pred: DataFrame, by: Sequence[str] = (),
                strata: Sequence[str] = STRATA, include_unjudged: bool = False) -> DataFrame:
-    """``tp, n_pred, n_gold`` for every (key, predicted document).
+    """E1 + J16: ``tp, n_pred, n_gold`` for every (key, predicted document).
 
     Predictions are made distinct on (key, doc, label) first. Documents
     predicted but not in gold are dropped unless ``include_unjudged``.
@@ -176,6 +176,9 @@ def set_scores(gold: DataFrame, pred: DataFrame, by: Sequence[str] = (),
                include_unjudged: bool = False) -> DataFrame:
     """E2-E6 (+A17 when ``strata`` is given): long rows ``metric, value``.
 
+    A16: E2 precision, E3 recall, E4 F1 (mean of per-document F1), E5
+    R-precision tp / min(n_gold, n_pred); U5: wide measures to long rows.
+
     doc-avg: precision and R-precision average over documents with at least one
     prediction, recall and F1 over all gold documents (0 when unpredicted).
     micro: sums of true positives over sums of predictions / gold labels.
@@ -295,7 +298,7 @@ def pr_grid_tagged(uniq: DataFrame, by: Sequence[str], steps: int = 100, ordinal
     uniq = uniq.withColumn("score", stable_round(F.col("score"), 9))  # idempotent
     ties = uniq.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("_n"), F.sum("_hit").alias("_tp"),
                                             F.first("n_gold").alias("n_gold"))
-    # max predictions per document over every predicted document (gives the limits)
+    # Max predictions per document over every predicted document (gives the limits)
     max_preds = ties.groupBy(*keys).agg(F.sum("_n").alias("_cnt")) \
         .groupBy(*by).agg(F.max("_cnt").cast("int").alias("max_preds"))
     judged = ties.where(F.col("n_gold").isNotNull())
@@ -388,3 +391,36 @@ def evaluate(gold: DataFrame, pred: DataFrame, by: Sequence[str] = (), steps: in
     cut_pred = apply_cutoff(rank_predictions(pred, by), best, by)
     return {"grid": grid, "curve": curve, "auc": pr_auc(curve, by), "cutoff": best,
             "metrics": strata_scores(gold, cut_pred, by)}
+
+
+# ------------------------------------------------------------ reporting
+
+def f1_at_k(gold: DataFrame, pred: DataFrame, k: int = 5, by: Sequence[str] = (),
+            mode: str = "micro") -> DataFrame:
+    """E10 (and E12's stand-in at k): P10 ``rank <= k`` then set scores (E6
+    micro by default); returns (by..., metric, value) overall."""
+    top = cut(rank_predictions(pred, by), limit=k)
+    return set_scores(gold, top, by=by, mode=mode).select(*by, "metric", "value")
+
+
+def overall(metrics: DataFrame, metric: str | None = "f1") -> DataFrame:
+    """The overall rows (language = text_type = 'all'), optionally one metric."""
+    m = metrics.where((F.col("language") == "all") & (F.col("text_type") == "all"))
+    return m.where(F.col("metric") == metric) if metric else m
+
+
+def pivot_metrics(metrics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Metric rows -> one column per metric (the metric list is fixed)."""
+    return metrics.groupBy(*by, *STRATA).pivot("metric", list(METRICS)).agg(F.first("value"))
+
+
+def compare_ensembles(metrics: DataFrame, key: str = "ensemble") -> DataFrame:
+    """J13 + U2: metric tables of several ensembles side by side, one
+    column per ensemble (a pivot instead of a chain of inner joins)."""
+    return overall(metrics, None).groupBy("metric").pivot(key).agg(F.first("value"))
+
+
+def top_n(df: DataFrame, col: str, n: int = 10, tie: str | None = None) -> DataFrame:
+    """``arrange(desc(col)) |> head(n)`` as TakeOrdered."""
+    order = [F.desc(col)] + ([F.asc(tie)] if tie else [])
+    return df.orderBy(*order).limit(n)

@@ -79,8 +79,9 @@ def best_match(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     candidate and term come from the row with the greatest cosine, ties going
     to the greatest candidate (what a stable sort then ``last`` yields);
-    cosine and hybrid score are plain maxima. A hash aggregate with a partial
-    step: no sort, no window.
+    cosine and hybrid score are plain maxima. One aggregate with a partial
+    (map-side) step and no window; because ``max_by`` carries a string value
+    Spark plans it as a sort aggregate, which spills rather than failing.
     """
     order = F.struct(F.col("cosine_similarity"), F.col("candidate"))
     return df.groupBy(*by, "doc_id", "label_id").agg(
@@ -118,3 +119,12 @@ def map_stats(best: DataFrame, removed: DataFrame, n_before_allow: DataFrame | N
     else:
         out = out.withColumn("n_not_in_allowed_subjects", F.lit(None).cast("long"))
     return out.na.fill(0, ["n_keywords", "n_matches_below_threshold"])
+
+
+def match_stats(best: DataFrame, by: Sequence[str] = (), eps: float = 1e-9) -> DataFrame:
+    """M10 (optional, meaning not fixed by the reference): keywords whose
+    match is exact (cosine within ``eps`` of 1) and keywords matched without
+    a keyword score (vector-only search)."""
+    return best.groupBy(*by).agg(
+        F.count_if(F.col("cosine_similarity") >= 1 - eps).alias("n_perfect_matches"),
+        F.count_if(F.col("hybrid_score").isNull()).alias("n_only_vector_matches"))

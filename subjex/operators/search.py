@@ -4,7 +4,10 @@ Every round scores *all* candidate sets in one Spark job: the candidate name
 is a grouping key of the vote / fusion and of the PR grid, so the work is one
 shuffle-partitioned plan rather than one process per candidate. Between
 rounds the running state (a sum table) is cut from its lineage with a
-reliable checkpoint, so 70 rounds do not build a 70-deep plan.
+reliable checkpoint, so 70 rounds do not build a 70-deep plan (W4: the
+positional loop is a driver loop of one job per round; U3: remaining
+candidates = members minus the chain; J9: the pairwise full join of the
+fusion becomes a group-by over the long member table).
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 def submission(predictions: DataFrame, dataset: DataFrame) -> DataFrame:
-    """J7 + A11: ``text_type, language, doc_id, dcterms:subject``.
+    """J7 + A11 + T2: ``text_type, language, doc_id, dcterms:subject``.
 
     The per-document list is the output row itself; it is sorted inside the
     aggregate (no global sort)."""

@@ -23,25 +23,32 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def map_stage(completions: DataFrame, vocab: DataFrame, search: str = "vector", alpha: float = 0.7,
               min_cosine: float = 0.7, id_table: DataFrame | None = None,
               allowed: DataFrame | None = None, score_param: str = "hybrid_score",
-              encode=None, by=("model", "prompt")):
+              encode=None, by=("model", "prompt"), phrase: str | None = None,
+              debug_rows: int | None = None):
     """M9: completions -> (predictions, removed, stats), one plan.
 
     A2 count rows -> A3 distinct keywords -> embed once per keyword (M5) ->
     nearest label (M1) or hybrid (M2) -> J3 attach -> P3 threshold ->
     J4/P4 ids -> J5 allow-list -> A4 best match -> P5 score -> A15 stats.
-    ``vocab``: (label_id, label_text, embedding).
+    ``vocab``: (label_id, label_text, embedding). ``phrase`` (F14) is put
+    before every keyword before it is embedded, as the vocabulary labels may
+    carry it (``vocab_labels(phrase=...)``). ``debug_rows`` (P13) limits the
+    completions for a quick look.
     """
     from subjex.operators import mapping as M
     from subjex.operators.bm25 import hybrid
     from subjex.operators.infer import embed
     from subjex.operators.knn import nearest
 
+    if debug_rows:
+        completions = completions.limit(debug_rows)
     rows = M.count_rows(completions)
     cands = M.distinct_candidates(completions)
     from subjex.session import cut_lineage
     # the model runs once per distinct keyword; the result is checkpointed so
     # that sizing and search read it instead of calling the model again
-    q = cut_lineage(embed(cands, "candidate", encode=encode).select(
+    text = cands.withColumn("_q", F.concat(F.lit(phrase), F.col("candidate")) if phrase else F.col("candidate"))
+    q = cut_lineage(embed(text, "_q", encode=encode).select(
         F.xxhash64("candidate").alias("query_id"), "candidate", "embedding"))
     if search == "vector":
         found = nearest(q.select("query_id", "embedding"), vocab, k=1).select(

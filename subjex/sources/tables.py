@@ -38,6 +38,13 @@ def read_id_list(spark: SparkSession, path: str | None, col: str = "idn") -> Dat
     return read_csv(spark, path, f"{col} string").select(F.col(col).alias("doc_id")).distinct()
 
 
+def member_from_path(path_col: str = "file_path"):
+    """``<model>_<prompt>`` from ``.../<model>/<prompt>/<file>``."""
+    parts = F.split(F.col(path_col), "/")
+    n = F.size(parts)
+    return F.concat_ws("_", F.element_at(parts, n - 2), F.element_at(parts, n - 1))
+
+
 def read_member_tables(spark: SparkSession, root: str, file_name: str = "predictions.csv",
                        schema=None) -> DataFrame:
     """S10 + S11: every ``<root>/<model>/<prompt>/<file_name>`` found under the

@@ -108,3 +108,29 @@ def test_auc_and_cutoff_are_consistent(spark):
     assert res["auc"].first().pr_auc == pytest.approx(1.0)
     m = {r.metric: r.value for r in res["metrics"].where("language = 'all' AND text_type = 'all'").collect()}
     assert m["f1"] == 1.0
+
+
+def test_reporting_helpers(spark):
+    gold = spark.createDataFrame([("d", "a", "de", "Book"), ("e", "b", "en", "Book")],
+                                 "doc_id string, label_id string, language string, text_type string")
+    pred = spark.createDataFrame([("x", "d", "a", 0.9), ("x", "d", "z", 0.1), ("y", "e", "b", 0.5)],
+                                 "ensemble string, doc_id string, label_id string, score double")
+    f = {(r.ensemble, r.metric): r.value for r in V.f1_at_k(gold, pred, k=1, by=["ensemble"]).collect()}
+    assert f[("x", "prec")] == 1.0 and f[("y", "rec")] == 0.5
+    m = V.strata_scores(gold, pred, by=["ensemble"])
+    wide = V.compare_ensembles(m).where("metric = 'rec'").first()
+    assert wide.x == 0.5 and wide.y == 0.5
+    piv = V.pivot_metrics(V.overall(m, None), by=["ensemble"]).where("ensemble = 'x'").first()
+    assert piv.prec == 0.5 and piv.rprec == 1.0  # d: 1 of 2 predicted labels right
+    top = V.top_n(spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 2.0)], "k string, v double"), "v", 2, "k")
+    assert [r.k for r in top.collect()] == ["b", "c"]
+
+
+def test_member_from_path_and_match_stats(spark):
+    from subjex.operators.mapping import match_stats
+    from subjex.sources.tables import member_from_path
+    df = spark.createDataFrame([("/r/results/llama/p-1/predictions.csv",)], "file_path string")
+    assert df.select(member_from_path().alias("m")).first().m == "llama_p-1"
+    best = spark.createDataFrame([(1.0, None), (0.8, 0.5)], "cosine_similarity double, hybrid_score double")
+    r = match_stats(best).first()
+    assert (r.n_perfect_matches, r.n_only_vector_matches) == (1, 1)
