@@ -22,6 +22,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
+         # a hot document may be split even where the split costs one more
+         # shuffle (the evaluation joins keep their document partitioning)
+         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if shuffle_partitions:
