@@ -51,18 +51,47 @@ def count_unparsed_pieces(dataset: DataFrame, subject_col: str = "dcterms:subjec
 
 # ------------------------------------------------------------- ranks
 
+SCORE_BINS = 1024
+
+
+def _score_bin(score):
+    """A bucket that grows with the score (scores outside [0, 1] share the
+    two edge buckets)."""
+    return F.least(F.lit(SCORE_BINS), F.greatest(F.lit(-1), F.floor(score * SCORE_BINS))).cast("int")
+
+
+def doc_prefix(ties: DataFrame, keys: Sequence[str], cols: Sequence[str], score: str = "score") -> DataFrame:
+    """For rows of distinct (keys, score), the sums of ``cols`` over the
+    strictly higher scores of the same keys, as ``above_<col>``.
+
+    No window spans a whole document (a hot document may hold a third of all
+    rows): per (document, score bucket) totals are summed by a window over at
+    most SCORE_BINS + 2 buckets, and a window inside (document, bucket) adds
+    the higher scores of the same bucket."""
+    t = ties.withColumn("_bin", _score_bin(F.col(score)))
+    bins = t.groupBy(*keys, "_bin").agg(*[F.sum(c).alias(f"_b{c}") for c in cols])
+    wb = Window.partitionBy(*keys).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select(*keys, "_bin", *[F.coalesce(F.sum(f"_b{c}").over(wb), F.lit(0)).alias(f"_pb{c}")
+                                        for c in cols])
+    wi = Window.partitionBy(*keys, "_bin").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
+    t = t.select("*", *[F.coalesce(F.sum(c).over(wi), F.lit(0)).alias(f"_pi{c}") for c in cols])
+    return t.join(bins, [*keys, "_bin"], "inner").select(
+        *ties.columns, *[(F.col(f"_pb{c}") + F.col(f"_pi{c}")).alias(f"above{c}") for c in cols])
+
+
 def rank_predictions(pred: DataFrame, by: Sequence[str] = (), score: str = "score") -> DataFrame:
     """``min_rank(desc(score))`` per document (ties share the lowest rank).
 
-    The window runs over the distinct scores of a document, not over its rows,
-    so repeated scores of a hot document collapse before they meet in a task;
-    the rank then returns to the rows by an equi-join that AQE can split.
+    rank = 1 + number of the document's predictions with a higher score,
+    computed on the distinct scores (repeated scores collapse in a partial
+    aggregate) with :func:`doc_prefix`, so no task holds a whole document;
+    the rank returns to the rows by an equi-join that AQE can split.
     """
     keys = [*by, "doc_id"]
     ties = pred.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    ties = ties.select(*keys, score, (F.coalesce(F.sum("_n").over(w), F.lit(0)) + 1).cast("int").alias("rank"))
-    return pred.join(ties, on=[*keys, score], how="left")
+    ranks = doc_prefix(ties, keys, ["_n"], score).select(
+        *keys, score, (F.col("above_n") + 1).cast("int").alias("rank"))
+    return pred.join(ranks, on=[*keys, score], how="left")
 
 
 def cut(pred: DataFrame, limit: int | None = None, threshold: float | None = None) -> DataFrame:
@@ -303,22 +332,24 @@ def pr_grid_tagged(uniq: DataFrame, by: Sequence[str], steps: int = 100, ordinal
         .groupBy(*by).agg(F.max("_cnt").cast("int").alias("max_preds"))
     judged = ties.where(F.col("n_gold").isNotNull())
 
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    wrun = w.rowsBetween(Window.unboundedPreceding, 0)
-    j = judged.select(*keys, "score", "_n", "n_gold",
-                      F.sum("_n").over(wrun).alias("_cn"),
-                      F.sum("_tp").over(wrun).alias("_ctp"))
-    j = j.select(*keys, "score", "n_gold",
-                 (F.col("_cn") - F.col("_n") + 1).alias("rank"),
-                 (F.col("_ctp") / F.col("_cn")).alias("v_prec"),
-                 (F.col("_ctp") / F.col("n_gold")).alias("v_rec"),
-                 (2 * F.col("_ctp") / (F.col("_cn") + F.col("n_gold"))).alias("v_f1"))
-    deltas = [(F.col(f"v_{m}") - F.lag(f"v_{m}", 1, 0.0).over(w)).alias(f"h_{m}")
-              for m in ("prec", "rec", "f1")]
-    first = F.when(F.lag("rank", 1).over(w).isNull(), F.lit(1)).otherwise(F.lit(0)).alias("h_has")
+    # counts above each tie group (no window spans a document), then the
+    # document's metrics after the group (v) and before it (v0)
+    j = doc_prefix(judged, keys, ["_n", "_tp"])
+    cn, ctp = F.col("above_n") + F.col("_n"), F.col("above_tp") + F.col("_tp")
+    pn, ptp, ng = F.col("above_n"), F.col("above_tp"), F.col("n_gold")
+    first_group = pn == 0
+
+    def before(v):
+        return F.when(first_group, F.lit(0.0)).otherwise(v)
+
+    deltas = [(ctp / cn - before(ptp / pn)).alias("h_prec"),
+              (ctp / ng - before(ptp / ng)).alias("h_rec"),
+              (2 * ctp / (cn + ng) - before(2 * ptp / (pn + ng))).alias("h_f1")]
+    first = F.when(first_group, F.lit(1)).otherwise(F.lit(0)).alias("h_has")
+    j = j.select(*keys, "score", (pn + 1).alias("rank"), *deltas, first)
     idx = F.lit(0).cast("long") if ordinal else threshold_index(F.col("score"), steps)
-    d = j.select(*by, F.col("rank").cast("int").alias("lim"), idx.alias("ti"), *deltas, first) \
-        .where(F.col("ti") >= 0)
+    d = j.select(*by, F.col("rank").cast("int").alias("lim"), idx.alias("ti"),
+                 "h_prec", "h_rec", "h_f1", "h_has").where(F.col("ti") >= 0)
 
     n_thr = 0 if ordinal else steps
     cells = max_preds.select(*by, F.explode(F.sequence(F.lit(0), F.lit(n_thr))).alias("ti"), "max_preds") \

@@ -134,3 +134,19 @@ def test_member_from_path_and_match_stats(spark):
     best = spark.createDataFrame([(1.0, None), (0.8, 0.5)], "cosine_similarity double, hybrid_score double")
     r = match_stats(best).first()
     assert (r.n_perfect_matches, r.n_only_vector_matches) == (1, 1)
+
+
+def test_doc_prefix_matches_brute_force(spark):
+    """Sums over strictly higher scores per document, through score buckets:
+    a hot document spread over many buckets, repeated scores, out-of-range
+    scores in the edge buckets."""
+    rnd = random.Random(11)
+    rows = [("hot", round(rnd.uniform(-0.2, 1.2), 4), rnd.randint(1, 3)) for _ in range(400)]
+    rows += [("cold", s, 1) for s in (0.5, 0.25, 0.25 + 1e-7)]
+    agg = {}
+    for d, sc, n in rows:
+        agg[(d, sc)] = agg.get((d, sc), 0) + n
+    ties = spark.createDataFrame([(d, sc, n) for (d, sc), n in agg.items()], "doc_id string, score double, _n long")
+    got = {(r.doc_id, r.score): r.above_n for r in V.doc_prefix(ties, ["doc_id"], ["_n"]).collect()}
+    want = {(d, sc): sum(n for (d2, s2), n in agg.items() if d2 == d and s2 > sc) for (d, sc) in agg}
+    assert got == want
