@@ -43,20 +43,40 @@ def include_docs(df: DataFrame, allow: DataFrame | None, sample_size: int | None
 
 
 def stratified_sample(df: DataFrame, n: int | None, seed: int = 42,
-                      by: Sequence[str] = ("subjects", "language", "text_type")) -> DataFrame:
+                      by: Sequence[str] = ("subjects", "language", "text_type"),
+                      bucket_bits: int = 16) -> DataFrame:
     """Exact-size stratified sample, frac = n / total, per stratum
-    ``round_half_even(frac * stratum size)`` rows chosen by a seeded hash
-    order. n > total (or None) returns everything. The sizes are those of the
-    reference; which rows are chosen differs (another generator)."""
+    ``round_half_even(frac * stratum size)`` rows: those with the smallest
+    seeded hash (ties by doc_id). n > total (or None) returns everything. The
+    sizes are those of the reference; which rows are chosen differs (another
+    generator).
+
+    A stratum can hold a large share of all rows, so no window runs over a
+    stratum: rows fall into 65,536 hash buckets (the hash's top 16 bits, which
+    keep its order), per-(stratum, bucket) counts are a partial aggregate, a
+    running count over the buckets of a stratum (at most 65,536 rows) finds
+    the bucket where the quota is reached, and only that bucket is ranked.
+    """
     if n is None:
         return df
     by = [c for c in by if c in df.columns]
     total = df.select(F.count(F.lit(1))).scalar()
-    frac = F.lit(n).cast("double") / total
-    w = Window.partitionBy(*by)
-    size = F.bround(frac * F.count(F.lit(1)).over(w), 0)
-    order = Window.partitionBy(*by).orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id")
-    sampled = df.withColumn("_size", size).withColumn("_rn", F.row_number().over(order)) \
-        .where(F.col("_rn") <= F.col("_size")).drop("_rn", "_size")
+    h = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    x = df.withColumn("_h", h).withColumn("_bk", F.shiftright(F.col("_h"), 64 - bucket_bits).cast("int"))
+    counts = x.groupBy(*by, "_bk").agg(F.count(F.lit(1)).alias("_c"))
+    w_all = Window.partitionBy(*by)
+    w_run = Window.partitionBy(*by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    quota = F.bround(F.lit(n).cast("double") / total * F.sum("_c").over(w_all), 0)
+    plan = counts.select(*by, "_bk", "_c", quota.alias("_q"),
+                         F.coalesce(F.sum("_c").over(w_run), F.lit(0)).alias("_before"))
+    # whole buckets below the quota, and the one bucket that crosses it
+    plan = plan.where(F.col("_before") < F.col("_q")).select(
+        *by, "_bk", (F.col("_q") - F.col("_before")).alias("_need"), "_c")
+    picked = x.join(plan, [*by, "_bk"], "inner")
+    full = picked.where(F.col("_c") <= F.col("_need"))
+    edge = picked.where(F.col("_c") > F.col("_need"))
+    w_edge = Window.partitionBy(*by, "_bk").orderBy("_h", "doc_id")
+    edge = edge.withColumn("_rn", F.row_number().over(w_edge)).where(F.col("_rn") <= F.col("_need")).drop("_rn")
+    sampled = full.unionByName(edge).drop("_h", "_bk", "_need", "_c")
     everything = F.lit(n) > total
     return df.where(everything).unionByName(sampled.where(~everything))

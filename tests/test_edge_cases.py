@@ -166,3 +166,20 @@ def test_sample_larger_than_set_returns_all(spark):
 
 def test_float_helpers():
     assert math.isclose(0.3 * 0.5 + 0.7 * 0.0, 0.15)
+
+
+@pytest.mark.parametrize("bits", [16, 4])
+def test_stratified_sample_equals_window_definition(spark, bits):
+    """The bucketed selection picks exactly the rows a per-stratum
+    row_number over the seeded hash would pick."""
+    from pyspark.sql import Window
+    from subjex.operators.records import stratified_sample
+    rows = [(f"d{i}", "de" if i % 3 else "en", "Book" if i % 7 else "Thesis", "core") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id string, language string, text_type string, subjects string")
+    got = {r.doc_id for r in stratified_sample(df, 700, seed=5, bucket_bits=bits).collect()}
+    by = ["subjects", "language", "text_type"]
+    size = F.bround(F.lit(700.0) / 3000 * F.count(F.lit(1)).over(Window.partitionBy(*by)), 0)
+    w = Window.partitionBy(*by).orderBy(F.xxhash64(F.col("doc_id"), F.lit(5)), "doc_id")
+    want = {r.doc_id for r in df.withColumn("_s", size).withColumn("_r", F.row_number().over(w))
+            .where("_r <= _s").collect()}
+    assert got == want and 690 <= len(got) <= 710
