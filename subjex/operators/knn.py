@@ -40,11 +40,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def _dim(df: DataFrame, col: str = "embedding") -> int:
-    row = df.select(F.size(col).alias("d")).where("d > 0").first()
-    return int(row["d"]) if row else 0
-
-
 def _size(df: DataFrame, col: str = "embedding") -> tuple[int, int]:
     """Row count and vector dimension in one aggregate job."""
     r = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(col)).alias("d")).first()

@@ -91,7 +91,6 @@ SELECT best.query_id, best.label_id, v.label_text AS term, {r6('best.hybrid_scor
 FROM best JOIN ({HY_Q}) q USING (query_id) JOIN ({HY_V}) v USING (label_id)
 """
 
-R6 = "(floor(floor(({x}) * 1e9 + 0.5) / 1e9 * 1000000.0 + 0.5) / 1000000.0)"
 
 BEST_MATCH_SQL = f"""
 WITH p AS ({PRED_SQL}),
@@ -130,7 +129,6 @@ SELECT doc_id, label_id,
 FROM j GROUP BY doc_id, label_id
 """
 
-GOLD_PAIRS = f"SELECT DISTINCT doc_id, label_id FROM ({GOLD_SQL})"
 
 
 def _set_scores_sql(pred_sql: str, by: str, strata: bool, micro: bool = False) -> str:

@@ -1,6 +1,5 @@
 """Driver contract: smoke entry, every query runs at sf0.001, oracles agree."""
 
-import math
 
 import duckdb
 import pytest
