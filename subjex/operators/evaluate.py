@@ -279,7 +279,7 @@ def gold_doc_sets(gold: DataFrame) -> DataFrame:
 
 
 def pr_grid(gold: DataFrame | None, pred: DataFrame, by: Sequence[str] = (), steps: int = 100,
-            ordinal: bool = False, gold_sets: DataFrame | None = None) -> DataFrame:
+            ordinal: bool = False, gold_sets: DataFrame | None = None, dense: bool = True) -> DataFrame:
     """Doc-averaged precision, recall and F1 at every cell (threshold, limit).
 
     A cell keeps ``rank <= limit and score >= threshold``; thresholds are
@@ -301,7 +301,7 @@ def pr_grid(gold: DataFrame | None, pred: DataFrame, by: Sequence[str] = (), ste
     """
     gs = gold_sets if gold_sets is not None else gold_doc_sets(gold)
     n_docs = gs.select(F.count(F.lit(1))).scalar()
-    return pr_grid_tagged(tag_predictions(pred, gs, by), by, steps, ordinal, n_docs)
+    return pr_grid_tagged(tag_predictions(pred, gs, by), by, steps, ordinal, n_docs, dense)
 
 
 def tag_predictions(pred: DataFrame, gold_sets: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -318,9 +318,14 @@ def tag_predictions(pred: DataFrame, gold_sets: DataFrame, by: Sequence[str] = (
 
 
 def pr_grid_tagged(uniq: DataFrame, by: Sequence[str], steps: int = 100, ordinal: bool = False,
-                   n_docs=None) -> DataFrame:
+                   n_docs=None, dense: bool = True) -> DataFrame:
     """The grid from tagged predictions (see :func:`tag_predictions`);
-    ``n_docs`` = number of gold documents (a number or a scalar column)."""
+    ``n_docs`` = number of gold documents (a number or a scalar column).
+
+    ``dense=False`` keeps only the limits at which some tie group enters: the
+    grid is constant between them, so curve, area and best cut-off (smallest
+    limit among equal cells) are unchanged, and the grid no longer grows with
+    the largest document."""
     from pyspark.sql import Column
     n_docs = n_docs if isinstance(n_docs, Column) else F.lit(n_docs)
     keys = [*by, "doc_id"]
@@ -352,10 +357,13 @@ def pr_grid_tagged(uniq: DataFrame, by: Sequence[str], steps: int = 100, ordinal
                  "h_prec", "h_rec", "h_f1", "h_has").where(F.col("ti") >= 0)
 
     n_thr = 0 if ordinal else steps
-    cells = max_preds.select(*by, F.explode(F.sequence(F.lit(0), F.lit(n_thr))).alias("ti"), "max_preds") \
-        .select(*by, F.col("ti").cast("long").alias("ti"),
-                F.explode(F.sequence(F.lit(1), F.col("max_preds"))).alias("lim"),
-                *[F.lit(0.0).alias(f"h_{m}") for m in ("prec", "rec", "f1")], F.lit(0).alias("h_has"))
+    if dense:
+        lims = max_preds.select(*by, F.explode(F.sequence(F.lit(1), F.col("max_preds"))).alias("lim"))
+    else:
+        lims = d.select(*by, "lim").distinct()
+    cells = lims.select(*by, "lim", F.explode(F.sequence(F.lit(0), F.lit(n_thr))).alias("ti"))
+    cells = cells.select(*by, F.col("ti").cast("long").alias("ti"), "lim",
+                         *[F.lit(0.0).alias(f"h_{m}") for m in ("prec", "rec", "f1")], F.lit(0).alias("h_has"))
     both = d.select(*cells.columns).unionByName(cells)
     both = both.repartition(*by) if by else both.repartition(1)  # one key's grid per partition
     dense = both.groupBy(*by, "ti", "lim").agg(*[F.sum(f"h_{m}").alias(f"h_{m}")
@@ -416,7 +424,7 @@ def evaluate(gold: DataFrame, pred: DataFrame, by: Sequence[str] = (), steps: in
         return {"metrics": strata_scores(gold, pred, by)}
     # scores are compared at 1e-9: summation noise must not split a tie
     pred = pred.withColumn("score", stable_round(F.col("score"), 9))
-    grid = pr_grid(gold, pred, by, steps, ordinal)
+    grid = pr_grid(gold, pred, by, steps, ordinal, dense=False)
     curve = pr_curve(grid, by)
     best = opt_cutoff(grid, by)
     cut_pred = apply_cutoff(rank_predictions(pred, by), best, by)

@@ -115,9 +115,9 @@ def q_micro_f1_at_5(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(s.select(*MEMBER, "metric", "value"))
 
 
-def _member_grid(spark, sf):
+def _member_grid(spark, sf, dense=True):
     p = X.pred(spark, sf).select(*MEMBER, "doc_id", "label_id", "score")
-    return V.pr_grid(X.gold(spark, sf), p, by=MEMBER, steps=100)
+    return V.pr_grid(X.gold(spark, sf), p, by=MEMBER, steps=100, dense=dense)
 
 
 def q_pr_grid(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,11 +125,11 @@ def q_pr_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_pr_auc(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(V.pr_auc(V.pr_curve(_member_grid(spark, sf), by=MEMBER), by=MEMBER))
+    return rounded(V.pr_auc(V.pr_curve(_member_grid(spark, sf, dense=False), by=MEMBER), by=MEMBER))
 
 
 def q_opt_cutoff(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(V.opt_cutoff(_member_grid(spark, sf), by=MEMBER))
+    return rounded(V.opt_cutoff(_member_grid(spark, sf, dense=False), by=MEMBER))
 
 
 def q_pivot_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,7 +140,7 @@ def q_pivot_metrics(spark: SparkSession, sf: str) -> DataFrame:
 def q_candidates_auc(spark: SparkSession, sf: str) -> DataFrame:
     """O3 + T5: every candidate ensemble scored in one job, best ten kept."""
     v = _vote(spark, sf).select("ensemble", "doc_id", "label_id", "score")
-    grid = V.pr_grid(X.gold(spark, sf), v, by=["ensemble"], steps=100)
+    grid = V.pr_grid(X.gold(spark, sf), v, by=["ensemble"], steps=100, dense=False)
     auc = V.pr_auc(V.pr_curve(grid, by=["ensemble"]), by=["ensemble"])
     return rounded(auc.orderBy(F.desc(stable_round(F.col("pr_auc"), 9)), "ensemble").limit(10))
 

@@ -150,3 +150,19 @@ def test_doc_prefix_matches_brute_force(spark):
     got = {(r.doc_id, r.score): r.above_n for r in V.doc_prefix(ties, ["doc_id"], ["_n"]).collect()}
     want = {(d, sc): sum(n for (d2, s2), n in agg.items() if d2 == d and s2 > sc) for (d, sc) in agg}
     assert got == want
+
+
+def test_sparse_grid_gives_same_curve_and_cutoff(spark):
+    rnd = random.Random(5)
+    gold, pred = [], []
+    for d in range(30):
+        for j in range(rnd.randint(1, 3)):
+            gold.append((f"d{d}", f"l{j}"))
+        for j in range(rnd.randint(1, 7)):
+            pred.append((f"d{d}", f"l{j}", rnd.choice([0.2, 0.4, 0.4, 0.8, 0.95])))
+    g = spark.createDataFrame(gold, "doc_id string, label_id string")
+    p = spark.createDataFrame(pred, "doc_id string, label_id string, score double")
+    dense, sparse = V.pr_grid(g, p, steps=20), V.pr_grid(g, p, steps=20, dense=False)
+    assert sparse.count() < dense.count()
+    assert sorted(V.pr_curve(dense).collect()) == sorted(V.pr_curve(sparse).collect())
+    assert V.opt_cutoff(dense).collect() == V.opt_cutoff(sparse).collect()
