@@ -38,13 +38,13 @@ def member_scores(pred: DataFrame, score: str = "score") -> DataFrame:
 def candidate_auc(gold: DataFrame | None, sets: DataFrame, steps: int = 100,
                   gold_sets: DataFrame | None = None) -> DataFrame:
     """PR-AUC of every candidate set: ``sets`` holds (candidate, doc_id, label_id, score)."""
-    grid = V.pr_grid(gold, sets, by=["candidate"], steps=steps, gold_sets=gold_sets, dense=False)
+    grid = V.pr_grid(gold, sets, by=["candidate"], steps=steps, gold_sets=gold_sets)
     return V.pr_auc(V.pr_curve(grid, by=["candidate"]), by=["candidate"])
 
 
 def tagged_auc(sets: DataFrame, n_docs: int, steps: int = 100) -> DataFrame:
     """PR-AUC of candidate sets already tagged with ``_hit`` and ``n_gold``."""
-    grid = V.pr_grid_tagged(sets, ["candidate"], steps, False, n_docs, dense=False)
+    grid = V.pr_grid_tagged(sets, ["candidate"], steps, False, n_docs)
     return V.pr_auc(V.pr_curve(grid, by=["candidate"]), by=["candidate"])
 
 
