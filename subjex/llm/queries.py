@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subjex.llm import chat_format, decision_list, line_dedup
+from subjex.llm import chat_format, decision_list, line_dedup, token_shards
 from subjex.llm.common import table
 
 
+def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = token_shards.encode_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return ids.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")],
                                 "conv_id long, turn long, role string, text string")
@@ -27,6 +33,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_shards": op1_token_shards,
     "op4_chat_format": op4_chat_format,
     "op8_quality_rules": op8_quality_rules,
     "op10_line_dedup": op10_line_dedup,
