@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subjex.llm import chat_format, decision_list, line_dedup, token_shards
+from subjex.llm import chat_format, decision_list, deobfuscate, line_dedup, neighbour_quality, shard_table, token_shards
 from subjex.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = neighbour_quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")],
                                 "conv_id long, turn long, role string, text string")
@@ -22,11 +27,21 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.write_and_read(chat_format.format_conversations(turns)))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deobfuscate.digest_rows(deobfuscate.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return decision_list.judge(docs, decision_list.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    placed = shard_table.place(docs, {f"shard-{i:02d}": 1 for i in range(64)})
+    return shard_table.write_shards(placed).select("doc_id", "slot", "shard")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -34,7 +49,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_shards": op1_token_shards,
+    "op2_neighbour_quality": op2_neighbour_quality,
     "op4_chat_format": op4_chat_format,
+    "op6_personal_data": op6_personal_data,
     "op8_quality_rules": op8_quality_rules,
+    "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
 }
