@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subjex.llm import chat_format, decision_list, deobfuscate, line_dedup, neighbour_quality, shard_table, token_shards
+from subjex.llm import chat_format, decision_list, deobfuscate, line_dedup, neighbour_quality, shard_table, spaced_seeds, token_shards
 from subjex.llm.common import table
 
 
@@ -27,6 +27,11 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.write_and_read(chat_format.format_conversations(turns)))
 
 
+def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spaced_seeds.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", "best_item", "best_words")
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deobfuscate.digest_rows(deobfuscate.find_personal_data(table(spark, sf_dir, "documents")))
 
@@ -51,6 +56,7 @@ QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_neighbour_quality": op2_neighbour_quality,
     "op4_chat_format": op4_chat_format,
+    "op5_spaced_seeds": op5_spaced_seeds,
     "op6_personal_data": op6_personal_data,
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
