@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subjex.llm import chat_format, decision_list, deobfuscate, line_dedup, neighbour_quality, shard_table, spaced_seeds, token_shards
+from subjex.llm import chat_format, decision_list, deobfuscate, line_dedup, neighbour_quality, order_minhash, shard_table, spaced_seeds, token_shards
 from subjex.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deobfuscate.digest_rows(deobfuscate.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return decision_list.judge(docs, decision_list.learn(docs, table(spark, sf_dir, "labels")))
@@ -58,6 +62,7 @@ QUERIES = {
     "op4_chat_format": op4_chat_format,
     "op5_spaced_seeds": op5_spaced_seeds,
     "op6_personal_data": op6_personal_data,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
