@@ -65,10 +65,10 @@ def repeat_words(words: Column) -> Column:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` with a struct column ``_stats``: the base counts and every feature, computed once per document."""
-    d = docs.withColumn("_text", text_or_empty())
+    """(d, stats): each row of ``docs`` as a struct, its base counts and every feature, computed once per document."""
+    d = docs.select(F.struct("*").alias("d"), text_or_empty().alias("_text"))
     # The random column keeps later filters above this projection: pushed below it they would compute every count again.
-    d = d.select(*docs.columns, "_text", F.array_remove(F.split("_text", r"[\x20\x09-\x0D]+"), "").alias("_words"),
+    d = d.select("d", "_text", F.array_remove(F.split("_text", r"[\x20\x09-\x0D]+"), "").alias("_words"),
                  F.filter(F.split("_text", "\n", -1), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0).alias("_lines"))
     counts = [F.size("_words").cast("long").alias("n_words"), F.length(F.translate("_text", SPACE, "")).cast("long").alias("word_chars"),
               _count(F.col("_text"), SYMBOLS).alias("n_symbols"),
@@ -77,15 +77,14 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     more = [F.size("_lines").alias("n_lines"), F.size(F.array_distinct("_words")).alias("n_distinct"),
             _count(F.col("_text"), CAPITALS).alias("n_capitals"), _count(F.col("_text"), "!").alias("n_bangs"),
             _count(F.col("_text"), "0123456789").alias("n_digits"), _count(F.col("_text"), "!?.,;:|\"'()[]{}/\\=+~^_@").alias("n_marks")]
-    d = d.select(*docs.columns, F.struct(*counts, *more, F.rand(0).alias("barrier")).alias("_raw"))
+    d = d.select("d", F.struct(*counts, *more, F.rand(0).alias("barrier")).alias("_raw"))
     r = F.col("_raw")
     chars, words = F.greatest(r["word_chars"], F.lit(1)), F.greatest(r["n_words"], F.lit(1))
     shares = {"symbol_share": r["n_symbols"] / chars, "capital_share": r["n_capitals"] / chars, "bang_share": r["n_bangs"] / chars,
               "digit_share": r["n_digits"] / chars, "mark_share": r["n_marks"] / chars, "mean_word": r["word_chars"] / words,
               "distinct_share": r["n_distinct"] / words, "repeat_share": r["n_repeat_words"] / words,
               "dup_line_share": r["n_dup_lines"] / F.greatest(r["n_lines"], F.lit(1))}
-    return d.select(*docs.columns, F.struct(*[r[c].alias(c) for c in BASE], *[v.alias(k) for k, v in shares.items()],
-                                            (r["barrier"] >= 0).alias("there")).alias("_stats"))
+    return d.select("d", F.struct(*[r[c].alias(c) for c in BASE], *[v.alias(k) for k, v in shares.items()], (r["barrier"] >= 0).alias("there")).alias("stats"))
 
 
 def base_failed(stats: Column) -> Column:
@@ -127,12 +126,12 @@ def verdict(rules: list[Rule], stats: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
     """Statistics of at most ``max_train`` labelled rows; ``junk`` marks label 0."""
     chosen = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out())
-              .groupBy("doc_id").agg(F.min("quality").alias("_label"))
+              .groupBy("doc_id").agg(F.min("quality").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_train rows of two numbers
     s = with_statistics(rows)
-    return s.select((F.col("_label") == 0).cast("int").alias("junk"), (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) < 2).alias("grow"),
-                    F.struct(*[F.col("_stats")[f].cast("double").alias(f) for f in FEATURES]).alias("s"))
+    return s.select((F.col("d.label") == 0).cast("int").alias("junk"), (F.pmod(F.xxhash64("d.doc_id", F.lit(7)), F.lit(3)) < 2).alias("grow"),
+                    F.struct(*[F.col("stats")[f].cast("double").alias(f) for f in FEATURES]).alias("s"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_train: int = 10_000, max_rules: int = 8, max_conditions: int = 3,
@@ -211,13 +210,13 @@ def _prune(rows: DataFrame, rule: list[Condition], grid: dict) -> tuple[list[Con
 
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """(doc_id, base counts, base_failed, kept) for every row."""
-    s = F.col("_stats")
+    s = F.col("stats")
     d = with_statistics(docs.select("doc_id", "text"))
     failed = base_failed(s)
-    return d.select("doc_id", *[s[c].alias(c) for c in BASE], failed.alias("base_failed"), (~failed & verdict(rules, s)).alias("kept"))
+    return d.select("d.doc_id", *[s[c].alias(c) for c in BASE], failed.alias("base_failed"), (~failed & verdict(rules, s)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of ``docs`` that pass the base rule and the list."""
-    s = F.col("_stats")
-    return with_statistics(docs).where(s["there"] & ~base_failed(s) & verdict(rules, s)).select(*docs.columns)
+    s = F.col("stats")
+    return with_statistics(docs).where(s["there"] & ~base_failed(s) & verdict(rules, s)).select("d.*")

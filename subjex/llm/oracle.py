@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from subjex.llm.queries import MIX
+
 _LINE_DEDUP = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -20,6 +22,47 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM marked GROUP BY doc_id
 """
 
+_SPACED = "'[\\x20\\x09-\\x0D]+'"
+
+
+def mixing_ctes(documents: str, targets: dict, rounds: int = 50) -> str:
+    """CTEs up to `mixed` (the columns of documents, topic, n_tokens, rate, copies): raking as a recursive CTE over lists."""
+    names = {d: [*(v for v in targets[d] if v != "other"), "other"] for d in ("source", "lang", "topic")}
+    shares = {d: [float(targets[d].get(v, 0.0)) for v in names[d]] for d in names}
+    code = lambda d, col: "CASE " + " ".join(f"WHEN {col} = '{v}' THEN {i}" for i, v in enumerate(names[d][:-1], 1)) + f" ELSE {len(names[d])} END"
+    given = lambda k, d: f"list_transform({shares[d]}::DOUBLE[], lambda x, i: CASE WHEN len(list_filter(cells, lambda c: c.{k} = i)) > 0 THEN x ELSE 0.0 END)"
+    fit = lambda d, k, a, x, b, y: (f"list_transform({d}, lambda x, i: CASE WHEN x = 0 THEN 0.0 ELSE x / list_sum(list_transform(list_filter(cells, "
+                                    f"lambda c: c.{k} = i), lambda c: c.w * {a}[c.{x}] * {b}[c.{y}])) END)")
+    return f"""
+counted AS (
+  SELECT *, len(list_filter(regexp_split_to_array(coalesce(text, ''), {_SPACED}), lambda x: x <> ''))::BIGINT AS n_tokens FROM {documents}),
+topical AS (
+  SELECT *, CASE WHEN contains(coalesce(text, ''), '|') THEN 'table' WHEN regexp_matches(coalesce(text, ''), '[0-9]') THEN 'figures'
+                 WHEN n_tokens < 100 THEN 'brief' ELSE 'article' END AS topic FROM counted),
+coded AS (SELECT *, {code("source", "source")} AS s, {code("lang", "lang")} AS l, {code("topic", "topic")} AS t FROM topical),
+cell AS (SELECT s, l, t, sum(n_tokens)::DOUBLE AS w FROM coded GROUP BY ALL HAVING sum(n_tokens) > 0),
+listed AS (SELECT list({{'s': s, 'l': l, 't': t, 'w': w}} ORDER BY s, l, t) AS cells FROM cell),
+present AS (SELECT cells, {given("s", "source")} AS ps, {given("l", "lang")} AS pl, {given("t", "topic")} AS pt FROM listed),
+goal AS (SELECT cells, list_transform(ps, lambda x: x / list_sum(ps)) AS gs, list_transform(pl, lambda x: x / list_sum(pl)) AS gl,
+                list_transform(pt, lambda x: x / list_sum(pt)) AS gt FROM present),
+raked(k, fs, fl, ft) AS (
+  SELECT 0, list_transform(gs, lambda x: 1.0::DOUBLE), list_transform(gl, lambda x: 1.0::DOUBLE), list_transform(gt, lambda x: 1.0::DOUBLE) FROM goal
+  UNION ALL
+  SELECT k + 1, s1, l1, {fit("gt", "t", "s1", "s", "l1", "l")}
+  FROM (SELECT k, s1, ft, cells, gt, {fit("gl", "l", "s1", "s", "ft", "t")} AS l1
+        FROM (SELECT k, ft, cells, gl, gt, {fit("gs", "s", "fl", "l", "ft", "t")} AS s1 FROM raked, goal WHERE k < {rounds}))),
+factor AS (SELECT s, l, t, fs[s] * fl[l] * ft[t] AS f FROM cell, raked WHERE k = {rounds}),
+rated AS (SELECT s, l, t, CASE WHEN max(f) OVER () > 0 THEN f / max(f) OVER () ELSE 0 END AS rate FROM factor),
+mixed AS (
+  SELECT c.* EXCLUDE (s, l, t), coalesce(r.rate, 0.0) AS rate,
+         (floor(coalesce(r.rate, 0.0)) + CASE WHEN ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0
+            < coalesce(r.rate, 0.0) - floor(coalesce(r.rate, 0.0)) THEN 1 ELSE 0 END)::BIGINT AS copies
+  FROM coded c LEFT JOIN rated r USING (s, l, t))"""
+
+
+_MIXING = f"WITH RECURSIVE {mixing_ctes('documents', MIX)} SELECT doc_id, topic, n_tokens, round(rate, 6) AS rate, copies FROM mixed"
+
 ORACLE_SQL = {
+    "op3_mixing": _MIXING,
     "op10_line_dedup": _LINE_DEDUP,
 }

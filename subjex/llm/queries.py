@@ -6,10 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subjex.llm import chat_format, decision_list, deobfuscate, line_dedup, neighbour_quality, order_minhash, shard_table, spaced_seeds, token_shards
+from subjex.llm import chat_format, decision_list, deobfuscate, line_dedup, neighbour_quality, order_minhash, raking, shard_table, spaced_seeds, token_shards
 from subjex.llm.common import table
 
 
+#: Target shares of tokens: the hot source held down, the smaller languages lifted a little.
+MIX = {"source": {"src0": 0.10, "src1": 0.06, "src2": 0.06, "src3": 0.04, "other": 0.74},
+       "lang": {"en": 0.56, "de": 0.16, "fr": 0.16, "es": 0.11, "other": 0.01},
+       "topic": {"article": 0.87, "brief": 0.02, "figures": 0.09, "table": 0.02}}
+
+
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = token_shards.encode_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return ids.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -20,6 +26,11 @@ def op2_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = raking.with_copies(table(spark, sf_dir, "documents"), MIX)
+    return mixed.select("d.doc_id", "topic", "n_tokens", F.round("rate", 6).alias("rate"), "copies")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")],
                                 "conv_id long, turn long, role string, text string")
@@ -59,6 +70,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_neighbour_quality": op2_neighbour_quality,
+    "op3_mixing": op3_mixing,
     "op4_chat_format": op4_chat_format,
     "op5_spaced_seeds": op5_spaced_seeds,
     "op6_personal_data": op6_personal_data,
