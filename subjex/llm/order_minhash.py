@@ -2,33 +2,37 @@
 
 Method. A text is its sequence of word ``SHINGLE``-grams, each labelled with its
 occurrence number, so every element is unique within the text. Each of
-``sketches`` hash orders picks the ``PICK`` smallest elements and keeps them in
-text order; the hash of that tuple is a bucket key. Two texts share a bucket
-only if the picked elements agree in order as well as in kind, which follows
-edit similarity rather than set overlap.
-
-Exact copies (equal word sequences) collapse first; only one representative
-goes on. Candidates: each bucket has a hub, the member that shares most
-buckets with others, and every member is compared with its hub, so a bucket of
-n texts costs n comparisons. Buckets that still hold several classes are
-then compared across classes; those larger than ``small`` are first split
-by further sketches until they are small, so no group is ever paired out whole.
+several hash orders picks the smallest elements and keeps them in text order; the
+hash of that tuple is a bucket key. Two texts share a bucket only if the
+picked elements agree in order as well as in kind, which follows edit
+similarity rather than set overlap. Texts of ``LONG`` elements and more have
+``SKETCHES`` keys of ``PICK`` elements, texts under ``SHORT`` have
+``SHORT_SKETCHES`` keys of ``SHORT_PICK``; the ranges overlap so that texts
+within the similarity always have one kind in common.
+
+Candidates. Exact copies (equal word sequences) collapse first; only one
+representative goes on. Each bucket has a hub, the member that shares most
+buckets with others, and every member is compared with it: n - 1 comparisons
+for n members. Members that end up in another class than their hub are
+compared with the bucket's second hub too, and go on among themselves into
+finer buckets (the key joined with a further one), with a hub each, until every
+one is alone or among its own class. So each step costs one comparison a
+member, no group is paired out, and no member is left out.
 
 Verification aligns two element sequences: common elements within the band of
 diagonals that the similarity allows, longest chain increasing in both. The
 similarity is chain / (n + m - chain); at ``similarity`` or more the two link.
-One minus it is a metric on such sequences, and the band loses nothing, as
-leaving it would cost more unmatched elements than allowed. Classes are the
-connected components of the links.
+The band loses nothing, as leaving it would cost more unmatched elements than
+allowed. Classes are the connected components of the links.
 
-Scale. Sketches (not texts) are shuffled for all documents; texts only of
-documents in shared buckets. Hub joins are skew-splittable equi-joins on
+Scale. Sketches (not texts) are shuffled for all documents; texts once, to
+find those in shared buckets. Hub joins are skew-splittable equi-joins on
 representatives. Nothing is collected.
 
 Defined results. Texts are lower-cased; words are runs of letters and digits.
 Null, empty and wordless texts are their own classes. Texts under ``SHINGLE``
 words match exact copies only. Rows that repeat a doc_id are one document:
-their classes merge. Rows with a null doc_id have a null class.
+their classes merge. Rows with a null doc_id have no row in the result.
 """
 
 from __future__ import annotations
@@ -38,15 +42,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subjex.llm.common import materialise, small_batches, text_or_empty
 from subjex.llm.components import components
 from subjex.llm.words import _random_odd, mix, windows, word_hashes
 
-SHINGLE, PICK = 5, 6
-SKETCHED = "doc_id long, n long, fp1 long, fp2 long, keys array<long>"
+SHINGLE = 5
+LONG, SKETCHES, PICK = 32, 40, 8
+SHORT, SHORT_SKETCHES, SHORT_PICK = 50, 10, 2
+SKETCHED = "doc_id long, n long, fp1 long, fp2 long, few array<long>, many array<long>"
 LINKED = "a long, b long, similar double"
 _OCCURRENCE = np.uint64(0xD1B54A32D192ED03)
 
@@ -66,11 +72,9 @@ def elements(words: np.ndarray) -> np.ndarray:
     return np.where(nth > 0, mix(s + nth * _OCCURRENCE), s)
 
 
-def sketch(s: np.ndarray, sketches: int, pick: int = PICK) -> np.ndarray:
+def sketch(s: np.ndarray, sketches: int, pick: int) -> np.ndarray:
     """One bucket key per hash order."""
-    if not len(s):
-        return np.zeros(0, np.uint64)
-    salt, factor, weight = _random_odd(21, sketches), _random_odd(22, sketches), _random_odd(23, pick)
+    salt, factor, weight = _random_odd(21 + pick, sketches), _random_odd(51 + pick, sketches), _random_odd(81, pick)
     k = min(pick, len(s))
     rows = max(1, (1 << 18) // len(s))
     chosen = []
@@ -81,6 +85,12 @@ def sketch(s: np.ndarray, sketches: int, pick: int = PICK) -> np.ndarray:
     return mix((s[np.concatenate(chosen)] * weight[None, :k]).sum(1, dtype=np.uint64) + salt)
 
 
+def sketch_pair(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys for short and for long texts; empty where a text is neither."""
+    none = np.zeros(0, np.uint64)
+    return (sketch(s, SHORT_SKETCHES, SHORT_PICK) if 0 < len(s) < SHORT else none), (sketch(s, SKETCHES, PICK) if len(s) >= LONG else none)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> float:
     """Longest common chain over union size, within the band that ``similarity`` allows."""
     n, m = len(a), len(b)
@@ -110,16 +120,17 @@ def _norm(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text_or_empty()).alias("text"))
 
 
-def sketched(docs: DataFrame, sketches: int) -> DataFrame:
+def sketched(docs: DataFrame) -> DataFrame:
     """(doc_id, words, two hashes of the word sequence, bucket keys) of every row with a doc_id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words, at = word_hashes(b.column("text"))
             spans = list(zip(at.tolist(), at[1:].tolist()))
             fps = [_sequence(words[x:y]) for x, y in spans]
-            keys = [sketch(elements(words[x:y]), sketches).view(np.int64) for x, y in spans]
+            keys = [sketch_pair(elements(words[x:y])) for x, y in spans]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at), pa.int64()), *(pa.array([f[k] for f in fps], pa.int64()) for k in (0, 1)),
-                                              pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "fp1", "fp2", "keys"])
+                                              *(pa.array([p[k].view(np.int64) for p in keys], pa.list_(pa.int64())) for k in (0, 1))],
+                                             names=["doc_id", "n", "fp1", "fp2", "few", "many"])
     return _norm(docs).where("doc_id is not null").mapInArrow(run, SKETCHED)
 
 
@@ -145,57 +156,65 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(run, LINKED)
 
 
-def _buckets(reps: DataFrame) -> DataFrame:
-    """(key, doc, n) of the buckets with at least two representatives."""
-    rows = reps.select("doc", "keys", F.explode("keys").alias("key")).select("key", "doc")
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return materialise(rows.join(sizes, "key"), "buckets")
-
-
-def _hub_pairs(buckets: DataFrame) -> DataFrame:
-    """Each bucket's members against the member that shares most."""
-    weight = buckets.groupBy("doc").agg(F.sum("n").alias("w"))
-    best = buckets.join(weight, "doc").groupBy("key").agg(F.max(F.struct("w", (-F.col("doc")).alias("minus"))).alias("best"))
-    return _pairs(buckets.join(best.select("key", (-F.col("best.minus")).alias("hub")), "key").where("doc <> hub"), "doc", "hub")
-
-
 def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def _across(buckets: DataFrame, keys: DataFrame, found: DataFrame, small: int, sketches: int) -> DataFrame:
-    """Pairs between different classes within buckets, large buckets split by further sketches first."""
-    rows = (buckets.select("key", "doc").join(found.select(F.col("node").alias("doc"), "component"), "doc", "left")
-            .select("key", "doc", F.coalesce("component", "doc").alias("component"), F.lit(0).alias("depth")))
-    out = None
-    for depth in range(sketches):
-        size = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "n")
-        rows = materialise(rows.join(size, "key"), "mixed-buckets")
-        few = rows.where(F.col("n") <= small)
-        met = few.alias("x").join(few.alias("y"), "key").where("x.component < y.component").select(F.col("x.doc").alias("x"), F.col("y.doc").alias("y"))
-        out = _pairs(met, "x", "y") if out is None else out.unionByName(_pairs(met, "x", "y"))
-        many = rows.where(F.col("n") > small)
-        if many.isEmpty():
+def _buckets(reps: DataFrame) -> DataFrame:
+    """(key, doc, w) of the buckets with at least two representatives; w: how much a document shares with others."""
+    rows = reps.select("doc", F.explode(F.concat("few", "many")).alias("key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialise(rows.join(sizes, "key"), "buckets")
+    return materialise(shared.join(shared.groupBy("doc").agg(F.sum("n").alias("w")), "doc").select("key", "doc", "w"), "weighted-buckets")
+
+
+def _hub(rows: DataFrame, name: str) -> DataFrame:
+    """The member of each bucket that shares most, by partial maxima."""
+    return rows.groupBy("key").agg(F.max(F.struct("w", (-F.col("doc")).alias("minus"))).alias("m")).select("key", (-F.col("m.minus")).alias(name))
+
+
+def _strays(rows: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
+    """Further candidates for the members outside their hub's class. rows: (key, doc, w, hub)."""
+    of = found.select(F.col("node").alias("doc"), "component")
+    named = lambda side: of.select(F.col("doc").alias(side), F.col("component").alias(f"{side}_class"))
+    rows = (rows.join(of, "doc", "left").join(named("hub"), "hub", "left")
+            .select("key", "doc", "w", "hub", F.coalesce("component", "doc").alias("class"), F.coalesce("hub_class", "hub").alias("hub_class")))
+    rows = materialise(rows, "classed-buckets")
+    strays = rows.where("class <> hub_class").select("key", "doc", "w", "class")
+    second = _hub(rows.where("doc <> hub").join(strays.select("key").distinct(), "key", "left_semi"), "second")
+    out = [_pairs(strays.join(second, "key").where("doc <> second"), "doc", "second")]
+    level = strays
+    for depth in range(1, SKETCHES):
+        mixed = level.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
+        level = materialise(level.join(mixed, "key", "left_semi"), "finer-buckets")
+        if level.isEmpty():
             break
-        step = F.explode(F.array(*[F.pmod(F.col("key") + F.lit(depth * 7 + k), F.lit(sketches)).cast("int") for k in (0, 3, 11)])).alias("i")
-        rows = (many.select("key", "doc", "component", step).join(keys.select("doc", "keys"), "doc")
-                .select(F.xxhash64("key", "i", F.get("keys", F.col("i"))).alias("key"), "doc", "component"))
-    return out.distinct()
-
-
-def near_duplicate_classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 32, small: int = 16) -> DataFrame:
-    """(doc_id, class_id) of every row; class_id is the smallest doc_id of the class."""
+        met = level.join(_hub(level, "hub"), "key").where("doc <> hub")
+        out.append(_pairs(met, "doc", "hub"))
+        at = F.col("key") + F.lit(7 * depth)
+        step = F.array(F.get("few", F.pmod(at, F.lit(SHORT_SKETCHES)).cast("int")), F.get("many", F.pmod(at, F.lit(SKETCHES)).cast("int")))
+        level = (met.join(reps.select("doc", "few", "many"), "doc").select("key", "doc", "w", "class", F.explode(step).alias("more")).where("more is not null")
+                 .select(F.xxhash64("key", "more").alias("key"), "doc", "w", "class"))
+    pairs = out[0]
+    for p in out[1:]:
+        pairs = pairs.unionByName(p)
+    return pairs.distinct()
+
+
+def near_duplicate_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, class_id) of every row with a doc_id; class_id is the smallest doc_id of the class."""
     small_batches(docs.sparkSession)
-    all_rows = materialise(sketched(docs, sketches), "sketches")
-    copies = all_rows.where("n > 0").groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "keys")).alias("r"), F.count("*").alias("copies"))
-    reps = materialise(copies.select("fp1", "fp2", F.col("r.doc_id").alias("doc"), F.col("r.keys").alias("keys")), "representatives")
+    all_rows = materialise(sketched(docs), "sketches")
+    copies = all_rows.where("n > 0").groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "few", "many")).alias("r"))
+    reps = materialise(copies.select("fp1", "fp2", F.col("r.doc_id").alias("doc"), F.col("r.few").alias("few"), F.col("r.many").alias("many")), "representatives")
     buckets = _buckets(reps)
     involved = buckets.select(F.col("doc").alias("doc_id")).distinct()
-    texts = materialise(_norm(docs).join(involved, "doc_id", "left_semi"), "bucket-texts")
-    first = materialise(_hub_pairs(buckets), "hub-pairs")
+    texts = materialise(_norm(docs).join(involved.hint("merge"), "doc_id", "left_semi"), "bucket-texts")
+    hubbed = materialise(buckets.join(_hub(buckets, "hub"), "key").where("doc <> hub"), "hubs")
+    first = materialise(_pairs(hubbed, "doc", "hub"), "hub-pairs")
     links = materialise(verify(first, texts, similarity), "links")
     found = components(links)
-    rest = _across(buckets, reps, found, small, sketches).join(first, ["a", "b"], "left_anti")
+    rest = materialise(_strays(hubbed, found, reps).join(first, ["a", "b"], "left_anti"), "stray-pairs")
     more = materialise(verify(rest, texts, similarity), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
@@ -205,10 +224,6 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = 0.8, sketches: i
     return classes.unionByName(all_rows.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id")))
 
 
-def first_of_class(doc_id: Column, class_id: Column) -> Column:
-    return doc_id == class_id
-
-
 def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that come first in their class by doc_id, one row for each doc_id; rows without doc_id stay."""
     gone = near_duplicate_classes(docs, similarity).where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
