@@ -45,8 +45,8 @@ TERMS = FAMILIES[-1][1]
 SCORED = "doc_id long, held_out boolean, score double"
 
 
-def term_counts(col: pa.Array) -> np.ndarray:
-    """(texts x TERMS) counts of a column without nulls."""
+def log_counts(col: pa.Array) -> np.ndarray:
+    """(texts x TERMS) logarithms of one and the term counts of a column without nulls."""
     data, offsets = buffers(col)
     out = np.zeros(len(col) * TERMS, np.float32)
     for lo, hi in segments(data, offsets, VISIBLE):
@@ -66,7 +66,7 @@ def term_counts(col: pa.Array) -> np.ndarray:
                 lag[k:][(h[k:] == h[:-k]) & (doc[k:] == doc[:-k])] = k
             _add(out, doc, FAMILIES[1][0] + lag)
             _add(out, doc, FAMILIES[2][0] + (h % np.uint64(WORDS)).astype(np.int64))
-    return out.reshape(len(col), TERMS)
+    return np.log1p(out).reshape(len(col), TERMS)
 
 
 def _add(out: np.ndarray, doc: np.ndarray, term: np.ndarray) -> None:
@@ -75,7 +75,7 @@ def _add(out: np.ndarray, doc: np.ndarray, term: np.ndarray) -> None:
 
 
 def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts) * idf
+    x = counts * idf
     for a, b, share in FAMILIES:
         part = x[:, a:b]
         x[:, a:b] = part * (share / np.maximum(np.sqrt((part * part).sum(1, keepdims=True)), 1e-9))
@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int, rank: int) -> d
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = term_counts(b.column("text")).astype("<f2")
+            found = log_counts(b.column("text")).astype("<f2")
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "label", "counts"])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +147,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 4096,
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            scores = [np.full(min(64, b.num_rows - i), 0.5) if model is None else vote(model, term_counts(b.column("text").slice(i, 64)), neighbours, power)
+            scores = [np.full(min(64, b.num_rows - i), 0.5) if model is None else vote(model, log_counts(b.column("text").slice(i, 64)), neighbours, power)
                       for i in range(0, b.num_rows, 64)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())],
                                              names=["doc_id", "held_out", "score"])

@@ -191,8 +191,8 @@ def _strays(rows: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
             break
         met = level.join(_hub(level, "hub"), "key").where("doc <> hub")
         out.append(_pairs(met, "doc", "hub"))
-        at = F.col("key") + F.lit(7 * depth)
-        step = F.array(F.get("few", F.pmod(at, F.lit(SHORT_SKETCHES)).cast("int")), F.get("many", F.pmod(at, F.lit(SKETCHES)).cast("int")))
+        at = lambda n: F.pmod(F.pmod(F.col("key"), F.lit(n)) + 7 * depth, F.lit(n)).cast("int")  # noqa: E731, B023
+        step = F.array(F.get("few", at(SHORT_SKETCHES)), F.get("many", at(SKETCHES)))
         level = (met.join(reps.select("doc", "few", "many"), "doc").select("key", "doc", "w", "class", F.explode(step).alias("more")).where("more is not null")
                  .select(F.xxhash64("key", "more").alias("key"), "doc", "w", "class"))
     pairs = out[0]

@@ -65,7 +65,7 @@ def rates(cells: DataFrame, targets: dict, rounds: int = 50, max_rate: float = 1
     one = cells.where("w > 0").agg(F.sort_array(F.collect_list(F.struct("s", "l", "t", F.col("w").cast("double").alias("w")))).alias("cells"))
     # targets of values that have tokens, scaled to one
     one = one.select("cells", *(F.expr(f"transform({_sql(wanted(targets, d))}, (x, i) -> if(exists(cells, c -> c.{d[0]} = i), x, 0D))").alias(d) for d in DIMENSIONS))
-    one = one.select("cells", *(F.expr(f"transform({d}, x -> x / aggregate({d}, 0D, (p, y) -> p + y))").alias(d) for d in DIMENSIONS))
+    one = one.select("cells", *(F.expr(f"transform({d}, x -> coalesce(try_divide(x, aggregate({d}, 0D, (p, y) -> p + y)), 0D))").alias(d) for d in DIMENSIONS))
     one = one.select("cells", F.expr(_raking(rounds)).alias("f"))
     flat = one.select(F.expr("inline(transform(cells, c -> struct(c.s as s, c.l as l, c.t as t, f.s[c.s] * f.l[c.l] * f.t[c.t] as f, "
                              "array_max(transform(cells, d -> f.s[d.s] * f.l[d.l] * f.t[d.t])) as most)))"))
@@ -85,7 +85,7 @@ def _raking(rounds: int) -> str:
     def fit(d: str, u: str, v: str) -> str:
         k, (a, b) = d[0], (u.split(".")[-1], v.split(".")[-1])
         total = f"aggregate(filter(cells, c -> c.{k} = i), 0D, (p, c) -> p + c.w * {u}[c.{a}] * {v}[c.{b}])"
-        return f"transform({d}, (x, i) -> if(x = 0, 0D, x / {total}))"
+        return f"transform({d}, (x, i) -> if(x = 0, 0D, coalesce(try_divide(x, {total}), 0D)))"
 
     # transform(array(x), y -> ...)[0] names an intermediate result, so that it is computed once
     step = (f"transform(array(named_struct('s', {fit('source', 'z.l', 'z.t')}, 't', z.t)), g -> "

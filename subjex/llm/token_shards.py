@@ -219,7 +219,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: i
             ids = [np.append(x, np.uint32(end_id)) for x in encoder(tokenizer).encode(b.column("text"))]
             frames = [compress(x.astype(f"<u{width}").tobytes()) for x in ids]
             own, n = b.column("doc_id").to_pylist(), [len(x) for x in ids]
-            row = {"shard": shard, "block": k, "first_doc": own[0], "last_doc": own[-1], "dict_hash": name, "width": width,
+            row = {"shard": shard, "block": k, "first_doc": next((d for d in own if d is not None), None), "last_doc": own[-1], "dict_hash": name, "width": width,
                    "shard_start": before, "total": sum(n), "doc_ids": own, "n_tokens": n,
                    "offsets": np.cumsum([0, *map(len, frames)]).tolist(), "payload": b"".join(frames)}
             before += sum(n)
