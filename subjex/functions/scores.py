@@ -32,9 +32,10 @@ def safe_ratio(num: Column, den: Column) -> Column:
 
 def stable_round(c: Column, digits: int = 6) -> Column:
     """Round half up by the same IEEE operations any engine performs alike:
-    first to 1e-9 (absorbs summation-order noise), then to ``digits``."""
+    first to 1e-9 (absorbs summation-order noise), then to ``digits``. Values
+    whose billionfold does not fit a long have no such noise to lose and stay."""
     x = c.cast("double")
     pre = F.floor(x * F.lit(1e9) + F.lit(0.5)) / F.lit(1e9)
     scale = float(10 ** digits)
     out = F.floor(pre * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
-    return F.when(F.isnan(x), x).otherwise(out)
+    return F.when(F.isnan(x) | (F.abs(x) >= F.lit(9e9)), x).otherwise(out)

@@ -64,14 +64,14 @@ def compose_content(title: Column, abstract: Column, which: str = "both") -> Col
 
 
 def cut_words(text: Column, budget: Column | int) -> Column:
-    """F8 with white-space word tokens: keep the first ``budget`` words.
+    """F8 with white-space word tokens: keep the first ``budget`` words; a text within the budget stays as it is.
 
     The whole text is tokenised; the budget (prompt budget minus prompt
     length) decides how much of it goes into the prompt.
     """
     b = F.lit(budget) if isinstance(budget, int) else budget
     words = F.split(F.regexp_replace(text, _WORD_EDGES, ""), _WORD_SEP, -1)
-    return F.array_join(F.slice(words, 1, F.greatest(b, F.lit(0))), " ")
+    return F.when(F.size(words) <= b, text).otherwise(F.array_join(F.slice(words, 1, F.greatest(b, F.lit(0))), " "))
 
 
 def token_budget(max_total: int, max_new: int, prompt_len: Column) -> Column:

@@ -295,9 +295,9 @@ def pr_grid(gold: DataFrame | None, pred: DataFrame, by: Sequence[str] = (), ste
 
     Shuffles: the predictions move once, by document, to meet their
     document's gold set; dedupe, tie groups and the per-document window reuse
-    that partitioning. The histogram is small, and the grid of each key
-    (bounded by steps x max predictions per document) sits in one partition,
-    so both cumulative sums and the curve need no further exchange.
+    that partitioning. Tie groups are summed per cell before the shuffle; the
+    grid of a key is dealt out by threshold, then by limit, so no task holds
+    a whole grid.
     """
     gs = gold_sets if gold_sets is not None else gold_doc_sets(gold)
     n_docs = gs.select(F.count(F.lit(1))).scalar()
@@ -364,8 +364,9 @@ def pr_grid_tagged(uniq: DataFrame, by: Sequence[str], steps: int = 100, ordinal
     cells = lims.select(*by, "lim", F.explode(F.sequence(F.lit(0), F.lit(n_thr))).alias("ti"))
     cells = cells.select(*by, F.col("ti").cast("long").alias("ti"), "lim",
                          *[F.lit(0.0).alias(f"h_{m}") for m in ("prec", "rec", "f1")], F.lit(0).alias("h_has"))
-    both = d.select(*cells.columns).unionByName(cells)
-    both = both.repartition(*by) if by else both.repartition(1)  # one key's grid per partition
+    sums = [F.sum(f"h_{m}").alias(f"h_{m}") for m in ("prec", "rec", "f1", "has")]
+    hist = d.groupBy(*by, "ti", "lim").agg(*sums)  # summed before it is dealt out: at most a row per cell and task
+    both = hist.select(*cells.columns).unionByName(cells).repartition(*by, "ti")  # the first cumulative sum runs there
     dense = both.groupBy(*by, "ti", "lim").agg(*[F.sum(f"h_{m}").alias(f"h_{m}")
                                                  for m in ("prec", "rec", "f1", "has")])
     w_l = Window.partitionBy(*by, "ti").orderBy("lim").rowsBetween(Window.unboundedPreceding, 0)

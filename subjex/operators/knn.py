@@ -52,7 +52,7 @@ def _topk_rows(qids, q, lids, ltexts, v, k):
     vn = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
     out_q, out_l, out_t, out_s = [], [], [], []
     kk = min(k, len(lids))
-    lid_rank = np.argsort(np.argsort(np.asarray(lids, dtype=object), kind="stable"), kind="stable")
+    lid_rank = np.argsort(sorted(range(len(lids)), key=lambda i: (lids[i], ltexts[i])), kind="stable")
     chunk = max(1, int(2e7 // max(1, len(lids))))
     for s in range(0, len(qids), chunk):
         sims = qn[s:s + chunk] @ vn.T
@@ -120,9 +120,9 @@ def nearest(queries: DataFrame, vocab: DataFrame, k: int = 1,
 
 
 def top_k(df: DataFrame, k: int, key: str, score: str) -> DataFrame:
-    """Per-key top-k, ties by label_id. A row_number filter, which Spark
+    """Per-key top-k, ties by label_id, then label_text. A row_number filter, which Spark
     limits per group before the shuffle."""
-    w = Window.partitionBy(key).orderBy(F.desc(score), F.asc("label_id"))
+    w = Window.partitionBy(key).orderBy(F.desc(score), *(c for c in ("label_id", "label_text") if c in df.columns))
     return df.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k).drop("_rk")
 
 
@@ -193,4 +193,4 @@ def nearest_clusters(queries: DataFrame, vocab: DataFrame, k: int = 1, n_cluster
 
     keys = ["cluster", "sub", "qb"]
     partial = qx.groupBy(*keys).cogroup(vx.groupBy(*keys)).applyInPandas(score, RESULT_SCHEMA)
-    return top_k(partial.dropDuplicates(["query_id", "label_id"]), k, "query_id", "cosine")
+    return top_k(partial, k, "query_id", "cosine")

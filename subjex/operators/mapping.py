@@ -53,12 +53,12 @@ def translate_ids(df: DataFrame, id_table: DataFrame) -> tuple[DataFrame, DataFr
     """
     missing = [c for c in ("idn", "gnd_id") if c not in id_table.columns]
     if missing:
-        raise ValueError("the mapping table must contain 'idn' and 'gnd_id' columns")
+        raise ValueError("id table needs the columns idn and gnd_id")
     t = id_table.select(F.col("idn").cast("string").alias("_idn"), F.col("gnd_id").alias("_gnd"))
     joined = df.join(t, df["label_id"].cast("string") == t["_idn"], "left")
     mapped = joined.where(F.col("_gnd").isNotNull()).select(
         *[c for c in df.columns if c != "label_id"],
-        F.col("label_id").alias("dnbinternal_gnd_idn"), gnd_id(F.col("_gnd")).alias("label_id"))
+        F.col("label_id").alias("internal_id"), gnd_id(F.col("_gnd")).alias("label_id"))
     unmapped = joined.where(F.col("_gnd").isNull()).select(*df.columns)
     return mapped, unmapped
 

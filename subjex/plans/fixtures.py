@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     cos = F.col("l_quantity") / 50.0
-    return li.where(F.col("l_tax") > 0).select(
+    return li.select(
         F.col("l_returnflag").alias("model"),
         F.col("l_linestatus").alias("prompt"),
         F.col("l_orderkey").alias("doc_id"),
@@ -49,7 +49,7 @@ SELECT l_returnflag AS model, l_linestatus AS prompt, l_orderkey AS doc_id,
        l_quantity / 50.0 AS cosine_similarity,
        l_discount * 10 AS hybrid_score,
        l_quantity / 50.0 AS score
-FROM lineitem WHERE l_tax > 0
+FROM lineitem
 """
 
 

@@ -362,7 +362,7 @@ w AS (SELECT doc_id, content,
              regexp_split_to_array(regexp_replace(content, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g'),
                                    '[ \\t\\n\\r\\f]+') AS words FROM d)
 SELECT doc_id, CAST(len(words) AS INTEGER) AS n_words,
-       array_to_string(words[1:{4096 - 100 - 320}], ' ') AS content
+       CASE WHEN len(words) <= {4096 - 100 - 320} THEN content ELSE array_to_string(words[1:{4096 - 100 - 320}], ' ') END AS content
 FROM w
 """
     q["q_submission"] = f"""
@@ -448,7 +448,7 @@ SELECT prompt, CAST(seg + 1 AS INTEGER) AS ord, coalesce(txt, '') AS text,
 FROM t WHERE kw
 """
     q["q_translate_ids"] = f"""
-SELECT p.model, p.prompt, p.doc_id, p.label_id AS dnbinternal_gnd_idn, 'gnd:' || t.p_brand AS label_id
+SELECT p.model, p.prompt, p.doc_id, p.label_id AS internal_id, 'gnd:' || t.p_brand AS label_id
 FROM (SELECT model, prompt, doc_id, regexp_replace(label_id, '^gnd:', '') AS label_id FROM ({PRED_SQL})) p
 JOIN (SELECT CAST(p_partkey AS VARCHAR) AS idn, p_brand FROM part WHERE p_size <= 45) t ON p.label_id = t.idn
 """

@@ -60,7 +60,7 @@ def map_stage(completions: DataFrame, vocab: DataFrame, search: str = "vector",
                                            F.col("cosine").alias("cosine_similarity"), "hybrid_score")
     else:
         raise ValueError("search must be 'vector' or 'hybrid'")
-    matches = q.select("query_id", "candidate").join(found, "query_id").drop("query_id")
+    matches = cut_lineage(q.select("query_id", "candidate").join(found, "query_id").drop("query_id"))  # three outputs read it
     attached = M.attach_matches(rows, matches)
     kept, removed = M.split_threshold(attached, min_cosine)
     if id_table is not None:
@@ -94,9 +94,11 @@ def rank_stage(ensemble: DataFrame, docs: DataFrame, frame: str, generate_fn, th
     (A8-A10) -> ranked (doc_id, label_id, score)."""
     from subjex.functions.text import compose_content
     from subjex.operators import ranking as RK
+    from subjex.session import cut_lineage
     from subjex.operators.infer import generate
     content = docs.select("doc_id", compose_content(F.col("title"), F.col("abstract")).alias("content"))
     prompts = RK.relevance_prompts(ensemble, content, frame)
-    answers = generate(prompts, "prompt", generate_fn, batch=batch).select("doc_id", "term", "answer")
+    # read several times below: checkpointed so that the model is asked once
+    answers = cut_lineage(generate(prompts, "prompt", generate_fn, batch=batch).select("doc_id", "term", "answer"))
     accepted = RK.accept(answers, threshold, max_suggestions)
     return RK.normalise_relevance(accepted, ensemble, score_param)

@@ -101,13 +101,12 @@ def extract_records(df: DataFrame, json_col: str = "json", strict_order: bool =
 
 def scan_records(spark: SparkSession, path: str, subjects: Sequence[str], splits: Sequence[str],
                  text_types: Sequence[str], languages: Sequence[str]) -> DataFrame:
-    """``<path>/<subjects>/data/<split>/<text_type>/<language>/*.json``.
+    """``<path>/<subjects>/data/<split>/<text_type>/<language>/*``.
 
-    The four dimensions come from the file path; directories that do not
+    Every file counts, whatever its name ends with. The four dimensions come from the file path; directories that do not
     exist are simply absent from the listing."""
     validate_domain(subjects, splits, text_types, languages)
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True) \
-        .option("pathGlobFilter", "*.json").text(path) \
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path) \
         .select(F.col("value").alias("json"), F.col("_metadata.file_path").alias("file_path"))
     rx = r".*/([^/]+)/data/([^/]+)/([^/]+)/([^/]+)/[^/]+$"
     dims = raw.select("json", "file_path",

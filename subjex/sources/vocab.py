@@ -6,7 +6,7 @@ table (s, p, o) or as N-Triples lines, which a regular expression splits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subjex.functions.text import last_path_segment
@@ -16,7 +16,7 @@ from subjex.functions.unicode import nfc
 PREF_LABEL = "http://www.w3.org/2004/02/skos/core#prefLabel"
 ALT_LABEL = "http://www.w3.org/2004/02/skos/core#altLabel"
 
-_NT_LINE = r'^\s*<([^>]*)>\s+<([^>]*)>\s+"((?:[^"\\]|\\.)*)"(?:@[A-Za-z-]+|\^\^<[^>]*>)?\s*\.\s*$'
+_NT_LINE = r'^\s*<([^>]*)>\s+<([^>]*)>\s+"((?:[^"\\]|\\.)*)"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^>]*>)?\s*\.\s*$'
 
 
 def scan_ntriples(spark: SparkSession, path: str) -> DataFrame:
@@ -25,8 +25,15 @@ def scan_ntriples(spark: SparkSession, path: str) -> DataFrame:
     x = lines.select(F.regexp_extract("value", _NT_LINE, 1).alias("s"),
                      F.regexp_extract("value", _NT_LINE, 2).alias("p"),
                      F.regexp_extract("value", _NT_LINE, 3).alias("o"))
-    unescape = F.regexp_replace(F.regexp_replace(F.col("o"), r'\\"', '"'), r"\\\\", "\\\\")
-    return x.where(F.col("s") != "").select("s", "p", unescape.alias("o"))
+    return x.where(F.col("s") != "").select("s", "p", _unescape(F.col("o")).alias("o"))
+
+
+def _unescape(literal: Column) -> Column:
+    """The escapes of a literal are those of a JSON string, but for the apostrophe and eight-digit code points."""
+    plain = F.regexp_replace(literal, r"(?<!\\)((?:\\\\)*)\\'", "$1'")
+    plain = F.regexp_replace(plain, r"(?<!\\)((?:\\\\)*)\\U0000", r"$1\\u")
+    decoded = F.from_json(F.concat(F.lit('["'), plain, F.lit('"]')), "array<string>", {"allowUnquotedControlChars": "true"})
+    return F.coalesce(F.get(decoded, F.lit(0)), literal)
 
 
 def vocab_labels(triples: DataFrame, use_alt: bool = True, phrase: str | None = None) -> DataFrame:
