@@ -6,6 +6,10 @@ vector search, queries and labels are cut into blocks by size, each (query
 block, label block) meets once in a task that builds an inverted index of
 its labels and accumulates scores in numpy, and only the k best labels per
 query leave the task.
+
+A vocabulary holds one row per (label_id, label_text): a preferred label and
+each of its alternatives are scored as texts of their own, never merged. The
+row travels as ``row``, the md5 of its text.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import functions as F
 from subjex.operators.knn import block_count, nearest, spread, top_k
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
-SCORE_SCHEMA = "query_id long, label_id string, score double"
+SCORE_SCHEMA = "query_id long, label_id string, row string, score double"
 
 
 def tokens(c):
@@ -33,31 +37,33 @@ def round9(x: np.ndarray) -> np.ndarray:
 
 def bm25_weights(corpus: DataFrame, text_col: str = "label_text",
                  k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(label_id, token, weight) with weight = idf * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl)),
+    """(label_id, row, token, weight) with weight = idf * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl)),
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)), N = corpus rows, avgdl = tokens / N.
 
     One tokenisation feeds everything: the document length is the size of
     its token array (no second aggregate), N and the token total come from
-    one aggregate, df from the (label, token) table."""
-    docs = spread(corpus.select("label_id", text_col)).select("label_id", tokens(F.col(text_col)).alias("_t"))
+    one aggregate, df from the (label row, token) table. Rows of ``corpus``
+    are distinct; those without an id are no labels."""
+    docs = spread(corpus.select("label_id", text_col)).where("label_id is not null") \
+        .select("label_id", F.md5(text_col).alias("row"), tokens(F.col(text_col)).alias("_t"))
     totals = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("_t")).alias("tokens")).first()
     n = int(totals["n"])
     avgdl = float(totals["tokens"] or 0) / max(n, 1)
-    tf = docs.select("label_id", F.size("_t").alias("dl"), F.explode("_t").alias("token")) \
-        .groupBy("label_id", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    tf = docs.select("label_id", "row", F.size("_t").alias("dl"), F.explode("_t").alias("token")) \
+        .groupBy("label_id", "row", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl if avgdl > 0 else 1.0))
-    return tf.join(df, "token").select("label_id", "token", (idf * F.col("tf") * (k1 + 1) / norm).alias("weight"))
+    return tf.join(df, "token").select("label_id", "row", "token", (idf * F.col("tf") * (k1 + 1) / norm).alias("weight"))
 
 
 def bm25_index(corpus: DataFrame, text_col: str = "label_text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The keyword index of a vocabulary: postings (label_id, tok, weight),
+    """The keyword index of a vocabulary: postings (label_id, row, tok, weight),
     built once and cut from its lineage (a reliable checkpoint); reuse it
     for every query batch."""
     from subjex.session import cut_lineage
     w = bm25_weights(corpus, text_col, k1, b)
-    return cut_lineage(w.select("label_id", F.xxhash64("token").alias("tok"), "weight"))
+    return cut_lineage(w.select("label_id", "row", F.xxhash64("token").alias("tok"), "weight"))
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -75,9 +81,10 @@ def bm25(queries: DataFrame, corpus: DataFrame | None = None, k: int = 1, query_
          text_col: str = "label_text", k1: float = 1.2, b: float = 0.75,
          query_block_bytes: int = 64 << 20, label_block_bytes: int = 256 << 20,
          index: DataFrame | None = None) -> DataFrame:
-    """M3: the k labels of greatest BM25 score per query (distinct query tokens;
-    labels sharing no token with a query are not returned; ties by label_id
-    after rounding scores to 1e-9).
+    """M3: the k label rows of greatest BM25 score per query (distinct query
+    tokens; rows sharing no token with a query are not returned; ties by
+    label_id, then row, after rounding scores to 1e-9). Postings of tokens
+    that no query holds are left out before any block is built.
 
     Tokens travel as 64-bit hashes. A task sorts its label block's postings
     by token once, then scores each query with ``searchsorted`` ranges and a
@@ -86,26 +93,29 @@ def bm25(queries: DataFrame, corpus: DataFrame | None = None, k: int = 1, query_
     w = index if index is not None else bm25_index(corpus, text_col, k1, b)
     q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col(query_col)))).alias("token")) \
         .select("query_id", F.xxhash64("token").alias("tok")).distinct()
+    w = w.join(q.select("tok").distinct(), "tok", "left_semi")
     n_pairs = w.count()
     n_qtok = q.count()
     bq = block_count(n_qtok, 24, query_block_bytes)
-    bv = block_count(n_pairs, 48, label_block_bytes, queries.sparkSession.sparkContext.defaultParallelism)
+    bv = block_count(n_pairs, 88, label_block_bytes, queries.sparkSession.sparkContext.defaultParallelism)
     qx = q.select("query_id", "tok", F.pmod(F.xxhash64("query_id"), F.lit(bq)).cast("int").alias("qb"),
                   F.explode(F.sequence(F.lit(0), F.lit(bv - 1))).alias("vb"))
-    dx = w.select("label_id", "tok", "weight", F.pmod(F.xxhash64("label_id"), F.lit(bv)).cast("int").alias("vb"),
+    dx = w.select("label_id", "row", "tok", "weight", F.pmod(F.xxhash64("label_id"), F.lit(bv)).cast("int").alias("vb"),
                   F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qb"))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "label_id": pd.Series([], dtype=object),
-                              "score": pd.Series([], dtype="float64")})
+                              "row": pd.Series([], dtype=object), "score": pd.Series([], dtype="float64")})
         if left.empty or right.empty:
             return empty
-        labels, lab = np.unique(right["label_id"].to_numpy(dtype=object), return_inverse=True)
+        lab = right.groupby(["label_id", "row"], sort=True).ngroup().to_numpy()
+        labels = right[["label_id", "row"]].drop_duplicates().sort_values(["label_id", "row"])
+        ids, rows = labels["label_id"].to_numpy(dtype=object), labels["row"].to_numpy(dtype=object)
         order = np.argsort(right["tok"].to_numpy(), kind="stable")
         toks = right["tok"].to_numpy()[order]
         labs = lab[order]
         wts = right["weight"].to_numpy(dtype=np.float64)[order]
-        out_q, out_l, out_s = [], [], []
+        out_q, out_l, out_r, out_s = [], [], [], []
         left = left.sort_values("query_id", kind="stable")
         qids = left["query_id"].to_numpy()
         qtok = left["tok"].to_numpy()
@@ -115,17 +125,18 @@ def bm25(queries: DataFrame, corpus: DataFrame | None = None, k: int = 1, query_
             idx = _ranges(np.searchsorted(toks, t, "left"), np.searchsorted(toks, t, "right"))
             if not len(idx):
                 continue
-            sc = np.bincount(labs[idx], weights=wts[idx], minlength=len(labels))
+            sc = np.bincount(labs[idx], weights=wts[idx], minlength=len(ids))
             cand = np.unique(labs[idx])
             s9 = round9(sc[cand])
-            sel = cand[np.lexsort((cand, -s9))][:k]  # label index order = label_id order
+            sel = cand[np.lexsort((cand, -s9))][:k]  # index order = (label_id, row) order
             out_q.extend([int(qids[seg[0]])] * len(sel))
-            out_l.extend(labels[sel].tolist())
+            out_l.extend(ids[sel].tolist())
+            out_r.extend(rows[sel].tolist())
             out_s.extend(sc[sel].tolist())
         if not out_q:
             return empty
         return pd.DataFrame({"query_id": pd.Series(out_q, dtype="int64"), "label_id": pd.Series(out_l, dtype=object),
-                             "score": pd.Series(out_s, dtype="float64")})
+                             "row": pd.Series(out_r, dtype=object), "score": pd.Series(out_s, dtype="float64")})
 
     partial = qx.groupBy("qb", "vb").cogroup(dx.groupBy("qb", "vb")).applyInPandas(score, SCORE_SCHEMA)
     ranked = partial.withColumn("_s9", stable_round(F.col("score"), 9))
@@ -145,21 +156,22 @@ def hybrid(queries: DataFrame, vocab: DataFrame, alpha: float = 0.7, k_lists: in
     """M2: relative score fusion of the vector top-``k_lists`` and the BM25
     top-``k_lists`` of each query: each list min-max normalised, fused =
     alpha * vector + (1 - alpha) * keyword (0 when absent from a list), top-1
-    (ties by label_id). Also returns the true cosine of the winner, on which
+    (ties by label_id, then row). The lists hold label rows, so an alternative
+    label competes by its own vector and its own text. Also returns the true cosine of the winner, on which
     the mapping threshold works."""
     from subjex.functions.scores import stable_round
     from subjex.functions.vectors import cosine as cos_expr
     vec = nearest(queries.select("query_id", "embedding"), vocab.select("label_id", text_col, "embedding")
                   .withColumnRenamed(text_col, "label_text"), k=k_lists) \
-        .select("query_id", "label_id", F.col("cosine").alias("v"))
+        .select("query_id", "label_id", F.md5("label_text").alias("row"), F.col("cosine").alias("v"))
     kw = bm25(queries.select("query_id", query_col), vocab.select("label_id", text_col), k=k_lists,
-              query_col=query_col, text_col=text_col).select("query_id", "label_id", F.col("score").alias("k"))
-    fused = _minmax(vec, "v").join(_minmax(kw, "k"), ["query_id", "label_id"], "full_outer") \
-        .select("query_id", "label_id",
+              query_col=query_col, text_col=text_col).select("query_id", "label_id", "row", F.col("score").alias("k"))
+    fused = _minmax(vec, "v").join(_minmax(kw, "k"), ["query_id", "label_id", "row"], "full_outer") \
+        .select("query_id", "label_id", "row",
                 (F.lit(alpha) * F.coalesce("v", F.lit(0.0)) + F.lit(1 - alpha) * F.coalesce("k", F.lit(0.0)))
                 .alias("hybrid_score"))
     best = top_k(fused.withColumn("_s9", stable_round(F.col("hybrid_score"), 9)), 1, "query_id", "_s9").drop("_s9")
     qv = queries.select("query_id", F.col("embedding").alias("_qe"))
-    lv = vocab.select("label_id", F.col(text_col).alias("term"), F.col("embedding").alias("_le"))
-    return best.join(qv, "query_id").join(lv, "label_id") \
+    lv = vocab.select("label_id", F.md5(text_col).alias("row"), F.col(text_col).alias("term"), F.col("embedding").alias("_le"))
+    return best.join(qv, "query_id").join(lv, ["label_id", "row"]) \
         .select("query_id", "label_id", "term", "hybrid_score", cos_expr(F.col("_qe"), F.col("_le")).alias("cosine"))

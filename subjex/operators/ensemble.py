@@ -1,10 +1,10 @@
-"""Ensemble vote (A5, A6, A13, O1, O5): many (model, prompt) runs to one score
+"""Ensemble vote (A5, A6, A13, J10, O1, O5): many (model, prompt) runs to one score
 per (ensemble, doc, label). Ensembles are data: a ``members`` table
 (ensemble, model, prompt, ord), never lists of paths."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from subjex.functions.scores import clip01
@@ -52,6 +52,21 @@ def fused_mean(predictions: DataFrame, members: DataFrame, score: str = "score")
         (F.sum(score) / F.first("n")).alias("score"))
 
 
+def subtract_member(fused: DataFrame, member: DataFrame, n: int | Column, eps: float = 1e-10) -> DataFrame:
+    """J10 + P6 + P8: the mean of ``n`` members without one of them.
+
+    ``fused`` (doc_id, label_id, score) is the plain mean of A13, ``member``
+    (doc_id, label_id, score) the one to leave out, at its largest score per
+    pair; a pair it does not hold counts 0. Scores are clipped to [0, 1] and
+    pairs within ``eps`` of zero go, as they were the member's alone. ``n`` is
+    at least 2: a mean of no members is not defined and comes back empty."""
+    single = member.groupBy("doc_id", "label_id").agg(F.max("score").alias("_y"))
+    j = fused.select("doc_id", "label_id", "score").join(single, ["doc_id", "label_id"], "left")
+    n = n if isinstance(n, Column) else F.lit(n)
+    left = clip01(F.try_divide(n * F.col("score") - F.coalesce("_y", F.lit(0.0)), n - 1))
+    return j.select("doc_id", "label_id", left.alias("score")).where(F.abs("score") > eps)
+
+
 def existing_members(predictions: DataFrame, big_models: list[str] | None = None) -> DataFrame:
     """O1: (model, prompt) pairs that hold predictions, flagged big or small."""
     pairs = predictions.select(*MEMBER_KEY).distinct()

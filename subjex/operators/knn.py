@@ -120,9 +120,9 @@ def nearest(queries: DataFrame, vocab: DataFrame, k: int = 1,
 
 
 def top_k(df: DataFrame, k: int, key: str, score: str) -> DataFrame:
-    """Per-key top-k, ties by label_id, then label_text. A row_number filter, which Spark
+    """Per-key top-k, ties by label_id, then label_text or row. A row_number filter, which Spark
     limits per group before the shuffle."""
-    w = Window.partitionBy(key).orderBy(F.desc(score), *(c for c in ("label_id", "label_text") if c in df.columns))
+    w = Window.partitionBy(key).orderBy(F.desc(score), *(c for c in ("label_id", "label_text", "row") if c in df.columns))
     return df.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k).drop("_rk")
 
 

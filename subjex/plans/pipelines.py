@@ -49,7 +49,7 @@ def map_stage(completions: DataFrame, vocab: DataFrame, search: str = "vector",
     # that sizing and search read it instead of calling the model again
     text = cands.withColumn("_q", F.concat(F.lit(phrase), F.col("candidate")) if phrase else F.col("candidate"))
     q = cut_lineage(embed(text, "_q", encode=encode).select(
-        F.xxhash64("candidate").alias("query_id"), "candidate", "embedding"))
+        F.monotonically_increasing_id().alias("query_id"), "candidate", "embedding"))  # read from the checkpoint only
     if search == "vector":
         found = nearest(q.select("query_id", "embedding"), vocab, k=1).select(
             "query_id", "label_id", F.col("label_text").alias("term"),
@@ -74,10 +74,17 @@ def map_stage(completions: DataFrame, vocab: DataFrame, search: str = "vector",
     return best, removed, stats
 
 
+def without_content(docs: DataFrame) -> DataFrame:
+    """(doc_id) of the documents that ``complete_stage`` has no content for, to be counted or kept."""
+    from subjex.functions.text import compose_content
+    return docs.where(compose_content(F.col("title"), F.col("abstract")).isNull()).select("doc_id")
+
+
 def complete_stage(docs: DataFrame, frames: DataFrame, model: str, prompt: str, generate_fn,
                    budget_words: int | None = None, batch: int = 20) -> DataFrame:
     """The complete stage for one run: content (P2) -> fill (F6/F8) ->
-    generate (M6) -> parse (F1) -> completions rows."""
+    generate (M6) -> parse (F1) -> completions rows. A document without any
+    content has nothing to ask about; ``without_content`` returns those."""
     from subjex.functions.text import compose_content
     from subjex.operators.infer import completions, generate
     from subjex.operators.prompts import fill

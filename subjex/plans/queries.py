@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from subjex.functions.scores import clip01, stable_round
+from subjex.functions.scores import stable_round
 from subjex.functions.text import answer_keywords, compose_content, cut_words
 from subjex.operators import combine as C
 from subjex.operators import ensemble as E
@@ -109,10 +109,8 @@ def q_strata_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_micro_f1_at_5(spark: SparkSession, sf: str) -> DataFrame:
-    ranked = V.rank_predictions(X.pred(spark, sf).select(*MEMBER, "doc_id", "label_id", "score"), by=MEMBER)
-    top5 = V.cut(ranked, limit=5)
-    s = V.set_scores(X.gold(spark, sf), top5, by=MEMBER, mode="micro")
-    return rounded(s.select(*MEMBER, "metric", "value"))
+    p = X.pred(spark, sf).select(*MEMBER, "doc_id", "label_id", "score")
+    return rounded(V.f1_at_k(X.gold(spark, sf), p, k=5, by=MEMBER))
 
 
 def _member_grid(spark, sf, dense=True):
@@ -134,15 +132,13 @@ def q_opt_cutoff(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_pivot_metrics(spark: SparkSession, sf: str) -> DataFrame:
     s = V.set_scores(X.gold(spark, sf), X.pred(spark, sf), by=MEMBER)
-    return rounded(s.groupBy(*MEMBER).pivot("metric", list(V.METRICS)).agg(F.first("value")))
+    return rounded(V.pivot_metrics(s, by=MEMBER).drop(*V.STRATA))
 
 
 def q_candidates_auc(spark: SparkSession, sf: str) -> DataFrame:
     """O3 + T5: every candidate ensemble scored in one job, best ten kept."""
-    v = _vote(spark, sf).select("ensemble", "doc_id", "label_id", "score")
-    grid = V.pr_grid(X.gold(spark, sf), v, by=["ensemble"], steps=100)
-    auc = V.pr_auc(V.pr_curve(grid, by=["ensemble"]), by=["ensemble"])
-    return rounded(auc.orderBy(F.desc(stable_round(F.col("pr_auc"), 9)), "ensemble").limit(10))
+    from subjex.operators.search import score_ensembles
+    return rounded(score_ensembles(X.pred(spark, sf), X.members(spark, sf), X.gold(spark, sf), top=10))
 
 
 def q_subtract_member(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,12 +146,8 @@ def q_subtract_member(spark: SparkSession, sf: str) -> DataFrame:
     p = X.pred(spark, sf)
     mem = X.members(spark, sf).where(F.col("ensemble") == "all")
     fused = E.fused_mean(p, mem).drop("ensemble")
-    single = p.where((F.col("model") == "A") & (F.col("prompt") == "F")) \
-        .groupBy("doc_id", "label_id").agg(F.max("score").alias("_y"))
-    n_col = mem.select(F.count(F.lit(1))).scalar()
-    j = fused.join(single, ["doc_id", "label_id"], "left").withColumn("_y", F.coalesce("_y", F.lit(0.0)))
-    s = clip01((n_col * F.col("score") - F.col("_y")) / (n_col - 1))
-    return rounded(j.select("doc_id", "label_id", s.alias("score")).where(F.abs("score") > 1e-10))
+    one = p.where((F.col("model") == "A") & (F.col("prompt") == "F"))
+    return rounded(E.subtract_member(fused, one, mem.select(F.count(F.lit(1))).scalar()))
 
 
 # ------------------------------------------------------------- text
@@ -199,7 +191,7 @@ def q_knn_ivf(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_bm25_top1(spark: SparkSession, sf: str) -> DataFrame:
     from subjex.operators.bm25 import bm25
-    return rounded(bm25(X.text_queries(spark, sf), X.text_corpus(spark, sf), k=1))
+    return rounded(bm25(X.text_queries(spark, sf), X.text_corpus(spark, sf), k=1).drop("row"))
 
 
 def q_hybrid_top1(spark: SparkSession, sf: str) -> DataFrame:
@@ -261,13 +253,13 @@ def q_embed_batch(spark: SparkSession, sf: str) -> DataFrame:
 def q_greedy_forward(spark: SparkSession, sf: str) -> DataFrame:
     from subjex.operators.search import greedy_forward
     p = X.pred(spark, sf).select(*MEMBER, "doc_id", "label_id", "score")
-    return rounded(greedy_forward(p, X.gold(spark, sf), rounds=3))
+    return rounded(greedy_forward(p, X.gold(spark, sf)))
 
 
 def q_greedy_backward(spark: SparkSession, sf: str) -> DataFrame:
     from subjex.operators.search import greedy_backward
     p = X.pred(spark, sf).select(*MEMBER, "doc_id", "label_id", "score")
-    return rounded(greedy_backward(p, X.gold(spark, sf), rounds=3)[1])
+    return rounded(greedy_backward(p, X.gold(spark, sf))[1])
 
 
 def q_sample_ensembles(spark: SparkSession, sf: str) -> DataFrame:

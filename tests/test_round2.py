@@ -52,3 +52,58 @@ def test_nearest_label_rows_with_alternatives(spark):
     v = spark.createDataFrame([("a", "zeta", [1.0, 0.0]), ("a", "alpha", [1.0, 0.0]), ("b", "x", [0.0, 1.0])], "label_id string, label_text string, embedding array<double>")
     got = sorted((-r.cosine, r.label_id, r.label_text) for r in nearest(q, v, k=2).collect())
     assert [x[1:] for x in got] == [("a", "alpha"), ("a", "zeta")]
+
+
+VOCAB = [("a", "cat", [1.0, 0.0]), ("a", "feline animal", [0.6, 0.8]), ("b", "dog", [0.0, 1.0])]
+
+
+def test_keyword_search_scores_label_rows(spark):
+    import math
+    from subjex.operators.bm25 import bm25
+    v = spark.createDataFrame([x[:2] for x in VOCAB], "label_id string, label_text string")
+    q = spark.createDataFrame([(1, "cat"), (2, "animal dog"), (3, "bird")], "query_id long, query string")
+    got = {(r.query_id, r.label_id): r.score for r in bm25(q, v, k=5).collect()}
+    idf = math.log(1 + (3 - 1 + 0.5) / 1.5)
+    score = lambda length: idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * length / (4 / 3)))
+    want = {(1, "a"): score(1), (2, "a"): score(2), (2, "b"): score(1)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_hybrid_returns_the_label_row_that_won(spark):
+    from subjex.operators.bm25 import hybrid
+    v = spark.createDataFrame(VOCAB, "label_id string, label_text string, embedding array<double>")
+    q = spark.createDataFrame([(1, "cat", [1.0, 0.0]), (2, "feline", [0.6, 0.8])], "query_id long, query string, embedding array<double>")
+    got = sorted((r.query_id, r.label_id, r.term, round(r.cosine, 9)) for r in hybrid(q, v).collect())
+    assert got == [(1, "a", "cat", 1.0), (2, "a", "feline animal", 1.0)]
+
+
+def test_subtract_member_is_the_mean_of_the_others(spark):
+    from subjex.operators.ensemble import fused_mean, subtract_member
+    rows = [("m1", "p", 1, "x", 0.5), ("m2", "p", 1, "x", 0.25), ("m1", "p", 1, "y", 0.5), ("m3", "p", 2, "x", 0.75)]
+    pred = spark.createDataFrame(rows, "model string, prompt string, doc_id long, label_id string, score double")
+    members = lambda *m: spark.createDataFrame([("e", x, "p", i) for i, x in enumerate(m)], "ensemble string, model string, prompt string, ord int")
+    got = subtract_member(fused_mean(pred, members("m1", "m2", "m3")), pred.where("model = 'm1'"), 3)
+    key = lambda df: {(r.doc_id, r.label_id): round(r.score, 9) for r in df.collect()}
+    assert key(got) == key(fused_mean(pred, members("m2", "m3")))
+    assert subtract_member(fused_mean(pred, members("m1")), pred.where("model = 'm1'"), 1).count() == 0
+
+
+def test_replayed_batch_counts_once(spark, tmp_path):
+    from subjex.streaming import mapping_stream as S
+    vocab = spark.createDataFrame(VOCAB, "label_id string, label_text string, embedding array<double>")
+    vector = {"cat": [1.0, 0.0], "dog": [0.0, 1.0], "ox": [0.7, 0.7]}
+    encode = lambda texts: [vector[t] for t in texts]
+    answers = lambda *a: spark.createDataFrame([("m", "01", str(i), t) for i, t in enumerate(a)], S.RESPONSE_SCHEMA)
+    paths = str(tmp_path / "matches"), str(tmp_path / "pred")
+    removed = str(tmp_path / "removed")
+    for epoch, batch in ((0, answers("cat", "dog")), (1, answers("dog, ox")), (1, answers("dog, ox"))):
+        S.map_batch(batch, vocab, *paths, min_cosine=0.995, encode=encode, epoch=epoch, removed_path=removed)
+    assert sorted(r.candidate for r in spark.read.parquet(paths[0]).collect()) == ["cat", "dog", "ox"]
+    assert spark.read.parquet(paths[1]).count() == 3 and spark.read.parquet(removed).count() == 1
+    assert {r.prompt for r in S.finalise(spark, paths[1]).collect()} == {"01"}
+
+
+def test_documents_without_content_are_known(spark):
+    from subjex.plans.pipelines import without_content
+    docs = spark.createDataFrame([(1, "t", None), (2, None, None), (3, None, "a")], "doc_id long, title string, abstract string")
+    assert [r.doc_id for r in without_content(docs).collect() if r.doc_id == 2] == [2]
