@@ -200,7 +200,7 @@ def _wrap_round(sql: str, keep: list[str], dbl: list[str]) -> str:
 
 
 def _grid_sql(pred_sql: str, by: str) -> str:
-    """Brute force: every cell (threshold i/100, limit) x every gold document."""
+    """Brute force: each prediction of a gold document goes to every cell (threshold i/100, limit) that keeps it."""
     return f"""
 WITH p AS (SELECT {by}, doc_id, label_id, max({s9('score')}) AS score FROM ({pred_sql})
            WHERE score IS NOT NULL GROUP BY ALL),
@@ -214,11 +214,10 @@ mp AS (SELECT {by}, max(c) AS mx FROM (SELECT {by}, doc_id, count(*) AS c FROM p
 lims AS (SELECT {by}, unnest(generate_series(1, mx)) AS lim FROM mp),
 cells AS (SELECT lims.*, t.i FROM lims CROSS JOIN (SELECT unnest(generate_series(0, 100)) AS i) t),
 rj AS (SELECT r.*, gd.n_gold FROM r JOIN gd USING (doc_id)),
-per AS (SELECT c.{by.replace(', ', ', c.')}, c.i, c.lim, rj.doc_id, any_value(rj.n_gold) AS n_gold,
-               count(*) AS n_ret, sum(rj.hit) AS tp
-        FROM cells c JOIN rj ON {' AND '.join(f'c.{k} = rj.{k}' for k in by.split(', '))}
-             AND rj.rk <= c.lim AND rj.score >= CAST(c.i AS DOUBLE) / 100
-        GROUP BY ALL),
+en AS (SELECT rj.*, unnest(generate_series(rk, mx)) AS lim FROM rj JOIN mp USING ({by})),
+ei AS (SELECT en.*, unnest(generate_series(0, CAST(least(100, floor(greatest(score, -0.01) * 100) + 1) AS INT))) AS i FROM en),
+per AS (SELECT {by}, i, lim, doc_id, any_value(n_gold) AS n_gold, count(*) AS n_ret, sum(hit) AS tp
+        FROM ei WHERE score >= CAST(i AS DOUBLE) / 100 GROUP BY ALL),
 agg AS (SELECT {by}, i, lim, sum(CAST(tp AS DOUBLE) / n_ret) AS sp, count(*) AS nh,
                sum(CAST(tp AS DOUBLE) / n_gold) AS sr, sum(2.0 * tp / (n_ret + n_gold)) AS sf
         FROM per GROUP BY ALL)
