@@ -4,7 +4,7 @@ Each fixture has a Spark builder and the same definition as SQL (DuckDB
 dialect) used by the oracle queries. All of them read whole tables; the
 splits below are by value (a flag, a status, a label), never by id subsets.
 
-PRED   one prediction per lineitem with a non-zero tax; member = (returnflag,
+PRED   one prediction per lineitem; member = (returnflag,
        linestatus), doc = order, label = part, candidate = supplier.
 GOLD   distinct (order, part) of lineitems with discount >= 0.03, with the
        order's status / priority as language / text type.
@@ -12,6 +12,9 @@ GOLD   distinct (order, part) of lineitems with discount >= 0.03, with the
 
 from __future__ import annotations
 
+import string
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# -------------------------------------------------------------- ENCODER
+
+LETTERS = string.ascii_lowercase
+
+
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """Stand-in encoder that SQL can repeat: how often each letter occurs."""
+    return np.array([[t.count(c) for c in LETTERS] for t in texts], dtype=np.float64)
+
+
 # ----------------------------------------------------------------- PRED
 
 def pred(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from subjex.plans.fixtures import (ANSWERS_SQL, DATASET_SQL, DOCS_SQL, GOLD_SQL, MEMBERS_SQL,
                                    PRED_SQL, RANK_INPUT_SQL, RESP_SQL, STRATA_SQL, VEC_Q_SQL, VEC_V_SQL,
-                                   EXAMPLES_SQL, TRIPLES_SQL, PREF_LABEL, ALT_LABEL)
+                                   EXAMPLES_SQL, LETTERS, TRIPLES_SQL, PREF_LABEL, ALT_LABEL)
 from subjex.operators.prompts import CHATML
 
 
@@ -199,12 +199,12 @@ def _wrap_round(sql: str, keep: list[str], dbl: list[str]) -> str:
     return f"SELECT {', '.join(cols)} FROM ({sql})"
 
 
-def _grid_sql(pred_sql: str, by: str) -> str:
+def _grid_sql(pred_sql: str, by: str, gold_sql: str = GOLD_SQL) -> str:
     """Brute force: each prediction of a gold document goes to every cell (threshold i/100, limit) that keeps it."""
     return f"""
 WITH p AS (SELECT {by}, doc_id, label_id, max({s9('score')}) AS score FROM ({pred_sql})
            WHERE score IS NOT NULL GROUP BY ALL),
-g AS (SELECT DISTINCT doc_id, label_id FROM ({GOLD_SQL})),
+g AS (SELECT DISTINCT doc_id, label_id FROM ({gold_sql})),
 gd AS (SELECT doc_id, count(*) AS n_gold FROM g GROUP BY doc_id),
 nd AS (SELECT count(*) AS n FROM gd),
 r AS (SELECT p.*, rank() OVER (PARTITION BY {by}, p.doc_id ORDER BY p.score DESC) AS rk,
@@ -213,8 +213,8 @@ r AS (SELECT p.*, rank() OVER (PARTITION BY {by}, p.doc_id ORDER BY p.score DESC
 mp AS (SELECT {by}, max(c) AS mx FROM (SELECT {by}, doc_id, count(*) AS c FROM p GROUP BY ALL) GROUP BY ALL),
 lims AS (SELECT {by}, unnest(generate_series(1, mx)) AS lim FROM mp),
 cells AS (SELECT lims.*, t.i FROM lims CROSS JOIN (SELECT unnest(generate_series(0, 100)) AS i) t),
-rj AS (SELECT r.*, gd.n_gold FROM r JOIN gd USING (doc_id)),
-en AS (SELECT rj.*, unnest(generate_series(rk, mx)) AS lim FROM rj JOIN mp USING ({by})),
+rj AS (SELECT {by}, doc_id, score, rk, hit, n_gold FROM r JOIN gd USING (doc_id)),
+en AS MATERIALIZED (SELECT rj.*, unnest(generate_series(rk, mx)) AS lim FROM rj JOIN mp USING ({by})),
 ei AS (SELECT en.*, unnest(generate_series(0, CAST(least(100, floor(greatest(score, -0.01) * 100) + 1) AS INT))) AS i FROM en),
 per AS (SELECT {by}, i, lim, doc_id, any_value(n_gold) AS n_gold, count(*) AS n_ret, sum(hit) AS tp
         FROM ei WHERE score >= CAST(i AS DOUBLE) / 100 GROUP BY ALL),
@@ -246,6 +246,76 @@ GRID = _grid_sql(MEMBER_PRED, "model, prompt")
 VOTE_PRED = f"SELECT ensemble, doc_id, label_id, score FROM ({VOTE_SQL})"
 
 
+#: members are (return flag, line status): three by two; they go by their place in name order, labels by their number
+MAX_MEMBERS = 6
+LABEL_NUMBER = "CAST(substr(label_id, 5) AS BIGINT)"
+GREEDY_GOLD = f"SELECT doc_id, {LABEL_NUMBER} AS label_id FROM ({GOLD_SQL})"
+GREEDY_NAMES = f"""
+SELECT name, row_number() OVER (ORDER BY name) AS member FROM (SELECT DISTINCT model || '_' || prompt AS name FROM ({PRED_SQL}))"""
+GREEDY_SCORES = f"""
+SELECT member, doc_id, {LABEL_NUMBER} AS label_id, max({s9('score')}) AS score
+FROM ({PRED_SQL}) JOIN names ON name = model || '_' || prompt WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY ALL"""
+
+
+def _area_of(cte: str) -> str:
+    return _auc_sql(_grid_sql(f"SELECT candidate, doc_id, label_id, score FROM {cte}", "candidate", GREEDY_GOLD), "candidate")
+
+
+def _round_sql(k: int, candidates: str) -> list[str]:
+    """Round k: candidate sets, their areas, the pick and the names that remain."""
+    return [f"c{k} AS MATERIALIZED ({candidates})", f"a{k} AS MATERIALIZED ({_area_of(f'c{k}')})",
+            f"p{k} AS MATERIALIZED (SELECT candidate, pr_auc FROM a{k} ORDER BY {s9('pr_auc')} DESC, candidate LIMIT 1)",
+            f"n{k + 1} AS MATERIALIZED (SELECT member FROM n{k} WHERE member NOT IN (SELECT candidate FROM p{k}))"]
+
+
+def _greedy_start() -> list[str]:
+    return [f"names AS MATERIALIZED ({GREEDY_NAMES})", f"m AS MATERIALIZED ({GREEDY_SCORES})", "n0 AS MATERIALIZED (SELECT DISTINCT member FROM m)"]
+
+
+def greedy_forward_sql() -> str:
+    """Every round written out: each remaining member's set is the plain mean of the picks and itself."""
+    ctes = _greedy_start()
+    for k in range(MAX_MEMBERS):
+        picks = " UNION ALL ".join(f"SELECT candidate FROM p{j}" for j in range(k)) or "SELECT NULL WHERE FALSE"
+        ctes += _round_sql(k, f"""
+SELECT n.member AS candidate, m.doc_id, m.label_id, sum(m.score) / {k + 1} AS score
+FROM n{k} n JOIN m ON m.member = n.member OR m.member IN ({picks}) GROUP BY ALL""")
+    rows = " UNION ALL ".join(f"SELECT name AS model_prompt, {r6('pr_auc')} AS cum_score FROM p{k} JOIN names ON member = candidate" for k in range(MAX_MEMBERS))
+    return f"WITH {', '.join(ctes)} {rows}"
+
+
+def greedy_backward_sql() -> str:
+    """Every round written out: the sum of what remains, less one member, over one member fewer."""
+    ctes = [*_greedy_start(), "t0 AS MATERIALIZED (SELECT doc_id, label_id, sum(score) AS s FROM m GROUP BY ALL)",
+            "i AS (SELECT 0 AS candidate, doc_id, label_id, s / (SELECT count(*) FROM n0) AS score FROM t0)",
+            f"ia AS MATERIALIZED ({_area_of('i')})"]
+    for k in range(MAX_MEMBERS - 1):
+        ctes += _round_sql(k, f"""
+SELECT candidate, doc_id, label_id, score FROM (
+  SELECT candidate, doc_id, label_id, greatest(0.0, least(1.0, sum(part) / ((SELECT count(*) FROM n{k}) - 1))) AS score
+  FROM (SELECT n.member AS candidate, t.doc_id, t.label_id, t.s AS part FROM n{k} n CROSS JOIN t{k} t
+        UNION ALL SELECT m.member, m.doc_id, m.label_id, -m.score FROM n{k} n JOIN m USING (member))
+  WHERE (SELECT count(*) FROM n{k}) > 1 GROUP BY ALL)
+WHERE abs(score) > 1e-10""")
+        ctes.append(f"""t{k + 1} AS MATERIALIZED (
+SELECT doc_id, label_id, sum(s) AS s
+FROM (SELECT * FROM t{k} UNION ALL SELECT doc_id, label_id, -score FROM m WHERE member IN (SELECT candidate FROM p{k}))
+GROUP BY ALL HAVING abs(sum(s)) > 1e-10)""")
+    rows = " UNION ALL ".join(f"SELECT name AS model_prompt, {r6('pr_auc')} AS score, (SELECT {r6('pr_auc')} FROM ia) AS initial FROM p{k} JOIN names ON member = candidate"
+                              for k in range(MAX_MEMBERS - 1))
+    return f"WITH {', '.join(ctes)} {rows}"
+
+
+#: Whole texts as letter counts of unit length, one row for each dimension (the encoder `fixtures.letter_counts`).
+EMBED_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS row FROM documents),
+c AS (SELECT row, doc_id, dim, length(t) - length(replace(t, substr('{LETTERS}', dim + 1, 1), '')) AS x
+      FROM d CROSS JOIN (SELECT unnest(generate_series(0, {len(LETTERS) - 1})) AS dim)),
+e AS (SELECT *, greatest(sqrt(CAST(sum(x * x) OVER (PARTITION BY row) AS DOUBLE)), 1e-12) AS size FROM c)
+SELECT doc_id, CAST(dim AS INTEGER) AS dim, {r6('CAST(CAST(x / size AS FLOAT) AS DOUBLE)')} AS value FROM e
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["q_best_match"] = _wrap_round(BEST_MATCH_SQL, ["model", "prompt", "doc_id", "label_id", "candidate", "term"],
@@ -373,6 +443,10 @@ FROM v JOIN s USING (doc_id) GROUP BY v.doc_id
 """
     for name, k in (("q_knn_top1", 1), ("q_knn_topk", 5)):
         q[name] = f"SELECT query_id, label_id, label_text, {r6('cosine')} AS cosine FROM ({knn_sql(VEC_Q_SQL, VEC_V_SQL, k)})"
+    q["q_knn_ivf_all"] = q["q_knn_topk"]  # with every cluster probed the search is exact
+    q["q_embed_batch"] = EMBED_SQL
+    q["q_greedy_forward"] = greedy_forward_sql()
+    q["q_greedy_backward"] = greedy_backward_sql()
     q["q_bm25_top1"] = f"SELECT query_id, label_id, {r6('score')} AS score FROM ({bm25_sql(TEXTQ_SQL, TEXTC_SQL, 1)})"
     q["q_hybrid_top1"] = hybrid_sql(0.7, 10)
     q["q_vocab_labels"] = f"""

@@ -189,6 +189,13 @@ def q_knn_ivf(spark: SparkSession, sf: str) -> DataFrame:
                                     n_clusters=8, n_probe=3))
 
 
+def q_knn_ivf_all(spark: SparkSession, sf: str) -> DataFrame:
+    """M4 with every cluster probed: the exact top-k."""
+    from subjex.operators.knn import nearest_clusters
+    return rounded(nearest_clusters(X.vec_queries(spark, sf), X.vec_vocab(spark, sf), k=5,
+                                    n_clusters=8, n_probe=8))
+
+
 def q_bm25_top1(spark: SparkSession, sf: str) -> DataFrame:
     from subjex.operators.bm25 import bm25
     return rounded(bm25(X.text_queries(spark, sf), X.text_corpus(spark, sf), k=1).drop("row"))
@@ -245,7 +252,9 @@ def q_render_prompts(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_embed_batch(spark: SparkSession, sf: str) -> DataFrame:
     from subjex.operators.infer import embed
-    return embed(X.docs(spark, sf).select("doc_id", "title"), "title", batch=32)
+    vectors = embed(X.table(spark, sf, "documents").select("doc_id", "text"), "text", encode=X.letter_counts, batch=32)
+    return rounded(vectors.select("doc_id", F.posexplode("embedding").alias("dim", "value"))
+                   .withColumn("value", F.col("value").cast("double")))
 
 
 # ------------------------------------------------------------- ensemble search
@@ -259,7 +268,8 @@ def q_greedy_forward(spark: SparkSession, sf: str) -> DataFrame:
 def q_greedy_backward(spark: SparkSession, sf: str) -> DataFrame:
     from subjex.operators.search import greedy_backward
     p = X.pred(spark, sf).select(*MEMBER, "doc_id", "label_id", "score")
-    return rounded(greedy_backward(p, X.gold(spark, sf))[1])
+    initial, chain = greedy_backward(p, X.gold(spark, sf))
+    return rounded(chain.withColumn("initial", F.lit(initial)))
 
 
 def q_sample_ensembles(spark: SparkSession, sf: str) -> DataFrame:
@@ -394,6 +404,7 @@ REGISTRY = {
     "q_knn_top1": q_knn_top1,
     "q_knn_topk": q_knn_topk,
     "q_knn_ivf": q_knn_ivf,
+    "q_knn_ivf_all": q_knn_ivf_all,
     "q_bm25_top1": q_bm25_top1,
     "q_hybrid_top1": q_hybrid_top1,
     "q_vocab_labels": q_vocab_labels,
