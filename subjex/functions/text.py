@@ -74,6 +74,12 @@ def cut_words(text: Column, budget: Column | int) -> Column:
     return F.when(F.size(words) <= b, text).otherwise(F.array_join(F.slice(words, 1, F.greatest(b, F.lit(0))), " "))
 
 
+def n_words(text: Column) -> Column:
+    """Number of white-space word tokens; 0 for an empty text."""
+    trimmed = F.regexp_replace(text, _WORD_EDGES, "")
+    return F.when(F.length(trimmed) == 0, 0).otherwise(F.size(F.split(trimmed, _WORD_SEP, -1)))
+
+
 def token_budget(max_total: int, max_new: int, prompt_len: Column) -> Column:
     """F8 budget: total context minus answer tokens minus prompt tokens."""
     return F.lit(max_total - max_new) - prompt_len

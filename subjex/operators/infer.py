@@ -24,16 +24,17 @@ def _batches(pdf: pd.DataFrame, size: int):
 
 
 def embed(df: DataFrame, text_col: str, encode: Callable[[list[str]], np.ndarray] | None = None,
-          batch: int = 32, factory: Callable[[], Callable] | None = None, dim: int = 64) -> DataFrame:
+          batch: int = 32, factory: Callable[[], Callable] | None = None) -> DataFrame:
     """M5: ``embedding`` (array<float>, unit L2 norm) for every row.
 
     ``encode(list[str]) -> (n, d) array`` or a ``factory`` returning one
-    (built once per task). Without either, the hashed character n-gram
-    encoder below is used (a deterministic stand-in for a network)."""
+    (built once per task); one of them is required."""
+    if encode is None and factory is None:
+        raise ValueError("embed needs an encoder: encode or factory")
     schema = StructType(df.schema.fields + [StructField("embedding", ArrayType(FloatType()), True)])
 
     def run(it):
-        enc = factory() if factory else (encode or HashedNgramEncoder(dim))
+        enc = factory() if factory else encode
         for pdf in it:
             outs = []
             for b in _batches(pdf, batch):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subjex.functions.text import cut_words, fill_prompt
+from subjex.functions.text import compose_content, cut_words, fill_prompt, n_words, token_budget
 
 # The ChatML chat template (one of the three shipped templates).
 CHATML = {
@@ -50,20 +50,24 @@ def prompt_frames(runs: DataFrame, model_templates: DataFrame, templates: DataFr
 
 
 def fill(docs: DataFrame, frames: DataFrame, model: str, prompt: str,
-         budget_words: int | None = None) -> DataFrame:
+         budget_words: int | None = None, max_total: int | None = None, max_new: int = 100) -> DataFrame:
     """F6 + F8 for one run: every document put into the run's frame (a
     scalar subquery; frames hold one row per run), cut to the word budget
-    when one is given. Runs are stage instances, as in the reference."""
+    when one is given: ``budget_words`` itself, or what ``max_total`` leaves
+    beside the answer (``max_new``) and the frame. Texts within the budget
+    stay as they are."""
     frame = frames.where((F.col("model") == model) & (F.col("prompt") == prompt)).select("frame").scalar()
-    content = cut_words(F.col("content"), budget_words) if budget_words is not None else F.col("content")
+    budget = budget_words
+    if budget is None and max_total is not None:
+        budget = token_budget(max_total, max_new, n_words(F.replace(frame, F.lit("{text}"), F.lit(""))))
+    content = cut_words(F.col("content"), budget) if budget is not None else F.col("content")
     return docs.select(F.lit(model).alias("model"), F.lit(prompt).alias("prompt"), "doc_id",
                        fill_prompt(frame, content).alias("text"))
 
 
 def sample_examples(dataset: DataFrame, which: str, n: int, seed: int = 0) -> DataFrame:
     """T4: n seeded examples; text = title / abstract / both (joined by a
-    space), keywords = labels joined by ``", "``."""
-    text = {"title": F.col("title"), "abstract": F.col("abstract"),
-            "both": F.concat_ws(" ", F.col("title"), F.col("abstract"))}[which]
+    space; NULL if a needed part is NULL), keywords = labels joined by ``", "``."""
+    text = compose_content(F.col("title"), F.col("abstract"), which)
     picked = dataset.orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id").limit(n)
     return picked.select("doc_id", text.alias("text"), F.array_join("labels", ", ").alias("keywords"))

@@ -17,7 +17,7 @@ def _lit(s: str) -> str:
 
 
 CHATML_SQL = {k: _lit(v) for k, v in CHATML.items()}
-CHATML_SQL["head"] = _lit(CHATML["instruction"].replace("{custom_instruction}", "Extrahiere Schlagwörter"))
+CHATML_SQL["head"] = _lit(CHATML["instruction"].replace("{custom_instruction}", "Nenne treffende Begriffe"))
 
 
 def s9(x: str) -> str:

@@ -23,22 +23,25 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def map_stage(completions: DataFrame, vocab: DataFrame, search: str = "vector", alpha: float = 0.7,
               min_cosine: float = 0.7, id_table: DataFrame | None = None,
               allowed: DataFrame | None = None, score_param: str = "hybrid_score",
-              encode=None, by=("model", "prompt"), phrase: str | None = None,
+              encode=None, by=("model", "prompt"), phrase: str | None = None, n_probe: int | None = None,
               debug_rows: int | None = None):
     """M9: completions -> (predictions, removed, stats), one plan.
 
     A2 count rows -> A3 distinct keywords -> embed once per keyword (M5) ->
-    nearest label (M1) or hybrid (M2) -> J3 attach -> P3 threshold ->
+    nearest label (M1, or approximate by clusters, M4) or hybrid (M2) -> J3 attach -> P3 threshold ->
     J4/P4 ids -> J5 allow-list -> A4 best match -> P5 score -> A15 stats.
     ``vocab``: (label_id, label_text, embedding). ``phrase`` (F14) is put
     before every keyword before it is embedded, as the vocabulary labels may
     carry it (``vocab_labels(phrase=...)``). ``debug_rows`` (P13) limits the
-    completions for a quick look.
+    completions for a quick look. ``search="clusters"`` cuts the vocabulary
+    into about the square root of its size of clusters and probes ``n_probe``
+    (an eighth by default). With ``id_table`` the stats count the unmapped
+    matches of each run.
     """
     from subjex.operators import mapping as M
     from subjex.operators.bm25 import hybrid
     from subjex.operators.infer import embed
-    from subjex.operators.knn import nearest
+    from subjex.operators.knn import nearest, nearest_clusters
 
     if debug_rows:
         completions = completions.limit(debug_rows)
@@ -50,8 +53,14 @@ def map_stage(completions: DataFrame, vocab: DataFrame, search: str = "vector",
     text = cands.withColumn("_q", F.concat(F.lit(phrase), F.col("candidate")) if phrase else F.col("candidate"))
     q = cut_lineage(embed(text, "_q", encode=encode).select(
         F.monotonically_increasing_id().alias("query_id"), "candidate", "embedding"))  # read from the checkpoint only
-    if search == "vector":
-        found = nearest(q.select("query_id", "embedding"), vocab, k=1).select(
+    if search in ("vector", "clusters"):
+        queries = q.select("query_id", "embedding")
+        if search == "vector":
+            near = nearest(queries, vocab, k=1)
+        else:
+            n_clusters = max(1, round(vocab.count() ** 0.5))
+            near = nearest_clusters(queries, vocab, k=1, n_clusters=n_clusters, n_probe=n_probe or max(2, -(-n_clusters // 8)))
+        found = near.select(
             "query_id", "label_id", F.col("label_text").alias("term"),
             F.col("cosine").alias("cosine_similarity"), F.lit(None).cast("double").alias("hybrid_score"))
     elif search == "hybrid":
@@ -59,18 +68,21 @@ def map_stage(completions: DataFrame, vocab: DataFrame, search: str = "vector",
                        alpha=alpha).select("query_id", "label_id", "term",
                                            F.col("cosine").alias("cosine_similarity"), "hybrid_score")
     else:
-        raise ValueError("search must be 'vector' or 'hybrid'")
+        raise ValueError("search must be 'vector', 'clusters' or 'hybrid'")
     matches = cut_lineage(q.select("query_id", "candidate").join(found, "query_id").drop("query_id"))  # three outputs read it
     attached = M.attach_matches(rows, matches)
     kept, removed = M.split_threshold(attached, min_cosine)
     if id_table is not None:
-        kept, _unmapped = M.translate_ids(kept, id_table)
+        kept, unmapped = M.translate_ids(kept, id_table)
     else:
         kept = M.prefix_ids(kept)
     allowed_rows = M.allow(kept, allowed) if allowed is not None else kept
     best = M.select_score(M.best_match(allowed_rows, by=list(by)), score_param)
     stats = M.map_stats(best, removed, kept if allowed is not None else None,
                         allowed_rows if allowed is not None else None, by=list(by))
+    if id_table is not None:
+        lost = unmapped.groupBy(*by).agg(F.count(F.lit(1)).alias("n_unmapped_ids"))
+        stats = stats.join(lost, list(by), "full_outer").fillna(0, ["n_unmapped_ids"])
     return best, removed, stats
 
 
@@ -81,7 +93,7 @@ def without_content(docs: DataFrame) -> DataFrame:
 
 
 def complete_stage(docs: DataFrame, frames: DataFrame, model: str, prompt: str, generate_fn,
-                   budget_words: int | None = None, batch: int = 20) -> DataFrame:
+                   budget_words: int | None = None, batch: int = 20, max_total: int | None = None, max_new: int = 100) -> DataFrame:
     """The complete stage for one run: content (P2) -> fill (F6/F8) ->
     generate (M6) -> parse (F1) -> completions rows. A document without any
     content has nothing to ask about; ``without_content`` returns those."""
@@ -89,7 +101,7 @@ def complete_stage(docs: DataFrame, frames: DataFrame, model: str, prompt: str,
     from subjex.operators.infer import completions, generate
     from subjex.operators.prompts import fill
     content = docs.select("doc_id", compose_content(F.col("title"), F.col("abstract")).alias("content"))
-    prompts = fill(content.where(F.col("content").isNotNull()), frames, model, prompt, budget_words)
+    prompts = fill(content.where(F.col("content").isNotNull()), frames, model, prompt, budget_words, max_total, max_new)
     answers = generate(prompts, "text", generate_fn, batch=batch)
     return completions(answers.select("model", "prompt", "doc_id", "answer"))
 

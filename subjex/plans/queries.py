@@ -247,7 +247,7 @@ def q_sample_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_render_prompts(spark: SparkSession, sf: str) -> DataFrame:
     from subjex.operators.prompts import CHATML, render_examples
-    return render_examples(X.examples(spark, sf), CHATML, instruction="Extrahiere Schlagwörter")
+    return render_examples(X.examples(spark, sf), CHATML, instruction="Nenne treffende Begriffe")
 
 
 def q_embed_batch(spark: SparkSession, sf: str) -> DataFrame:
@@ -283,14 +283,14 @@ def q_sample_ensembles(spark: SparkSession, sf: str) -> DataFrame:
 def q_map_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """M9 end to end: keywords parsed from the assistant answers mapped onto
     a vocabulary of part names (embedded by the hashed n-gram encoder)."""
-    from subjex.operators.infer import completions, embed
+    from subjex.operators.infer import HashedNgramEncoder, completions, embed
     from subjex.plans.pipelines import map_stage
     from subjex.sources.vocab import vocab_labels
     comp = completions(X.responses(spark, sf))
     from subjex.session import cut_lineage
-    vocab = cut_lineage(embed(vocab_labels(X.triples(spark, sf)), "label_text"))  # the built vocabulary (M8)
+    vocab = cut_lineage(embed(vocab_labels(X.triples(spark, sf)), "label_text", encode=HashedNgramEncoder()))  # the built vocabulary (M8)
     best, _removed, _stats = map_stage(comp, vocab, search="vector", min_cosine=0.3,
-                                       score_param="cosine_similarity")
+                                       score_param="cosine_similarity", encode=HashedNgramEncoder())
     return rounded(best)
 
 
@@ -365,7 +365,7 @@ def q_complete_stage(spark: SparkSession, sf: str) -> DataFrame:
     ex = X.examples(spark, sf)
     top = ex.groupBy("prompt").count().orderBy(F.desc("count"), "prompt").first()["prompt"]
     frames = render_examples(ex.where(F.col("prompt") == top), CHATML).withColumn("model", F.lit("stub"))
-    return complete_stage(X.docs(spark, sf), frames, "stub", top, _stub_keywords, budget_words=200)
+    return complete_stage(X.docs(spark, sf), frames, "stub", top, _stub_keywords, max_total=16384, max_new=100)
 
 
 def q_rank_stage(spark: SparkSession, sf: str) -> DataFrame:

@@ -46,10 +46,8 @@ def vocab_labels(triples: DataFrame, use_alt: bool = True, phrase: str | None =
     preds = [PREF_LABEL] + ([ALT_LABEL] if use_alt else [])
     t = triples.where(F.col("p").isin(preds))
     text = F.concat(F.lit(phrase), F.col("o")) if phrase else F.col("o")
-    rows = t.select(last_path_segment(F.col("s")).alias("label_id"), text.alias("_raw"),
-                    (F.col("p") == PREF_LABEL).alias("is_prefLabel"))
-    texts = rows.select("_raw").distinct().select("_raw", nfc(F.col("_raw")).alias("label_text"))
-    return rows.join(texts, "_raw", "inner").select("label_id", "label_text", "is_prefLabel")
+    return t.where(F.col("o").isNotNull()).select(last_path_segment(F.col("s")).alias("label_id"), nfc(text).alias("label_text"),
+                                                  (F.col("p") == PREF_LABEL).alias("is_prefLabel"))
 
 
 def build_vocab(triples: DataFrame, encode, use_alt: bool = True, phrase: str | None = None,

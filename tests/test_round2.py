@@ -107,3 +107,48 @@ def test_documents_without_content_are_known(spark):
     from subjex.plans.pipelines import without_content
     docs = spark.createDataFrame([(1, "t", None), (2, None, None), (3, None, "a")], "doc_id long, title string, abstract string")
     assert [r.doc_id for r in without_content(docs).collect() if r.doc_id == 2] == [2]
+
+
+def _counts(texts):
+    import numpy as np
+    return np.array([[t.count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts], dtype=float)
+
+
+def test_embed_needs_an_encoder(spark):
+    import pytest
+    from subjex.operators.infer import embed
+    with pytest.raises(ValueError):
+        embed(spark.createDataFrame([("x",)], "t string"), "t")
+
+
+def test_prompt_budget_from_the_frame(spark):
+    from subjex.operators.prompts import fill
+    frames = spark.createDataFrame([("m", "p", "ask now: {text} end")], "model string, prompt string, frame string")
+    docs = spark.createDataFrame([(1, "a  b\nc"), (2, "a b c d e f"), (3, "")], "doc_id long, content string")
+    got = {r.doc_id: r.text for r in fill(docs, frames, "m", "p", max_total=10, max_new=3).collect()}  # 10 - 3 - 3 words
+    assert got == {1: "ask now: a  b\nc end", 2: "ask now: a b c d end", 3: "ask now:  end"}
+    tight = {r.doc_id: r.text for r in fill(docs, frames, "m", "p", max_total=5, max_new=3).collect()}
+    assert tight[2] == "ask now:  end"
+    assert fill(docs, frames, "m", "p").where("doc_id = 2").first().text == "ask now: a b c d e f end"
+
+
+def test_examples_without_a_part_have_no_text(spark):
+    from subjex.operators.prompts import sample_examples
+    rows = spark.createDataFrame([(1, "T", None, ["k"]), (2, "T", "A", ["k", "l"])], "doc_id long, title string, abstract string, labels array<string>")
+    assert {r.doc_id: r.text for r in sample_examples(rows, "both", 5).collect()} == {1: None, 2: "T A"}
+
+
+def test_map_stage_by_clusters_and_unmapped_ids(spark):
+    from subjex.operators.infer import embed
+    from subjex.plans.pipelines import map_stage
+    words = ["apple", "pear", "quince", "melon", "fig", "grape", "mango", "cherry", "plum"]
+    vocab = embed(spark.createDataFrame([(str(i), w) for i, w in enumerate(words)], "label_id string, label_text string"), "label_text", encode=_counts)
+    comp = spark.createDataFrame([("m", "p", d, w) for d, w in enumerate([*words, "plum"])], "model string, prompt string, doc_id long, candidate string")
+    ids = spark.createDataFrame([(str(i), str(100 + i)) for i in range(8)], "idn string, gnd_id string")  # none for plum
+    args = dict(encode=_counts, min_cosine=0.5, score_param="cosine_similarity", id_table=ids)
+    rows = []
+    for search in ({"search": "vector"}, {"search": "clusters", "n_probe": 3}):
+        best, _, stats = map_stage(comp, vocab, **search, **args)
+        rows.append(sorted((r.doc_id, r.label_id) for r in best.collect()))
+        assert [r.n_unmapped_ids for r in stats.collect()] == [2]
+    assert rows[0] == rows[1] == [(d, f"gnd:{100 + d}") for d in range(8)]
