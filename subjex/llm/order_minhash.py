@@ -13,11 +13,12 @@ within the similarity always have one kind in common.
 Candidates. Exact copies (equal word sequences) collapse first; only one
 representative goes on. Each bucket has a hub, the member that shares most
 buckets with others, and every member is compared with it: n - 1 comparisons
-for n members. Members that end up in another class than their hub are
-compared with the bucket's second hub too, and go on among themselves into
-finer buckets (the key joined with a further one), with a hub each, until every
-one is alone or among its own class. So each step costs one comparison a
-member, no group is paired out, and no member is left out.
+for n members. Buckets that still span several classes are then compared
+whole: every member outside the bucket's largest class with every member of
+another class. That runs inside tasks over blocks of about ``BLOCK`` words, where
+postings count the elements two texts have in common; pairs whose count cannot
+reach the similarity are dropped, which loses nothing, and the others are aligned.
+So two texts that share a bucket and reach the similarity are always in one class.
 
 Verification aligns two element sequences: common elements within the band of
 diagonals that the similarity allows, longest chain increasing in both. The
@@ -27,7 +28,9 @@ allowed. Classes are the connected components of the links.
 
 Scale. Sketches (not texts) are shuffled for all documents; texts once, to
 find those in shared buckets. Hub joins are skew-splittable equi-joins on
-representatives. Nothing is collected.
+representatives. No pair of the second comparison becomes a row, only links do;
+a bucket over several blocks sends each block to as many tasks as its members
+outside the largest class fill blocks. Nothing is collected.
 
 Defined results. Texts are lower-cased; words are runs of letters and digits.
 Null, empty and wordless texts are their own classes. Texts under ``SHINGLE``
@@ -52,6 +55,7 @@ from subjex.llm.words import _random_odd, mix, windows, word_hashes
 SHINGLE = 5
 LONG, SKETCHES, PICK = 32, 40, 8
 SHORT, SHORT_SKETCHES, SHORT_PICK = 50, 10, 2
+BLOCK = 1 << 19
 SKETCHED = "doc_id long, n long, fp1 long, fp2 long, few array<long>, many array<long>"
 LINKED = "a long, b long, similar double"
 _OCCURRENCE = np.uint64(0xD1B54A32D192ED03)
@@ -173,49 +177,94 @@ def _hub(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("key").agg(F.max(F.struct("w", (-F.col("doc")).alias("minus"))).alias("m")).select("key", (-F.col("m.minus")).alias(name))
 
 
-def _strays(rows: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
-    """Further candidates for the members outside their hub's class. rows: (key, doc, w, hub)."""
-    of = found.select(F.col("node").alias("doc"), "component")
-    named = lambda side: of.select(F.col("doc").alias(side), F.col("component").alias(f"{side}_class"))
-    rows = (rows.join(of, "doc", "left").join(named("hub"), "hub", "left")
-            .select("key", "doc", "w", "hub", F.coalesce("component", "doc").alias("class"), F.coalesce("hub_class", "hub").alias("hub_class")))
+def _mixed(buckets: DataFrame, found: DataFrame, reps: DataFrame, block: int) -> DataFrame:
+    """(key, lo, hi, place, doc, class): members of the buckets that span several classes, by pair of blocks to compare.
+
+    Blocks of members outside the bucket's largest class come first (0 to ``few`` - 1), then those of the largest
+    class; a pair has at least one of the former. Buckets with the same members are compared once.
+    """
+    of = found.select(F.col("node").alias("doc"), F.col("component").alias("class"))
+    rows = (buckets.select("key", "doc").join(of, "doc", "left").join(reps.select("doc", "n"), "doc")
+            .select("key", "doc", F.coalesce("class", "doc").alias("class"), "n"))
     rows = materialise(rows, "classed-buckets")
-    strays = rows.where("class <> hub_class").select("key", "doc", "w", "class")
-    second = _hub(rows.where("doc <> hub").join(strays.select("key").distinct(), "key", "left_semi"), "second")
-    out = [_pairs(strays.join(second, "key").where("doc <> second"), "doc", "second")]
-    level = strays
-    for depth in range(1, SKETCHES):
-        mixed = level.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
-        level = materialise(level.join(mixed, "key", "left_semi"), "finer-buckets")
-        if level.isEmpty():
-            break
-        met = level.join(_hub(level, "hub"), "key").where("doc <> hub")
-        out.append(_pairs(met, "doc", "hub"))
-        at = lambda n: F.pmod(F.pmod(F.col("key"), F.lit(n)) + 7 * depth, F.lit(n)).cast("int")  # noqa: E731, B023
-        step = F.array(F.get("few", at(SHORT_SKETCHES)), F.get("many", at(SKETCHES)))
-        level = (met.join(reps.select("doc", "few", "many"), "doc").select("key", "doc", "w", "class", F.explode(step).alias("more")).where("more is not null")
-                 .select(F.xxhash64("key", "more").alias("key"), "doc", "w", "class"))
-    pairs = out[0]
-    for p in out[1:]:
-        pairs = pairs.unionByName(p)
-    return pairs.distinct()
-
-
-def near_duplicate_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    same = [F.bit_xor(F.xxhash64("doc", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
+    sets = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high"), *same).where("low <> high")
+    kept = rows.join(sets.groupBy("size", "x0", "x1").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+    shares = materialise(kept.groupBy("key", "class").agg(F.count("*").alias("m"), F.sum("n").alias("words")), "bucket-classes")
+    blocks = lambda words: F.ceil(words / F.lit(block)).cast("int")
+    plan = (shares.groupBy("key").agg(F.max(F.struct("m", "class", "words")).alias("top"), F.sum("words").alias("words"))
+            .select("key", F.col("top.class").alias("top"), (F.col("words") <= block).alias("whole"), F.col("words") - F.col("top.words"), F.col("top.words"))
+            .toDF("key", "top", "whole", "words_few", "words_top")
+            .select("key", "top", F.when(F.col("whole"), 1).otherwise(blocks(F.col("words_few"))).alias("few"), F.when(F.col("whole"), 0).otherwise(blocks(F.col("words_top"))).alias("many")))
+    salted = lambda n: F.pmod(F.xxhash64("doc", F.lit(7)), F.col(n)).cast("int")
+    member = (kept.join(plan, "key").withColumn("in_top", (F.col("class") == F.col("top")) & (F.col("many") > 0))
+              .withColumn("place", F.when(F.col("in_top"), F.col("few") + F.when(F.col("many") > 0, salted("many"))).otherwise(salted("few"))))
+    partner = F.explode(F.sequence(F.lit(0), F.col("few") - 1 + F.when(F.col("in_top"), 0).otherwise(F.col("many"))))
+    return (member.select("key", "doc", "class", "place", partner.alias("other"))
+            .select("key", F.least("place", "other").alias("lo"), F.greatest("place", "other").alias("hi"), "place", "doc", "class"))
+
+
+def links_across(doc: list[int], classes: list[int], place: list[int], texts: list[np.ndarray], similarity: float) -> list[tuple[int, int, float]]:
+    """Links that join the classes of one pair of blocks (or of one block with itself) as far as any of its pairs do."""
+    size = np.array([len(t) for t in texts])
+    value, code = np.unique(np.concatenate(texts), return_inverse=True)
+    holder = np.repeat(np.arange(len(texts)), size)[np.argsort(code, kind="stable")]
+    at = np.searchsorted(np.sort(code), np.arange(len(value) + 1))
+    ends = np.append(0, np.cumsum(size))
+    parent = {c: c for c in classes}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    cls, where = np.array(classes), np.array(place)
+    across = where.min() != where.max()
+    kinds, counts = np.unique(cls, return_counts=True)
+    out = []
+    for i in np.flatnonzero(cls != kinds[np.argmax(counts)]).tolist():
+        common = np.zeros(len(texts), np.int64)
+        for c in code[ends[i]:ends[i + 1]].tolist():
+            common[holder[at[c]:at[c + 1]]] += 1  # a text holds an element once
+        near = (common > 0) & (common >= similarity * (size[i] + size - common) - 1e-9) & (cls != cls[i])
+        if across:
+            near &= where != where[i]
+        for j in np.flatnonzero(near).tolist():
+            x, y = root(classes[i]), root(classes[j])
+            if x != y:
+                got = aligned(texts[i], texts[j], similarity)
+                if got >= similarity - 1e-9:
+                    parent[x] = y
+                    out.append((min(doc[i], doc[j]), max(doc[i], doc[j]), got))
+    return out
+
+
+def _links_in_mixed(mixed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, similar) of links between classes that share a bucket."""
+    def run(group: pa.Table) -> pa.Table:
+        col = group.column("text").combine_chunks()
+        words, at = word_hashes(col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col)
+        doc, classes, place = (group.column(c).to_pylist() for c in ("doc", "class", "place"))
+        found = links_across(doc, classes, place, [elements(words[x:y]) for x, y in zip(at.tolist(), at[1:].tolist())], similarity) if len(set(classes)) > 1 else []
+        return pa.table([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similar"])
+
+    both = mixed.join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
+    return both.groupBy("key", "lo", "hi").applyInArrow(run, LINKED)
+
+
+def near_duplicate_classes(docs: DataFrame, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
     """(doc_id, class_id) of every row with a doc_id; class_id is the smallest doc_id of the class."""
     small_batches(docs.sparkSession)
     all_rows = materialise(sketched(docs), "sketches")
-    copies = all_rows.where("n > 0").groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "few", "many")).alias("r"))
-    reps = materialise(copies.select("fp1", "fp2", F.col("r.doc_id").alias("doc"), F.col("r.few").alias("few"), F.col("r.many").alias("many")), "representatives")
+    copies = all_rows.where("n > 0").groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "n", "few", "many")).alias("r"))
+    reps = materialise(copies.select("fp1", "fp2", F.col("r.doc_id").alias("doc"), F.col("r.n").alias("n"), F.col("r.few").alias("few"), F.col("r.many").alias("many")), "representatives")
     buckets = _buckets(reps)
     involved = buckets.select(F.col("doc").alias("doc_id")).distinct()
     texts = materialise(_norm(docs).join(involved.hint("merge"), "doc_id", "left_semi"), "bucket-texts")
-    hubbed = materialise(buckets.join(_hub(buckets, "hub"), "key").where("doc <> hub"), "hubs")
-    first = materialise(_pairs(hubbed, "doc", "hub"), "hub-pairs")
+    first = materialise(_pairs(buckets.join(_hub(buckets, "hub"), "key").where("doc <> hub"), "doc", "hub"), "hub-pairs")
     links = materialise(verify(first, texts, similarity), "links")
     found = components(links)
-    rest = materialise(_strays(hubbed, found, reps).join(first, ["a", "b"], "left_anti"), "stray-pairs")
-    more = materialise(verify(rest, texts, similarity), "links")
+    more = materialise(_links_in_mixed(_mixed(buckets, found, reps, block), texts, similarity), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
     member = all_rows.where("n > 0").select("doc_id", "fp1", "fp2").join(reps.select("fp1", "fp2", "doc"), ["fp1", "fp2"])
