@@ -148,18 +148,25 @@ _STEP = re.compile(rf"(?P<at>(?<=[A-Za-z0-9])(?:{_AT_SIGN}|{_AT_SPACED})(?=[A-Za
 _FIXED = {"at": "@", "dot": ".", "at_code": "@", "dot_code": ".", "plus": "+", "o": "0", "l": "1"}
 _WORD = re.compile(rf"{_DIGIT_WORD}|oh", re.I)
 _BRACKETED = re.compile(rf"{_OPEN}\s*(?:{_words(AT_WORDS)}|{_words(DOT_WORDS)}|@|\.)\s*{_CLOSE}")
+_RULED = re.compile(rf"[_*|~-](?:{_words(AT_WORDS)}|{_words(DOT_WORDS)})[_*|~-]")
 _LETTER_DIGIT = re.compile("[0-9][oli]")
-_BLANK = str.maketrans(",.-", "   ")
+#: A digit word can matter only beside another digit (word) or a plus sign; one with a letter beyond ASCII also in a host or local part.
+_COUNTED = re.compile(rf"\b(?:{_words(PLUS_WORDS)})\s+(?:{_DIGIT_WORD}|[0-9])|\b(?:{_DIGIT_WORD})\b[\s,.()-]*(?:[0-9]|(?:{_DIGIT_WORD}|oh)\b)|[0-9+][ ().-]*\b(?:{_DIGIT_WORD})\b")
+_SPLIT = re.compile(r"\W+")
+_NUMBER_WORDS, _DOTS, _ACCENTED = frozenset((*SPELLED, *PLUS_WORDS.split())), frozenset(DOT_WORDS.split()), frozenset(w for w in SPELLED if not w.isascii())
 
 
 def _disguised(text: str) -> bool:
-    """A cheap trace of some spoken or coded disguise: most texts stop here."""
+    """Whether the second transducer can add a span: most texts stop here. True for every text it finds something in."""
     low = text.lower()
-    if any(w in low for w in (*DOT_WORDS.split(), "&#", "%40", "%2e", "&commat;", "&period;")):
+    if not text.isascii():
+        low = low.replace("i\u0307", "i").replace("\u0131", "i")  # as patterns that ignore case have it
+    if any(w in low for w in ("&#", "%40", "%2e", "&commat;", "&period;")) or _RULED.search(low) or _LETTER_DIGIT.search(low):
         return True
-    if any(c in low for c in "([{<") and _BRACKETED.search(low) or _LETTER_DIGIT.search(low):
+    if any(c in low for c in "([{<") and _BRACKETED.search(low):
         return True
-    return "1111" in "".join(["1" if w in SPELLED or w[0] in "0123456789" else "0" for w in low.translate(_BLANK).split()])
+    words = set(_SPLIT.split(low))
+    return not words.isdisjoint(_DOTS) or not words.isdisjoint(_ACCENTED) or not words.isdisjoint(_NUMBER_WORDS) and bool(_COUNTED.search(low))
 
 
 class Rewritten:

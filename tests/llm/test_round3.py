@@ -1,4 +1,4 @@
-"""Findings of the second advice: whole comparison of mixed buckets."""
+"""Findings of the second advice."""
 
 import itertools
 import random
@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 
-from subjex.llm import order_minhash
+from subjex.llm import deobfuscate, order_minhash
 
 
 def _template_texts(groups, members, seed):
@@ -55,3 +55,22 @@ def test_near_duplicate_forms_equal_all_pairs_of_each_bucket(spark):
         frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
         got = {r.doc_id: r.class_id for r in order_minhash.near_duplicate_classes(frame, block=block).collect()}
         assert got == _bucket_classes(texts)
+
+
+def test_disguises_are_found_without_unrelated_words(monkeypatch):
+    card = "two oh two five oh five oh one two three four five six seven eight"
+    texts = ["john_at_example.com", "jane-at-example.org", "plus 49 3012345678", "(four one one one one one one one one one one one one one one one)",
+             "+49 30 one 2345678", "a@fünf.com", "call/+one five five five one two three four five six seven/", card]
+    found = [deobfuscate.added_spans(t, deobfuscate.base_spans(t)) for t in texts]
+    assert all(found[:7])
+    rng = random.Random(4)
+    parts = ["john", "example", "com", " ", " ", " ", "at", "dot", "_", "-", "@", ".", "+", "plus", "one", "two", "oh", "fünf", "Zéro", "ONE", "4111", "1", "30", "(", ")", "[", "]", "/", ",", "\n",
+             "&#64;", "%2e", "o", "l", "168", "192", "un", "más", "ät", "&period;", "|", "~", "{", "}", "\t", "K", "ı"]
+    runs = ["one ", "two-", "oh ", "five. ", "1 ", "1111 ", "(", ")", "+", "plus ", "2", " dot ", "four,", "\n"]
+    for k in range(30_000):
+        texts.append("".join(rng.choice(runs if k % 2 else parts) for _ in range(rng.randint(1, 30))))
+    gated = [deobfuscate.added_spans(t, deobfuscate.base_spans(t)) for t in texts]
+    monkeypatch.setattr(deobfuscate, "_disguised", lambda text: True)
+    for t, g in zip(texts, gated):
+        assert g == deobfuscate.added_spans(t, deobfuscate.base_spans(t)), t
+    assert sum(map(bool, gated)) > 100
