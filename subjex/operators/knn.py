@@ -128,13 +128,38 @@ def top_k(df: DataFrame, k: int, key: str, score: str) -> DataFrame:
 
 # ------------------------------------------------------------------ M4
 
+def _probes_needed(queries: DataFrame, assigned: DataFrame, centers: np.ndarray, k: int, recall: float, sample: int) -> int:
+    """The fewest clusters by which some queries find the share ``recall`` of their exact nearest labels."""
+    some = queries.select("query_id", "embedding").orderBy(F.xxhash64("query_id"), "query_id").limit(sample)
+    exact = nearest(some, assigned.select("label_id", "label_text", "embedding"), k).select("query_id", "label_id", "label_text")
+    homes = exact.join(assigned.select("label_id", "label_text", "cluster"), ["label_id", "label_text"]).select("query_id", "cluster")
+
+    def places(batches):
+        for b in batches:
+            x = _stack(b["embedding"])
+            if len(b):
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                near = np.argsort(-(x @ centers.T), axis=1, kind="stable")
+                yield pd.DataFrame({"place": (near == b["cluster"].to_numpy()[:, None]).argmax(1).astype("int64") + 1})
+
+    found = some.join(homes, "query_id").select("embedding", "cluster").mapInPandas(places, "place long").groupBy("place").count().orderBy("place").collect()  # a row per cluster
+    total, sofar = sum(r["count"] for r in found), 0
+    for r in found:
+        sofar += r["count"]
+        if sofar >= recall * total:
+            return r["place"]
+    return 1
+
+
 def nearest_clusters(queries: DataFrame, vocab: DataFrame, k: int = 1, n_clusters: int = 16,
-                     n_probe: int = 2, seed: int = 7, max_iter: int = 10,
+                     n_probe: int = 2, seed: int = 7, max_iter: int = 10, recall: float = 0.95, sample: int = 1000,
                      query_block_bytes: int = 64 << 20, vocab_block_bytes: int = 256 << 20) -> DataFrame:
     """M4: approximate search by coarse clusters (inverted file).
 
     The vocabulary is clustered with Spark ML k-means on unit vectors; each
-    query probes its ``n_probe`` nearest centroids. A cluster that holds many
+    query probes its nearest centroids: ``n_probe`` of them at least, and as
+    many more as ``sample`` queries (by hash) need to find the share ``recall``
+    of their exact k nearest labels. A cluster that holds many
     labels is cut into sub-blocks by the same size rule as the exact search
     (one hot cluster cannot land in one task), queries are split into query
     blocks, and each (cluster, sub-block, query block) is scored in a task.
@@ -156,6 +181,9 @@ def nearest_clusters(queries: DataFrame, vocab: DataFrame, k: int = 1, n_cluster
     centers = np.stack([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
     centers = centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-300)
 
+    if n_probe < n_clusters:
+        n_probe = max(n_probe, _probes_needed(queries, assigned, centers, k, recall, sample))
+
     def probe(batches):
         for b in batches:
             if b.empty:

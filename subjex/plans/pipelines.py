@@ -35,7 +35,7 @@ def map_stage(completions: DataFrame, vocab: DataFrame, search: str = "vector",
     carry it (``vocab_labels(phrase=...)``). ``debug_rows`` (P13) limits the
     completions for a quick look. ``search="clusters"`` cuts the vocabulary
     into about the square root of its size of clusters and probes ``n_probe``
-    (an eighth by default). With ``id_table`` the stats count the unmapped
+    (an eighth by default), or more where a sample needs them for a recall of 0.95. With ``id_table`` the stats count the unmapped
     matches of each run.
     """
     from subjex.operators import mapping as M

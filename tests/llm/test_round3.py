@@ -74,3 +74,17 @@ def test_disguises_are_found_without_unrelated_words(monkeypatch):
     for t, g in zip(texts, gated):
         assert g == deobfuscate.added_spans(t, deobfuscate.base_spans(t)), t
     assert sum(map(bool, gated)) > 100
+
+
+def test_cluster_search_reaches_its_recall(spark):
+    from subjex.operators.knn import nearest, nearest_clusters
+    from subjex.plans import fixtures as X
+    from subjex.plans.queries import q_knn_ivf
+    sf = "/root/testdata/sf0.01"
+    q, v = X.vec_queries(spark, sf), X.vec_vocab(spark, sf)
+    pairs = lambda df: {(r.query_id, r.label_id) for r in df.select("query_id", "label_id").collect()}
+    exact = pairs(nearest(q, v, k=1))
+    got = {"query": pairs(q_knn_ivf(spark, sf)), "root": pairs(nearest_clusters(q, v, n_clusters=round(v.count() ** 0.5), sample=100))}
+    shares = {name: len(exact & found) / len(exact) for name, found in got.items()}
+    print(shares)
+    assert min(shares.values()) >= 0.9
