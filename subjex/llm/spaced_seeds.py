@@ -140,6 +140,11 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, slice_mb: int = 4) -> D
     """(doc_id, n_items, best_item, best_words) of every row: benchmark items it overlaps with, and the one with most equal words."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text_or_empty()).alias("text"))
+    every = list(slices(benchmark, slice_mb))
+    if len(every) > 1:  # each row has a key of its own, written once: rows may share a doc_id or have none
+        rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "keyed-rows")
+    else:
+        rows = rows.withColumn("row", F.lit(0).cast("long"))
 
     def search(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,17 +155,17 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, slice_mb: int = 4) -> D
                     best[d][item] = max(equal, best[d].get(item, 0))
                 top = [max(((w, -i) for i, w in x.items()), default=None) for x in best]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(len, best), pa.int64()), pa.array([-t[1] if t else None for t in top], pa.int64()),
-                                                  pa.array([t[0] if t else 0 for t in top], pa.int64())], names=["doc_id", "n_items", "best_item", "best_words"])
+                                                  pa.array([t[0] if t else 0 for t in top], pa.int64()), b.column("row")], names=["doc_id", "n_items", "best_item", "best_words", "row"])
         return run
 
-    found = [rows.mapInArrow(search(s), FOUND) for s in slices(benchmark, slice_mb)]
+    found = [rows.mapInArrow(search(s), f"{FOUND}, row long") for s in every]
     if len(found) == 1:
-        return found[0]
+        return found[0].drop("row")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     best = F.max(F.when(F.col("n_items") > 0, F.struct("best_words", (-F.col("best_item")).alias("minus"))))
-    return (out.groupBy("doc_id").agg(F.sum("n_items").alias("n_items"), best.alias("b"))
+    return (out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("n_items").alias("n_items"), best.alias("b"))
             .select("doc_id", "n_items", (-F.col("b.minus")).alias("best_item"), F.coalesce("b.best_words", F.lit(0)).alias("best_words")))
 
 

@@ -6,8 +6,9 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from subjex.llm import deobfuscate, order_minhash
+from subjex.llm import deobfuscate, order_minhash, spaced_seeds
 
 
 def _template_texts(groups, members, seed):
@@ -88,3 +89,19 @@ def test_cluster_search_reaches_its_recall(spark):
     shares = {name: len(exact & found) / len(exact) for name, found in got.items()}
     print(shares)
     assert min(shares.values()) >= 0.9
+
+
+def test_overlaps_by_row_over_several_slices(spark, monkeypatch):
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(14))) for i in range(9)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(1, items[0][1]), (1, "nothing here"), (1, items[1][1] + " and " + items[2][1]), (None, items[3][1]), (None, None), (2, " ".join(t for _, t in items))], "doc_id long, text string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    whole = rows(spaced_seeds.find_overlaps(docs, bench))
+    assert len(whole) == 6
+
+    def several(benchmark, slice_mb):
+        for k in range(3):
+            part = benchmark.where(F.col("item_id") % 3 == k).collect()
+            yield spark.sparkContext.broadcast(([r.item_id for r in part], [r.text for r in part]))
+    monkeypatch.setattr(spaced_seeds, "slices", several)
+    assert rows(spaced_seeds.find_overlaps(docs, bench)) == whole
