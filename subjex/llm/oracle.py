@@ -62,7 +62,38 @@ mixed AS (
 
 _MIXING = f"WITH RECURSIVE {mixing_ctes('documents', MIX)} SELECT doc_id, topic, n_tokens, round(rate, 6) AS rate, copies FROM mixed"
 
+
+
+def _clusters(clusters: int = 8, rounds: int = 10, seed: int = 3) -> str:
+    """Every round written out over the long form (row, dimension, component)."""
+    def nearest(k: int) -> str:
+        return f"""
+a{k} AS MATERIALIZED (
+  SELECT r, min(row(d, c)) AS best
+  FROM (SELECT r, c, sum((x - m) * (x - m))::BIGINT AS d FROM flat JOIN c{k} USING (i) GROUP BY r, c) GROUP BY r)"""
+
+    def means(k: int) -> str:
+        return f"""
+s{k} AS (SELECT best[2] AS c, i, sum(x)::BIGINT AS s, count(*)::BIGINT AS n FROM a{k} JOIN flat USING (r) GROUP BY ALL),
+c{k + 1} AS MATERIALIZED (SELECT c, i, coalesce(((s - ((s % n) + n) % n) // n)::BIGINT, m) AS m FROM c{k} LEFT JOIN s{k} USING (c, i))"""
+
+    parts = [p for k in range(rounds) for p in (nearest(k), means(k))] + [nearest(rounds)]
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+flat AS MATERIALIZED (SELECT r, unnest(range(1, 65)) AS i, unnest(v) AS x FROM kept),
+first AS (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v FROM kept QUALIFY c < {clusters}),
+c0 AS MATERIALIZED (SELECT c::INT AS c, unnest(range(1, 65)) AS i, unnest(v) AS m FROM first),
+{",".join(parts)},
+sha AS (SELECT c, sha256(string_agg(m::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c),
+found AS (SELECT vec_id, best[2] AS cluster, best[1] AS distance FROM a{rounds} JOIN kept USING (r))
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM found JOIN sha ON cluster = c"""
+
+
 ORACLE_SQL = {
+    "op12_va_clusters": _clusters(),
     "op3_mixing": _MIXING,
     "op10_line_dedup": _LINE_DEDUP,
 }

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subjex.llm import chat_format, decision_list, deobfuscate, line_dedup, neighbour_quality, order_minhash, raking, shard_table, spaced_seeds, token_shards
+from subjex.llm import (bin_packing, chat_format, decision_list, deobfuscate, line_dedup, neighbour_quality, order_minhash, raking, shard_table, spaced_seeds, target_resampling,
+                        token_shards, va_clusters)
 from subjex.llm.common import table
 
 
@@ -67,6 +68,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighed = target_resampling.weigh(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return target_resampling.draw(weighed).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_va_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_clusters.with_inertia(*va_clusters.cluster(table(spark, sf_dir, "embeddings"), clusters=8, rounds=10, seed=3))
+
+
+def op13_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = bin_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, size=4096)
+    return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_neighbour_quality": op2_neighbour_quality,
@@ -78,4 +93,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
+    "op11_target_resampling": op11_target_resampling,
+    "op12_va_clusters": op12_va_clusters,
+    "op13_bin_packing": op13_bin_packing,
 }

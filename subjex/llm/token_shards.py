@@ -16,9 +16,10 @@ Bounds. The dictionary is fit on the ``sample_docs`` documents of smallest
 doc_id hash, at most ``SAMPLE_IDS`` ids of each. A block holds one Arrow
 batch. Encoded pieces are remembered up to ``ChunkEncoder.MOST``.
 
-Defined results. Null and empty texts hold the end id alone. Null doc_ids come
+Defined results. Ids are those of the library's plain call without its added special tokens: the content of
+an added token that stands in a text is that token's id. Null and empty texts hold the end id alone. Null doc_ids come
 first; rows that repeat a doc_id keep one place each, ordered by a text hash.
-An empty table gives no blocks.
+Other columns of the input do not matter, whatever their names. An empty table gives no blocks.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -64,7 +67,11 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # contents of added tokens are ids of their own wherever they stand, the longest one first
+        added = sorted(self.tokenizer.get_added_tokens_decoder().items(), key=lambda t: -len(t[1].content))
+        self.added = {t.content: i for i, t in added}
+        #: added tokens that take neighbouring spaces or depend on what is beside them are left to the library
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for _, t in added)
         self._forget()
 
     def _forget(self):
@@ -73,6 +80,29 @@ class ChunkEncoder:
 
     def encode(self, col: pa.Array) -> list[np.ndarray]:
         """Ids of every text of a column without nulls."""
+        held = np.zeros(len(col), bool)
+        for content in self.added:
+            held |= pc.match_substring(col, content).to_numpy(zero_copy_only=False)
+        if not held.any():
+            return self._encode(col)
+        out: list = [None] * len(col)
+        for i, ids in zip(np.flatnonzero(~held).tolist(), self._encode(col.filter(pa.array(~held)))):
+            out[i] = ids
+        for i in np.flatnonzero(held).tolist():
+            out[i] = self._with_added(col[i].as_py())
+        return out
+
+    def _with_added(self, text: str) -> np.ndarray:
+        """Ids of a text that holds contents of added tokens: what stands between them is encoded as texts of their own."""
+        if not self.plain:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        parts = re.split("(" + "|".join(map(re.escape, self.added)) + ")", text)
+        between = self._encode(pa.array(parts[::2], pa.string()))
+        marks = [np.array([self.added[p]], np.uint32) for p in parts[1::2]]
+        return np.concatenate([x for pair in zip(between, [*marks, np.zeros(0, np.uint32)]) for x in pair])
+
+    def _encode(self, col: pa.Array) -> list[np.ndarray]:
+        """Ids of texts without added tokens."""
         data, offsets = buffers(col)
         ids, places = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         lo, end = int(offsets[0]), int(offsets[-1])
@@ -177,7 +207,8 @@ def encoder(path: str) -> ChunkEncoder:
 def train_dictionary(docs: DataFrame, tokenizer: str, width: int, sample_docs: int, dict_bytes: int) -> bytes:
     """A dictionary fit in one task on a bounded sample; empty where there is nothing to learn from."""
     chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("text").coalesce(1)  # at most sample_docs ids
+    # one text for each of at most sample_docs ids, however often an id repeats
+    sample = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select("text").coalesce(1)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [x[:SAMPLE_IDS].astype(f"<u{width}").tobytes() for b in batches for x in encoder(tokenizer).encode(b.column("text"))]
