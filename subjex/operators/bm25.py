@@ -1,11 +1,17 @@
 """Keyword search (M3) and hybrid search (M2) as Spark jobs.
 
-BM25 statistics (tf, document length, df, idf) are plain aggregates. The
-scoring avoids emitting (query, label) pairs per shared token: like the exact
-vector search, queries and labels are cut into blocks by size, each (query
-block, label block) meets once in a task that builds an inverted index of
-its labels and accumulates scores in numpy, and only the k best labels per
-query leave the task.
+BM25 statistics (tf, document length, df, idf) are plain aggregates. The index
+deals the label rows into ranges of about ``WIDTH``; the postings of a token within a range
+are one block, and a small table holds each block's largest weight. A query first meets
+that table only: the largest weights of its tokens add up to a bound on any score
+in a range. Its most promising ranges are read, which gives a score to beat, and after them
+only those ranges whose bound reaches it; all others are skipped unread. A posting
+goes to the task of its range, whatever the number of queries; a task scores
+its ranges with numpy and only the best rows of a query leave it.
+
+Hybrid search fuses both scores over the whole vocabulary by a threshold algorithm:
+it reads both lists from the top, completes the scores of what it has seen, and stops
+for a query when no unseen row can win any more.
 
 A vocabulary holds one row per (label_id, label_text): a preferred label and
 each of its alternatives are scored as texts of their own, never merged. The
@@ -14,15 +20,22 @@ row travels as ``row``, the md5 of its text.
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from subjex.operators.knn import block_count, nearest, spread, top_k
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
-SCORE_SCHEMA = "query_id long, label_id string, row string, score double"
+#: Label rows in a range; ranges that each query reads before it has a score to beat.
+WIDTH, FIRST = 64, 2
+#: Postings that a task scores at a time.
+STEP = 4_000_000
+FOUND = "query_id long, range int, no long, score double"
 
 
 def tokens(c):
@@ -57,13 +70,34 @@ def bm25_weights(corpus: DataFrame, text_col: str = "label_text",
     return tf.join(df, "token").select("label_id", "row", "token", (idf * F.col("tf") * (k1 + 1) / norm).alias("weight"))
 
 
-def bm25_index(corpus: DataFrame, text_col: str = "label_text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The keyword index of a vocabulary: postings (label_id, row, tok, weight),
-    built once and cut from its lineage (a reliable checkpoint); reuse it
-    for every query batch."""
+@dataclass
+class KeywordIndex:
+    """``postings`` (range, tok, no, weight), ``blocks`` (range, tok, n, most) and ``labels`` (range, no, label_id, row), all
+    written once; ``no`` is a hash of the label row, ``tok`` of the token."""
+    postings: DataFrame
+    blocks: DataFrame
+    labels: DataFrame
+    ranges: int
+
+
+def _place(ranges: int) -> list[Column]:
+    """Range and number of a label row: two hashes of their own."""
+    return [F.pmod(F.xxhash64(F.lit(1), "label_id", "row"), F.lit(ranges)).cast("int").alias("range"), F.xxhash64(F.lit(2), "label_id", "row").alias("no")]
+
+
+def bm25_index(corpus: DataFrame, text_col: str = "label_text", k1: float = 1.2, b: float = 0.75,
+               wanted: DataFrame | None = None, width: int = WIDTH) -> KeywordIndex:
+    """The keyword index of a vocabulary, cut from its lineage (reliable checkpoints); reuse it for every query batch.
+    With ``wanted`` (tok) only the postings of those tokens are kept."""
     from subjex.session import cut_lineage
-    w = bm25_weights(corpus, text_col, k1, b)
-    return cut_lineage(w.select("label_id", "row", F.xxhash64("token").alias("tok"), "weight"))
+    rows = cut_lineage(corpus.select("label_id", F.md5(text_col).alias("row")).where("label_id is not null"))
+    ranges = max(1, math.ceil(rows.count() / width))
+    w = bm25_weights(corpus, text_col, k1, b).select(*_place(ranges), F.xxhash64("token").alias("tok"), "weight")
+    if wanted is not None:
+        w = w.join(wanted, "tok", "left_semi")
+    postings = cut_lineage(w.select("range", "tok", "no", "weight"))
+    blocks = cut_lineage(postings.groupBy("range", "tok").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("most")))
+    return KeywordIndex(postings, blocks, rows.select(*_place(ranges), "label_id", "row"), ranges)
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -77,101 +111,188 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return starts + np.arange(n.sum())
 
 
+def query_tokens(queries: DataFrame, query_col: str = "query") -> DataFrame:
+    """(query_id, tok): the distinct tokens of each query."""
+    split = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col(query_col)))).alias("token"))
+    return split.select("query_id", F.xxhash64("token").alias("tok")).distinct()
+
+
+def _best_of_ranges(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best rows, with all that tie with the last, of every query over the ranges of one task: ``left`` (query_id,
+    range, tok) and ``right`` (range, tok, no, weight)."""
+    empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "range": pd.Series([], dtype="int32"),
+                          "no": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
+    if left.empty or right.empty:
+        return empty
+    right = right.sort_values(["range", "tok"], kind="stable").reset_index(drop=True)
+    spans = right.groupby(["range", "tok"], sort=True).size().rename("n").reset_index()
+    spans["hi"] = spans["n"].cumsum()
+    hits = left.merge(spans, on=["range", "tok"]).sort_values("query_id", kind="stable")
+    if hits.empty:
+        return empty
+    rng, no, weight = (right[c].to_numpy() for c in ("range", "no", "weight"))
+    code = right.groupby(["range", "no"], sort=True).ngroup().to_numpy()
+    _, at_label = np.unique(code, return_index=True)
+    qid, hi, n = hits["query_id"].to_numpy(), hits["hi"].to_numpy(), hits["n"].to_numpy()
+    qcode = np.cumsum(np.append(0, (qid[1:] != qid[:-1]).astype(np.int64)))
+    ends = np.flatnonzero(np.append(qcode[1:] != qcode[:-1], True)) + 1  # queries stay whole within a step
+    upto, out, at = np.cumsum(n), [], 0
+    while at < len(qid):
+        before = upto[at - 1] if at else 0
+        stop = int(ends[max(np.searchsorted(upto[ends - 1], before + STEP, side="right") - 1, np.searchsorted(ends, at, side="right"))])
+        idx = _ranges(hi[at:stop] - n[at:stop], hi[at:stop])
+        pair, back = np.unique(np.repeat(qcode[at:stop], n[at:stop]) * len(at_label) + code[idx], return_inverse=True)
+        score = np.bincount(back.reshape(-1), weights=weight[idx])
+        q, l, s9 = pair // len(at_label), pair % len(at_label), round9(score)
+        order = np.lexsort((-s9, q))
+        q, l, s9, score = q[order], l[order], s9[order], score[order]
+        begin = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+        size = np.diff(np.append(begin, len(q)))
+        last = s9[begin + np.minimum(size, k) - 1]  # the k-th score of each query
+        keep = s9 >= np.repeat(last, size)
+        out.append(pd.DataFrame({"query_id": qid[at:stop][np.searchsorted(qcode[at:stop], q[keep])], "range": rng[at_label[l[keep]]],
+                                 "no": no[at_label[l[keep]]], "score": score[keep]}))
+        at = stop
+    return pd.concat(out)
+
+
+def _score_ranges(index: KeywordIndex, pairs: DataFrame, qtok: DataFrame, k: int, query_blocks: int, buckets: int) -> DataFrame:
+    """Best rows of each (query_id, range) in ``pairs``: only the blocks that some pair needs are read and move."""
+    bucket = F.pmod("range", F.lit(buckets)).alias("bucket")
+    qb = F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb")
+    qx = pairs.join(qtok, "query_id").select("query_id", "range", "tok", bucket, qb)
+    need = qx.select("range", "tok", "qb").distinct().select(*(F.col(c).alias(c) for c in ("range", "tok", "qb")))  # fresh attributes
+    dx = index.postings.join(need, ["range", "tok"]).select(F.col("range").alias("range"), F.col("tok").alias("tok"), "no", "weight", bucket, "qb")
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return _best_of_ranges(left[["query_id", "range", "tok"]], right[["range", "tok", "no", "weight"]], k)
+    keys = ["bucket", "qb"]
+    return qx.groupBy(*keys).cogroup(dx.groupBy(*keys)).applyInPandas(score, FOUND)
+
+
+def range_bounds(index: KeywordIndex, qtok: DataFrame) -> DataFrame:
+    """(query_id, range, bound): no row of the range scores more for the query."""
+    return qtok.join(index.blocks.select("range", "tok", "most"), "tok").groupBy("query_id", "range").agg(F.sum("most").alias("bound"))
+
+
+def postings_of(index: KeywordIndex, pairs: DataFrame, qtok: DataFrame) -> int:
+    """Postings in the blocks that the (query_id, range) ``pairs`` need, each counted once."""
+    need = pairs.join(qtok, "query_id").select("range", "tok").distinct()
+    return int(index.blocks.join(need, ["range", "tok"], "left_semi").agg(F.sum("n")).first()[0] or 0)
+
+
+def _search(index: KeywordIndex, qtok: DataFrame, k: int, query_block_bytes: int, label_block_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(found rows, ranges read first, ranges read after them)."""
+    from subjex.functions.scores import stable_round
+    from subjex.session import cut_lineage
+    query_blocks = block_count(qtok.count(), 24, query_block_bytes)
+    total = int(index.blocks.agg(F.sum("n")).first()[0] or 0)
+    cores = qtok.sparkSession.sparkContext.defaultParallelism
+    buckets = min(index.ranges, max(block_count(total, 64, label_block_bytes), cores))
+    bounds = cut_lineage(range_bounds(index, qtok))
+    first = top_k(bounds.withColumn("row", F.col("range")), FIRST, "query_id", "bound").select("query_id", "range")
+    found = cut_lineage(_score_ranges(index, first, qtok, k, query_blocks, buckets))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "no")
+    beat = found.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") == k).select("query_id", stable_round(F.col("score"), 9).alias("beat"))
+    # a row that only equals the score to beat may still win by its id; the margin covers sums in another order
+    rest = bounds.join(first, ["query_id", "range"], "left_anti").join(beat, "query_id", "left") \
+        .where(F.col("beat").isNull() | (F.col("bound") >= F.col("beat") - 1e-8)).select("query_id", "range")
+    rest = cut_lineage(rest)
+    return found.unionByName(_score_ranges(index, rest, qtok, k, query_blocks, buckets)), first, rest
+
+
 def bm25(queries: DataFrame, corpus: DataFrame | None = None, k: int = 1, query_col: str = "query",
          text_col: str = "label_text", k1: float = 1.2, b: float = 0.75,
          query_block_bytes: int = 64 << 20, label_block_bytes: int = 256 << 20,
-         index: DataFrame | None = None) -> DataFrame:
+         index: KeywordIndex | None = None) -> DataFrame:
     """M3: the k label rows of greatest BM25 score per query (distinct query
     tokens; rows sharing no token with a query are not returned; ties by
-    label_id, then row, after rounding scores to 1e-9). Postings of tokens
-    that no query holds are left out before any block is built.
+    label_id, then row, after rounding scores to 1e-9): (query_id, label_id, row, score).
 
-    Tokens travel as 64-bit hashes. A task sorts its label block's postings
-    by token once, then scores each query with ``searchsorted`` ranges and a
-    ``bincount`` (vectorised, no per-token Python loop)."""
+    Without an ``index`` one is built that holds the queries' tokens only. Ranges whose bound
+    stays below a query's k-th best score so far are never read for it."""
     from subjex.functions.scores import stable_round
-    w = index if index is not None else bm25_index(corpus, text_col, k1, b)
-    q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col(query_col)))).alias("token")) \
-        .select("query_id", F.xxhash64("token").alias("tok")).distinct()
-    w = w.join(q.select("tok").distinct(), "tok", "left_semi")
-    n_pairs = w.count()
-    n_qtok = q.count()
-    bq = block_count(n_qtok, 24, query_block_bytes)
-    bv = block_count(n_pairs, 88, label_block_bytes, queries.sparkSession.sparkContext.defaultParallelism)
-    qx = q.select("query_id", "tok", F.pmod(F.xxhash64("query_id"), F.lit(bq)).cast("int").alias("qb"),
-                  F.explode(F.sequence(F.lit(0), F.lit(bv - 1))).alias("vb"))
-    dx = w.select("label_id", "row", "tok", "weight", F.pmod(F.xxhash64("label_id"), F.lit(bv)).cast("int").alias("vb"),
-                  F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qb"))
+    from subjex.session import cut_lineage
+    qtok = cut_lineage(query_tokens(queries, query_col))
+    if index is None:
+        index = bm25_index(corpus, text_col, k1, b, qtok.select("tok").distinct())
+    found, _, _ = _search(index, qtok, k, query_block_bytes, label_block_bytes)
+    # a task returns ties of its last place, so what comes here is k rows and ties per query and task
+    named = found.join(index.labels, ["range", "no"]).select("query_id", "label_id", "row", "score", stable_round(F.col("score"), 9).alias("_s9"))
+    return top_k(named, k, "query_id", "_s9").drop("_s9")
 
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "label_id": pd.Series([], dtype=object),
-                              "row": pd.Series([], dtype=object), "score": pd.Series([], dtype="float64")})
-        if left.empty or right.empty:
-            return empty
-        lab = right.groupby(["label_id", "row"], sort=True).ngroup().to_numpy()
-        labels = right[["label_id", "row"]].drop_duplicates().sort_values(["label_id", "row"])
-        ids, rows = labels["label_id"].to_numpy(dtype=object), labels["row"].to_numpy(dtype=object)
-        order = np.argsort(right["tok"].to_numpy(), kind="stable")
-        toks = right["tok"].to_numpy()[order]
-        labs = lab[order]
-        wts = right["weight"].to_numpy(dtype=np.float64)[order]
-        out_q, out_l, out_r, out_s = [], [], [], []
-        left = left.sort_values("query_id", kind="stable")
-        qids = left["query_id"].to_numpy()
-        qtok = left["tok"].to_numpy()
-        cuts = np.flatnonzero(np.diff(qids)) + 1
-        for seg in np.split(np.arange(len(qids)), cuts):
-            t = qtok[seg]
-            idx = _ranges(np.searchsorted(toks, t, "left"), np.searchsorted(toks, t, "right"))
-            if not len(idx):
-                continue
-            sc = np.bincount(labs[idx], weights=wts[idx], minlength=len(ids))
-            cand = np.unique(labs[idx])
-            s9 = round9(sc[cand])
-            sel = cand[np.lexsort((cand, -s9))][:k]  # index order = (label_id, row) order
-            out_q.extend([int(qids[seg[0]])] * len(sel))
-            out_l.extend(ids[sel].tolist())
-            out_r.extend(rows[sel].tolist())
-            out_s.extend(sc[sel].tolist())
-        if not out_q:
-            return empty
-        return pd.DataFrame({"query_id": pd.Series(out_q, dtype="int64"), "label_id": pd.Series(out_l, dtype=object),
-                             "row": pd.Series(out_r, dtype=object), "score": pd.Series(out_s, dtype="float64")})
-
-    partial = qx.groupBy("qb", "vb").cogroup(dx.groupBy("qb", "vb")).applyInPandas(score, SCORE_SCHEMA)
-    ranked = partial.withColumn("_s9", stable_round(F.col("score"), 9))
-    return top_k(ranked, k, "query_id", "_s9").drop("_s9")
-
-
-def _minmax(df: DataFrame, col: str) -> DataFrame:
-    """Min-max normalise ``col`` within each query's list; a flat list scores 1."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("query_id")
-    lo, hi = F.min(col).over(w), F.max(col).over(w)
-    return df.withColumn(col, F.when(hi > lo, (F.col(col) - lo) / (hi - lo)).otherwise(F.lit(1.0)))
-
-
-def hybrid(queries: DataFrame, vocab: DataFrame, alpha: float = 0.7, k_lists: int = 10,
+
+def bm25_pairs(pairs: DataFrame, qtok: DataFrame, index: KeywordIndex) -> DataFrame:
+    """``pairs`` (query_id, label_id, row) with their ``score``; 0 where no token is shared."""
+    at = pairs.select("query_id", "label_id", "row", *_place(index.ranges))
+    hit = at.join(qtok, "query_id").join(index.postings, ["range", "no", "tok"]).groupBy("query_id", "label_id", "row").agg(F.sum("weight").alias("score"))
+    return pairs.select("query_id", "label_id", "row").join(hit, ["query_id", "label_id", "row"], "left").fillna(0.0, ["score"])
+
+
+def hybrid(queries: DataFrame, vocab: DataFrame, alpha: float = 0.7, depth: int = 10,
            query_col: str = "query", text_col: str = "label_text") -> DataFrame:
-    """M2: relative score fusion of the vector top-``k_lists`` and the BM25
-    top-``k_lists`` of each query: each list min-max normalised, fused =
-    alpha * vector + (1 - alpha) * keyword (0 when absent from a list), top-1
-    (ties by label_id, then row). The lists hold label rows, so an alternative
-    label competes by its own vector and its own text. Also returns the true cosine of the winner, on which
-    the mapping threshold works."""
+    """M2: the label row of greatest fused score per query, over the whole vocabulary.
+
+    fused = alpha * vector + (1 - alpha) * keyword; vector is the cosine scaled by the query's least and greatest cosine over all
+    label rows (1 where they are equal), keyword the BM25 score over the query's greatest one (0 without a
+    shared token). Ties by label_id, then row. An alternative label competes by its own vector and its own text.
+    Also returns the true cosine of the winner, on which the mapping threshold works.
+
+    Threshold algorithm: the ``depth`` best rows of both lists are read and each gets its missing
+    score by a join. No unseen row can have more than the last scores read in each list, so a query
+    is done when its best row beats their fusion; the others read on, four times as deep, until the lists end.
+    """
     from subjex.functions.scores import stable_round
     from subjex.functions.vectors import cosine as cos_expr
-    vec = nearest(queries.select("query_id", "embedding"), vocab.select("label_id", text_col, "embedding")
-                  .withColumnRenamed(text_col, "label_text"), k=k_lists) \
-        .select("query_id", "label_id", F.md5("label_text").alias("row"), F.col("cosine").alias("v"))
-    kw = bm25(queries.select("query_id", query_col), vocab.select("label_id", text_col), k=k_lists,
-              query_col=query_col, text_col=text_col).select("query_id", "label_id", "row", F.col("score").alias("k"))
-    fused = _minmax(vec, "v").join(_minmax(kw, "k"), ["query_id", "label_id", "row"], "full_outer") \
-        .select("query_id", "label_id", "row",
-                (F.lit(alpha) * F.coalesce("v", F.lit(0.0)) + F.lit(1 - alpha) * F.coalesce("k", F.lit(0.0)))
-                .alias("hybrid_score"))
-    best = top_k(fused.withColumn("_s9", stable_round(F.col("hybrid_score"), 9)), 1, "query_id", "_s9").drop("_s9")
-    qv = queries.select("query_id", F.col("embedding").alias("_qe"))
-    lv = vocab.select("label_id", F.md5(text_col).alias("row"), F.col(text_col).alias("term"), F.col("embedding").alias("_le"))
-    return best.join(qv, "query_id").join(lv, ["label_id", "row"]) \
-        .select("query_id", "label_id", "term", "hybrid_score", cos_expr(F.col("_qe"), F.col("_le")).alias("cosine"))
+    from subjex.session import cut_lineage
+    key = ["query_id", "label_id", "row"]
+    q = cut_lineage(queries.select("query_id", F.col(query_col).alias("query"), "embedding"))
+    v = cut_lineage(vocab.where("label_id is not null").select("label_id", F.md5(text_col).alias("row"), F.col(text_col).alias("term"), "embedding"))
+    n_rows = v.count()
+    labels = v.select("label_id", F.col("term").alias("label_text"), "embedding")
+    qtok = cut_lineage(query_tokens(q))
+    index = bm25_index(labels, wanted=qtok.select("tok").distinct())
+    # the least cosine is the greatest one of the opposite vector
+    opposite = q.select("query_id", F.transform("embedding", lambda x: -x).alias("embedding"))
+    lowest = nearest(opposite, labels, k=1).select("query_id", (-F.col("cosine")).alias("v_min"))
+    scale = None
+    active, done, depth = q, [], max(1, depth)
+    while True:
+        vec = cut_lineage(nearest(active.select("query_id", "embedding"), labels, k=depth)
+                          .select("query_id", "label_id", F.md5("label_text").alias("row"), F.col("cosine").alias("v")))
+        kw = cut_lineage(bm25(active.select("query_id", "query"), k=depth, index=index).select(*key, F.col("score").alias("k")))
+        if scale is None:  # the first lists hold the greatest scores of every query
+            v_max = vec.groupBy("query_id").agg(F.max("v").alias("v_max"))
+            k_max = kw.groupBy("query_id").agg(F.max("k").alias("k_max"))
+            scale = cut_lineage(lowest.join(v_max, "query_id").join(k_max, "query_id", "left"))
+        only_kw = kw.join(vec, key, "left_anti").select(key)
+        cosines = only_kw.join(active.select("query_id", F.col("embedding").alias("_q")), "query_id") \
+            .join(v.select("label_id", "row", F.col("embedding").alias("_v")), ["label_id", "row"]).select(*key, cos_expr(F.col("_q"), F.col("_v")).alias("v"))
+        only_vec = vec.join(kw, key, "left_anti").select(key)
+        scores = vec.unionByName(cosines).join(kw.unionByName(bm25_pairs(only_vec, qtok, index).withColumnRenamed("score", "k")), key)
+        fused = scores.join(scale, "query_id").select(*key, _fuse(alpha, F.col("v"), F.col("k")).alias("hybrid_score"))
+        best = top_k(fused.withColumn("_s9", stable_round(F.col("hybrid_score"), 9)), 1, "query_id", "_s9")
+        if depth >= n_rows:
+            done.append(best.drop("_s9"))
+            break
+        last_v = vec.groupBy("query_id").agg(F.min("v").alias("v"))
+        last_k = kw.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == depth, F.min("k")).otherwise(0.0).alias("k"))
+        unseen = last_v.join(last_k, "query_id", "left").fillna(0.0, ["k"]).join(scale, "query_id").select("query_id", _fuse(alpha, F.col("v"), F.col("k")).alias("most"))
+        # equal scores go by label_id, so an unseen row that could only tie keeps the query open
+        state = cut_lineage(best.join(unseen, "query_id").withColumn("sure", F.col("_s9") > F.col("most") + 1e-8))
+        done.append(state.where("sure").select(*key, "hybrid_score"))
+        active = q.join(state.where(~F.col("sure")).select("query_id"), "query_id", "left_semi")
+        if active.isEmpty():
+            break
+        depth *= 4
+    winners = done[0]
+    for d in done[1:]:
+        winners = winners.unionByName(d)
+    return winners.join(q.select("query_id", F.col("embedding").alias("_q")), "query_id") \
+        .join(v.select("label_id", "row", "term", F.col("embedding").alias("_v")), ["label_id", "row"]) \
+        .select("query_id", "label_id", "term", "hybrid_score", cos_expr(F.col("_q"), F.col("_v")).alias("cosine"))
+
+
+def _fuse(alpha: float, v: Column, k: Column) -> Column:
+    vector = F.when(F.col("v_max") > F.col("v_min"), (v - F.col("v_min")) / (F.col("v_max") - F.col("v_min"))).otherwise(F.lit(1.0))
+    return F.lit(alpha) * vector + F.lit(1 - alpha) * F.coalesce(F.try_divide(k, F.col("k_max")), F.lit(0.0))

@@ -335,11 +335,40 @@ def pr_grid_tagged(uniq: DataFrame, by: Sequence[str], steps: int = 100, ordinal
     # Max predictions per document over every predicted document (gives the limits)
     max_preds = ties.groupBy(*keys).agg(F.sum("_n").alias("_cnt")) \
         .groupBy(*by).agg(F.max("_cnt").cast("int").alias("max_preds"))
-    judged = ties.where(F.col("n_gold").isNotNull())
+    d = _tie_group_changes(ties, keys, steps, ordinal).drop("doc_id")
 
-    # counts above each tie group (no window spans a document), then the
-    # document's metrics after the group (v) and before it (v0)
-    j = doc_prefix(judged, keys, ["_n", "_tp"])
+    n_thr = 0 if ordinal else steps
+    if dense:
+        lims = max_preds.select(*by, F.explode(F.sequence(F.lit(1), F.col("max_preds"))).alias("lim"))
+    else:
+        lims = d.select(*by, "lim").distinct()
+    cells = lims.select(*by, "lim", F.explode(F.sequence(F.lit(0), F.lit(n_thr))).alias("ti"))
+    cells = cells.select(*by, F.col("ti").cast("long").alias("ti"), "lim",
+                         *[F.lit(0.0).alias(f"h_{m}") for m in ("prec", "rec", "f1")], F.lit(0).alias("h_has"))
+    sums = [F.sum(f"h_{m}").alias(f"h_{m}") for m in ("prec", "rec", "f1", "has")]
+    hist = d.groupBy(*by, "ti", "lim").agg(*sums)  # summed before it is dealt out: at most a row per cell and task
+    return _cumulated(hist, cells, by, steps, ordinal, n_docs)
+
+
+def tie_changes(uniq: DataFrame, keys: Sequence[str], steps: int = 100, ordinal: bool = False) -> DataFrame:
+    """(keys, lim, ti, h_prec, h_rec, h_f1, h_has): what each tie group of tagged predictions adds at its cell."""
+    uniq = uniq.withColumn("score", stable_round(F.col("score"), 9))
+    ties = uniq.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("_n"), F.sum("_hit").alias("_tp"), F.first("n_gold").alias("n_gold"))
+    return _tie_group_changes(ties, keys, steps, ordinal)
+
+
+def grid_of(hist: DataFrame, by: Sequence[str], steps: int = 100, n_docs=None, ordinal: bool = False) -> DataFrame:
+    """The grid from summed changes (by, ti, lim, h_*), at the limits that occur; it is constant between them."""
+    cells = hist.select(*by, "lim").distinct().select(*by, "lim", F.explode(F.sequence(F.lit(0), F.lit(0 if ordinal else steps))).alias("ti"))
+    cells = cells.select(*by, F.col("ti").cast("long").alias("ti"), "lim",
+                         *[F.lit(0.0).alias(f"h_{m}") for m in ("prec", "rec", "f1")], F.lit(0).alias("h_has"))
+    return _cumulated(hist, cells, by, steps, ordinal, n_docs)
+
+
+def _tie_group_changes(ties: DataFrame, keys: Sequence[str], steps: int, ordinal: bool) -> DataFrame:
+    """Counts above each tie group (no window spans a document), then the document's metrics after the group (v) less
+    those before it (v0)."""
+    j = doc_prefix(ties.where(F.col("n_gold").isNotNull()), keys, ["_n", "_tp"])
     cn, ctp = F.col("above_n") + F.col("_n"), F.col("above_tp") + F.col("_tp")
     pn, ptp, ng = F.col("above_n"), F.col("above_tp"), F.col("n_gold")
     first_group = pn == 0
@@ -353,19 +382,12 @@ def pr_grid_tagged(uniq: DataFrame, by: Sequence[str], steps: int = 100, ordinal
     first = F.when(first_group, F.lit(1)).otherwise(F.lit(0)).alias("h_has")
     j = j.select(*keys, "score", (pn + 1).alias("rank"), *deltas, first)
     idx = F.lit(0).cast("long") if ordinal else threshold_index(F.col("score"), steps)
-    d = j.select(*by, F.col("rank").cast("int").alias("lim"), idx.alias("ti"),
-                 "h_prec", "h_rec", "h_f1", "h_has").where(F.col("ti") >= 0)
+    return j.select(*keys, F.col("rank").cast("int").alias("lim"), idx.alias("ti"),
+                    "h_prec", "h_rec", "h_f1", "h_has").where(F.col("ti") >= 0)
 
-    n_thr = 0 if ordinal else steps
-    if dense:
-        lims = max_preds.select(*by, F.explode(F.sequence(F.lit(1), F.col("max_preds"))).alias("lim"))
-    else:
-        lims = d.select(*by, "lim").distinct()
-    cells = lims.select(*by, "lim", F.explode(F.sequence(F.lit(0), F.lit(n_thr))).alias("ti"))
-    cells = cells.select(*by, F.col("ti").cast("long").alias("ti"), "lim",
-                         *[F.lit(0.0).alias(f"h_{m}") for m in ("prec", "rec", "f1")], F.lit(0).alias("h_has"))
-    sums = [F.sum(f"h_{m}").alias(f"h_{m}") for m in ("prec", "rec", "f1", "has")]
-    hist = d.groupBy(*by, "ti", "lim").agg(*sums)  # summed before it is dealt out: at most a row per cell and task
+
+def _cumulated(hist: DataFrame, cells: DataFrame, by: Sequence[str], steps: int, ordinal: bool, n_docs) -> DataFrame:
+    """Two-dimensional cumulative sums of the cell changes: thresholds downward, limits upward."""
     both = hist.select(*cells.columns).unionByName(cells).repartition(*by, "ti")  # the first cumulative sum runs there
     dense = both.groupBy(*by, "ti", "lim").agg(*[F.sum(f"h_{m}").alias(f"h_{m}")
                                                  for m in ("prec", "rec", "f1", "has")])

@@ -1,4 +1,4 @@
-"""Nearest-label search as Spark jobs (M1 exact, M4 cluster probe, F13).
+"""Nearest-label search as Spark jobs (M1 exact, F13; the persisted index of M4 is in `vector_index`).
 
 Exact search is a blocked matrix product: queries are hashed into Q blocks
 and the vocabulary into V blocks so that one block of each fits a task's
@@ -128,97 +128,12 @@ def top_k(df: DataFrame, k: int, key: str, score: str) -> DataFrame:
 
 # ------------------------------------------------------------------ M4
 
-def _probes_needed(queries: DataFrame, assigned: DataFrame, centers: np.ndarray, k: int, recall: float, sample: int) -> int:
-    """The fewest clusters by which some queries find the share ``recall`` of their exact nearest labels."""
-    some = queries.select("query_id", "embedding").orderBy(F.xxhash64("query_id"), "query_id").limit(sample)
-    exact = nearest(some, assigned.select("label_id", "label_text", "embedding"), k).select("query_id", "label_id", "label_text")
-    homes = exact.join(assigned.select("label_id", "label_text", "cluster"), ["label_id", "label_text"]).select("query_id", "cluster")
-
-    def places(batches):
-        for b in batches:
-            x = _stack(b["embedding"])
-            if len(b):
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                near = np.argsort(-(x @ centers.T), axis=1, kind="stable")
-                yield pd.DataFrame({"place": (near == b["cluster"].to_numpy()[:, None]).argmax(1).astype("int64") + 1})
-
-    found = some.join(homes, "query_id").select("embedding", "cluster").mapInPandas(places, "place long").groupBy("place").count().orderBy("place").collect()  # a row per cluster
-    total, sofar = sum(r["count"] for r in found), 0
-    for r in found:
-        sofar += r["count"]
-        if sofar >= recall * total:
-            return r["place"]
-    return 1
-
-
-def nearest_clusters(queries: DataFrame, vocab: DataFrame, k: int = 1, n_clusters: int = 16,
-                     n_probe: int = 2, seed: int = 7, max_iter: int = 10, recall: float = 0.95, sample: int = 1000,
-                     query_block_bytes: int = 64 << 20, vocab_block_bytes: int = 256 << 20) -> DataFrame:
-    """M4: approximate search by coarse clusters (inverted file).
-
-    The vocabulary is clustered with Spark ML k-means on unit vectors; each
-    query probes its nearest centroids: ``n_probe`` of them at least, and as
-    many more as ``sample`` queries (by hash) need to find the share ``recall``
-    of their exact k nearest labels. A cluster that holds many
-    labels is cut into sub-blocks by the same size rule as the exact search
-    (one hot cluster cannot land in one task), queries are split into query
-    blocks, and each (cluster, sub-block, query block) is scored in a task.
-    The centroids (n_clusters x dim, fixed by the caller) travel with the
-    probe function. Recall against :func:`nearest` is measured in tests.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    from subjex.functions.vectors import normalize
-
-    vu = vocab.select(F.col("label_id").alias("label_id"), F.col("label_text").alias("label_text"),
-                      normalize(F.col("embedding")).alias("embedding"))
-    feats = vu.select("*", array_to_vector("embedding").alias("features"))
-    model = KMeans(k=n_clusters, seed=seed, maxIter=max_iter).fit(feats)
-    assigned = model.transform(feats).select("label_id", "label_text", "embedding",
-                                             F.col("prediction").alias("cluster"))
-    # model parameters: n_clusters x dim, bounded by the caller's choice
-    centers = np.stack([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
-    centers = centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-300)
-
-    if n_probe < n_clusters:
-        n_probe = max(n_probe, _probes_needed(queries, assigned, centers, k, recall, sample))
-
-    def probe(batches):
-        for b in batches:
-            if b.empty:
-                continue
-            x = _stack(b["embedding"])
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            near = np.argsort(-(x @ centers.T), axis=1, kind="stable")[:, :n_probe]
-            rep = np.repeat(np.arange(len(b)), near.shape[1])
-            yield pd.DataFrame({"query_id": b["query_id"].to_numpy()[rep],
-                                "embedding": b["embedding"].to_numpy()[rep],
-                                "cluster": near.reshape(-1).astype("int32")})
+def nearest_clusters(queries: DataFrame, vocab: DataFrame, k: int = 1, n_clusters: int = 16, n_probe: int | None = None,
+                     seed: int = 7, recall: float = 0.95, sample: int = 1000, exact: bool = False) -> DataFrame:
+    """M4 in one call: an index of ``vocab`` (:mod:`subjex.operators.vector_index`) built for these queries and searched.
 
-    nq, _ = _size(queries)
-    _, dim = _size(vocab)
-    row_bytes = 8 * max(dim, 1) + 64
-    bq = block_count(nq, row_bytes, query_block_bytes)
-    sizes = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n")).select(
-        "cluster", F.greatest(F.lit(1), F.ceil(F.col("_n") * row_bytes / vocab_block_bytes)).cast("int").alias("nsub"))
-    qx = queries.select(F.col("query_id").alias("query_id"), F.col("embedding").alias("embedding")).mapInPandas(
-        probe, "query_id long, embedding array<float>, cluster int")
-    qx = qx.join(F.broadcast(sizes), "cluster", "inner")  # one row per cluster
-    qx = qx.select("query_id", "embedding", "cluster", F.explode(F.sequence(F.lit(0), F.col("nsub") - 1)).alias("sub"),
-                   F.pmod(F.xxhash64("query_id"), F.lit(bq)).cast("int").alias("qb"))
-    vx = assigned.join(F.broadcast(sizes), "cluster", "inner").select(
-        "label_id", "label_text", "embedding", "cluster",
-        F.pmod(F.xxhash64("label_id"), F.col("nsub")).cast("int").alias("sub"),
-        F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qb"))
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return empty_result()
-        return _topk_rows(left["query_id"].tolist(), _stack(left["embedding"]),
-                          right["label_id"].tolist(), right["label_text"].tolist(),
-                          _stack(right["embedding"]), k)
-
-    keys = ["cluster", "sub", "qb"]
-    partial = qx.groupBy(*keys).cogroup(vx.groupBy(*keys)).applyInPandas(score, RESULT_SCHEMA)
-    return top_k(partial, k, "query_id", "cosine")
+    Probes ``n_probe`` clusters, or as many as ``sample`` of the queries need to find the share ``recall`` of
+    their exact k nearest labels. Build the index once and keep it where a vocabulary is searched more than once."""
+    from subjex.operators.vector_index import build_index, search
+    index = build_index(vocab, n_clusters=n_clusters, seed=seed, queries=queries, recall=recall, k=k, n_queries=sample, n_probe=n_probe)
+    return search(index, queries, k, exact=exact)

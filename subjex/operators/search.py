@@ -1,28 +1,25 @@
 """Ensemble search.
 
-Every round scores *all* candidate sets in one Spark job: the candidate name
-is a grouping key of the vote / fusion and of the PR grid, so the work is one
-shuffle-partitioned plan rather than one process per candidate. Between
-rounds the running state (a sum table) is cut from its lineage with a
-reliable checkpoint, so 70 rounds do not build a 70-deep plan (W4: the
-positional loop is a driver loop of one job per round; U3: remaining
+Every round scores *all* candidate sets in one Spark job over one table: the
+document rows of :mod:`subjex.operators.matrix`, written once. A set of members is a
+vector of weights, so the running state of a search is a few numbers on the
+driver (W4: the positional loop is a driver loop of one job per round; U3: remaining
 candidates = members minus the chain; J9: the pairwise full join of the
-fusion becomes a group-by over the long member table).
+fusion is a weighted sum over a pair's members). A candidate is scored by its difference to the
+round's base, on the documents of its own member.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from subjex.functions.scores import clip01, stable_round
-from subjex.operators import ensemble as E
 from subjex.operators import evaluate as V
-from subjex.session import cut_lineage
-
-EPS = 1e-10
+from subjex.operators.matrix import Ensembles, MemberMatrix, areas, member_matrix
 
 
 def member_name(model="model", prompt="prompt"):
@@ -42,12 +39,6 @@ def candidate_auc(gold: DataFrame | None, sets: DataFrame, steps: int = 100,
     return V.pr_auc(V.pr_curve(grid, by=["candidate"]), by=["candidate"])
 
 
-def tagged_auc(sets: DataFrame, n_docs: int, steps: int = 100) -> DataFrame:
-    """PR-AUC of candidate sets already tagged with ``_hit`` and ``n_gold``."""
-    grid = V.pr_grid_tagged(sets, ["candidate"], steps, False, n_docs)
-    return V.pr_auc(V.pr_curve(grid, by=["candidate"]), by=["candidate"])
-
-
 def best_of(auc: DataFrame, largest: bool = True) -> tuple[str, float]:
     """Argmax (ties: smallest name). One row reaches the driver."""
     key = stable_round(F.col("pr_auc"), 9)
@@ -55,32 +46,21 @@ def best_of(auc: DataFrame, largest: bool = True) -> tuple[str, float]:
     return row["candidate"], float(row["pr_auc"])
 
 
-def _replicate(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """The running set once per remaining candidate (factor = number of candidates)."""
-    return df.select(F.explode(F.array(*[F.lit(n) for n in names])).alias("candidate"), "*")
-
-
-def _tags():
-    return [F.first("n_gold").alias("n_gold"), F.max("_hit").alias("_hit")]
-
-
-def _prepare(pred: DataFrame, gold: DataFrame, score: str, start: Sequence[str] | None = None):
-    """Member predictions joined with gold once (checkpointed) for all rounds."""
-    gs = V.gold_doc_sets(gold)
-    n_docs = gs.count()
-    m = member_scores(pred, score)
+def _prepare(pred: DataFrame, gold: DataFrame, score: str, start: Sequence[str] | None = None) -> MemberMatrix:
+    """The members' scores by document, written once for all rounds."""
+    m = member_scores(pred, score).withColumn("score", stable_round(F.col("score"), 9))
     if start is not None:
         m = m.where(F.col("member").isin(list(start)))
-    pt = cut_lineage(V.tag_predictions(m, gs, by=["member"]))
-    names = [r["member"] for r in pt.select("member").distinct().orderBy("member").collect()]
-    return pt, n_docs, names
+    return member_matrix(m, gold.select("doc_id", "label_id"))
 
 
-def _sets(rows: DataFrame, value) -> DataFrame:
-    """Candidate sets from (candidate, doc, label, part, tags) rows; the one
-    shuffle by (candidate, doc) serves the fusion, the ties and the window."""
-    return rows.repartition("candidate", "doc_id").groupBy("candidate", "doc_id", "label_id") \
-        .agg(value.alias("score"), *_tags())
+def _round(matrix: MemberMatrix, candidates: Sequence[str], base: np.ndarray, change: float, divide: float, steps: int, clip: bool = False) -> tuple[str, float]:
+    """The candidate whose member's weight, changed by ``change``, gives the best area."""
+    own = [matrix.at[c] for c in candidates]
+    weights = np.repeat(base[None, :], len(own), axis=0)
+    weights[np.arange(len(own)), own] += change
+    e = Ensembles(list(candidates), weights, np.full(len(own), float(divide)), clip, base if base.any() else None, own)
+    return best_of(areas(matrix, e, steps))
 
 
 def greedy_forward(pred: DataFrame, gold: DataFrame, rounds: int = 70, weights: str = "equal",
@@ -88,47 +68,25 @@ def greedy_forward(pred: DataFrame, gold: DataFrame, rounds: int = 70, weights:
     """Add, round by round, the member whose addition gives the best PR-AUC.
 
     ``weights="equal"``: a candidate set is the plain mean of its members.
-    ``weights="recurrent"``: as the reference computes it, every remaining
-    member's table is fused with the new pick's (already fused) table with
-    weight n each round, so early picks weigh more.
+    ``weights="recurrent"``: every remaining member's table is fused with the new pick's (already fused)
+    table with weight n each round, so early picks weigh more. Written out, a table is then its own
+    member times a factor that shrinks with the rounds, plus a sum over the picks that all tables share; so
+    both modes are a base of weights plus one member.
     Returns (model_prompt, cum_score) in pick order.
     """
     if weights not in ("equal", "recurrent"):
         raise ValueError("weights must be 'equal' or 'recurrent'")
-    pt, n_docs, names = _prepare(pred, gold, score)
-    cols = ["doc_id", "label_id", "n_gold", "_hit"]
+    matrix = _prepare(pred, gold, score)
     chain: list[tuple[str, float]] = []
-    if weights == "equal":
-        running = None  # (doc_id, label_id, s, tags): sum of the chosen members
-        for _ in range(min(rounds, len(names))):
-            chosen = {c for c, _ in chain}
-            remaining = [n for n in names if n not in chosen]
-            k = len(chain)
-            cand = pt.where(F.col("member").isin(remaining)).select(
-                F.col("member").alias("candidate"), *cols, F.col("score").alias("part"))
-            if running is not None:
-                cand = cand.unionByName(_replicate(running, remaining).select(
-                    "candidate", *cols, F.col("s").alias("part")))
-            sets = _sets(cand, F.sum("part") / (k + 1))
-            name, value = best_of(tagged_auc(sets, n_docs, steps))
-            chain.append((name, value))
-            add = pt.where(F.col("member") == name).select(*cols, F.col("score").alias("s"))
-            running = add if running is None else running.unionByName(add) \
-                .groupBy("doc_id", "label_id").agg(F.sum("s").alias("s"), *_tags())
-            running = cut_lineage(running)
-    else:
-        lists = pt.select(F.col("member").alias("candidate"), *cols, "score")
-        for _ in range(min(rounds, len(names))):
-            chosen = {c for c, _ in chain}
-            remaining = [n for n in names if n not in chosen]
-            current = lists.where(F.col("candidate").isin(remaining))
-            name, value = best_of(tagged_auc(current, n_docs, steps))
-            chain.append((name, value))
-            n = len(chain)
-            pick = current.where(F.col("candidate") == name).select(*cols, F.col("score").alias("y"))
-            mixed = current.select("candidate", *cols, F.col("score").alias("part")).unionByName(
-                _replicate(pick, remaining).select("candidate", *cols, (F.col("y") * n).alias("part")))
-            lists = cut_lineage(_sets(mixed, F.sum("part") / (n + 1)))
+    base, own = np.zeros(len(matrix.members)), 1.0
+    for n in range(1, min(rounds, len(matrix.members)) + 1):
+        remaining = [m for m in matrix.members if m not in {c for c, _ in chain}]
+        chain.append(_round(matrix, remaining, base, own, n if weights == "equal" else 1, steps))
+        if weights == "equal":
+            base[matrix.at[chain[-1][0]]] += 1.0
+        else:  # (own x + base + n (own pick + base)) / (n + 1)
+            base[matrix.at[chain[-1][0]]] += n * own / (n + 1)
+            own /= n + 1
     return pred.sparkSession.createDataFrame(chain, "model_prompt string, cum_score double")
 
 
@@ -138,32 +96,18 @@ def greedy_backward(pred: DataFrame, gold: DataFrame, start: Sequence[str] | Non
     removal leaves the best PR-AUC (no stop rule).
 
     The fused set is the mean of the members' scores (A13). Instead of the
-    lossy update (n x - y) / (n - 1) the exact member sum is kept and the
-    removed member's scores subtracted; the clip to [0, 1] and the drop of
-    scores within 1e-10 of zero are kept. Returns (initial PR-AUC, chain of
-    (model_prompt, score)).
+    lossy update (n x - y) / (n - 1) the sum over the remaining members is taken
+    anew; the clip to [0, 1] and the drop of scores within 1e-10 of zero are kept.
+    Returns (initial PR-AUC, chain of (model_prompt, score)).
     """
-    pt, n_docs, current = _prepare(pred, gold, score, start)
-    cols = ["doc_id", "label_id", "n_gold", "_hit"]
-    total = cut_lineage(pt.groupBy("doc_id", "label_id").agg(F.sum("score").alias("s"), *_tags()))
-    n = len(current)
-    init_set = total.select(F.lit("all").alias("candidate"), *cols, (F.col("s") / n).alias("score"))
-    _, initial = best_of(tagged_auc(init_set, n_docs, steps))
+    matrix = _prepare(pred, gold, score, start)
+    current, base = list(matrix.members), np.ones(len(matrix.members))
+    _, initial = best_of(areas(matrix, Ensembles(["all"], base[None, :], np.array([float(len(current))])), steps))
     chain: list[tuple[str, float]] = []
-    for _ in range(rounds):
-        if n < 2:
-            break
-        minus = pt.where(F.col("member").isin(current)).select(
-            F.col("member").alias("candidate"), *cols, (-F.col("score")).alias("part"))
-        plus = _replicate(total, current).select("candidate", *cols, F.col("s").alias("part"))
-        sets = _sets(plus.unionByName(minus), clip01(F.sum("part") / (n - 1))).where(F.abs("score") > EPS)
-        name, value = best_of(tagged_auc(sets, n_docs, steps))
-        chain.append((name, value))
-        gone = pt.where(F.col("member") == name).select(*cols, (-F.col("score")).alias("s"))
-        total = cut_lineage(total.unionByName(gone).groupBy("doc_id", "label_id")
-                            .agg(F.sum("s").alias("s"), *_tags()).where(F.abs("s") > EPS))
-        current.remove(name)
-        n -= 1
+    while len(chain) < rounds and len(current) > 1:
+        chain.append(_round(matrix, current, base, -1.0, len(current) - 1, steps, clip=True))
+        base[matrix.at[chain[-1][0]]] = 0.0
+        current.remove(chain[-1][0])
     return initial, pred.sparkSession.createDataFrame(chain, "model_prompt string, score double")
 
 
@@ -172,7 +116,8 @@ def sample_ensembles(existing: DataFrame, n: int, max_big: int = 3, samples: int
     """O2: ``samples`` random candidate ensembles of n members, at most
     ``max_big`` from big models (capped by what exists and by n; n capped when
     the small members are too few). Seeded; identical draws collapse into one
-    candidate. ``existing``: (model, prompt, is_big), one row per member.
+    candidate. The order of a draw is the MD5 sum of "seed|draw|model|prompt", so any engine can
+    repeat it. ``existing``: (model, prompt, is_big), one row per member.
     Returns members(ensemble, model, prompt, ord)."""
     counts = existing.groupBy().agg(F.count_if(F.col("is_big")).alias("nb"),
                                     F.count_if(~F.col("is_big")).alias("ns")).first()
@@ -182,7 +127,7 @@ def sample_ensembles(existing: DataFrame, n: int, max_big: int = 3, samples: int
     max_big = min(max_big, nb, n)
     draws = existing.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("draw"))
     w = Window.partitionBy("draw", "is_big").orderBy(
-        F.xxhash64(F.col("model"), F.col("prompt"), F.col("draw"), F.lit(seed)), "model", "prompt")
+        F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"), "model", "prompt")), "model", "prompt")
     quota = F.when(F.col("is_big"), F.lit(max_big)).otherwise(F.lit(n - max_big))
     picked = draws.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= quota)
     key = picked.groupBy("draw").agg(F.array_join(F.array_sort(F.collect_list(member_name())), "|").alias("ensemble"))
@@ -193,9 +138,19 @@ def sample_ensembles(existing: DataFrame, n: int, max_big: int = 3, samples: int
 
 def score_ensembles(pred: DataFrame, members: DataFrame, gold: DataFrame, top: int = 10,
                     steps: int = 100) -> DataFrame:
-    """O3 + O4 + T5: vote every candidate ensemble and score them all in one
-    job; the ``top`` best by PR-AUC (ties by name)."""
-    votes = E.vote(pred, members).select(F.col("ensemble").alias("candidate"), "doc_id", "label_id",
-                                         stable_round(F.col("score"), 9).alias("score"))
-    auc = candidate_auc(gold, votes, steps).withColumnRenamed("candidate", "ensemble")
+    """O3 + O4 + T5: vote every candidate ensemble (A6: clipped cosines over the number of members) and score them
+    all in one reading of the predictions; the ``top`` best by PR-AUC (ties by name). The members table
+    (ensembles x members, a parameter of the search) becomes the weights of the product."""
+    given = members.groupBy("ensemble", member_name().alias("member")).agg(F.count(F.lit(1)).alias("n")).collect()
+    used = {r["member"] for r in given}
+    best = pred.groupBy(member_name().alias("member"), "doc_id", "label_id").agg(clip01(F.max("cosine_similarity")).alias("score"))
+    matrix = member_matrix(best.where(F.col("member").isin(list(used))), gold.select("doc_id", "label_id"))
+    names = sorted({r["ensemble"] for r in given})
+    weights, size = np.zeros((len(names), len(matrix.members))), np.zeros(len(names))
+    for r in given:
+        e = names.index(r["ensemble"])
+        size[e] += r["n"]  # a member without predictions counts in the mean
+        if r["member"] in matrix.at:
+            weights[e, matrix.at[r["member"]]] += r["n"]
+    auc = areas(matrix, Ensembles(names, weights, size), steps).withColumnRenamed("candidate", "ensemble")
     return auc.orderBy(F.desc(stable_round(F.col("pr_auc"), 9)), "ensemble").limit(top)

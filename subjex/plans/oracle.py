@@ -69,26 +69,20 @@ HY_V = (f"SELECT CAST(item_id AS VARCHAR) AS label_id, text AS label_text, embed
         f"FROM ({HY_ITEMS}) WHERE label <> 0")
 
 
-def hybrid_sql(alpha: float = 0.7, k: int = 10) -> str:
+def hybrid_sql(alpha: float = 0.7) -> str:
+    """Every label row fused for every query: no lists."""
     return f"""
-WITH vl AS (SELECT query_id, label_id, cosine AS v FROM ({knn_sql(HY_Q, HY_V, k)})),
-kl AS (SELECT query_id, label_id, score AS k FROM ({bm25_sql(HY_Q, HY_V, k)})),
-vn AS (SELECT query_id, label_id,
-              CASE WHEN max(v) OVER w > min(v) OVER w THEN (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w)
-                   ELSE 1.0 END AS v
-       FROM vl WINDOW w AS (PARTITION BY query_id)),
-kn AS (SELECT query_id, label_id,
-              CASE WHEN max(k) OVER w > min(k) OVER w THEN (k - min(k) OVER w) / (max(k) OVER w - min(k) OVER w)
-                   ELSE 1.0 END AS k
-       FROM kl WINDOW w AS (PARTITION BY query_id)),
-f AS (SELECT coalesce(vn.query_id, kn.query_id) AS query_id, coalesce(vn.label_id, kn.label_id) AS label_id,
-             {alpha} * coalesce(vn.v, 0.0) + {round(1 - alpha, 10)} * coalesce(kn.k, 0.0) AS hybrid_score
-      FROM vn FULL OUTER JOIN kn ON vn.query_id = kn.query_id AND vn.label_id = kn.label_id),
-best AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {s9('hybrid_score')} DESC,
-                                                                   label_id) = 1)
-SELECT best.query_id, best.label_id, v.label_text AS term, {r6('best.hybrid_score')} AS hybrid_score,
-       {r6('list_cosine_similarity(q.embedding, v.embedding)')} AS cosine
-FROM best JOIN ({HY_Q}) q USING (query_id) JOIN ({HY_V}) v USING (label_id)
+WITH pairs AS (SELECT q.query_id, v.label_id, list_cosine_similarity(q.embedding, v.embedding) AS v FROM ({HY_Q}) q CROSS JOIN ({HY_V}) v),
+kw AS ({bm25_sql(HY_Q, HY_V, 10 ** 9)}),
+scaled AS (
+  SELECT p.query_id, p.label_id, v AS cosine,
+         CASE WHEN max(v) OVER w > min(v) OVER w THEN (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) ELSE 1.0 END AS vector,
+         CASE WHEN max(kw.score) OVER w > 0 THEN coalesce(kw.score, 0.0) / max(kw.score) OVER w ELSE 0.0 END AS keyword
+  FROM pairs p LEFT JOIN kw ON kw.query_id = p.query_id AND kw.label_id = p.label_id WINDOW w AS (PARTITION BY p.query_id)),
+fused AS (SELECT *, {alpha} * vector + {round(1 - alpha, 10)} * keyword AS hybrid_score FROM scaled),
+best AS (SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {s9('hybrid_score')} DESC, label_id) = 1)
+SELECT query_id, label_id, label_text AS term, {r6('hybrid_score')} AS hybrid_score, {r6('cosine')} AS cosine
+FROM best JOIN ({HY_V}) v USING (label_id)
 """
 
 
@@ -103,9 +97,10 @@ SELECT model, prompt, doc_id, label_id, candidate, term, mc AS cosine_similarity
 FROM r WHERE rn = 1
 """
 
-VOTE_SQL = f"""
+def vote_sql(members_sql: str) -> str:
+    return f"""
 WITH b AS ({BEST_MATCH_SQL}),
-m AS (SELECT *, count(*) OVER (PARTITION BY ensemble) AS n FROM ({MEMBERS_SQL}))
+m AS (SELECT *, count(*) OVER (PARTITION BY ensemble) AS n FROM ({members_sql}))
 SELECT m.ensemble, b.doc_id, b.label_id,
        (floor(floor((sum(greatest(0.0, least(1.0, b.cosine_similarity))) / any_value(m.n)) * 1e9 + 0.5) / 1e9 * 1000000000.0 + 0.5) / 1000000000.0) AS score,
        arg_max(b.term, m.ord) AS term,
@@ -115,6 +110,9 @@ FROM b JOIN m USING (model, prompt)
 GROUP BY m.ensemble, b.doc_id, b.label_id
 """
 
+
+VOTE_SQL = vote_sql(MEMBERS_SQL)
+
 RANKED_SQL = f"""
 WITH a AS (SELECT doc_id, term,
                   CASE WHEN regexp_replace(coalesce(answer, ''), '[^0-9]', '', 'g') = '' THEN 0.0
@@ -284,6 +282,42 @@ FROM n{k} n JOIN m ON m.member = n.member OR m.member IN ({picks}) GROUP BY ALL"
     return f"WITH {', '.join(ctes)} {rows}"
 
 
+def greedy_recurrent_sql() -> str:
+    """Every round written out over the members' own tables: each remaining one is fused with the pick's with weight n."""
+    ctes = _greedy_start()
+    tables = "SELECT member AS candidate, doc_id, label_id, score FROM m"
+    for k in range(MAX_MEMBERS):
+        ctes += _round_sql(k, tables)
+        tables = f"""
+SELECT candidate, doc_id, label_id, sum(part) / {k + 2} AS score FROM (
+  SELECT candidate, doc_id, label_id, score AS part FROM c{k} WHERE candidate IN (SELECT member FROM n{k + 1})
+  UNION ALL SELECT n.member, doc_id, label_id, {k + 1} * score FROM n{k + 1} n CROSS JOIN (SELECT * FROM c{k} WHERE candidate IN (SELECT candidate FROM p{k})))
+GROUP BY ALL"""
+    rows = " UNION ALL ".join(f"SELECT name AS model_prompt, {r6('pr_auc')} AS cum_score FROM p{k} JOIN names ON member = candidate" for k in range(MAX_MEMBERS))
+    return f"WITH {', '.join(ctes)} {rows}"
+
+
+def sampled_members_sql(n: int, max_big: int, samples: int, seed: int) -> str:
+    """The seeded draws: members by the MD5 sum of "seed|draw|model|prompt", big and small apart."""
+    return f"""
+WITH ex AS (SELECT DISTINCT model, prompt, model = 'R' AS big FROM ({PRED_SQL})),
+c AS (SELECT count(*) FILTER (big) AS nb, count(*) FILTER (NOT big) AS ns FROM ex),
+size AS (SELECT nb, CASE WHEN {n - max_big} > ns THEN ns + {max_big} ELSE {n} END AS n FROM c),
+quota AS (SELECT n, least({max_big}, nb, n) AS b FROM size),
+draws AS (SELECT ex.*, d.draw FROM ex CROSS JOIN (SELECT unnest(generate_series(0, {samples - 1})) AS draw) d),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY draw, big ORDER BY md5('{seed}|' || draw || '|' || model || '|' || prompt), model, prompt) AS place FROM draws),
+picked AS (SELECT draw, model, prompt FROM ranked, quota WHERE place <= CASE WHEN big THEN b ELSE n - b END),
+named AS (SELECT draw, string_agg(model || '_' || prompt, '|' ORDER BY model || '_' || prompt) AS ensemble FROM picked GROUP BY draw)
+SELECT ensemble, model, prompt, row_number() OVER (PARTITION BY ensemble ORDER BY model, prompt) AS ord
+FROM (SELECT DISTINCT ensemble, model, prompt FROM picked JOIN named USING (draw))
+"""
+
+
+def _best_ensembles_sql(votes: str) -> str:
+    area = _auc_sql(_grid_sql(f"SELECT ensemble, doc_id, label_id, score FROM ({votes})", "ensemble"), "ensemble")
+    return f"SELECT ensemble, {r6('pr_auc')} AS pr_auc FROM ({area}) ORDER BY {s9('pr_auc')} DESC, ensemble LIMIT 10"
+
+
 def greedy_backward_sql() -> str:
     """Every round written out: the sum of what remains, less one member, over one member fewer."""
     ctes = [*_greedy_start(), "t0 AS MATERIALIZED (SELECT doc_id, label_id, sum(score) AS s FROM m GROUP BY ALL)",
@@ -447,8 +481,10 @@ FROM v JOIN s USING (doc_id) GROUP BY v.doc_id
     q["q_embed_batch"] = EMBED_SQL
     q["q_greedy_forward"] = greedy_forward_sql()
     q["q_greedy_backward"] = greedy_backward_sql()
+    q["q_greedy_recurrent"] = greedy_recurrent_sql()
+    q["q_sample_ensembles"] = _best_ensembles_sql(vote_sql(sampled_members_sql(3, 1, 8, 1)))
     q["q_bm25_top1"] = f"SELECT query_id, label_id, {r6('score')} AS score FROM ({bm25_sql(TEXTQ_SQL, TEXTC_SQL, 1)})"
-    q["q_hybrid_top1"] = hybrid_sql(0.7, 10)
+    q["q_hybrid_top1"] = hybrid_sql(0.7)
     q["q_vocab_labels"] = f"""
 SELECT regexp_extract(s, '[^/]*$') AS label_id, nfc_normalize(o) AS label_text,
        p = '{PREF_LABEL}' AS is_prefLabel
@@ -492,13 +528,15 @@ SELECT prompt,
        || {ex['test_item']} AS frame
 FROM ({EXAMPLES_SQL}) GROUP BY prompt
 """
+    one_run = f"SELECT * FROM ({PRED_SQL}) WHERE model = 'A' AND prompt = 'F'"
     q["q_unpredicted_docs"] = f"""
-SELECT DISTINCT doc_id FROM ({GOLD_SQL}) WHERE doc_id NOT IN (SELECT doc_id FROM ({PRED_SQL}))
+SELECT DISTINCT doc_id FROM ({GOLD_SQL}) WHERE doc_id NOT IN (SELECT doc_id FROM ({one_run}))
 """
     q["q_match_docs"] = f"""
-WITH g AS (SELECT * FROM ({GOLD_SQL}) WHERE doc_id IN (SELECT doc_id FROM ({PRED_SQL}))),
-p AS (SELECT * FROM ({PRED_SQL}) WHERE doc_id IN (SELECT doc_id FROM g))
-SELECT (SELECT count(*) FROM g) AS n_gold_rows, (SELECT count(*) FROM p) AS n_pred_rows
+WITH g AS (SELECT * FROM ({GOLD_SQL}) WHERE doc_id IN (SELECT doc_id FROM ({one_run}))),
+p AS (SELECT * FROM ({one_run}) WHERE doc_id IN (SELECT doc_id FROM g))
+SELECT doc_id, n_gold_rows, n_pred_rows FROM (SELECT doc_id, count(*) AS n_gold_rows FROM g GROUP BY doc_id)
+FULL JOIN (SELECT doc_id, count(*) AS n_pred_rows FROM p GROUP BY doc_id) USING (doc_id)
 """
     lines = """
 SELECT 'conv' || CAST(conv_id AS VARCHAR) AS prompt, turn AS line_no,

@@ -34,8 +34,8 @@ def map_stage(completions: DataFrame, vocab: DataFrame, search: str = "vector",
     before every keyword before it is embedded, as the vocabulary labels may
     carry it (``vocab_labels(phrase=...)``). ``debug_rows`` (P13) limits the
     completions for a quick look. ``search="clusters"`` cuts the vocabulary
-    into about the square root of its size of clusters and probes ``n_probe``
-    (an eighth by default), or more where a sample needs them for a recall of 0.95. With ``id_table`` the stats count the unmapped
+    into about the square root of its size of clusters and probes ``n_probe``,
+    or as many as a sample of the keywords needs for a recall of 0.95. With ``id_table`` the stats count the unmapped
     matches of each run.
     """
     from subjex.operators import mapping as M
@@ -59,7 +59,7 @@ def map_stage(completions: DataFrame, vocab: DataFrame, search: str = "vector",
             near = nearest(queries, vocab, k=1)
         else:
             n_clusters = max(1, round(vocab.count() ** 0.5))
-            near = nearest_clusters(queries, vocab, k=1, n_clusters=n_clusters, n_probe=n_probe or max(2, -(-n_clusters // 8)))
+            near = nearest_clusters(queries, vocab, k=1, n_clusters=n_clusters, n_probe=n_probe)
         found = near.select(
             "query_id", "label_id", F.col("label_text").alias("term"),
             F.col("cosine").alias("cosine_similarity"), F.lit(None).cast("double").alias("hybrid_score"))

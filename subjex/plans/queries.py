@@ -185,15 +185,13 @@ def q_knn_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_knn_ivf(spark: SparkSession, sf: str) -> DataFrame:
     from subjex.operators.knn import nearest_clusters
-    return rounded(nearest_clusters(X.vec_queries(spark, sf), X.vec_vocab(spark, sf), k=1,
-                                    n_clusters=8, n_probe=3))
+    return rounded(nearest_clusters(X.vec_queries(spark, sf), X.vec_vocab(spark, sf), k=1, n_clusters=8))
 
 
 def q_knn_ivf_all(spark: SparkSession, sf: str) -> DataFrame:
-    """M4 with every cluster probed: the exact top-k."""
+    """M4, exact: two clusters probed, all others that their radius does not rule out after them."""
     from subjex.operators.knn import nearest_clusters
-    return rounded(nearest_clusters(X.vec_queries(spark, sf), X.vec_vocab(spark, sf), k=5,
-                                    n_clusters=8, n_probe=8))
+    return rounded(nearest_clusters(X.vec_queries(spark, sf), X.vec_vocab(spark, sf), k=5, n_clusters=8, n_probe=2, exact=True))
 
 
 def q_bm25_top1(spark: SparkSession, sf: str) -> DataFrame:
@@ -208,7 +206,7 @@ def q_hybrid_top1(spark: SparkSession, sf: str) -> DataFrame:
                                                 F.col("text").alias("query"))
     v = items.where(F.col("label") != 0).select(F.col("item_id").cast("string").alias("label_id"),
                                                 F.col("text").alias("label_text"), "embedding")
-    return rounded(hybrid(q, v, alpha=0.7, k_lists=10))
+    return rounded(hybrid(q, v, alpha=0.7, depth=10))
 
 
 # ------------------------------------------------------------- sources / dataset
@@ -265,6 +263,12 @@ def q_greedy_forward(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(greedy_forward(p, X.gold(spark, sf)))
 
 
+def q_greedy_recurrent(spark: SparkSession, sf: str) -> DataFrame:
+    from subjex.operators.search import greedy_forward
+    p = X.pred(spark, sf).select(*MEMBER, "doc_id", "label_id", "score")
+    return rounded(greedy_forward(p, X.gold(spark, sf), weights="recurrent"))
+
+
 def q_greedy_backward(spark: SparkSession, sf: str) -> DataFrame:
     from subjex.operators.search import greedy_backward
     p = X.pred(spark, sf).select(*MEMBER, "doc_id", "label_id", "score")
@@ -297,15 +301,19 @@ def q_map_pipeline(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------- more joins / stages
 
 def q_unpredicted_docs(spark: SparkSession, sf: str) -> DataFrame:
-    """Gold documents no member predicts."""
-    return V.unpredicted_docs(X.gold(spark, sf), X.pred(spark, sf))
+    """Gold documents that one run (A, F) predicts nothing for."""
+    return V.unpredicted_docs(X.gold(spark, sf), _one_run(spark, sf))
+
+
+def _one_run(spark, sf):
+    return X.pred(spark, sf).where((F.col("model") == "A") & (F.col("prompt") == "F"))
 
 
 def q_match_docs(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows left on each side after matching documents both ways."""
-    g, p = V.match_docs(X.gold(spark, sf), X.pred(spark, sf))
-    return g.agg(F.count(F.lit(1)).alias("n_gold_rows")).select(
-        "n_gold_rows", p.select(F.count(F.lit(1))).scalar().alias("n_pred_rows"))
+    """The documents of one run (A, F) and of gold matched both ways: rows left of each document on each side."""
+    g, p = V.match_docs(X.gold(spark, sf), _one_run(spark, sf))
+    return g.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_gold_rows")).join(
+        p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pred_rows")), "doc_id", "full_outer")
 
 
 def prompt_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -414,6 +422,7 @@ REGISTRY = {
     "q_render_prompts": q_render_prompts,
     "q_embed_batch": q_embed_batch,
     "q_greedy_forward": q_greedy_forward,
+    "q_greedy_recurrent": q_greedy_recurrent,
     "q_greedy_backward": q_greedy_backward,
     "q_sample_ensembles": q_sample_ensembles,
     "q_map_pipeline": q_map_pipeline,

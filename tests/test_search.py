@@ -54,7 +54,7 @@ def test_hybrid_alpha_one_is_vector_search(spark):
     q, v = _vec(spark)
     qq = q.withColumn("query", F.lit("x"))
     vv = v.withColumn("label_text", F.concat(F.lit("x "), F.col("label_id")))
-    h = dict(hybrid(qq, vv, alpha=1.0, k_lists=5).select("query_id", "label_id").collect())
+    h = dict(hybrid(qq, vv, alpha=1.0, depth=5).select("query_id", "label_id").collect())
     e = dict(knn.nearest(q, v, k=1).select("query_id", "label_id").collect())
     assert h == e
 
