@@ -1,6 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 from subjex.llm.queries import MIX
+from subjex.llm.raking import KEEP, ROUNDS, STILL
 
 _LINE_DEDUP = r"""
 WITH lines AS (
@@ -25,43 +26,44 @@ FROM marked GROUP BY doc_id
 _SPACED = "'[\\x20\\x09-\\x0D]+'"
 
 
-def mixing_ctes(documents: str, targets: dict, rounds: int = 50) -> str:
-    """CTEs up to `mixed` (the columns of documents, topic, n_tokens, rate, copies): raking as a recursive CTE over lists."""
+def _mixing(targets: dict, keep: float, rounds: int, still: float) -> str:
+    """Raking as a recursive CTE over rows: caps from the sorted ratios of supply to target, then one window per dimension."""
     names = {d: [*(v for v in targets[d] if v != "other"), "other"] for d in ("source", "lang", "topic")}
-    shares = {d: [float(targets[d].get(v, 0.0)) for v in names[d]] for d in names}
-    code = lambda d, col: "CASE " + " ".join(f"WHEN {col} = '{v}' THEN {i}" for i, v in enumerate(names[d][:-1], 1)) + f" ELSE {len(names[d])} END"
-    given = lambda k, d: f"list_transform({shares[d]}::DOUBLE[], lambda x, i: CASE WHEN len(list_filter(cells, lambda c: c.{k} = i)) > 0 THEN x ELSE 0.0 END)"
-    fit = lambda d, k, a, x, b, y: (f"list_transform({d}, lambda x, i: CASE WHEN x = 0 THEN 0.0 ELSE x / list_sum(list_transform(list_filter(cells, "
-                                    f"lambda c: c.{k} = i), lambda c: c.w * {a}[c.{x}] * {b}[c.{y}])) END)")
+    code = lambda d: "CASE " + " ".join(f"WHEN {d} = '{v}' THEN {i}" for i, v in enumerate(names[d][:-1], 1)) + f" ELSE {len(names[d])} END"
+    asked = ", ".join(f"('{d[0]}', {i}, {float(targets[d].get(v, 0.0))!r}::DOUBLE)" for d in names for i, v in enumerate(names[d], 1))
+    fit = lambda k, r, inner: (f"SELECT *, least(1.0, {r} * CASE WHEN sum(w * {r}) OVER (PARTITION BY {k}) > 0 THEN g{k} / sum(w * {r}) OVER (PARTITION BY {k}) ELSE 0 END) "
+                               f"AS {r}{k} FROM ({inner})")
+    step = fit("t", "rsl", fit("l", "rs", fit("s", "r", f"SELECT * FROM raked WHERE moved > {still!r} AND k < {rounds}")))
     return f"""
-counted AS (
-  SELECT *, len(list_filter(regexp_split_to_array(coalesce(text, ''), {_SPACED}), lambda x: x <> ''))::BIGINT AS n_tokens FROM {documents}),
+WITH RECURSIVE counted AS (
+  SELECT *, len(list_filter(regexp_split_to_array(coalesce(text, ''), {_SPACED}), lambda x: x <> ''))::BIGINT AS n_tokens FROM documents),
 topical AS (
   SELECT *, CASE WHEN contains(coalesce(text, ''), '|') THEN 'table' WHEN regexp_matches(coalesce(text, ''), '[0-9]') THEN 'figures'
                  WHEN n_tokens < 100 THEN 'brief' ELSE 'article' END AS topic FROM counted),
-coded AS (SELECT *, {code("source", "source")} AS s, {code("lang", "lang")} AS l, {code("topic", "topic")} AS t FROM topical),
+coded AS (SELECT *, {code("source")} AS s, {code("lang")} AS l, {code("topic")} AS t FROM topical),
 cell AS (SELECT s, l, t, sum(n_tokens)::DOUBLE AS w FROM coded GROUP BY ALL HAVING sum(n_tokens) > 0),
-listed AS (SELECT list({{'s': s, 'l': l, 't': t, 'w': w}} ORDER BY s, l, t) AS cells FROM cell),
-present AS (SELECT cells, {given("s", "source")} AS ps, {given("l", "lang")} AS pl, {given("t", "topic")} AS pt FROM listed),
-goal AS (SELECT cells, list_transform(ps, lambda x: x / list_sum(ps)) AS gs, list_transform(pl, lambda x: x / list_sum(pl)) AS gl,
-                list_transform(pt, lambda x: x / list_sum(pt)) AS gt FROM present),
-raked(k, fs, fl, ft) AS (
-  SELECT 0, list_transform(gs, lambda x: 1.0::DOUBLE), list_transform(gl, lambda x: 1.0::DOUBLE), list_transform(gt, lambda x: 1.0::DOUBLE) FROM goal
+supply AS (SELECT 's' AS d, s AS v, sum(w) AS m FROM cell GROUP BY s UNION ALL SELECT 'l', l, sum(w) FROM cell GROUP BY l UNION ALL SELECT 't', t, sum(w) FROM cell GROUP BY t),
+asked(d, v, x) AS (VALUES {asked}),
+offered AS (SELECT d, v, x, m FROM asked JOIN supply USING (d, v) WHERE x > 0),
+total AS (SELECT least((SELECT sum(w) FROM cell) * {keep!r}, min(h)) AS n FROM (SELECT d, sum(m) AS h FROM offered GROUP BY d)),
+scarce AS (
+  SELECT *, coalesce(sum(m) OVER before, 0) AS m_before, coalesce(sum(x) OVER before, 0) AS x_before, sum(x) OVER (PARTITION BY d) AS x_all
+  FROM offered WINDOW before AS (PARTITION BY d ORDER BY m / x, v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+multiple AS (SELECT d, max((n - m_before) / (x_all - x_before)) AS y FROM scarce, total GROUP BY d),
+goal AS (SELECT d, v, least(x * y, m) AS g FROM scarce JOIN multiple USING (d)),
+begun AS (
+  SELECT c.*, coalesce(a.g, 0) AS gs, coalesce(b.g, 0) AS gl, coalesce(e.g, 0) AS gt,
+         CASE WHEN a.g > 0 AND b.g > 0 AND e.g > 0 THEN (SELECT n FROM total) / sum(w) OVER () ELSE 0 END AS r
+  FROM cell c LEFT JOIN goal a ON a.d = 's' AND a.v = s LEFT JOIN goal b ON b.d = 'l' AND b.v = l LEFT JOIN goal e ON e.d = 't' AND e.v = t),
+raked(k, moved, s, l, t, w, gs, gl, gt, r) AS (
+  SELECT 0, 1.0::DOUBLE, s, l, t, w, gs, gl, gt, r FROM begun
   UNION ALL
-  SELECT k + 1, s1, l1, {fit("gt", "t", "s1", "s", "l1", "l")}
-  FROM (SELECT k, s1, ft, cells, gt, {fit("gl", "l", "s1", "s", "ft", "t")} AS l1
-        FROM (SELECT k, ft, cells, gl, gt, {fit("gs", "s", "fl", "l", "ft", "t")} AS s1 FROM raked, goal WHERE k < {rounds}))),
-factor AS (SELECT s, l, t, fs[s] * fl[l] * ft[t] AS f FROM cell, raked WHERE k = {rounds}),
-rated AS (SELECT s, l, t, CASE WHEN max(f) OVER () > 0 THEN f / max(f) OVER () ELSE 0 END AS rate FROM factor),
-mixed AS (
-  SELECT c.* EXCLUDE (s, l, t), coalesce(r.rate, 0.0) AS rate,
-         (floor(coalesce(r.rate, 0.0)) + CASE WHEN ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0
-            < coalesce(r.rate, 0.0) - floor(coalesce(r.rate, 0.0)) THEN 1 ELSE 0 END)::BIGINT AS copies
-  FROM coded c LEFT JOIN rated r USING (s, l, t))"""
-
-
-_MIXING = f"WITH RECURSIVE {mixing_ctes('documents', MIX)} SELECT doc_id, topic, n_tokens, round(rate, 6) AS rate, copies FROM mixed"
-
+  SELECT k + 1, max(abs(rslt - r)) OVER (), s, l, t, w, gs, gl, gt, rslt FROM ({step})),
+rated AS (SELECT s, l, t, r AS rate FROM raked WHERE k = (SELECT max(k) FROM raked))
+SELECT doc_id, topic, n_tokens, round(coalesce(rate, 0.0), 6) AS rate,
+       (floor(coalesce(rate, 0.0)) + CASE WHEN ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0
+          < coalesce(rate, 0.0) - floor(coalesce(rate, 0.0)) THEN 1 ELSE 0 END)::BIGINT AS copies
+FROM coded LEFT JOIN rated USING (s, l, t)"""
 
 
 def _clusters(clusters: int = 8, rounds: int = 10, seed: int = 3) -> str:
@@ -94,6 +96,6 @@ FROM found JOIN sha ON cluster = c"""
 
 ORACLE_SQL = {
     "op12_va_clusters": _clusters(),
-    "op3_mixing": _MIXING,
+    "op3_mixing": _mixing(MIX, KEEP, ROUNDS, STILL),
     "op10_line_dedup": _LINE_DEDUP,
 }

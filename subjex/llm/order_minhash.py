@@ -34,8 +34,10 @@ outside the largest class fill blocks. Nothing is collected.
 
 Defined results. Texts are lower-cased; words are runs of letters and digits.
 Null, empty and wordless texts are their own classes. Texts under ``SHINGLE``
-words match exact copies only. Rows that repeat a doc_id are one document:
-their classes merge. Rows with a null doc_id have no row in the result.
+words match exact copies only. Rows that repeat a doc_id are classed text by text: each
+has a row with its own text's class, and ``keep_one`` keeps the row of smallest doc_id of
+each class (of smallest text hash among rows of one doc_id), so no text disappears because of another of the
+same doc_id. Rows with a null doc_id have no row in the result; ``keep_one`` keeps them. Extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -56,7 +58,7 @@ SHINGLE = 5
 LONG, SKETCHES, PICK = 32, 40, 8
 SHORT, SHORT_SKETCHES, SHORT_PICK = 50, 10, 2
 BLOCK = 1 << 19
-SKETCHED = "doc_id long, n long, fp1 long, fp2 long, few array<long>, many array<long>"
+SKETCHED = "doc_id long, h long, n long, fp1 long, fp2 long, few array<long>, many array<long>"
 LINKED = "a long, b long, similar double"
 _OCCURRENCE = np.uint64(0xD1B54A32D192ED03)
 
@@ -121,20 +123,21 @@ def _increasing(places: list[int]) -> int:
 
 
 def _norm(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text_or_empty()).alias("text"))
+    text = F.lower(text_or_empty())
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, words, two hashes of the word sequence, bucket keys) of every row with a doc_id."""
+    """(doc_id, text hash, words, two hashes of the word sequence, bucket keys) of every row with a doc_id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words, at = word_hashes(b.column("text"))
             spans = list(zip(at.tolist(), at[1:].tolist()))
             fps = [_sequence(words[x:y]) for x, y in spans]
             keys = [sketch_pair(elements(words[x:y])) for x, y in spans]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at), pa.int64()), *(pa.array([f[k] for f in fps], pa.int64()) for k in (0, 1)),
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(np.diff(at), pa.int64()), *(pa.array([f[k] for f in fps], pa.int64()) for k in (0, 1)),
                                               *(pa.array([p[k].view(np.int64) for p in keys], pa.list_(pa.int64())) for k in (0, 1))],
-                                             names=["doc_id", "n", "fp1", "fp2", "few", "many"])
+                                             names=["doc_id", "h", "n", "fp1", "fp2", "few", "many"])
     return _norm(docs).where("doc_id is not null").mapInArrow(run, SKETCHED)
 
 
@@ -252,29 +255,40 @@ def _links_in_mixed(mixed: DataFrame, texts: DataFrame, similarity: float) -> Da
     return both.groupBy("key", "lo", "hi").applyInArrow(run, LINKED)
 
 
-def near_duplicate_classes(docs: DataFrame, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
-    """(doc_id, class_id) of every row with a doc_id; class_id is the smallest doc_id of the class."""
+def row_classes(docs: DataFrame, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
+    """(doc_id, h, class_id, class_h) of every row with a doc_id: its text hash, and doc_id and text hash of the class's first row."""
     small_batches(docs.sparkSession)
     all_rows = materialise(sketched(docs), "sketches")
-    copies = all_rows.where("n > 0").groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "n", "few", "many")).alias("r"))
-    reps = materialise(copies.select("fp1", "fp2", F.col("r.doc_id").alias("doc"), F.col("r.n").alias("n"), F.col("r.few").alias("few"), F.col("r.many").alias("many")), "representatives")
+    copies = all_rows.where("n > 0").groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "h", "n", "few", "many")).alias("r")).select("fp1", "fp2", "r.*")
+    # from here on a text goes by a number of its own, as one doc_id may have several texts
+    reps = materialise(copies.withColumn("doc", F.monotonically_increasing_id()), "representatives")
     buckets = _buckets(reps)
-    involved = buckets.select(F.col("doc").alias("doc_id")).distinct()
-    texts = materialise(_norm(docs).join(involved.hint("merge"), "doc_id", "left_semi"), "bucket-texts")
+    involved = buckets.select("doc").distinct().join(reps.select("doc", "doc_id", "h"), "doc")
+    own = _norm(docs).join(involved.hint("merge"), ["doc_id", "h"])
+    texts = materialise(own.groupBy("doc_id", "h", "doc").agg(F.first("text").alias("text")).select(F.col("doc").alias("doc_id"), "text"), "bucket-texts")
     first = materialise(_pairs(buckets.join(_hub(buckets, "hub"), "key").where("doc <> hub"), "doc", "hub"), "hub-pairs")
     links = materialise(verify(first, texts, similarity), "links")
     found = components(links)
     more = materialise(_links_in_mixed(_mixed(buckets, found, reps, block), texts, similarity), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
-    member = all_rows.where("n > 0").select("doc_id", "fp1", "fp2").join(reps.select("fp1", "fp2", "doc"), ["fp1", "fp2"])
-    classes = (member.select("doc_id", "doc").join(found.select(F.col("node").alias("doc"), "component"), "doc", "left")
-               .select("doc_id", F.coalesce("component", "doc").alias("class_id")))
-    return classes.unionByName(all_rows.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id")))
+    linked = found.select(F.col("node").alias("doc"), "component").join(reps.select("doc", "doc_id", "h"), "doc")
+    least = linked.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("m"))
+    of = linked.select("doc", "component").join(least, "component").select("doc", "m")
+    classed = (reps.select("fp1", "fp2", "doc", F.struct("doc_id", "h").alias("self")).join(of, "doc", "left")
+               .select("fp1", "fp2", F.coalesce("m", "self").alias("m")))
+    rows = all_rows.where("n > 0").select("doc_id", "h", "fp1", "fp2").join(classed, ["fp1", "fp2"]).select("doc_id", "h", F.col("m.doc_id").alias("class_id"), F.col("m.h").alias("class_h"))
+    return rows.unionByName(all_rows.where("n = 0").select("doc_id", "h", F.col("doc_id").alias("class_id"), F.col("h").alias("class_h")))
+
+
+def near_duplicate_classes(docs: DataFrame, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
+    """(doc_id, class_id) of every row with a doc_id; class_id is the smallest doc_id of the class."""
+    return row_classes(docs, similarity, block).select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that come first in their class by doc_id, one row for each doc_id; rows without doc_id stay."""
-    gone = near_duplicate_classes(docs, similarity).where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(kept.where("doc_id is null").select(*docs.columns))
+    """The rows of ``docs`` that come first in their class, each text of a doc_id once; rows without doc_id stay."""
+    gone = row_classes(docs, similarity).where("doc_id <> class_id or h <> class_h").select("doc_id", "h").distinct()
+    own = F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lower(text_or_empty())).alias("h")
+    kept = docs.select(F.struct("*").alias("d"), *own).join(gone, ["doc_id", "h"], "left_anti")
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "h"]).select("d.*").unionByName(kept.where("doc_id is null").select("d.*"))

@@ -105,3 +105,48 @@ def test_overlaps_by_row_over_several_slices(spark, monkeypatch):
             yield spark.sparkContext.broadcast(([r.item_id for r in part], [r.text for r in part]))
     monkeypatch.setattr(spaced_seeds, "slices", several)
     assert rows(spaced_seeds.find_overlaps(docs, bench)) == whole
+
+
+def test_repeated_ids_lose_no_text(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(80))
+    a, b, c = text(), text(), text()
+    edited = lambda t, k: " ".join(w if i != 40 else f"edit{k}" for i, w in enumerate(t.split()))
+    rows = [(3, a), (5, a), (5, b), (2, edited(a, 1)), (8, edited(b, 2)), (9, c), (9, edited(c, 3)), (9, c), (9, ""), (9, None), (None, a), (10, "")]
+    frame = spark.createDataFrame([(i, t, "x", 7) for i, t in rows], "doc_id long, text string, h string, d int").repartition(3)
+    got = sorted(map(tuple, order_minhash.near_duplicate_classes(frame).collect()))
+    first = [(2, 2), (3, 2), (5, 2), (5, 5), (8, 5)]
+    assert got == sorted(first + [(9, 9)] * 5 + [(10, 10)])
+    for _ in range(2):
+        kept = sorted(((r.doc_id, r.text or "") for r in order_minhash.keep_one(frame).collect()), key=str)
+        assert [x for x in kept if x[0] != 9] == sorted([(2, edited(a, 1)), (5, b), (10, ""), (None, a)], key=str)
+        nine = [t for i, t in kept if i == 9]
+        assert len(nine) == 2 and "" in nine and set(nine) - {""} < {c, edited(c, 3)}
+
+
+def test_recall_by_share_of_edited_words(spark):
+    """Planted copies with a share of their words replaced: no link of 0.8 or more is lost; the shares that link are in the README."""
+    rng, texts, planted = random.Random(12), {}, {}
+    for base in range(250):
+        words = [f"b{base}w{rng.randint(0, 5000)}" for _ in range(rng.choice([60, 150, 400, 1500]))]
+        texts[len(texts)] = " ".join(words)
+        origin = len(texts) - 1
+        for share in (0.005, 0.01, 0.02, 0.03, 0.05, 0.1):
+            t = list(words)
+            for k in rng.sample(range(len(t)), max(1, round(share * len(t)))):
+                t[k] = f"e{rng.randint(0, 10**9)}"
+            planted[len(texts)] = (origin, share)
+            texts[len(texts)] = " ".join(t)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicate_classes(frame).collect()}
+    words, at = order_minhash.word_hashes(pa.array(list(texts.values()), pa.string()))
+    e = [order_minhash.elements(words[x:y]) for x, y in zip(at, at[1:])]
+    linked, alike, together = defaultdict(int), defaultdict(int), defaultdict(int)
+    for i, (origin, share) in planted.items():
+        near = order_minhash.aligned(e[origin], e[i], 0.8) >= 0.8 - 1e-9
+        alike[share] += near
+        linked[share] += near and got[i] == got[origin]
+        together[share] += got[i] == got[origin]
+    print({s: (alike[s], linked[s], together[s]) for s in sorted(alike)})
+    assert sum(linked.values()) >= 0.99 * sum(alike.values())
+    assert all(together[s] >= 0.9 * 250 for s in (0.005, 0.01))
