@@ -8,6 +8,7 @@ an object or an array.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,21 +100,29 @@ def extract_records(df: DataFrame, json_col: str = "json", strict_order: bool =
     return out.select(*keep, "doc_id", "title", "abstract", "dcterms:subject", labels.alias("labels"))
 
 
+def planned_folders(spark: SparkSession, path: str, subjects: Sequence[str], splits: Sequence[str],
+                    text_types: Sequence[str], languages: Sequence[str]) -> list[str]:
+    """The wanted ``<path>/<subjects>/data/<split>/<text_type>/<language>`` that exist: one look-up each in the file
+    system of ``path``, and no listing of anything else."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    root = jvm.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    wanted = [f"{s}/data/{p}/{t}/{l}" for s, p, t, l in itertools.product(subjects, splits, text_types, languages)]
+    return [str(jvm.Path(root, w).toString()) for w in wanted if fs.exists(jvm.Path(root, w))]
+
+
 def scan_records(spark: SparkSession, path: str, subjects: Sequence[str], splits: Sequence[str],
                  text_types: Sequence[str], languages: Sequence[str]) -> DataFrame:
     """``<path>/<subjects>/data/<split>/<text_type>/<language>/*``.
 
-    Every file counts, whatever its name ends with. The four dimensions come from the file path; directories that do not
-    exist are simply absent from the listing."""
+    Only the wanted directories are listed and read; those that do not exist are skipped. Spark packs small files
+    into tasks. Every file counts, whatever its name ends with; the four dimensions come from the file path."""
     validate_domain(subjects, splits, text_types, languages)
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path) \
-        .select(F.col("value").alias("json"), F.col("_metadata.file_path").alias("file_path"))
+    folders = planned_folders(spark, path, subjects, splits, text_types, languages)
+    if not folders:
+        raw = spark.createDataFrame([], "json string, file_path string")
+    else:
+        raw = spark.read.option("wholetext", True).text(folders).select(F.col("value").alias("json"), F.col("_metadata.file_path").alias("file_path"))
     rx = r".*/([^/]+)/data/([^/]+)/([^/]+)/([^/]+)/[^/]+$"
-    dims = raw.select("json", "file_path",
-                      F.regexp_extract("file_path", rx, 1).alias("subjects"),
-                      F.regexp_extract("file_path", rx, 2).alias("split"),
-                      F.regexp_extract("file_path", rx, 3).alias("text_type"),
-                      F.regexp_extract("file_path", rx, 4).alias("language"))
-    dims = dims.where(F.col("subjects").isin(list(subjects)) & F.col("split").isin(list(splits)) &
-                      F.col("text_type").isin(list(text_types)) & F.col("language").isin(list(languages)))
+    dims = raw.select("json", "file_path", *(F.regexp_extract("file_path", rx, k).alias(name) for k, name in enumerate(("subjects", "split", "text_type", "language"), 1)))
     return extract_records(dims, "json", keep=("language", "split", "text_type", "subjects", "file_path"))

@@ -3,18 +3,20 @@ explicit schemas, id lists, and columns derived from file paths."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subjex import schemas
+from subjex.sources.split_lines import csv_records
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
     """Header CSV read with an explicit schema (no inference pass);
-    quoted multi-line fields allowed. The strings ``NA``/``null`` stay text
+    quoted multi-line fields allowed, and still many tasks read one file. The strings ``NA``/``null`` stay text
     (trap N1): only empty fields are NULL."""
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"') \
-        .option("nullValue", "").schema(schema).csv(path)
+    return csv_records(spark, path, schema).drop("file", "start", "line")
 
 
 def stringified_list(c: Column) -> Column:
@@ -46,16 +48,19 @@ def member_from_path(path_col: str = "file_path"):
 
 
 def read_member_tables(spark: SparkSession, root: str, file_name: str = "predictions.csv",
-                       schema=None) -> DataFrame:
+                       schema=None, excluded: tuple[str, ...] = ("predictions.csv", "ranked_predictions.csv")) -> DataFrame:
     """S10 + S11: every ``<root>/<model>/<prompt>/<file_name>`` found under the
-    root, with model and prompt taken from the path (one union by listing)."""
-    schema = schema or schemas.PREDICTIONS_CSV
-    df = spark.read.option("header", True).option("recursiveFileLookup", True) \
-        .option("pathGlobFilter", file_name).option("multiLine", True).option("escape", '"') \
-        .schema(schema).csv(root)
-    parts = F.split(F.col("_metadata.file_path"), "/")
+    root (``file_name`` may hold wildcards), with model and prompt taken from the path (one union by listing).
+    ``excluded`` files directly below the root belong to no run."""
+    rows = csv_records(spark, root, schema or schemas.PREDICTIONS_CSV, glob=file_name, recursive=True)
+    # the path as written, without a scheme, ends the same way in any file system
+    base = re.sub(r"^[a-z0-9+.-]+:/*", "/", root).rstrip("/")
+    for name in excluded:
+        rows = rows.where(~F.endswith("file", F.lit(f"{base}/{name}")))
+    parts = F.split("file", "/")
     n = F.size(parts)
-    return df.select("*", F.element_at(parts, n - 2).alias("model"), F.element_at(parts, n - 1).alias("prompt"))
+    own = [c for c in rows.columns if c not in ("file", "start", "line")]
+    return rows.select(*own, F.element_at(parts, n - 2).alias("model"), F.element_at(parts, n - 1).alias("prompt"))
 
 
 def read_partitioned(spark: SparkSession, path: str) -> DataFrame:

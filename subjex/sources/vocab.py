@@ -1,7 +1,7 @@
 """Vocabulary sources (S3, M8): SKOS label triples to label rows.
 
-A full Turtle grammar is not re-implemented; vocabularies arrive as a triples
-table (s, p, o) or as N-Triples lines, which a regular expression splits.
+Vocabularies arrive as a triples table (s, p, o), as Turtle files (:mod:`subjex.sources.turtle`) or as N-Triples
+lines, which a regular expression splits.
 """
 
 from __future__ import annotations
