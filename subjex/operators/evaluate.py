@@ -135,19 +135,20 @@ def doc_counts(gold: DataFrame, pred: DataFrame, by: Sequence[str] = (),
     predicted but not in gold are dropped unless ``include_unjudged``.
     """
     keys = [*by, "doc_id"]
-    gs = gold.groupBy("doc_id").agg(F.collect_set("label_id").alias("_gl"),
-                                    *[F.first(c, ignorenulls=True).alias(c) for c in strata]) \
-        .withColumn("n_gold", F.size("_gl"))
-    # one shuffle by document: the pair dedupe and the per-document counts
-    # below reuse the join's partitioning
-    how = "left" if include_unjudged else "inner"
-    t = pred.select(*keys, "label_id").join(gs, "doc_id", how)
-    hit = F.coalesce(F.array_contains(F.col("_gl"), F.col("label_id")).cast("int"), F.lit(0))
-    pairs = t.groupBy(*keys, "label_id").agg(F.max(hit).alias("_hit"), F.first("n_gold").alias("n_gold"),
-                                             *[F.first(c).alias(c) for c in strata])
-    out = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pred"), F.sum("_hit").alias("tp"),
-                                   F.first("n_gold").alias("n_gold"), *[F.first(c).alias(c) for c in strata])
-    return out.withColumn("n_gold", F.coalesce("n_gold", F.lit(0)))
+    # a pair meets gold by document and label, so a large document is spread over its labels; counts are partial
+    # before they are shuffled by document
+    pairs = pred.select(*keys, "label_id").repartition("doc_id", "label_id").distinct()
+    hits = pairs.join(gold_pairs(gold).withColumn("_hit", F.lit(1)), ["doc_id", "label_id"], "left")
+    counts = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pred"), F.coalesce(F.sum("_hit"), F.lit(0)).alias("tp"))
+    per_label = gold.groupBy("doc_id", "label_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in strata])
+    docs = per_label.groupBy("doc_id").agg(F.count("label_id").alias("n_gold"), *[F.first(c, ignorenulls=True).alias(c) for c in strata])
+    out = counts.join(docs, "doc_id", "left" if include_unjudged else "inner")
+    return out.select(*keys, "n_pred", "tp", F.coalesce("n_gold", F.lit(0)).alias("n_gold"), *strata)
+
+
+def gold_pairs(gold: DataFrame) -> DataFrame:
+    """The distinct (doc_id, label_id) of gold."""
+    return gold.select("doc_id", "label_id").where("label_id is not null").distinct()
 
 
 def with_strata(gold: DataFrame) -> DataFrame:
@@ -271,15 +272,13 @@ def threshold_index(score, steps: int):
     return F.when(score < 0, F.lit(-1)).otherwise(F.least(F.lit(steps).cast("long"), i1))
 
 
-def gold_doc_sets(gold: DataFrame) -> DataFrame:
-    """Per gold document: its label set and ``n_gold`` (one row per document;
-    a document's gold labels are few)."""
-    return gold.groupBy("doc_id").agg(F.collect_set("label_id").alias("_gl")) \
-        .withColumn("n_gold", F.size("_gl"))
+def gold_sizes(gold: DataFrame) -> DataFrame:
+    """Number of labels of each gold document."""
+    return gold.select("doc_id", "label_id").distinct().groupBy("doc_id").agg(F.count("label_id").alias("n_gold"))
 
 
-def pr_grid(gold: DataFrame | None, pred: DataFrame, by: Sequence[str] = (), steps: int = 100,
-            ordinal: bool = False, gold_sets: DataFrame | None = None, dense: bool = True) -> DataFrame:
+def pr_grid(gold: DataFrame, pred: DataFrame, by: Sequence[str] = (), steps: int = 100,
+            ordinal: bool = False, dense: bool = True) -> DataFrame:
     """Doc-averaged precision, recall and F1 at every cell (threshold, limit).
 
     A cell keeps ``rank <= limit and score >= threshold``; thresholds are
@@ -293,28 +292,24 @@ def pr_grid(gold: DataFrame | None, pred: DataFrame, by: Sequence[str] = (), ste
     yields the sum over documents at every cell. Work: O(predictions) plus the
     grid, not predictions x cells.
 
-    Shuffles: the predictions move once, by document, to meet their
-    document's gold set; dedupe, tie groups and the per-document window reuse
-    that partitioning. Tie groups are summed per cell before the shuffle; the
+    Shuffles: the predictions move by (document, label) to meet gold, then by document for
+    its number of labels; tie groups reuse that partitioning. Tie groups are summed per cell before the shuffle; the
     grid of a key is dealt out by threshold, then by limit, so no task holds
     a whole grid.
     """
-    gs = gold_sets if gold_sets is not None else gold_doc_sets(gold)
-    n_docs = gs.select(F.count(F.lit(1))).scalar()
-    return pr_grid_tagged(tag_predictions(pred, gs, by), by, steps, ordinal, n_docs, dense)
+    n_docs = gold.select(F.count_distinct("doc_id")).scalar()
+    return pr_grid_tagged(tag_predictions(pred, gold, by), by, steps, ordinal, n_docs, dense)
 
 
-def tag_predictions(pred: DataFrame, gold_sets: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def tag_predictions(pred: DataFrame, gold: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Predictions as a set per (key, doc, label) (max score, at 1e-9), each
-    with ``_hit`` (label in the document's gold set) and ``n_gold`` (NULL for
-    documents outside gold). One shuffle, by document."""
+    with ``_hit`` (the pair is in gold) and ``n_gold`` (NULL for documents outside gold)."""
     keys = [*by, "doc_id"]
     p = pred.where(F.col("score").isNotNull() & ~F.isnan("score")) \
-        .select(*keys, "label_id", stable_round(F.col("score"), 9).alias("score"))
-    tagged = p.join(gold_sets, "doc_id", "left")
-    return tagged.groupBy(*keys, "label_id").agg(
-        F.max("score").alias("score"), F.first("n_gold").alias("n_gold"),
-        F.coalesce(F.max(F.array_contains(F.col("_gl"), F.col("label_id")).cast("int")), F.lit(0)).alias("_hit"))
+        .select(*keys, "label_id", stable_round(F.col("score"), 9).alias("score")).repartition("doc_id", "label_id")
+    uniq = p.groupBy(*keys, "label_id").agg(F.max("score").alias("score"))
+    tagged = uniq.join(gold_pairs(gold).withColumn("_hit", F.lit(1)), ["doc_id", "label_id"], "left")
+    return tagged.join(gold_sizes(gold), "doc_id", "left").select(*keys, "label_id", "score", "n_gold", F.coalesce("_hit", F.lit(0)).alias("_hit"))
 
 
 def pr_grid_tagged(uniq: DataFrame, by: Sequence[str], steps: int = 100, ordinal: bool = False,

@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
@@ -68,6 +68,42 @@ def generate(df: DataFrame, prompt_col: str, fn: Callable[[list[str]], list[str]
     return df.mapInPandas(run, schema)
 
 
+STORED = "key string, answer string"
+
+
+def answer_key(model: Column, prompt: Column) -> Column:
+    """The identity of a question: what is asked of which model."""
+    return F.sha2(F.concat_ws("\x00", model, prompt), 256)
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """(key, answer) of everything answered so far; an answer written twice counts once."""
+    # an empty first part makes the folder exist
+    spark.createDataFrame([], STORED).write.mode("ignore").parquet(f"{path}/part=-1")
+    return spark.read.schema(STORED).parquet(path).groupBy("key").agg(F.min("answer").alias("answer"))
+
+
+def ask(df: DataFrame, store: str, fn: Callable[[list[str]], list[str]] | None = None, factory: Callable[[], Callable] | None = None, prompt_col: str = "text",
+        model_col: str = "model", batch: int = 20, parts: int = 8, out_col: str = "answer") -> DataFrame:
+    """M6 / M7, resumable: ``df`` with an ``answer``, asking only what the answer ``store`` does not hold.
+
+    Questions are distinct (model, prompt text) pairs. Those without an answer are asked in ``parts`` (by hash), each written
+    to the store when it is done: a restart repeats one part at most, and the same questions of another
+    run or a later call are answered from the store. Within a task questions go in order of length, so the prompts of
+    a batch are of like length.
+    """
+    spark = df.sparkSession
+    keyed = df.withColumn("_key", answer_key(F.col(model_col), F.col(prompt_col)))
+    asked = keyed.where(F.col(prompt_col).isNotNull()).groupBy("_key").agg(F.first(prompt_col).alias("prompt")).select(F.col("_key").alias("key"), "prompt")
+    part = F.pmod(F.xxhash64("key"), F.lit(parts))
+    for k in range(parts):
+        known = read_store(spark, store).select("key")
+        new = asked.where(part == k).join(known, "key", "left_anti").sortWithinPartitions(F.length("prompt"), "key")
+        generate(new, "prompt", fn, batch, factory).select("key", "answer").write.mode("append").parquet(f"{store}/part={k}")
+    answers = read_store(spark, store).select(F.col("key").alias("_key"), F.col("answer").alias(out_col))
+    return keyed.join(answers, "_key", "left").drop("_key")
+
+
 class HashedNgramEncoder:
     """Character 3-gram feature hashing into ``dim`` signed buckets (CRC32).
     Similar strings get similar vectors; used in tests and examples."""

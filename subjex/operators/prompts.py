@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from subjex.functions.text import compose_content, cut_words, fill_prompt, n_words, token_budget
 
@@ -65,6 +69,72 @@ def fill(docs: DataFrame, frames: DataFrame, model: str, prompt: str,
                        fill_prompt(frame, content).alias("text"))
 
 
+def fill_runs(docs: DataFrame, frames: DataFrame, max_total: int | None = None, max_new: int = 100) -> DataFrame:
+    """F6 + F8 + J15 for all runs at once: every document (doc_id, content) in the frame of every run (model, prompt, frame),
+    cut to the words that ``max_total`` leaves beside the answer and the frame. The run table has a row per run, a parameter
+    of the stage; each document is read once and leaves once per run."""
+    # one array of all frames, as a scalar: no pairing of two tables
+    runs = frames.select(F.collect_list(F.struct("model", "prompt", "frame", n_words(F.replace("frame", F.lit("{text}"), F.lit(""))).alias("n")))).scalar()
+    each = docs.select("doc_id", "content", F.explode(runs).alias("r"))
+    content = F.col("content")
+    if max_total is not None:
+        content = cut_words(content, token_budget(max_total, max_new, F.col("r.n")))
+    return each.select("r.model", "r.prompt", "doc_id", fill_prompt(F.col("r.frame"), content).alias("text"))
+
+
+#: Characters that are encoded at a time for each token of the budget.
+CHARS_PER_TOKEN = 12
+
+
+def _cut_at_token(tokenizer, text: str, budget: int) -> tuple[str, int]:
+    """The longest start of ``text`` that ends at a token and takes ``budget`` tokens at most, and its tokens."""
+    def encode(t):
+        return tokenizer.encode(t, add_special_tokens=False)
+    if budget <= 0:
+        return "", 0
+    size = max(64, budget * CHARS_PER_TOKEN)
+    while True:  # long texts are encoded no further than the budget reaches
+        e = encode(text[:size])
+        # what stands at the end of a piece may go on beyond it: only a piece with tokens to spare decides
+        if size >= len(text) or len(e.ids) > budget + 8:
+            break
+        size *= 2
+    if len(e.ids) <= budget:
+        return text, len(e.ids)
+    for n in range(budget, 0, -1):
+        cut = text[:e.offsets[n - 1][1]]
+        again = len(encode(cut).ids)
+        if again <= budget:
+            return cut, again
+    return "", 0
+
+
+def cut_to_tokens(df: DataFrame, tokenizer: str, budget: int | Column, text_col: str = "content") -> DataFrame:
+    """F8 with a caller's tokenizer (the path of a tokenizers file): ``text_col`` cut after its last whole token within
+    ``budget`` (a number or a column), with ``n_tokens``, the tokens that the cut text takes when it is encoded again.
+
+    The tokenizer is loaded once per worker; a null text stays null with 0 tokens."""
+    budget = budget if isinstance(budget, Column) else F.lit(budget)
+    names = df.columns
+    schema = StructType([*df.schema.fields, StructField("n_tokens", IntegerType(), True)])
+
+    def run(batches):
+        tok = _tokenizer(tokenizer)
+        for b in batches:
+            cut = [(None, 0) if t is None else _cut_at_token(tok, t, n) for t, n in zip(b.column(text_col).to_pylist(), b.column("_budget").to_pylist())]
+            cols = [pa.array([x[0] for x in cut], pa.string()) if c == text_col else b.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([x[1] for x in cut], pa.int32())], names=[*names, "n_tokens"])
+    return df.withColumn("_budget", budget.cast("int")).mapInArrow(run, schema)
+
+
+@functools.lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    import os
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(path)
+
+
 def sample_examples(dataset: DataFrame, which: str, n: int, seed: int = 0) -> DataFrame:
     """T4: n seeded examples; text = title / abstract / both (joined by a
     space; NULL if a needed part is NULL), keywords = labels joined by ``", "``."""

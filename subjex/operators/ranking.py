@@ -20,6 +20,15 @@ def collect_terms(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
 
 
+def rank_frame(template: dict[str, str], instruction: str, lo: int = 0, hi: int = 10) -> str:
+    """the frame of a relevance question: the template's instruction and example parts only (no assistant turn),
+    with the rank instruction and its two confidence bounds filled in; ``{text}`` stays open."""
+    if "{min_confidence}" not in instruction or "{max_confidence}" not in instruction:
+        raise ValueError("the rank instruction needs {min_confidence} and {max_confidence}")
+    bounded = instruction.replace("{min_confidence}", str(lo)).replace("{max_confidence}", str(hi))
+    return template["instruction"].replace("{custom_instruction}", bounded) + template["example"]
+
+
 def relevance_prompts(predictions: DataFrame, content: DataFrame, frame: str) -> DataFrame:
     """F7 + J8 + V3: one prompt per (doc, distinct term).
 

@@ -565,7 +565,7 @@ JOIN (SELECT CAST(p_partkey AS VARCHAR) AS idn, p_brand FROM part WHERE p_size <
 """
     q["q_rank_stage"] = f"""
 WITH e AS (SELECT doc_id, label_id, term FROM ({VOTE_SQL}) WHERE ensemble = 'all'
-           AND doc_id IN (SELECT doc_id FROM ({DOCS_SQL}) WHERE title || ' ' || abstract IS NOT NULL)),
+           AND doc_id IN (SELECT doc_id FROM ({DOCS_SQL}) WHERE title IS NOT NULL)),
 t AS (SELECT DISTINCT doc_id, term FROM e),
 a AS (SELECT doc_id, term, CAST(length(term) % 11 AS DOUBLE) AS relevance FROM t),
 acc AS (SELECT * FROM a WHERE relevance >= 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY term) <= 50),
@@ -574,4 +574,19 @@ j AS (SELECT acc.doc_id, lab.label_id, acc.relevance FROM acc JOIN lab USING (do
 SELECT doc_id, label_id, {r6("max(coalesce(relevance / nullif((SELECT max(relevance) FROM j), 0), 0.0))")} AS score
 FROM j GROUP BY doc_id, label_id
 """
+    q["q_complete_stage"] = f"""
+WITH c AS (SELECT doc_id, title || ' ' || abstract AS content FROM ({DOCS_SQL})),
+w AS (SELECT doc_id, unnest(regexp_split_to_array(replace(replace(content, ',', ' '), '.', ' '), '[\\s\\p{{Z}}\\x0B\\x1C-\\x1F\\x85]+')) AS word,
+             generate_subscripts(regexp_split_to_array(replace(replace(content, ',', ' '), '.', ' '), '[\\s\\p{{Z}}\\x0B\\x1C-\\x1F\\x85]+'), 1) AS place
+      FROM c WHERE content IS NOT NULL),
+f AS (SELECT doc_id, word, min(place) AS place FROM w WHERE length(word) > 3 GROUP BY ALL),
+five AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY place) <= 5),
+a AS (SELECT doc_id, split_part(string_agg(word, ', ' ORDER BY place), '<', 1) AS head FROM five GROUP BY doc_id),
+k AS (SELECT DISTINCT doc_id, regexp_replace(unnest(string_split(head, ', ')), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS candidate FROM a),
+p AS (SELECT prompt FROM ({EXAMPLES_SQL}) GROUP BY prompt ORDER BY count(*) DESC, prompt LIMIT 3)
+SELECT m.model, p.prompt, k.doc_id, k.candidate FROM k CROSS JOIN p CROSS JOIN (VALUES ('m1'), ('m2')) m(model) WHERE length(k.candidate) > 1
+"""
+    q["q_scan_csv"] = "SELECT doc_id, lang, length(coalesce(text, ''))::INT AS n, sha256(coalesce(text, '')) AS sha256 FROM documents"
+    q["q_scan_turtle"] = q["q_vocab_labels"]
+    q["q_append_runs"] = f"SELECT model, prompt, doc_id, label_id, {r6('score')} AS score FROM ({PRED_SQL})"
     return q

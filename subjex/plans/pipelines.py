@@ -106,11 +106,24 @@ def complete_stage(docs: DataFrame, frames: DataFrame, model: str, prompt: str,
     return completions(answers.select("model", "prompt", "doc_id", "answer"))
 
 
+def complete_runs(docs: DataFrame, frames: DataFrame, store: str, generate_fn, batch: int = 20, max_total: int | None = None, max_new: int = 100,
+                  parts: int = 8) -> DataFrame:
+    """The complete stage over all runs (model, prompt, frame): content, fill, ask what the answer store does not
+    hold yet, parse. A restart asks nothing twice; more runs or documents ask only what is new."""
+    from subjex.functions.text import compose_content
+    from subjex.operators.infer import ask, completions
+    from subjex.operators.prompts import fill_runs
+    content = docs.select("doc_id", compose_content(F.col("title"), F.col("abstract")).alias("content"))
+    prompts = fill_runs(content.where(F.col("content").isNotNull()), frames, max_total, max_new)
+    return completions(ask(prompts, store, generate_fn, batch=batch, parts=parts))
+
+
 def rank_stage(ensemble: DataFrame, docs: DataFrame, frame: str, generate_fn, threshold: float = 0.0,
-               max_suggestions: int = 50, score_param: str = "relevance", batch: int = 20) -> DataFrame:
+               max_suggestions: int = 50, score_param: str = "relevance", batch: int = 20, store: str | None = None, model: str = "rank") -> DataFrame:
     """The rank stage: one relevance question per (doc, distinct term)
     (F7/J8/V3), model answers (M7), parse (F2), accept (P7/W3), normalise
-    (A8-A10) -> ranked (doc_id, label_id, score)."""
+    (A8-A10) -> ranked (doc_id, label_id, score). ``frame`` comes from :func:`ranking.rank_frame`; with a
+    ``store`` answers given before are not asked for again."""
     from subjex.functions.text import compose_content
     from subjex.operators import ranking as RK
     from subjex.session import cut_lineage
@@ -118,6 +131,11 @@ def rank_stage(ensemble: DataFrame, docs: DataFrame, frame: str, generate_fn, th
     content = docs.select("doc_id", compose_content(F.col("title"), F.col("abstract")).alias("content"))
     prompts = RK.relevance_prompts(ensemble, content, frame)
     # read several times below: checkpointed so that the model is asked once
-    answers = cut_lineage(generate(prompts, "prompt", generate_fn, batch=batch).select("doc_id", "term", "answer"))
+    if store:
+        from subjex.operators.infer import ask
+        asked = ask(prompts.withColumn("model", F.lit(model)), store, generate_fn, prompt_col="prompt", batch=batch)
+    else:
+        asked = generate(prompts, "prompt", generate_fn, batch=batch)
+    answers = cut_lineage(asked.select("doc_id", "term", "answer"))
     accepted = RK.accept(answers, threshold, max_suggestions)
     return RK.normalise_relevance(accepted, ensemble, score_param)

@@ -347,9 +347,11 @@ def q_translate_ids(spark: SparkSession, sf: str) -> DataFrame:
 def _stub_keywords(prompts):
     """Stand-in generator: the first five distinct words (over 3 letters) of
     the document inside each prompt, comma separated (deterministic)."""
+    from subjex.operators.prompts import CHATML
+    before, after = CHATML["example"].split("{text}")
     out = []
     for p in prompts:
-        doc = p.rsplit("<|im_start|>user\n", 1)[-1].split("<|im_end|>", 1)[0]
+        doc = p.rsplit(before, 1)[-1].split(after, 1)[0]
         seen = []
         for w in doc.replace(",", " ").replace(".", " ").split():
             if len(w) > 3 and w not in seen:
@@ -361,30 +363,93 @@ def _stub_keywords(prompts):
 
 
 def _stub_relevance(prompts):
-    """Stand-in relevance model: the term's length mod 11."""
-    return [f"Relevanz: {len(p.rsplit(chr(10) + 'Schlagwort:', 1)[-1]) % 11}" for p in prompts]
+    """Stand-in relevance model: the term's length modulo one more than the greatest value that the prompt allows."""
+    from subjex.operators.prompts import CHATML
+    after, out = CHATML["example"].split("{text}")[1], []
+    for p in prompts:
+        highest = int(p.split("bis ", 1)[1].split(".", 1)[0])
+        term = p.rsplit("\nSchlagwort:", 1)[-1].split(after, 1)[0]
+        out.append(f"Relevanz: {len(term) % (highest + 1)}")
+    return out
 
 
-def q_complete_stage(spark: SparkSession, sf: str) -> DataFrame:
-    """Complete stage for the run whose prompt file has the most examples:
-    frames, fill, generate (stand-in model), parse."""
+def run_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """The run matrix of the complete query: two models by the three prompt files with most examples."""
     from subjex.operators.prompts import CHATML, render_examples
-    from subjex.plans.pipelines import complete_stage
     ex = X.examples(spark, sf)
-    top = ex.groupBy("prompt").count().orderBy(F.desc("count"), "prompt").first()["prompt"]
-    frames = render_examples(ex.where(F.col("prompt") == top), CHATML).withColumn("model", F.lit("stub"))
-    return complete_stage(X.docs(spark, sf), frames, "stub", top, _stub_keywords, max_total=16384, max_new=100)
+    top = ex.groupBy("prompt").count().orderBy(F.desc("count"), "prompt").limit(3).select("prompt")
+    frames = render_examples(ex.join(top, "prompt", "left_semi"), CHATML)
+    return frames.withColumn("model", F.explode(F.array(F.lit("m1"), F.lit("m2"))))
+
+
+def q_complete_stage(spark: SparkSession, sf: str) -> DataFrame:
+    """Complete stage for a whole run matrix: frames, fill, ask (stand-in model) through an answer store, parse."""
+    from subjex.plans.pipelines import complete_runs
+    return complete_runs(X.docs(spark, sf), run_frames(spark, sf), _folder(spark, "answers"), _stub_keywords, max_total=16384, max_new=100, parts=4)
+
+
+def _folder(spark, name):
+    """A fresh folder below the shared checkpoint folder."""
+    import uuid
+    from subjex.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def q_rank_stage(spark: SparkSession, sf: str) -> DataFrame:
-    """Rank stage over the 'all' ensemble (documents with content): one
-    question per (doc, distinct term), stand-in model, parse, accept, normalise."""
-    from subjex.functions.text import compose_content
+    """Rank stage over the 'all' ensemble's documents that the document table holds: one
+    question per (doc, distinct term) with confidence bounds, stand-in model, parse, accept, normalise."""
+    from subjex.operators.prompts import CHATML
+    from subjex.operators.ranking import rank_frame
     from subjex.plans.pipelines import rank_stage
-    d = X.docs(spark, sf)
-    with_content = d.where(compose_content(F.col("title"), F.col("abstract")).isNotNull())
-    e = _vote(spark, sf).where(F.col("ensemble") == "all").join(with_content.select("doc_id"), "doc_id", "left_semi")
-    return rounded(rank_stage(e, d, "{text}", _stub_relevance, threshold=0.0, max_suggestions=50))
+    d = X.docs(spark, sf).where("title is not null").withColumn("abstract", F.coalesce("abstract", F.lit("")))
+    e = _vote(spark, sf).where(F.col("ensemble") == "all").join(d.select("doc_id"), "doc_id", "left_semi")
+    frame = rank_frame(CHATML, "Bewerte die Relevanz von {min_confidence} bis {max_confidence}.", 0, 10)
+    return rounded(rank_stage(e, d, frame, _stub_relevance, threshold=0.0, max_suggestions=50))
+
+
+# ------------------------------------------------------------- written and read back
+
+def q_scan_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole documents written as CSV (quoted line ends, doubled quotes) and read back by many tasks."""
+    from subjex.sources.tables import read_csv
+    path = _folder(spark, "csv")
+    d = X.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text")
+    d.write.option("header", True).option("escape", '"').option("quoteAll", True).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False) \
+        .option("ignoreTrailingWhiteSpace", False).csv(path)
+    back = read_csv(spark, path, "doc_id string, lang string, text string")
+    text = F.coalesce("text", F.lit(""))
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.length(text).alias("n"), F.sha2(text, 256).alias("sha256"))
+
+
+def q_scan_turtle(spark: SparkSession, sf: str) -> DataFrame:
+    """S3: the vocabulary written as Turtle statements and read back."""
+    from subjex.sources.turtle import scan_turtle
+    from subjex.sources.vocab import vocab_labels
+    path = _folder(spark, "turtle")
+    p = X.table(spark, sf, "part")
+    text = lambda c: F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', '\\\\"')
+    statement = F.concat(F.lit("@prefix s: <http://www.w3.org/2004/02/skos/core#> .\n<https://example.org/gnd/"), F.col("p_partkey").cast("string"),
+                         F.lit('> s:prefLabel "'), text("p_name"), F.lit('"@en ;\n  s:altLabel """'), text("p_type"), F.lit('""" .'))
+    p.select(statement.alias("value")).write.text(path)
+    return vocab_labels(scan_turtle(spark, path), use_alt=True)
+
+
+def q_append_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every run appended, and one of them once more: its rows count once."""
+    from subjex.sources.sinks import append_runs, read_runs
+    path = _folder(spark, "runs")
+    p = X.pred(spark, sf).select(*MEMBER, "doc_id", "label_id", "score")
+    append_runs(p, path)
+    append_runs(_one_run(spark, sf).select(p.columns), path)
+    return rounded(read_runs(spark, path).select(p.columns))
+
+
+def q_token_cut(spark: SparkSession, sf: str) -> DataFrame:
+    """F8: whole documents cut to 100 tokens of a given tokenizer, at a token's end."""
+    import public_tokenizers
+    from subjex.operators.prompts import cut_to_tokens
+    d = X.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("content"))
+    return cut_to_tokens(d, public_tokenizers.path("byte_bpe_50k.json"), 100).select("doc_id", "n_tokens", F.length("content").alias("n_chars"))
 
 
 REGISTRY = {
@@ -432,4 +497,8 @@ REGISTRY = {
     "q_translate_ids": q_translate_ids,
     "q_complete_stage": q_complete_stage,
     "q_rank_stage": q_rank_stage,
+    "q_scan_csv": q_scan_csv,
+    "q_scan_turtle": q_scan_turtle,
+    "q_append_runs": q_append_runs,
+    "q_token_cut": q_token_cut,
 }
