@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Cosines are compared at this many digits: equal vectors tie wherever they stand in a product.
+DIGITS = 12
 RESULT_SCHEMA = "query_id long, label_id string, label_text string, cosine double"
 
 
@@ -55,7 +57,7 @@ def _topk_rows(qids, q, lids, ltexts, v, k):
     lid_rank = np.argsort(sorted(range(len(lids)), key=lambda i: (lids[i], ltexts[i])), kind="stable")
     chunk = max(1, int(2e7 // max(1, len(lids))))
     for s in range(0, len(qids), chunk):
-        sims = qn[s:s + chunk] @ vn.T
+        sims = np.round(qn[s:s + chunk] @ vn.T, DIGITS)
         for r in range(sims.shape[0]):
             row = sims[r]
             if kk < len(row):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subjex.operators.knn import top_k
+from subjex.operators.knn import DIGITS, top_k
 from subjex.session import ensure_checkpoint_dir
 
 CODEWORDS = 256
@@ -201,11 +201,11 @@ class _Scan:
             top = np.argpartition(-guess, best - 1, axis=1)[:, :best]
             tried = np.zeros(guess.shape, bool)
             tried[np.arange(len(own))[:, None], top] = True
-            first = np.einsum("qd,qkd->qk", own, unit[top])
+            first = np.round(np.einsum("qd,qkd->qk", own, unit[top]), DIGITS)
             if best == self.k:
                 np.maximum(beat[lo:lo + CHUNK], first.min(1), out=beat[lo:lo + CHUNK])
             qi, ri = np.nonzero((most >= beat[lo:lo + CHUNK, None]) & ~tried)
-            score = np.einsum("nd,nd->n", own[qi], unit[ri]) if len(qi) else np.zeros(0)
+            score = np.round(np.einsum("nd,nd->n", own[qi], unit[ri]), DIGITS) if len(qi) else np.zeros(0)
             qa, ra = np.append(np.repeat(np.arange(len(own)), best), qi), np.append(top.reshape(-1), ri)
             s = np.append(first.reshape(-1), score)
             keep = s >= beat[lo:lo + CHUNK][qa] - EPS

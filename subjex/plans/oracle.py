@@ -589,4 +589,16 @@ SELECT m.model, p.prompt, k.doc_id, k.candidate FROM k CROSS JOIN p CROSS JOIN (
     q["q_scan_csv"] = "SELECT doc_id, lang, length(coalesce(text, ''))::INT AS n, sha256(coalesce(text, '')) AS sha256 FROM documents"
     q["q_scan_turtle"] = q["q_vocab_labels"]
     q["q_append_runs"] = f"SELECT model, prompt, doc_id, label_id, {r6('score')} AS score FROM ({PRED_SQL})"
+    unit = lambda text: f"""list_transform(range(0, {len(LETTERS)}), lambda d: CAST((length({text}) - length(replace({text}, substr('{LETTERS}', d + 1, 1), '')))
+         / greatest(sqrt(CAST(list_sum(list_transform(range(0, {len(LETTERS)}), lambda e: pow(length({text}) - length(replace({text}, substr('{LETTERS}', e + 1, 1), '')), 2))) AS DOUBLE)), 1e-12) AS FLOAT)::DOUBLE)"""
+    q["q_map_pipeline"] = f"""
+WITH k AS ({q["q_parse_answers"]}),
+c AS MATERIALIZED (SELECT candidate, {unit("candidate")} AS e FROM (SELECT DISTINCT candidate FROM k)),
+v AS MATERIALIZED (SELECT label_id, label_text, {unit("label_text")} AS e FROM ({q["q_vocab_labels"]})),
+near AS (SELECT candidate, label_id, label_text AS term, round(CASE WHEN list_sum(c.e) = 0 OR list_sum(v.e) = 0 THEN 0.0 ELSE list_cosine_similarity(c.e, v.e) END, 12) AS cosine
+         FROM c CROSS JOIN v QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY cosine DESC, label_id, label_text) = 1),
+kept AS (SELECT k.model, k.prompt, k.doc_id, 'gnd:' || near.label_id AS label_id, k.candidate, near.term, near.cosine FROM k JOIN near USING (candidate) WHERE cosine >= 0.3),
+best AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY model, prompt, doc_id, label_id ORDER BY cosine DESC, candidate DESC) = 1)
+SELECT model, prompt, doc_id, label_id, candidate, term, {r6('cosine')} AS cosine_similarity, CAST(NULL AS DOUBLE) AS hybrid_score, {r6('cosine')} AS score FROM best
+"""
     return q
