@@ -59,7 +59,9 @@ def repeat_words(words: Column) -> Column:
     def covered(v):
         placed = F.sort_array(F.transform(v, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
         twice = _let(placed, lambda s: F.filter(s, lambda e, j: (e["x"] == F.get(s, j - 1)["x"]) | (e["x"] == F.get(s, j + 1)["x"])))
-        return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda e: F.sequence(e["i"], e["i"] + (WINDOW - 1))))))
+        # runs that overlap or touch count once: each start covers what lies before the next one, WINDOW words at most
+        starts = F.sort_array(F.transform(twice, lambda e: e["i"]))
+        return _let(starts, lambda s: F.aggregate(F.transform(s, lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get(s, j + 1) - x, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x))
 
     return _let(_let(hashes, windows), lambda v: F.when(F.size(F.array_distinct(v)) == F.size(v), 0).otherwise(covered(v))).cast("long")
 
@@ -67,7 +69,7 @@ def repeat_words(words: Column) -> Column:
 def with_statistics(docs: DataFrame) -> DataFrame:
     """(d, stats): each row of ``docs`` as a struct, its base counts and every feature, computed once per document."""
     d = docs.select(F.struct("*").alias("d"), text_or_empty().alias("_text"))
-    # The random column keeps later filters above this projection: pushed below it they would compute every count again.
+    # The counts come out of a generator of one row: later filters stay above it, where pushed below they would compute every count again.
     d = d.select("d", "_text", F.array_remove(F.split("_text", r"[\x20\x09-\x0D]+"), "").alias("_words"),
                  F.filter(F.split("_text", "\n", -1), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0).alias("_lines"))
     counts = [F.size("_words").cast("long").alias("n_words"), F.length(F.translate("_text", SPACE, "")).cast("long").alias("word_chars"),
@@ -77,14 +79,14 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     more = [F.size("_lines").alias("n_lines"), F.size(F.array_distinct("_words")).alias("n_distinct"),
             _count(F.col("_text"), CAPITALS).alias("n_capitals"), _count(F.col("_text"), "!").alias("n_bangs"),
             _count(F.col("_text"), "0123456789").alias("n_digits"), _count(F.col("_text"), "!?.,;:|\"'()[]{}/\\=+~^_@").alias("n_marks")]
-    d = d.select("d", F.struct(*counts, *more, F.rand(0).alias("barrier")).alias("_raw"))
+    d = d.select("d", F.explode(F.array(F.struct(*counts, *more))).alias("_raw"))
     r = F.col("_raw")
     chars, words = F.greatest(r["word_chars"], F.lit(1)), F.greatest(r["n_words"], F.lit(1))
     shares = {"symbol_share": r["n_symbols"] / chars, "capital_share": r["n_capitals"] / chars, "bang_share": r["n_bangs"] / chars,
               "digit_share": r["n_digits"] / chars, "mark_share": r["n_marks"] / chars, "mean_word": r["word_chars"] / words,
               "distinct_share": r["n_distinct"] / words, "repeat_share": r["n_repeat_words"] / words,
               "dup_line_share": r["n_dup_lines"] / F.greatest(r["n_lines"], F.lit(1))}
-    return d.select("d", F.struct(*[r[c].alias(c) for c in BASE], *[v.alias(k) for k, v in shares.items()], (r["barrier"] >= 0).alias("there")).alias("stats"))
+    return d.select("d", F.struct(*[r[c].alias(c) for c in BASE], *[v.alias(k) for k, v in shares.items()]).alias("stats"))
 
 
 def base_failed(stats: Column) -> Column:
@@ -219,4 +221,4 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of ``docs`` that pass the base rule and the list."""
     s = F.col("stats")
-    return with_statistics(docs).where(s["there"] & ~base_failed(s) & verdict(rules, s)).select("d.*")
+    return with_statistics(docs).where(~base_failed(s) & verdict(rules, s)).select("d.*")

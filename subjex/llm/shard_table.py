@@ -8,8 +8,9 @@ the broadcast table gives its shard in constant time. Adding or removing a
 shard moves few documents beyond those it must.
 
 Bounds. The table has ``size`` rows whatever the corpus. Placing is one pass
-without a shuffle. Writing deals rows by shard and part, so no task holds a
-whole shard and a hot key (a repeated doc_id) spreads over the parts.
+without a shuffle. Writing deals each shard's rows over as many parts as the measured
+size of the texts asks for, ``PART_BYTES`` each, by a hash of key and text: a hot key (a
+repeated doc_id) spreads over the parts, and only rows equal in both share one.
 
 Defined results. A null key is placed by the hash of its text. Rows that repeat
 a key share a shard. Empty tables give no rows.
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from subjex.llm.common import shared_path, text_or_empty
 
 SIZE = 65_537
+#: Text in one part of a shard.
+PART_BYTES = 128 << 20
 
 
 def _hashes(name: str) -> tuple[int, int]:
@@ -63,10 +66,13 @@ def place(docs: DataFrame, shards: dict[str, int], key: str = "doc_id", text_col
     return slots.join(F.broadcast(table_frame(docs.sparkSession, shards, size)), "slot")  # ``size`` rows
 
 
-def write_shards(placed: DataFrame, path: str | None = None, parts: int = 4, text_col: str = "text") -> DataFrame:
-    """Write one folder per shard, each in ``parts`` parts by text hash, and read them back."""
+def write_shards(placed: DataFrame, path: str | None = None, parts: int | None = None, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write one folder per shard, each in ``parts`` parts (or as many as its share of all text fills), and read them back."""
     spark = placed.sparkSession
     path = path or shared_path(spark, "shards")
-    part = F.pmod(F.xxhash64(text_or_empty(text_col), F.lit(3)), F.lit(parts))
-    placed.repartition("shard", part).write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    size, shards = placed.groupBy("shard").agg(F.sum(F.octet_length(text_or_empty(text_col))).alias("n")).agg(F.max("n"), F.count("*")).first()
+    parts = parts or max(1, -(-int(size or 0) // PART_BYTES))
+    part = F.pmod(F.xxhash64(F.lit(3), text_or_empty(text_col), key), F.lit(parts))
+    # as many tasks as there are pairs of shard and part, dealt by a hash of the pair
+    placed.repartition(max(1, shards * parts), "shard", part).write.option("compression", "zstd").partitionBy("shard").parquet(path)
     return spark.read.schema(placed.schema).parquet(path)

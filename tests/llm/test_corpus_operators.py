@@ -100,7 +100,7 @@ def _overlap_by_hand(text, item):
     n = len(item)
     if n < 5:
         return False
-    size, least = (12, 10) if n >= 12 else (n, n)
+    size, least = (12, 10) if n >= 12 else (n, n - n // 6)
     return any(sum(a == b for a, b in zip(text[i:i + size], item[j:j + size])) >= least for i in range(len(text) - size + 1) for j in range(n - size + 1))
 
 
@@ -121,11 +121,11 @@ def test_overlaps_equal_brute_force(spark, tables, odd, empty):
     bench = spark.createDataFrame([(i, ", ".join(t)) for i, t in enumerate(items)] + [(99, None), (None, "x")], "item_id long, text string")
     distinct = {", ".join(t): i for i, t in reversed(list(enumerate(items)))}
     want = {i: sum(_overlap_by_hand(t, items[j]) for j in distinct.values()) for i, t in enumerate(docs)}
-    for mb in (4, 0.0001):
-        got = {r.doc_id: r.n_items for r in spaced_seeds.find_overlaps(frame, bench, max(1, int(mb))).collect()}
+    for mb in (4, 0.0003):  # one slice, and several
+        assert (spaced_seeds.slices(bench, mb)[0] > 1) == (mb < 1)
+        got = {r.doc_id: r.n_items for r in spaced_seeds.find_overlaps(frame, bench, mb).collect()}
         assert got == want
-    kept = spaced_seeds.keep_clean(frame, bench)
-    assert {r.doc_id for r in kept.collect()} == {i for i, n in want.items() if not n}
+        assert {r.doc_id for r in spaced_seeds.keep_clean(frame, bench, mb).collect()} == {i for i, n in want.items() if not n}
     assert spaced_seeds.keep_clean(odd, bench).columns == odd.columns and spaced_seeds.find_overlaps(odd, bench.limit(0)).count() == odd.count()
     assert spaced_seeds.find_overlaps(empty, bench).count() == 0
     exact = defaultdict(bool)

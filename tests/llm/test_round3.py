@@ -77,20 +77,6 @@ def test_disguises_are_found_without_unrelated_words(monkeypatch):
     assert sum(map(bool, gated)) > 100
 
 
-def test_cluster_search_reaches_its_recall(spark):
-    from subjex.operators.knn import nearest, nearest_clusters
-    from subjex.plans import fixtures as X
-    from subjex.plans.queries import q_knn_ivf
-    sf = "/root/testdata/sf0.01"
-    q, v = X.vec_queries(spark, sf), X.vec_vocab(spark, sf)
-    pairs = lambda df: {(r.query_id, r.label_id) for r in df.select("query_id", "label_id").collect()}
-    exact = pairs(nearest(q, v, k=1))
-    got = {"query": pairs(q_knn_ivf(spark, sf)), "root": pairs(nearest_clusters(q, v, n_clusters=round(v.count() ** 0.5), sample=100))}
-    shares = {name: len(exact & found) / len(exact) for name, found in got.items()}
-    print(shares)
-    assert min(shares.values()) >= 0.9
-
-
 def test_overlaps_by_row_over_several_slices(spark, monkeypatch):
     items = [(i, " ".join(f"i{i}w{k}" for k in range(14))) for i in range(9)]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -100,11 +86,37 @@ def test_overlaps_by_row_over_several_slices(spark, monkeypatch):
     assert len(whole) == 6
 
     def several(benchmark, slice_mb):
-        for k in range(3):
-            part = benchmark.where(F.col("item_id") % 3 == k).collect()
-            yield spark.sparkContext.broadcast(([r.item_id for r in part], [r.text for r in part]))
+        def each():
+            for k in range(3):
+                part = benchmark.where(F.col("item_id") % 3 == k).collect()
+                yield spark.sparkContext.broadcast(([r.item_id for r in part], [r.text for r in part]))
+        return 3, each()
+    clean = rows(spaced_seeds.keep_clean(docs, bench))
     monkeypatch.setattr(spaced_seeds, "slices", several)
     assert rows(spaced_seeds.find_overlaps(docs, bench)) == whole
+    assert rows(spaced_seeds.keep_clean(docs, bench)) == clean == sorted([(1, "nothing here"), (None, None)], key=str)
+
+
+def test_short_items_and_other_scripts(spark):
+    items = [(1, "how many legs does an adult spider have"), (2, "日本で一番高い山は富士山です"), (3, "one two three four five"), (4, "a b c"), (5, "le « chat » — noir dort ici ce soir encore")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([
+        (10, "so: How many LEGS does an old spider have? eight"), (11, "how many arms does an old spider have"), (12, "前文。日本で一番高い山は富士山です。後文"), (13, "日本で一番高い丘は富士山です"),
+        (14, "日本で二番低い丘は大雪山です"), (15, "x one two three four five y"), (16, "one two three four six"), (17, "a b c"), (18, "le chat noir dort ici ce soir encore"),
+        (19, "le\u00a0chat\u2014noir, dort ici ce matin encore"), (20, None)], "doc_id long, text string")
+    got = {r.doc_id: r.best_item for r in spaced_seeds.find_overlaps(docs, bench).collect()}
+    assert got == {10: 1, 11: None, 12: 2, 13: 2, 14: None, 15: 3, 16: None, 17: None, 18: 5, 19: 5, 20: None}
+
+
+def test_short_items_in_every_place(spark):
+    words = [f"w{k}" for k in range(11)]
+    for n in range(spaced_seeds.SHORTEST, spaced_seeds.WINDOW):
+        index = spaced_seeds.Index([7], [" ".join(words[:n])])
+        for wrong in itertools.combinations(range(n), n // spaced_seeds.SHORT_RATE):
+            text = " ".join(["x", *("other" if k in wrong else w for k, w in enumerate(words[:n])), "y"])
+            assert [x[1] for x in index.overlaps(pa.array([text]))] == [7]
+        more = " ".join("other" if k in (0, n // 2, n - 1) else w for k, w in enumerate(words[:n]))
+        assert index.overlaps(pa.array([more])) == []
 
 
 def test_repeated_ids_lose_no_text(spark):
