@@ -40,7 +40,7 @@ FOUND = "query_id long, range int, no long, score double"
 
 def tokens(c):
     """Lower-cased word tokens (letters and digits), empty pieces removed."""
-    return F.filter(F.split(F.lower(c), TOKEN_SPLIT, -1), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(c), TOKEN_SPLIT, -1), "")
 
 
 def round9(x: np.ndarray) -> np.ndarray:
@@ -48,28 +48,6 @@ def round9(x: np.ndarray) -> np.ndarray:
     return np.floor(x * 1e9 + 0.5) / 1e9
 
 
-def bm25_weights(corpus: DataFrame, text_col: str = "label_text",
-                 k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(label_id, row, token, weight) with weight = idf * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl)),
-    idf = ln(1 + (N - df + 0.5) / (df + 0.5)), N = corpus rows, avgdl = tokens / N.
-
-    One tokenisation feeds everything: the document length is the size of
-    its token array (no second aggregate), N and the token total come from
-    one aggregate, df from the (label row, token) table. Rows of ``corpus``
-    are distinct; those without an id are no labels."""
-    docs = spread(corpus.select("label_id", text_col)).where("label_id is not null") \
-        .select("label_id", F.md5(text_col).alias("row"), tokens(F.col(text_col)).alias("_t"))
-    totals = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("_t")).alias("tokens")).first()
-    n = int(totals["n"])
-    avgdl = float(totals["tokens"] or 0) / max(n, 1)
-    tf = docs.select("label_id", "row", F.size("_t").alias("dl"), F.explode("_t").alias("token")) \
-        .groupBy("label_id", "row", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl if avgdl > 0 else 1.0))
-    return tf.join(df, "token").select("label_id", "row", "token", (idf * F.col("tf") * (k1 + 1) / norm).alias("weight"))
-
-
 @dataclass
 class KeywordIndex:
     """``postings`` (range, tok, no, weight), ``blocks`` (range, tok, n, most) and ``labels`` (range, no, label_id, row), all
@@ -87,15 +65,27 @@ def _place(ranges: int) -> list[Column]:
 
 def bm25_index(corpus: DataFrame, text_col: str = "label_text", k1: float = 1.2, b: float = 0.75,
                wanted: DataFrame | None = None, width: int = WIDTH) -> KeywordIndex:
-    """The keyword index of a vocabulary, cut from its lineage (reliable checkpoints); reuse it for every query batch.
-    With ``wanted`` (tok) only the postings of those tokens are kept."""
+    """The keyword index of a vocabulary, written once; reuse it for every query batch.
+    With ``wanted`` (tok) only the postings of those tokens are counted and kept.
+
+    weight = idf * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl)), idf = ln(1 + (N - df + 0.5) / (df + 0.5)),
+    N = label rows, avgdl = tokens / N. Label rows and tokens travel as hashes. Rows of ``corpus`` are
+    distinct; those without an id are no labels."""
     from subjex.session import cut_lineage
-    rows = cut_lineage(corpus.select("label_id", F.md5(text_col).alias("row")).where("label_id is not null"))
-    ranges = max(1, math.ceil(rows.count() / width))
-    w = bm25_weights(corpus, text_col, k1, b).select(*_place(ranges), F.xxhash64("token").alias("tok"), "weight")
+    docs = spread(corpus.select("label_id", text_col)).where("label_id is not null") \
+        .select("label_id", F.md5(text_col).alias("row"), tokens(F.col(text_col)).alias("_t"))
+    rows = cut_lineage(docs.select("label_id", "row", F.size("_t").alias("dl")))
+    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("tokens")).first()
+    n, avgdl = int(totals["n"]), float(totals["tokens"] or 0) / max(int(totals["n"]), 1)
+    ranges = max(1, math.ceil(n / width))
+    held = docs.select(*_place(ranges), F.explode("_t").alias("token")).select("range", "no", F.xxhash64("token").alias("tok"))
     if wanted is not None:
-        w = w.join(wanted, "tok", "left_semi")
-    postings = cut_lineage(w.select("range", "tok", "no", "weight"))
+        held = held.join(wanted, "tok", "left_semi")
+    tf = held.groupBy("range", "no", "tok").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl if avgdl > 0 else 1.0))
+    postings = cut_lineage(tf.join(df, "tok").join(rows.select(*_place(ranges), "dl"), ["range", "no"]).select("range", "tok", "no", (idf * F.col("tf") * (k1 + 1) / norm).alias("weight")))
     blocks = cut_lineage(postings.groupBy("range", "tok").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("most")))
     return KeywordIndex(postings, blocks, rows.select(*_place(ranges), "label_id", "row"), ranges)
 

@@ -92,8 +92,9 @@ def ask(df: DataFrame, store: str, fn: Callable[[list[str]], list[str]] | None =
     run or a later call are answered from the store. Within a task questions go in order of length, so the prompts of
     a batch are of like length.
     """
+    from subjex.session import cut_lineage
     spark = df.sparkSession
-    keyed = df.withColumn("_key", answer_key(F.col(model_col), F.col(prompt_col)))
+    keyed = cut_lineage(df.withColumn("_key", answer_key(F.col(model_col), F.col(prompt_col))))  # each part and the last join read it
     asked = keyed.where(F.col(prompt_col).isNotNull()).groupBy("_key").agg(F.first(prompt_col).alias("prompt")).select(F.col("_key").alias("key"), "prompt")
     part = F.pmod(F.xxhash64("key"), F.lit(parts))
     for k in range(parts):

@@ -385,7 +385,7 @@ def run_frames(spark: SparkSession, sf: str) -> DataFrame:
 def q_complete_stage(spark: SparkSession, sf: str) -> DataFrame:
     """Complete stage for a whole run matrix: frames, fill, ask (stand-in model) through an answer store, parse."""
     from subjex.plans.pipelines import complete_runs
-    return complete_runs(X.docs(spark, sf), run_frames(spark, sf), _folder(spark, "answers"), _stub_keywords, max_total=16384, max_new=100, parts=4)
+    return complete_runs(X.docs(spark, sf), run_frames(spark, sf), _folder(spark, "answers"), _stub_keywords, max_total=16384, max_new=100, parts=2)
 
 
 def _folder(spark, name):
