@@ -21,9 +21,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _tokenizer():
-    t = tokenizers.Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
-    return t
+    return tokenizers.Tokenizer.from_file(VOCABULARY)
 
 
 def _tokens_by_hand(rows):
@@ -39,6 +37,9 @@ def test_chunk_encoder_equals_direct_encoding():
     tricky = ["", " ", "  a", "a  b\n c", "x  y  z ", "'s it's  \n\n foo\t bar", " b", "  ", "日本語 テキスト です", "<|endoftext|> x", "é è  ê",
               "x" * 1_200_000 + " y", "🙂 🙃", "a \x1c b", "　 　a b", "a   b  c"]
     rng = random.Random(3)
+    added = "<|endoftext|>"
+    tricky += [added, f"a {added} b", f"a{added}b {added}{added}", f"{added} ", f" {added}", "<|endoftext|", "<|endo ftext|>", f"x\n{added}\ny", f"w {added} " * 9, "é" * 700_000 + f" z{added} q" + " k" * 400_000]
+    tricky += ["".join(rng.choice([added, "a", " ", "é", "\n", "<|", "|>"]) for _ in range(rng.randint(1, 12))) for _ in range(200)]
     tricky += ["".join(rng.choice("ab'é1 \n\t.日  ") for _ in range(rng.randint(0, 40))) for _ in range(400)]
     got = token_shards.ChunkEncoder(VOCABULARY).encode(pa.array(tricky + tricky[::-1]))
     t = _tokenizer()
