@@ -15,7 +15,9 @@ representative goes on. Each bucket has a hub, the member that shares most
 buckets with others, and every member is compared with it: n - 1 comparisons
 for n members. Buckets that still span several classes are then compared
 whole: every member outside the bucket's largest class with every member of
-another class. That runs inside tasks over blocks of about ``BLOCK`` words, where
+another class. Where more than a block of words is outside it (unrelated texts with a common
+footer, say), the members first go to buckets of their rarest elements, of which two similar
+texts always share one. That runs inside tasks over blocks of about ``BLOCK`` words, where
 postings count the elements two texts have in common; pairs whose count cannot
 reach the similarity are dropped, which loses nothing, and the others are aligned.
 So two texts that share a bucket and reach the similarity are always in one class.
@@ -47,7 +49,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from subjex.llm.common import materialise, small_batches, text_or_empty
@@ -180,16 +182,50 @@ def _hub(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("key").agg(F.max(F.struct("w", (-F.col("doc")).alias("minus"))).alias("m")).select("key", (-F.col("m.minus")).alias(name))
 
 
-def _mixed(buckets: DataFrame, found: DataFrame, reps: DataFrame, block: int) -> DataFrame:
+def _classed(buckets: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
+    """(key, doc, class, n): the buckets' members with the classes known so far and their numbers of elements."""
+    of = found.select(F.col("node").alias("doc"), F.col("component").alias("class"))
+    rows = buckets.select("key", "doc").join(of, "doc", "left").join(reps.select("doc", "n"), "doc")
+    return materialise(rows.select("key", "doc", F.coalesce("class", "doc").alias("class"), "n"), "classed-buckets")
+
+
+def _narrowed(rows: DataFrame, texts: DataFrame, similarity: float, block: int) -> DataFrame:
+    """``rows`` with every bucket that has more than a block outside its largest class replaced by buckets of rare elements.
+
+    Two texts that reach the similarity share an element among the rarest n - ceil(similarity * n) + 1 of each
+    (n: its elements), whatever order of rarity holds for both. So the members of such buckets meet under their
+    rarest elements instead, and what they all have in common (a footer, a frame) brings nobody together.
+    """
+    words = rows.groupBy("key", "class").agg(F.sum("n").alias("words")).groupBy("key").agg((F.sum("words") - F.max("words")).alias("outside"))
+    wide = materialise(words.where(F.col("outside") > block).select("key"), "wide-buckets")
+    if wide.isEmpty():
+        return rows
+    docs = materialise(rows.join(wide, "key", "left_semi").select("doc", "class", "n").distinct(), "wide-members")
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w, at = word_hashes(b.column("text"))
+            for doc, x, y in zip(b.column("doc").to_pylist(), at.tolist(), at[1:].tolist()):
+                found = elements(w[x:y])
+                first = len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), doc), pa.int64()), pa.array(found.view(np.int64)), pa.array(np.full(len(found), first), pa.int64())],
+                                                 names=["doc", "element", "first"])
+
+    held = texts.select(F.col("doc_id").alias("doc"), "text").join(docs.select("doc"), "doc", "left_semi")
+    held = materialise(held.select("doc", "text").mapInArrow(explode, "doc long, element long, first long"), "wide-elements")
+    often = held.groupBy("element").agg(F.count("*").alias("often"))
+    rarest = F.row_number().over(Window.partitionBy("doc").orderBy("often", "element"))  # the elements of one text
+    rare = held.join(often, "element").withColumn("rank", rarest).where("rank <= first and often > 1").select("doc", F.col("element").alias("key"))
+    narrow = rare.join(docs, "doc").select("key", "doc", "class", "n")
+    return materialise(rows.join(wide, "key", "left_anti").select("key", "doc", "class", "n").unionByName(narrow), "narrow-buckets")
+
+
+def _mixed(rows: DataFrame, block: int) -> DataFrame:
     """(key, lo, hi, place, doc, class): members of the buckets that span several classes, by pair of blocks to compare.
 
     Blocks of members outside the bucket's largest class come first (0 to ``few`` - 1), then those of the largest
     class; a pair has at least one of the former. Buckets with the same members are compared once.
     """
-    of = found.select(F.col("node").alias("doc"), F.col("component").alias("class"))
-    rows = (buckets.select("key", "doc").join(of, "doc", "left").join(reps.select("doc", "n"), "doc")
-            .select("key", "doc", F.coalesce("class", "doc").alias("class"), "n"))
-    rows = materialise(rows, "classed-buckets")
     same = [F.bit_xor(F.xxhash64("doc", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
     sets = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high"), *same).where("low <> high")
     kept = rows.join(sets.groupBy("size", "x0", "x1").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
@@ -269,7 +305,8 @@ def row_classes(docs: DataFrame, similarity: float = 0.8, block: int = BLOCK) ->
     first = materialise(_pairs(buckets.join(_hub(buckets, "hub"), "key").where("doc <> hub"), "doc", "hub"), "hub-pairs")
     links = materialise(verify(first, texts, similarity), "links")
     found = components(links)
-    more = materialise(_links_in_mixed(_mixed(buckets, found, reps, block), texts, similarity), "links")
+    rows = _narrowed(_classed(buckets, found, reps), texts, similarity, block)
+    more = materialise(_links_in_mixed(_mixed(rows, block), texts, similarity), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
     linked = found.select(F.col("node").alias("doc"), "component").join(reps.select("doc", "doc_id", "h"), "doc")
