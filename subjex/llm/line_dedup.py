@@ -8,10 +8,13 @@ shard becomes a minimal perfect hash plus three arrays at its indices:
 fingerprint (a second 64-bit hash), document count, largest doc_id. Documents
 then probe the arrays batch by batch. Lines are never joined.
 
-Bounds. A shard holds about ``shard_keys`` keys whatever the corpus. Shards go
-to the executors as broadcast slices of at most ``slice_mb``; beyond one slice
-the hashed documents are written once and probed slice after slice, so memory
-stays at one slice and no line escapes.
+Bounds. A shard holds about ``shard_keys`` keys whatever the corpus. Arrays of
+at most ``slice_mb`` together go to the executors as a broadcast. Larger ones
+stay where they were written, and nothing of them passes through the driver:
+the documents' line hashes travel to the shards once, in groups of about
+``PROBES`` (a hot line's shard is copied to as many groups as its probes fill),
+and the positions to drop come back to the texts by row number. The texts are
+written once and read once however many shards there are.
 
 Defined results. Null or empty text is one empty line. A row is a document:
 rows that repeat a doc_id count as separate documents and a null doc_id ranks
@@ -35,6 +38,8 @@ from subjex.llm.perfect_hash import PerfectHash
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NO_ID = -(2**63)
+#: Line hashes that meet one copy of a shard's arrays.
+PROBES = 1 << 20
 SHARD = "shard int, n int, sizes array<int>, bits binary, odd array<struct<h: long, fp: long, last_doc: long>>, fingerprint binary, n_docs binary, last_doc binary"
 OUT = "doc_id long, n_lines long, n_dropped long, kept_text string"
 
@@ -67,11 +72,10 @@ def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
             .where(F.col("n_docs") >= min_docs))
 
 
-def build_shards(lines: DataFrame, shard_keys: int) -> DataFrame:
-    """One row of arrays per shard of (h, fp, n_docs, last_doc)."""
+def build_shards(lines: DataFrame, shard_keys: int) -> tuple[DataFrame, int]:
+    """One row of arrays per shard of (h, fp, n_docs, last_doc), and the number of top bits of a hash that name its shard."""
     lines = materialise(lines, "repeated-lines")
     bits = max(0, math.ceil(math.log2(max(1, lines.count()) / shard_keys)))
-    shard = (F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0)).cast("int")
 
     def build(key, rows):
         mph = PerfectHash.build(rows["h"].to_numpy(np.int64).view(np.uint64))
@@ -83,7 +87,11 @@ def build_shards(lines: DataFrame, shard_keys: int) -> DataFrame:
         row |= {name: even[c].to_numpy(np.int64)[order].tobytes() for name, c in (("fingerprint", "fp"), ("n_docs", "n_docs"), ("last_doc", "last_doc"))}
         return pd.DataFrame([row])
 
-    return lines.withColumn("shard", shard).groupBy("shard").applyInPandas(build, SHARD)
+    return lines.withColumn("shard", _shard(bits)).groupBy("shard").applyInPandas(build, SHARD), bits
+
+
+def _shard(bits: int) -> Column:
+    return (F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0)).cast("int")
 
 
 class LineTable:
@@ -140,58 +148,65 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    shards = materialise(build_shards(repeated_lines(docs, min_chars, min_docs), shard_keys), "line-shards")
-    sized = shards.select("shard", "n", F.expr("length(bits) * 8 + 40 * n").alias("bytes")).orderBy("shard").collect()  # a row per 10^5 lines
-    bits = max(0, math.ceil(math.log2(max(1, max((r["shard"] for r in sized), default=0) + 1))))
-    slices, room = [[]], slice_mb << 20
-    for r in sized:
-        if slices[-1] and sum(x["bytes"] for x in slices[-1]) + r["bytes"] > room:
-            slices.append([])
-        slices[-1].append(r)
-
-    def lines_of(part):
-        rows = [r.asDict() for r in shards.where(F.col("shard").isin([x["shard"] for x in part])).collect()] if part else []
-        return spark.sparkContext.broadcast((rows, bits))
-
-    none = F.expr("cast(array() as array<int>)").alias("dropped")
-    pending = (docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("rank_id"), line_keys(F.col("text"), min_chars).alias("keys"))
-               .select("doc_id", "text", "rank_id", F.transform("keys", _hash).alias("h"), F.transform("keys", _fingerprint).alias("fp"), none))
-    for part in slices[:-1]:
-        pending = materialise(pending.mapInArrow(_marker(lines_of(part)), pending.schema), "line-probe")
-    return pending.mapInArrow(_dropper(lines_of(slices[-1])), OUT)
+    shards, bits = build_shards(repeated_lines(docs, min_chars, min_docs), shard_keys)
+    shards = materialise(shards, "line-shards")
+    size = shards.agg(F.expr("sum(length(bits) * 8 + 40 * n)")).first()[0]
+    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("rank_id"), line_keys(F.col("text"), min_chars).alias("keys"))
+    if (size or 0) <= slice_mb << 20:
+        rows = [r.asDict() for r in shards.collect()]  # at most slice_mb
+        hashed = keyed.select("doc_id", "text", "rank_id", F.transform("keys", _hash).alias("h"), F.transform("keys", _fingerprint).alias("fp"))
+        return hashed.mapInArrow(_dropper(spark.sparkContext.broadcast((rows, bits))), OUT)
+    kept = materialise(docs.withColumn("row", F.monotonically_increasing_id()), "line-texts")
+    return kept.join(_dropped_lines(kept, shards, bits, min_chars), "row", "left").select("doc_id", "text", "dropped").mapInArrow(_remove, OUT)
+
+
+def _dropped_lines(docs: DataFrame, shards: DataFrame, bits: int, min_chars: int) -> DataFrame:
+    """(row, dropped): the positions of the lines to drop of each row that loses any. Line hashes
+    travel to the shards' arrays, which stay in their files."""
+    lines = (docs.select("row", F.coalesce("doc_id", F.lit(NO_ID)).alias("rank_id"), F.posexplode(line_keys(F.col("text"), min_chars)).alias("at", "key"))
+             .where("key is not null").select("row", "rank_id", "at", _hash(F.col("key")).alias("h"), _fingerprint(F.col("key")).alias("fp")))
+    lines = materialise(lines.withColumn("shard", _shard(bits)), "line-probes")
+    copies = lines.groupBy("shard").agg(F.ceil(F.count("*") / PROBES).cast("int").alias("copies"))
+    shards = shards.join(copies, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    lines = lines.join(copies, "shard").withColumn("part", F.pmod(F.xxhash64("row", "at"), F.col("copies")).cast("int")).drop("copies")
+
+    def probe(probes: pd.DataFrame, arrays: pd.DataFrame) -> pd.DataFrame:
+        found, last = LineTable(arrays.to_dict("records"), bits).last_doc(probes["h"].to_numpy(np.int64), probes["fp"].to_numpy(np.int64))
+        return probes.loc[found & (last != probes["rank_id"].to_numpy(np.int64)), ["row", "at"]]
+
+    hits = lines.groupBy("shard", "part").cogroup(shards.groupBy("shard", "part")).applyInPandas(probe, "row long, at int")
+    return hits.groupBy("row").agg(F.collect_list("at").alias("dropped"))
 
 
 _TABLES: dict = {}
 
 
 def _open(shared) -> LineTable:
-    """Unpack a broadcast slice once per Python worker, keeping only the latest."""
+    """Unpack the broadcast arrays once per Python worker, keeping only the latest."""
     if shared.value is not _TABLES.get("of"):
         _TABLES.update(of=shared.value, table=LineTable(*shared.value))
     return _TABLES["table"]
 
 
-def _marker(shared):
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines = _open(shared)
-        for b in batches:
-            old, new = b.column("dropped").to_pylist(), _probe(b, lines)
-            both = pa.array([[*o, *map(int, n)] for o, n in zip(old, new)], pa.list_(pa.int32()))
-            at = b.schema.get_field_index("dropped")
-            yield b.set_column(at, b.schema.field(at), both)
-    return mark
-
-
 def _dropper(shared):
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = _open(shared)
         for b in batches:
-            texts, counts, dropped = [], [], []
-            for text, old, new in zip(b.column("text").to_pylist(), b.column("dropped").to_pylist(), _probe(b, lines)):
-                gone = {*old, *new.tolist()}
-                counts.append(text.count("\n") + 1)
-                dropped.append(len(gone))
-                texts.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone) if gone else text)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.string())],
-                                             names=["doc_id", "n_lines", "n_dropped", "kept_text"])
+            yield _without(b, _probe(b, lines))
     return drop
+
+
+def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield _without(b, [x or [] for x in b.column("dropped").to_pylist()])
+
+
+def _without(batch: pa.RecordBatch, dropped: list) -> pa.RecordBatch:
+    """The output rows of a batch whose documents lose the lines at these positions."""
+    texts, counts = [], []
+    for text, out in zip(batch.column("text").to_pylist(), dropped):
+        gone = set(map(int, out))
+        counts.append(text.count("\n") + 1)
+        texts.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone) if gone else text)
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array([len(x) for x in dropped], pa.int64()), pa.array(texts, pa.string())],
+                                      names=["doc_id", "n_lines", "n_dropped", "kept_text"])
