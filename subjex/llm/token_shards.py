@@ -12,7 +12,7 @@ Layout below ``path``: ``dictionary`` (one row), ``blocks``, ``manifest`` (a
 row per shard). Files go through Spark's writer, so any store it can write
 will do and a lost executor's tasks are repeated without traces.
 
-Bounds. The dictionary is fit on the ``sample_docs`` documents of smallest
+Bounds. A shard holds about ``SHARD_BYTES`` of text at most, by the measured size of all texts. The dictionary is fit on the ``sample_docs`` documents of smallest
 doc_id hash, at most ``SAMPLE_IDS`` ids of each. A block holds one Arrow
 batch. Encoded pieces are remembered up to ``ChunkEncoder.MOST``.
 
@@ -42,6 +42,8 @@ from subjex.llm.common import shared_path, small_batches, text_or_empty
 from subjex.llm.words import SEGMENT, buffers, byte_classes, hash_runs
 
 SAMPLE_IDS = 1 << 16
+#: Text encoded into one shard.
+SHARD_BYTES = 128 << 20
 BLOCKS = ("shard int, block int, first_doc long, last_doc long, dict_hash string, width int, shard_start long, total long, "
           "doc_ids array<long>, n_tokens array<long>, offsets array<long>, payload binary")
 DOCS = "doc_id long, start long, n_tokens long, ids binary"
@@ -257,7 +259,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: i
             yield pa.RecordBatch.from_pylist([row], schema=_BLOCK_TYPE)
 
     order = ["doc_id", F.xxhash64("text")]
-    sorted_docs = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = -(-int(size) // SHARD_BYTES)
+    ranges = [shards] if shards > int(spark.conf.get("spark.sql.shuffle.partitions")) else []  # the session's number where it is enough
+    sorted_docs = docs.repartitionByRange(*ranges, *order).sortWithinPartitions(*order)
     sorted_docs.mapInArrow(pack, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     totals = spark.read.parquet(f"{path}/blocks").groupBy("shard").agg(F.sum("total").alias("total"))
     upto = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
