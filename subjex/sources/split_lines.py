@@ -69,7 +69,8 @@ def _state_maps(lines: DataFrame, states: int, pass_through: Callable) -> DataFr
                     yield row()
                 key, after = own, list(range(states))
             values = b.column("value").to_pylist()
-            after = [pass_through(values, s) for s in after]
+            to = {s: pass_through(values, s) for s in set(after)}  # states meet soon
+            after = [to[s] for s in after]
         if key is not None:
             yield row()
     return lines.select("file", "start", "value").mapInArrow(run, "file string, start long, map array<int>")
