@@ -106,9 +106,16 @@ def cut(pred: DataFrame, limit: int | None = None, threshold: float | None = Non
 
 # ------------------------------------------------------ matching
 
-def unpredicted_docs(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """Gold documents without any prediction."""
-    return gold.select("doc_id").distinct().join(pred.select("doc_id").distinct(), "doc_id", "left_anti")
+def unpredicted_docs(gold: DataFrame, pred: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """Gold documents without any prediction; with ``members`` (ensemble, model, prompt) the (ensemble, doc_id)
+    that no member of the ensemble predicts."""
+    docs = gold.select("doc_id").distinct()
+    if members is None:
+        return docs.join(pred.select("doc_id").distinct(), "doc_id", "left_anti")
+    m = members.select("ensemble", "model", "prompt").distinct()
+    p = pred.select(F.col("model").alias("_m"), F.col("prompt").alias("_p"), "doc_id").distinct()
+    predicted = p.join(F.broadcast(m), F.col("_m").eqNullSafe(F.col("model")) & F.col("_p").eqNullSafe(F.col("prompt"))).select("ensemble", "doc_id").distinct()
+    return docs.crossJoin(F.broadcast(m.select("ensemble").distinct())).join(predicted, ["ensemble", "doc_id"], "left_anti").select("ensemble", "doc_id")
 
 
 def match_docs(gold: DataFrame, pred: DataFrame) -> tuple[DataFrame, DataFrame]:

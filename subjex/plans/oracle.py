@@ -530,7 +530,9 @@ FROM ({EXAMPLES_SQL}) GROUP BY prompt
 """
     one_run = f"SELECT * FROM ({PRED_SQL}) WHERE model = 'A' AND prompt = 'F'"
     q["q_unpredicted_docs"] = f"""
-SELECT DISTINCT doc_id FROM ({GOLD_SQL}) WHERE doc_id NOT IN (SELECT doc_id FROM ({one_run}))
+SELECT e.ensemble, g.doc_id FROM (SELECT DISTINCT ensemble FROM ({MEMBERS_SQL})) e CROSS JOIN (SELECT DISTINCT doc_id FROM ({GOLD_SQL})) g
+WHERE (e.ensemble, g.doc_id) NOT IN (SELECT m.ensemble, p.doc_id FROM ({PRED_SQL}) p JOIN ({MEMBERS_SQL}) m
+    ON p.model IS NOT DISTINCT FROM m.model AND p.prompt IS NOT DISTINCT FROM m.prompt)
 """
     q["q_match_docs"] = f"""
 WITH g AS (SELECT * FROM ({GOLD_SQL}) WHERE doc_id IN (SELECT doc_id FROM ({one_run}))),

@@ -301,8 +301,8 @@ def q_map_pipeline(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------- more joins / stages
 
 def q_unpredicted_docs(spark: SparkSession, sf: str) -> DataFrame:
-    """Gold documents that one run (A, F) predicts nothing for."""
-    return V.unpredicted_docs(X.gold(spark, sf), _one_run(spark, sf))
+    """Gold documents that an ensemble predicts nothing for, of all runs ('all') and of the other fixed ensembles."""
+    return V.unpredicted_docs(X.gold(spark, sf), X.pred(spark, sf), X.members(spark, sf))
 
 
 def _one_run(spark, sf):
