@@ -283,7 +283,8 @@ def scan_turtle(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     from subjex.session import cut_lineage
     lines = read_lines(spark, paths)
     found = cut_lineage(records(lines, 4, _pass, _ends).select("file", "start", "line", "text"))  # declarations and triples read it
-    in_order = lambda df: df.repartition("file", "start").sortWithinPartitions("file", "start", "line")
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # parsing costs more than its bytes
+    in_order = lambda df: df.repartition(tasks, "file", "start").sortWithinPartitions("file", "start", "line")
     heads = in_order(found.where(F.lower("text").rlike(r"(^|[\s.])(@?prefix|@?base)\s")))
     changes = heads.mapInArrow(_changes, "file string, start long, keys array<string>, chains array<array<string>>")
     splits = lines.select("file", "start").distinct().join(changes, ["file", "start"], "left")
