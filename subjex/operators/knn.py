@@ -4,7 +4,7 @@ Exact search is a blocked matrix product: queries are hashed into Q blocks
 and the vocabulary into V blocks so that one block of each fits a task's
 memory budget; each query block meets each vocabulary block once (queries
 replicated V times, vocabulary Q times, nothing else), a task multiplies its
-two blocks in numpy and emits only the k best labels per query, and a
+two blocks in numpy, a few million values at a time, and emits only the k best labels per query, and a
 per-query top-k merges the V partial lists. No (query, label) pair is ever
 emitted and nothing is broadcast; block counts follow measured sizes.
 """
@@ -12,14 +12,18 @@ emitted and nothing is broadcast; block counts follow measured sizes.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Cosines are compared at this many digits: equal vectors tie wherever they stand in a product.
 DIGITS = 12
+#: Labels whose largest value is looked at first; values of a product and exact cosines held at a time.
+GROUP, CELLS, SLICE = 64, 4_000_000, 50_000
 RESULT_SCHEMA = "query_id long, label_id string, label_text string, cosine double"
 
 
@@ -48,47 +52,57 @@ def _size(df: DataFrame, col: str = "embedding") -> tuple[int, int]:
     return int(r["n"]), int(r["d"] or 0)
 
 
-def _topk_rows(qids, q, lids, ltexts, v, k):
-    """Top-k of one (query block, vocabulary block) pair, in query chunks."""
+def _topk_rows(q: np.ndarray, v: np.ndarray, place: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, label, cosine) of the k best labels of each query in one pair of blocks, ties by ``place``.
+
+    A product in single precision with a bound on its error leaves few candidates: a label cannot be among the k best
+    unless it reaches the k-th of the largest values of ``GROUP`` labels each. They get their cosine in double precision."""
     qn = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
     vn = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-    out_q, out_l, out_t, out_s = [], [], [], []
-    kk = min(k, len(lids))
-    lid_rank = np.argsort(sorted(range(len(lids)), key=lambda i: (lids[i], ltexts[i])), kind="stable")
-    chunk = max(1, int(2e7 // max(1, len(lids))))
-    for s in range(0, len(qids), chunk):
-        sims = np.round(qn[s:s + chunk] @ vn.T, DIGITS)
-        for r in range(sims.shape[0]):
-            row = sims[r]
-            if kk < len(row):
-                cand = np.argpartition(-row, kk - 1)[:kk]
-                # keep every label tied with the k-th score, so ties resolve by id later
-                kth = row[cand].min()
-                cand = np.nonzero(row >= kth)[0]
+    n, groups = len(vn), -(-len(vn) // GROUP)
+    every = n <= k
+    # one more component tells labels (0) from what fills the last group or is no number (-4, below any cosine)
+    v32, bad = np.zeros((groups * GROUP, vn.shape[1] + 1), np.float32), ~np.isfinite(vn).all(1)
+    v32[:n, :-1], v32[:n, -1], v32[n:, -1] = np.where(bad[:, None], 0, vn), np.where(bad, -4, 0), -4
+    slack, chunk = 2 * (vn.shape[1] + 8) * 2.0 ** -23, max(1, CELLS // len(v32))
+    for lo in range(0, len(qn), chunk):
+        own = qn[lo:lo + chunk]
+        if every:
+            qi, li = (x.reshape(-1) for x in np.indices((len(own), n)))
+        else:
+            guess = (np.hstack([own, np.ones((len(own), 1))]).astype(np.float32) @ v32.T).reshape(len(own), groups, GROUP)
+            most = guess.max(2)
+            if k <= groups:
+                least = -np.partition(-most, k - 1, axis=1)[:, k - 1] - slack
             else:
-                cand = np.arange(len(row))
-            order = cand[np.lexsort((lid_rank[cand], -row[cand]))][:kk]
-            out_q.extend([qids[s + r]] * len(order))
-            out_l.extend(lids[i] for i in order)
-            out_t.extend(ltexts[i] for i in order)
-            out_s.extend(row[order].tolist())
-    if not out_q:
-        return empty_result()
-    return pd.DataFrame({"query_id": pd.Series(out_q, dtype="int64"), "label_id": pd.Series(out_l, dtype=object),
-                         "label_text": pd.Series(out_t, dtype=object), "cosine": pd.Series(out_s, dtype="float64")})
-
-
-def empty_result() -> pd.DataFrame:
-    return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "label_id": pd.Series([], dtype=object),
-                         "label_text": pd.Series([], dtype=object), "cosine": pd.Series([], dtype="float64")})
-
-
-def _stack(col: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(x, dtype=np.float64) for x in col]) if len(col) else np.zeros((0, 0))
+                least = -np.partition(-guess.reshape(len(own), -1), k - 1, axis=1)[:, k - 1] - slack
+            qg, g = np.nonzero(most >= least[:, None])
+            row, col = np.nonzero(guess[qg, g] >= least[qg, None])
+            qi, li = qg[row], g[row] * GROUP + col
+            real = li < n
+            qi, li = qi[real], li[real]
+        score = np.empty(len(qi))
+        for at in range(0, len(qi), SLICE):
+            score[at:at + SLICE] = np.einsum("nd,nd->n", own[qi[at:at + SLICE]], vn[li[at:at + SLICE]])
+        score = np.round(score, DIGITS)
+        order = np.lexsort((place[li], -score, qi))
+        qi, li, score = qi[order], li[order], score[order]
+        begin = np.searchsorted(qi, np.arange(len(own)))
+        best = np.arange(len(qi)) - begin[qi] < k
+        yield qi[best] + lo, li[best], score[best]
+
+
+def _matrix(col: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows."""
+    arr = col.combine_chunks()
+    lengths = np.unique(pc.list_value_length(arr).to_numpy(zero_copy_only=False))
+    if arr.null_count or len(lengths) > 1:
+        raise ValueError("vectors must be present and of one length")
+    return arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(arr), -1)
 
 
 def nearest(queries: DataFrame, vocab: DataFrame, k: int = 1,
-            query_block_bytes: int = 64 << 20, vocab_block_bytes: int = 256 << 20) -> DataFrame:
+            query_block_bytes: int = 32 << 20, vocab_block_bytes: int = 32 << 20) -> DataFrame:
     """M1: the k labels of greatest cosine per query (ties: smaller label_id).
 
     ``queries``: (query_id long, embedding array<float>), distinct queries.
@@ -100,7 +114,8 @@ def nearest(queries: DataFrame, vocab: DataFrame, k: int = 1,
     row_bytes = 8 * max(dim, 1) + 64
     cores = queries.sparkSession.sparkContext.defaultParallelism
     bq = block_count(nq, row_bytes, query_block_bytes)
-    bv = block_count(nv, row_bytes, vocab_block_bytes, cores, min_rows=20_000)
+    bv = block_count(nv, row_bytes, vocab_block_bytes, 2 * cores, min_rows=10_000)
+    tasks = min(bq * bv, max(4 * cores, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     # fresh attributes on each side: both may derive from one table
     q = queries.select(F.col("query_id").alias("query_id"), F.col("embedding").alias("embedding"),
                        F.pmod(F.xxhash64("query_id"), F.lit(bq)).cast("int").alias("qb"),
@@ -110,14 +125,20 @@ def nearest(queries: DataFrame, vocab: DataFrame, k: int = 1,
                      F.pmod(F.xxhash64("label_id"), F.lit(bv)).cast("int").alias("vb"),
                      F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qb"))
 
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return empty_result()
-        return _topk_rows(left["query_id"].tolist(), _stack(left["embedding"]),
-                          right["label_id"].tolist(), right["label_text"].tolist(),
-                          _stack(right["embedding"]), k)
-
-    partial = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(score, RESULT_SCHEMA)
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if left.num_rows and right.num_rows:
+            order = pc.sort_indices(right.select(["label_id", "label_text"]), sort_keys=[("label_id", "ascending"), ("label_text", "ascending")]).to_numpy()
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            found = [*_topk_rows(_matrix(left.column("embedding")), _matrix(right.column("embedding")), place, k)]
+        qi, li, s = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table([left.column("query_id").take(pa.array(qi)), right.column("label_id").take(pa.array(li)), right.column("label_text").take(pa.array(li)), pa.array(s)],
+                        names=["query_id", "label_id", "label_text", "cosine"])
+
+    # a count of its own: products cost more than their bytes tell, so tasks are not merged by size
+    q, v = (x.repartition(tasks, "qb", "vb") for x in (q, v))
+    partial = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInArrow(score, RESULT_SCHEMA)
     return top_k(partial, k, "query_id", "cosine")
 
 

@@ -4,6 +4,7 @@ import os
 import tempfile
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as ent
@@ -76,3 +77,78 @@ def test_turtle_declarations_take_effect_in_order(spark, small_splits, size):
     assert sorted((r.s, r.p, r.o) for r in scan_turtle(spark, path).collect()) == sorted([
         (a + "1", "http://s.org/core#p", a + "rel/1"), (a + "y/2", "http://s.org/core#p", a + "rel/2"), (a + "y/3", "http://s.org/core#p", a + "y/z/3"),
         ("http://b.org/4", "http://s.org/core#p", a + "y/z/4"), ("http://b.org/5", "http://b.org/t#p", "http://b.org/6")])
+
+
+def _brute(q, v, labels, k):
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    s = np.round(np.einsum("qd,vd->qv", unit(q), unit(v)), 12)
+    return {(i, j, s[i, j]) for i in range(len(q)) for j in sorted(range(len(v)), key=lambda j: (-s[i, j], labels[j]))[:k]}
+
+
+@pytest.mark.parametrize("k", [1, 5, 70, 400])
+def test_candidates_by_group_are_the_k_best(k):
+    from subjex.operators.knn import _topk_rows
+    rng = np.random.default_rng(k)
+    q, v = rng.normal(size=(9, 7)), rng.normal(size=(333, 7))
+    v[50:90], v[200] = v[3], 0.0  # ties and a vector without a direction
+    q[4] = v[3]
+    labels = [f"l{(i * 38) % 333:03d}" for i in range(333)]
+    place = np.argsort(np.argsort(labels))
+    got = [x for x in _topk_rows(q, v, place, k)]
+    rows = {(int(i), int(j), float(s)) for qi, li, sc in got for i, j, s in zip(qi, li, sc)}
+    assert {r[:2] for r in rows} == {r[:2] for r in _brute(q, v, labels, k)} and len(rows) == 9 * min(k, 333)
+
+
+def test_product_of_blocks_stays_small():
+    """64 queries by 120,000 labels: the whole product would take 61 MB in double precision."""
+    import tracemalloc
+    from subjex.operators.knn import _topk_rows
+    rng = np.random.default_rng(1)
+    q, v = rng.normal(size=(64, 4)), rng.normal(size=(120_000, 4))
+    tracemalloc.start()
+    n = sum(len(qi) for qi, _, _ in _topk_rows(q, v, np.arange(len(v)), 1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 64 and peak < 48e6
+
+
+def test_hybrid_writes_no_lists_that_grow_with_pairs(spark):
+    """Keywords and vectors that disagree: no query is decided by the tops of its lists."""
+    from subjex.operators.bm25 import hybrid
+    from subjex.session import ensure_checkpoint_dir
+    rng = np.random.default_rng(2)
+    n = 600
+    v = spark.createDataFrame([(str(i), " ".join(f"w{(i * 7 + j) % 50}" for j in range(1 + i % 40)), rng.normal(size=4).tolist()) for i in range(n)], "label_id string, label_text string, embedding array<double>")
+    q = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, i + 20)), rng.normal(size=4).tolist()) for i in range(30)], "query_id long, query string, embedding array<double>")
+    root = ensure_checkpoint_dir(spark).removeprefix("file:")
+    old = set(os.listdir(root))
+    assert hybrid(q, v, 0.5, block_bytes=4096).count() == 30
+    written = [spark.read.parquet(f"{root}/{d}").count() for d in set(os.listdir(root)) - old]
+    assert max(written) < n * 41  # postings; the pairs are 18,000 and each of the old lists reached them
+
+
+def test_embed_returns_a_model_batch_at_a_time(spark):
+    from subjex.operators.infer import embed
+
+    def encode(texts):
+        assert len(texts) <= 3
+        return np.array([[float(len(t)), 1.0] for t in texts])
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else "x" * i) for i in range(20)], "i long, t string").coalesce(1)
+    rows = {r.i: list(r.embedding) for r in embed(df, "t", encode, batch=3).collect()}
+    assert rows == {i: pytest.approx(list(np.array([0 if i % 5 == 0 else i, 1.0]) / np.hypot(0 if i % 5 == 0 else i, 1.0)), abs=1e-6) for i in range(20)}
+
+
+def test_shuffles_grow_with_the_line_items(spark, monkeypatch):
+    from subjex import session
+    from subjex.plans import fixtures as X
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        session.size_shuffles(spark, 10)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == before
+        monkeypatch.setattr(session.size_shuffles, "__defaults__", (1,))
+        for build in (X.pred, X.gold, X.rank_input, X.dataset):
+            spark.conf.set("spark.sql.shuffle.partitions", "2")
+            build(spark, _runs(spark))
+            assert spark.conf.get("spark.sql.shuffle.partitions") == "5"  # a task per line item
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
