@@ -9,10 +9,11 @@ Answers are joined back by key; nothing loops on the driver.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
@@ -33,17 +34,17 @@ def embed(df: DataFrame, text_col: str, encode: Callable[[list[str]], np.ndarray
         raise ValueError("embed needs an encoder: encode or factory")
     schema = StructType(df.schema.fields + [StructField("embedding", ArrayType(FloatType()), True)])
 
-    def run(it):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = factory() if factory else encode
-        for pdf in it:
-            outs = []
-            for b in _batches(pdf, batch):
-                m = np.asarray(enc(b[text_col].fillna("").tolist()), dtype=np.float64)
+        for rows in it:  # some thousand rows; texts are decoded and returned a model batch at a time
+            for lo in range(0, rows.num_rows, batch):
+                part = rows.slice(lo, batch)
+                m = np.asarray(enc(["" if x is None else x for x in part.column(text_col).to_pylist()]), dtype=np.float64)
                 m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-                outs.extend(list(m.astype(np.float32)))
-            yield pdf.assign(embedding=outs)
+                vectors = pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1], pa.array(m.astype(np.float32).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*part.columns, vectors], names=[*part.schema.names, "embedding"])
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def generate(df: DataFrame, prompt_col: str, fn: Callable[[list[str]], list[str]] | None = None,
