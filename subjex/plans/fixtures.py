@@ -25,6 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest table; its number of rows (from the file's footer) sizes the shuffles of what is built on it."""
+    from subjex.session import size_shuffles
+    li = table(spark, sf_dir, "lineitem")
+    size_shuffles(spark, li.count())
+    return li
+
+
 # -------------------------------------------------------------- ENCODER
 
 LETTERS = string.ascii_lowercase
@@ -38,7 +46,7 @@ def letter_counts(texts: list[str]) -> np.ndarray:
 # ----------------------------------------------------------------- PRED
 
 def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    li = line_items(spark, sf_dir)
     cos = F.col("l_quantity") / 50.0
     return li.select(
         F.col("l_returnflag").alias("model"),
@@ -80,7 +88,7 @@ SELECT o_orderkey AS doc_id, o_orderstatus AS language, o_orderpriority AS text_
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    li = line_items(spark, sf_dir)
     pairs = li.where(F.col("l_discount") >= 0.03).select(
         F.col("l_orderkey").alias("doc_id"), gnd_id(F.col("l_partkey")).alias("label_id")).distinct()
     return pairs.join(strata(spark, sf_dir), "doc_id", "inner")
@@ -96,7 +104,7 @@ JOIN ({STRATA_SQL}) s USING (doc_id)
 
 def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D2-like records with the subject list stringified as a CSV would hold it."""
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_discount") >= 0.03)
+    li = line_items(spark, sf_dir).where(F.col("l_discount") >= 0.03)
     quoted = F.concat(F.lit("'"), gnd_id(F.col("l_partkey")), F.lit("'"))
     subj = li.groupBy(F.col("l_orderkey").alias("doc_id")).agg(
         F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(quoted)), ", "), F.lit("]"))
@@ -183,7 +191,7 @@ FROM conversations WHERE role = 'assistant'
 
 def rank_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions to rank: (doc, label, term); several labels may share a term."""
-    li = table(spark, sf_dir, "lineitem")
+    li = line_items(spark, sf_dir)
     return li.select(F.col("l_orderkey").alias("doc_id"), gnd_id(F.col("l_partkey")).alias("label_id"),
                      F.concat(F.lit("kw"), F.col("l_suppkey").cast("string")).alias("term"),
                      relevance_answer_expr().alias("answer"))

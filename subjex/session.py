@@ -35,6 +35,18 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+#: Rows that one task of a shuffle sorts or aggregates.
+ROWS_PER_TASK = 500_000
+
+
+def size_shuffles(spark: SparkSession, rows: int, per_task: int = ROWS_PER_TASK) -> None:
+    """Raise the session's number of shuffle partitions so that ``rows`` make tasks of bounded size; it is never
+    lowered, and AQE merges what turns out small. A fixed number would let a task's memory grow with the input."""
+    wanted = -(-rows // per_task)
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only where none is set.
 
