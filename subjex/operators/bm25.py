@@ -9,9 +9,8 @@ only those ranges whose bound reaches it; all others are skipped unread. A posti
 goes to the task of its range, whatever the number of queries; a task scores
 its ranges with numpy and only the best rows of a query leave it.
 
-Hybrid search fuses both scores over the whole vocabulary by a threshold algorithm:
-it reads both lists from the top, completes the scores of what it has seen, and stops
-for a query when no unseen row can win any more.
+Hybrid search fuses both scores over the whole vocabulary: blocks of queries meet blocks of
+label rows, and only the best row of each query leaves a task.
 
 A vocabulary holds one row per (label_id, label_text): a preferred label and
 each of its alternatives are scored as texts of their own, never merged. The
@@ -21,14 +20,17 @@ row travels as ``row``, the md5 of its text.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from subjex.operators.knn import block_count, nearest, spread, top_k
+from subjex.operators.knn import CELLS, DIGITS, _matrix, block_count, spread, top_k
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 #: Label rows in a range; ranges that each query reads before it has a score to beat.
@@ -219,8 +221,26 @@ def bm25_pairs(pairs: DataFrame, qtok: DataFrame, index: KeywordIndex) -> DataFr
     return pairs.select("query_id", "label_id", "row").join(hit, ["query_id", "label_id", "row"], "left").fillna(0.0, ["score"])
 
 
-def hybrid(queries: DataFrame, vocab: DataFrame, alpha: float = 0.7, depth: int = 10,
-           query_col: str = "query", text_col: str = "label_text") -> DataFrame:
+def _block_scores(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, cosines, keyword scores) of each query of one block against all label rows of another."""
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    q, v, n = unit(_matrix(left.column("embedding"))), unit(_matrix(right.column("embedding"))), right.num_rows
+    lists = right.column("toks").combine_chunks()
+    tok, weight = lists.flatten().to_numpy(), right.column("weights").combine_chunks().flatten().to_numpy()
+    order = np.argsort(tok, kind="stable")
+    at = np.repeat(np.arange(n), lists.value_lengths().to_numpy())[order]
+    tok, weight = tok[order], weight[order]
+    own, chunk = left.column("toks").to_pylist(), max(1, CELLS // max(n, 1))
+    for lo in range(0, len(q), chunk):
+        cosines = np.round(q[lo:lo + chunk] @ v.T, DIGITS)
+        for i in range(len(cosines)):
+            mine = np.array(own[lo + i], np.int64)
+            idx = _ranges(np.searchsorted(tok, mine), np.searchsorted(tok, mine, side="right"))
+            yield lo + i, cosines[i], np.bincount(at[idx], weights=weight[idx], minlength=n)
+
+
+def hybrid(queries: DataFrame, vocab: DataFrame, alpha: float = 0.7, depth: int | None = None,
+           query_col: str = "query", text_col: str = "label_text", block_bytes: int = 32 << 20) -> DataFrame:
     """M2: the label row of greatest fused score per query, over the whole vocabulary.
 
     fused = alpha * vector + (1 - alpha) * keyword; vector is the cosine scaled by the query's least and greatest cosine over all
@@ -228,61 +248,65 @@ def hybrid(queries: DataFrame, vocab: DataFrame, alpha: float = 0.7, depth: int
     shared token). Ties by label_id, then row. An alternative label competes by its own vector and its own text.
     Also returns the true cosine of the winner, on which the mapping threshold works.
 
-    Threshold algorithm: the ``depth`` best rows of both lists are read and each gets its missing
-    score by a join. No unseen row can have more than the last scores read in each list, so a query
-    is done when its best row beats their fusion; the others read on, four times as deep, until the lists end.
+    Blocked like :func:`knn.nearest`: a block of queries meets each block of label rows, which carry their vector and
+    their postings, twice. The first pass finds each query's extremes, the second one its best fused score.
+    A task keeps the scores of a few queries at a time and returns a row per query, so what moves grows with the
+    blocks and never with the pairs. Both lists are read to their ends; ``depth``, how far to read them first, has no effect.
     """
     from subjex.functions.scores import stable_round
     from subjex.functions.vectors import cosine as cos_expr
     from subjex.session import cut_lineage
-    key = ["query_id", "label_id", "row"]
     q = cut_lineage(queries.select("query_id", F.col(query_col).alias("query"), "embedding"))
     v = cut_lineage(vocab.where("label_id is not null").select("label_id", F.md5(text_col).alias("row"), F.col(text_col).alias("term"), "embedding"))
-    n_rows = v.count()
-    labels = v.select("label_id", F.col("term").alias("label_text"), "embedding")
     qtok = cut_lineage(query_tokens(q))
-    index = bm25_index(labels, wanted=qtok.select("tok").distinct())
-    # the least cosine is the greatest one of the opposite vector
-    opposite = q.select("query_id", F.transform("embedding", lambda x: -x).alias("embedding"))
-    lowest = nearest(opposite, labels, k=1).select("query_id", (-F.col("cosine")).alias("v_min"))
-    scale = None
-    active, done, depth = q, [], max(1, depth)
-    while True:
-        vec = cut_lineage(nearest(active.select("query_id", "embedding"), labels, k=depth)
-                          .select("query_id", "label_id", F.md5("label_text").alias("row"), F.col("cosine").alias("v")))
-        kw = cut_lineage(bm25(active.select("query_id", "query"), k=depth, index=index).select(*key, F.col("score").alias("k")))
-        if scale is None:  # the first lists hold the greatest scores of every query
-            v_max = vec.groupBy("query_id").agg(F.max("v").alias("v_max"))
-            k_max = kw.groupBy("query_id").agg(F.max("k").alias("k_max"))
-            scale = cut_lineage(lowest.join(v_max, "query_id").join(k_max, "query_id", "left"))
-        only_kw = kw.join(vec, key, "left_anti").select(key)
-        cosines = only_kw.join(active.select("query_id", F.col("embedding").alias("_q")), "query_id") \
-            .join(v.select("label_id", "row", F.col("embedding").alias("_v")), ["label_id", "row"]).select(*key, cos_expr(F.col("_q"), F.col("_v")).alias("v"))
-        only_vec = vec.join(kw, key, "left_anti").select(key)
-        scores = vec.unionByName(cosines).join(kw.unionByName(bm25_pairs(only_vec, qtok, index).withColumnRenamed("score", "k")), key)
-        fused = scores.join(scale, "query_id").select(*key, _fuse(alpha, F.col("v"), F.col("k")).alias("hybrid_score"))
-        best = top_k(fused.withColumn("_s9", stable_round(F.col("hybrid_score"), 9)), 1, "query_id", "_s9")
-        if depth >= n_rows:
-            done.append(best.drop("_s9"))
-            break
-        last_v = vec.groupBy("query_id").agg(F.min("v").alias("v"))
-        last_k = kw.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == depth, F.min("k")).otherwise(0.0).alias("k"))
-        unseen = last_v.join(last_k, "query_id", "left").fillna(0.0, ["k"]).join(scale, "query_id").select("query_id", _fuse(alpha, F.col("v"), F.col("k")).alias("most"))
-        # equal scores go by label_id, so an unseen row that could only tie keeps the query open
-        state = cut_lineage(best.join(unseen, "query_id").withColumn("sure", F.col("_s9") > F.col("most") + 1e-8))
-        done.append(state.where("sure").select(*key, "hybrid_score"))
-        active = q.join(state.where(~F.col("sure")).select("query_id"), "query_id", "left_semi")
-        if active.isEmpty():
-            break
-        depth *= 4
-    winners = done[0]
-    for d in done[1:]:
-        winners = winners.unionByName(d)
+    index = bm25_index(v.select("label_id", F.col("term").alias("label_text")), wanted=qtok.select("tok").distinct())
+    none = lambda c, of: F.coalesce(c, F.array().cast(f"array<{of}>"))
+    words = index.postings.groupBy("range", "no").agg(F.collect_list(F.struct("tok", "weight")).alias("_w"))
+    words = index.labels.distinct().join(words, ["range", "no"]).select("label_id", "row", F.col("_w.tok").alias("toks"), F.col("_w.weight").alias("weights"))
+    right = cut_lineage(v.select("label_id", "row", "embedding").join(words, ["label_id", "row"], "left")
+                        .select("label_id", "row", "embedding", none(F.col("toks"), "bigint").alias("toks"), none(F.col("weights"), "double").alias("weights")))
+    left = cut_lineage(q.select("query_id", "embedding").join(qtok.groupBy("query_id").agg(F.collect_list("tok").alias("toks")), "query_id", "left")
+                       .withColumn("toks", none(F.col("toks"), "bigint")))
+
+    def sizes(df: DataFrame, per_token: int) -> tuple[int, int]:
+        r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("d"), F.coalesce(F.avg(F.size("toks")), F.lit(0)).alias("t")).first()
+        return int(r["n"]), int(8 * r["d"] + per_token * r["t"]) + 64
+    cores = q.sparkSession.sparkContext.defaultParallelism
+    bq = block_count(*sizes(left, 8), block_bytes)
+    bv = block_count(*sizes(right, 24), block_bytes, 2 * cores, min_rows=500)
+    tasks = min(bq * bv, max(4 * cores, int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    keys = ["qb", "vb"]
+
+    def met(lhs: DataFrame, rhs: DataFrame, fn, schema: str) -> DataFrame:
+        """Each block of queries with each block of label rows."""
+        x = lhs.select("*", F.pmod(F.xxhash64("query_id"), F.lit(bq)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(bv - 1))).alias("vb"))
+        y = rhs.select("*", F.pmod(F.xxhash64("label_id", "row"), F.lit(bv)).cast("int").alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qb"))
+        x, y = (z.repartition(tasks, *keys) for z in (x, y))
+        return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(fn, schema)
+
+    def extremes(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, rows = left.column("query_id").to_pylist(), []
+        if left.num_rows and right.num_rows:
+            rows = [(ids[i], float(c.min()), float(c.max()), float(s.max())) for i, c, s in _block_scores(left, right)]
+        return pa.table([pa.array(x, y) for x, y in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), *[pa.float64()] * 3))], names=["query_id", "v_min", "v_max", "k_max"])
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, one = [], {c: left.column(c).to_pylist() for c in ("query_id", "v_min", "v_max", "k_max")}
+        if left.num_rows and right.num_rows:
+            order = pc.sort_indices(right.select(["label_id", "row"]), sort_keys=[("label_id", "ascending"), ("row", "ascending")])
+            right = right.take(order)  # the first of equal scores is the smallest
+            label, row = right.column("label_id"), right.column("row")
+            for i, c, s in _block_scores(left, right):
+                lo, hi, most = one["v_min"][i], one["v_max"][i], one["k_max"][i]
+                fused = alpha * ((c - lo) / (hi - lo) if hi > lo else np.ones(len(c))) + (1 - alpha) * (s / most if most > 0 else np.zeros(len(s)))
+                at = int(np.argmax(round9(fused)))
+                rows.append((one["query_id"][i], label[at].as_py(), row[at].as_py(), float(fused[at])))
+        return pa.table([pa.array(x, y) for x, y in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.string(), pa.string(), pa.float64()))],
+                        names=["query_id", "label_id", "row", "hybrid_score"])
+    scale = met(left, right, extremes, "query_id long, v_min double, v_max double, k_max double") \
+        .groupBy("query_id").agg(F.min("v_min").alias("v_min"), F.max("v_max").alias("v_max"), F.max("k_max").alias("k_max"))
+    found = met(left.join(cut_lineage(scale), "query_id"), right.where("row is not null"), best, "query_id long, label_id string, row string, hybrid_score double")
+    winners = top_k(found.withColumn("_s9", stable_round(F.col("hybrid_score"), 9)), 1, "query_id", "_s9").drop("_s9")
     return winners.join(q.select("query_id", F.col("embedding").alias("_q")), "query_id") \
         .join(v.select("label_id", "row", "term", F.col("embedding").alias("_v")), ["label_id", "row"]) \
         .select("query_id", "label_id", "term", "hybrid_score", cos_expr(F.col("_q"), F.col("_v")).alias("cosine"))
-
-
-def _fuse(alpha: float, v: Column, k: Column) -> Column:
-    vector = F.when(F.col("v_max") > F.col("v_min"), (v - F.col("v_min")) / (F.col("v_max") - F.col("v_min"))).otherwise(F.lit(1.0))
-    return F.lit(alpha) * vector + F.lit(1 - alpha) * F.coalesce(F.try_divide(k, F.col("k_max")), F.lit(0.0))
