@@ -84,26 +84,43 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STORED).parquet(path).groupBy("key").agg(F.min("answer").alias("answer"))
 
 
+#: Characters of the questions that a task holds and sorts.
+TASK_CHARS = 32 << 20
+
+
 def ask(df: DataFrame, store: str, fn: Callable[[list[str]], list[str]] | None = None, factory: Callable[[], Callable] | None = None, prompt_col: str = "text",
-        model_col: str = "model", batch: int = 20, parts: int = 8, out_col: str = "answer") -> DataFrame:
+        model_col: str = "model", batch: int = 20, parts: int = 8, out_col: str = "answer", expand: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """M6 / M7, resumable: ``df`` with an ``answer``, asking only what the answer ``store`` does not hold.
 
-    Questions are distinct (model, prompt text) pairs. Those without an answer are asked in ``parts`` (by hash), each written
-    to the store when it is done: a restart repeats one part at most, and the same questions of another
+    Questions are distinct (model, prompt text) pairs. Those without an answer are asked in ``parts`` (by hash of the row that
+    holds them), each written to the store when it is done: a restart repeats one part at most, and the same questions of another
     run or a later call are answered from the store. Within a task questions go in order of length, so the prompts of
     a batch are of like length.
+
+    ``expand`` makes the questions of each row of ``df`` (all its other columns kept, with ``model_col``, ``prompt_col`` and ``_place``,
+    a number of the question within its row); it must give the same questions each time. What is written and
+    moved is then ``df`` once and a key per question, never the prompt texts, and the result has no ``prompt_col``.
     """
     from subjex.session import cut_lineage
-    spark = df.sparkSession
-    keyed = cut_lineage(df.withColumn("_key", answer_key(F.col(model_col), F.col(prompt_col))))  # each part and the last join read it
-    asked = keyed.where(F.col(prompt_col).isNotNull()).groupBy("_key").agg(F.first(prompt_col).alias("prompt")).select(F.col("_key").alias("key"), "prompt")
-    part = F.pmod(F.xxhash64("key"), F.lit(parts))
+    spark, key = df.sparkSession, answer_key(F.col(model_col), F.col(prompt_col))
+    source = cut_lineage(df.withColumn("_source", F.monotonically_increasing_id()))  # each part reads it
+    questions = expand or (lambda rows: rows.withColumn("_place", F.lit(0)))
+    keyed = cut_lineage(questions(source).withColumn("_key", key).withColumn("_chars", F.length(prompt_col)).drop(prompt_col))
+    # the one place where a question is taken from
+    first = cut_lineage(keyed.where("_chars is not null").groupBy("_key").agg(F.min(F.struct("_source", "_place")).alias("_at"), F.max("_chars").alias("_chars"))
+                        .select("_key", "_at._source", "_at._place", "_chars"))
+    chars = first.agg(F.sum("_chars")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-chars // (parts * TASK_CHARS)))
+    part = F.pmod(F.xxhash64("_source"), F.lit(parts))
     for k in range(parts):
-        known = read_store(spark, store).select("key")
-        new = asked.where(part == k).join(known, "key", "left_anti").sortWithinPartitions(F.length("prompt"), "key")
-        generate(new, "prompt", fn, batch, factory).select("key", "answer").write.mode("append").parquet(f"{store}/part={k}")
+        known = read_store(spark, store).select(F.col("key").alias("_key"))
+        new = first.where(part == k).join(known, "_key", "left_anti").groupBy("_source").agg(F.map_from_entries(F.collect_list(F.struct("_place", "_key"))).alias("_keys"))
+        texts = questions(source.where(part == k).repartition(tasks, "_source").join(new, "_source")).where(F.map_contains_key("_keys", F.col("_place"))) \
+            .select(F.col("_keys")[F.col("_place")].alias("key"), F.col(prompt_col).alias("prompt")).sortWithinPartitions(F.length("prompt"), "key")
+        generate(texts, "prompt", fn, batch, factory).select("key", "answer").write.mode("append").parquet(f"{store}/part={k}")
     answers = read_store(spark, store).select(F.col("key").alias("_key"), F.col("answer").alias(out_col))
-    return keyed.join(answers, "_key", "left").drop("_key")
+    asked = keyed if expand else source.withColumn("_key", key)
+    return asked.join(answers, "_key", "left").drop("_key", "_source", "_place", "_chars")
 
 
 class HashedNgramEncoder:

@@ -109,13 +109,16 @@ def complete_stage(docs: DataFrame, frames: DataFrame, model: str, prompt: str,
 def complete_runs(docs: DataFrame, frames: DataFrame, store: str, generate_fn, batch: int = 20, max_total: int | None = None, max_new: int = 100,
                   parts: int = 8) -> DataFrame:
     """The complete stage over all runs (model, prompt, frame): content, fill, ask what the answer store does not
-    hold yet, parse. A restart asks nothing twice; more runs or documents ask only what is new."""
+    hold yet, parse. A restart asks nothing twice; more runs or documents ask only what is new. The prompts of all runs
+    are made where they are asked; what is written and moved is each document's content and a key per prompt."""
     from subjex.functions.text import compose_content
     from subjex.operators.infer import ask, completions
     from subjex.operators.prompts import fill_runs
+    from subjex.session import cut_lineage
+    frames = cut_lineage(frames)  # a row per run
     content = docs.select("doc_id", compose_content(F.col("title"), F.col("abstract")).alias("content"))
-    prompts = fill_runs(content.where(F.col("content").isNotNull()), frames, max_total, max_new)
-    return completions(ask(prompts, store, generate_fn, batch=batch, parts=parts))
+    return completions(ask(content.where(F.col("content").isNotNull()), store, generate_fn, batch=batch, parts=parts,
+                           expand=lambda rows: fill_runs(rows, frames, max_total, max_new, place="_place")))
 
 
 def rank_stage(ensemble: DataFrame, docs: DataFrame, frame: str, generate_fn, threshold: float = 0.0,
