@@ -75,19 +75,24 @@ def bm25_index(corpus: DataFrame, text_col: str = "label_text", k1: float = 1.2,
     distinct; those without an id are no labels."""
     from subjex.session import cut_lineage
     docs = spread(corpus.select("label_id", text_col)).where("label_id is not null") \
-        .select("label_id", F.md5(text_col).alias("row"), tokens(F.col(text_col)).alias("_t"))
-    rows = cut_lineage(docs.select("label_id", "row", F.size("_t").alias("dl")))
+        .select("label_id", F.md5(text_col).alias("row"), F.transform(tokens(F.col(text_col)), lambda t: F.xxhash64(t)).alias("toks"))
+    rows = cut_lineage(docs.select("label_id", "row", F.size("toks").alias("dl"), "toks"))  # each text is split once
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("tokens")).first()
     n, avgdl = int(totals["n"]), float(totals["tokens"] or 0) / max(int(totals["n"]), 1)
     ranges = max(1, math.ceil(n / width))
-    held = docs.select(*_place(ranges), F.explode("_t").alias("token")).select("range", "no", F.xxhash64("token").alias("tok"))
+    # a range stays in one task from here on: its tokens are counted there, and its blocks come from few files
+    held = rows.select(*_place(ranges), "dl", "toks").repartition("range").select("range", "no", "dl", F.explode("toks").alias("tok"))
     if wanted is not None:
         held = held.join(wanted, "tok", "left_semi")
-    tf = held.groupBy("range", "no", "tok").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    tf = cut_lineage(held.groupBy("range", "no", "tok").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")))
+    df = cut_lineage(tf.groupBy("tok").agg(F.count(F.lit(1)).alias("df")))
+    copies = cut_lineage(rows.groupBy(*_place(ranges)).agg(F.count(F.lit(1)).cast("int").alias("copies")).where("copies > 1"))
+    if not copies.isEmpty():  # a row given more than once has its postings as often
+        tf = tf.join(copies, ["range", "no"], "left") \
+            .select("range", "no", "tok", "tf", "dl", F.explode(F.array_repeat(F.lit(0), F.coalesce("copies", F.lit(1)))))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl if avgdl > 0 else 1.0))
-    postings = cut_lineage(tf.join(df, "tok").join(rows.select(*_place(ranges), "dl"), ["range", "no"]).select("range", "tok", "no", (idf * F.col("tf") * (k1 + 1) / norm).alias("weight")))
+    postings = cut_lineage(tf.join(df, "tok").select("range", "tok", "no", (idf * F.col("tf") * (k1 + 1) / norm).alias("weight")))
     blocks = cut_lineage(postings.groupBy("range", "tok").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("most")))
     return KeywordIndex(postings, blocks, rows.select(*_place(ranges), "label_id", "row"), ranges)
 
@@ -150,10 +155,11 @@ def _best_of_ranges(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataF
 
 def _score_ranges(index: KeywordIndex, pairs: DataFrame, qtok: DataFrame, k: int, query_blocks: int, buckets: int) -> DataFrame:
     """Best rows of each (query_id, range) in ``pairs``: only the blocks that some pair needs are read and move."""
+    from subjex.session import cut_lineage
     bucket = F.pmod("range", F.lit(buckets)).alias("bucket")
     qb = F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb")
     qx = pairs.join(qtok, "query_id").select("query_id", "range", "tok", bucket, qb)
-    need = qx.select("range", "tok", "qb").distinct().select(*(F.col(c).alias(c) for c in ("range", "tok", "qb")))  # fresh attributes
+    need = cut_lineage(qx.select("range", "tok", "qb").distinct())  # where it is small, the postings are read in place
     dx = index.postings.join(need, ["range", "tok"]).select(F.col("range").alias("range"), F.col("tok").alias("tok"), "no", "weight", bucket, "qb")
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
