@@ -24,6 +24,10 @@ def _batches(pdf: pd.DataFrame, size: int):
         yield pdf.iloc[s:s + size]
 
 
+#: Bytes of rows and vectors that ``embed`` returns at a time; a batch of a model may be much smaller.
+OUT_BYTES = 1 << 20
+
+
 def embed(df: DataFrame, text_col: str, encode: Callable[[list[str]], np.ndarray] | None = None,
           batch: int = 32, factory: Callable[[], Callable] | None = None) -> DataFrame:
     """M5: ``embedding`` (array<float>, unit L2 norm) for every row.
@@ -36,13 +40,19 @@ def embed(df: DataFrame, text_col: str, encode: Callable[[list[str]], np.ndarray
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = factory() if factory else encode
-        for rows in it:  # some thousand rows; texts are decoded and returned a model batch at a time
+        for rows in it:  # some thousand rows; texts are decoded a model batch at a time and returned OUT_BYTES at a time
+            begin, done, held = 0, [], 0
             for lo in range(0, rows.num_rows, batch):
                 part = rows.slice(lo, batch)
                 m = np.asarray(enc(["" if x is None else x for x in part.column(text_col).to_pylist()]), dtype=np.float64)
                 m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-                vectors = pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1], pa.array(m.astype(np.float32).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*part.columns, vectors], names=[*part.schema.names, "embedding"])
+                done.append(m.astype(np.float32))
+                held += part.nbytes + done[-1].nbytes
+                if held >= OUT_BYTES or lo + batch >= rows.num_rows:
+                    m, part = np.concatenate(done), rows.slice(begin, lo + part.num_rows - begin)
+                    vectors = pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1], pa.array(m.reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([*part.columns, vectors], names=[*part.schema.names, "embedding"])
+                    begin, done, held = begin + part.num_rows, [], 0
 
     return df.mapInArrow(run, schema)
 

@@ -4,8 +4,8 @@ Exact search is a blocked matrix product: queries are hashed into Q blocks
 and the vocabulary into V blocks so that one block of each fits a task's
 memory budget; each query block meets each vocabulary block once (queries
 replicated V times, vocabulary Q times, nothing else), a task multiplies its
-two blocks in numpy, a few million values at a time, and emits only the k best labels per query, and a
-per-query top-k merges the V partial lists. No (query, label) pair is ever
+two blocks in numpy, a tile of a million values at a time, and emits only the k best labels per query, and a
+per-query top-k merges the V partial lists. Labels of equal vectors are multiplied k times at most. No (query, label) pair is ever
 emitted and nothing is broadcast; block counts follow measured sizes.
 """
 
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 #: Cosines are compared at this many digits: equal vectors tie wherever they stand in a product.
 DIGITS = 12
-#: Labels whose largest value is looked at first; values of a product and exact cosines held at a time.
-GROUP, CELLS, SLICE = 64, 4_000_000, 50_000
+#: Labels whose largest value is looked at first; values of a product, rows and columns of its tiles, and exact cosines held at a time.
+GROUP, CELLS, TILE, SLICE = 64, 4_000_000, 1024, 50_000
 RESULT_SCHEMA = "query_id long, label_id string, label_text string, cosine double"
 
 
@@ -52,33 +52,59 @@ def _size(df: DataFrame, col: str = "embedding") -> tuple[int, int]:
     return int(r["n"]), int(r["d"] or 0)
 
 
+def _first_of_equal(v: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """Rows of ``v`` that may be among the k best of some query: of rows of the very same values only the k first by ``place`` can."""
+    bits = np.ascontiguousarray(v, np.float64).view(np.uint64)
+    mixed = np.zeros(len(v), np.uint64)
+    for col in bits.T:  # a hash of each row; what it brings together is compared below
+        mixed = (mixed ^ col) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    order = np.lexsort((place, mixed))
+    begins = np.append(True, mixed[order][1:] != mixed[order][:-1])
+    at = np.flatnonzero(begins)
+    run = np.cumsum(begins) - 1
+    same = (bits[order] == bits[order[at[run]]]).all(1)
+    before = np.cumsum(same) - same
+    return order[~same | (before - before[at[run]] < k)]
+
+
 def _topk_rows(q: np.ndarray, v: np.ndarray, place: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query, label, cosine) of the k best labels of each query in one pair of blocks, ties by ``place``.
 
     A product in single precision with a bound on its error leaves few candidates: a label cannot be among the k best
-    unless it reaches the k-th of the largest values of ``GROUP`` labels each. They get their cosine in double precision."""
+    unless it reaches the k-th of the largest values of ``GROUP`` labels each. They get their cosine in double precision.
+    Equal vectors are multiplied k times at most: a label text that many concepts share ties with all its copies, and they would all be candidates."""
+    if not len(v):
+        return
+    kept = _first_of_equal(v, place, k)
+    v, place = v[kept], place[kept]
     qn = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
     vn = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-    n, groups = len(vn), -(-len(vn) // GROUP)
-    every = n <= k
+    n, group = len(vn), max(1, min(GROUP, len(vn) // k))
+    groups, every = -(-n // group), n <= k
     # one more component tells labels (0) from what fills the last group or is no number (-4, below any cosine)
-    v32, bad = np.zeros((groups * GROUP, vn.shape[1] + 1), np.float32), ~np.isfinite(vn).all(1)
+    v32, bad = np.zeros((groups * group, vn.shape[1] + 1), np.float32), ~np.isfinite(vn).all(1)
     v32[:n, :-1], v32[:n, -1], v32[n:, -1] = np.where(bad[:, None], 0, vn), np.where(bad, -4, 0), -4
-    slack, chunk = 2 * (vn.shape[1] + 8) * 2.0 ** -23, max(1, CELLS // len(v32))
+    slack, chunk, step = 2 * (vn.shape[1] + 8) * 2.0 ** -23, max(1, min(TILE, CELLS // groups)), max(1, TILE // group)
+    by_group = v32.reshape(groups, group, -1)
     for lo in range(0, len(qn), chunk):
         own = qn[lo:lo + chunk]
         if every:
             qi, li = (x.reshape(-1) for x in np.indices((len(own), n)))
         else:
-            guess = (np.hstack([own, np.ones((len(own), 1))]).astype(np.float32) @ v32.T).reshape(len(own), groups, GROUP)
-            most = guess.max(2)
-            if k <= groups:
-                least = -np.partition(-most, k - 1, axis=1)[:, k - 1] - slack
-            else:
-                least = -np.partition(-guess.reshape(len(own), -1), k - 1, axis=1)[:, k - 1] - slack
-            qg, g = np.nonzero(most >= least[:, None])
-            row, col = np.nonzero(guess[qg, g] >= least[qg, None])
-            qi, li = qg[row], g[row] * GROUP + col
+            q32 = np.hstack([own, np.ones((len(own), 1))]).astype(np.float32)
+            most = np.empty((groups, len(own)), np.float32)
+            for at in range(0, groups, step):  # a tile of the product at a time: labels by queries, so that maxima run along the queries
+                tile = v32[at * group:(at + step) * group] @ q32.T
+                np.maximum.reduce(tile.reshape(-1, group, len(own)), axis=1, out=most[at:at + step])
+            least = -np.partition(-most, k - 1, axis=0)[k - 1] - slack
+            g, qg = np.nonzero(most >= least)
+            hits = []
+            for at in range(0, len(g), TILE):
+                guess = np.matmul(by_group[g[at:at + TILE]], q32[qg[at:at + TILE], :, None])[:, :, 0]
+                row, col = np.nonzero(guess >= least[qg[at:at + TILE], None])
+                hits.append((qg[at + row], g[at + row] * group + col))
+            qi, li = (np.concatenate(x) for x in zip(*hits)) if hits else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             real = li < n
             qi, li = qi[real], li[real]
         score = np.empty(len(qi))
@@ -89,7 +115,7 @@ def _topk_rows(q: np.ndarray, v: np.ndarray, place: np.ndarray, k: int) -> Itera
         qi, li, score = qi[order], li[order], score[order]
         begin = np.searchsorted(qi, np.arange(len(own)))
         best = np.arange(len(qi)) - begin[qi] < k
-        yield qi[best] + lo, li[best], score[best]
+        yield qi[best] + lo, kept[li[best]], score[best]
 
 
 def _matrix(col: pa.ChunkedArray) -> np.ndarray:
@@ -115,7 +141,8 @@ def nearest(queries: DataFrame, vocab: DataFrame, k: int = 1,
     cores = queries.sparkSession.sparkContext.defaultParallelism
     bq = block_count(nq, row_bytes, query_block_bytes)
     bv = block_count(nv, row_bytes, vocab_block_bytes, 2 * cores, min_rows=10_000)
-    tasks = min(bq * bv, max(4 * cores, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    # more partitions than pairs, or hashes would put several pairs into one task while others have none
+    tasks = 1 if bq * bv == 1 else min(8 * bq * bv, max(16 * cores, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     # fresh attributes on each side: both may derive from one table
     q = queries.select(F.col("query_id").alias("query_id"), F.col("embedding").alias("embedding"),
                        F.pmod(F.xxhash64("query_id"), F.lit(bq)).cast("int").alias("qb"),

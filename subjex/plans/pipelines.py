@@ -46,8 +46,9 @@ def map_stage(completions: DataFrame, vocab: DataFrame, search: str = "vector",
     if debug_rows:
         completions = completions.limit(debug_rows)
     rows = M.count_rows(completions)
-    cands = M.distinct_candidates(completions)
     from subjex.session import cut_lineage
+    # a model call costs more than its keyword's bytes tell, by which tasks would be merged
+    cands = M.distinct_candidates(completions).repartition(2 * completions.sparkSession.sparkContext.defaultParallelism)
     # the model runs once per distinct keyword; the result is checkpointed so
     # that sizing and search read it instead of calling the model again
     text = cands.withColumn("_q", F.concat(F.lit(phrase), F.col("candidate")) if phrase else F.col("candidate"))

@@ -288,11 +288,12 @@ def q_map_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """M9 end to end: keywords parsed from the assistant answers mapped onto
     a vocabulary of part names and types (embedded by their letter counts)."""
     from subjex.operators.infer import completions, embed
+    from subjex.operators.knn import spread
     from subjex.plans.pipelines import map_stage
     from subjex.session import cut_lineage
     from subjex.sources.vocab import vocab_labels
     comp = completions(X.responses(spark, sf))
-    vocab = cut_lineage(embed(vocab_labels(X.triples(spark, sf)), "label_text", encode=X.letter_counts))  # the built vocabulary (M8)
+    vocab = cut_lineage(embed(vocab_labels(spread(X.triples(spark, sf))), "label_text", encode=X.letter_counts))  # the built vocabulary (M8)
     best, _removed, _stats = map_stage(comp, vocab, search="vector", min_cosine=0.3,
                                        score_param="cosine_similarity", encode=X.letter_counts)
     return rounded(best)
