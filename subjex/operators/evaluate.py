@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from subjex.functions.scores import safe_ratio, stable_round
+from subjex.session import ROWS_PER_TASK, cut_lineage
 
 STRATA = ("language", "text_type")
 METRICS = ("prec", "rec", "f1", "rprec")
@@ -79,15 +80,41 @@ def doc_prefix(ties: DataFrame, keys: Sequence[str], cols: Sequence[str], score:
         *ties.columns, *[(F.col(f"_pb{c}") + F.col(f"_pi{c}")).alias(f"above{c}") for c in cols])
 
 
-def rank_predictions(pred: DataFrame, by: Sequence[str] = (), score: str = "score") -> DataFrame:
+#: Predictions of a document up to which one task ranks it as a whole.
+WHOLE_DOC = 20_000
+
+
+def by_document_size(pred: DataFrame, limit: int = WHOLE_DOC) -> tuple[DataFrame, DataFrame | None]:
+    """(small, large): the predictions of documents of up to ``limit`` rows, dealt out by document, and all others (of no
+    document too), dealt out by document and label; None where there are none.
+
+    What is grouped by document and more keys needs no other shuffle on the small side. A large document holds more than
+    ``limit`` rows, so the list of those is bounded by the rows over it."""
+    spark = pred.sparkSession
+    hot = cut_lineage(pred.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > limit) | F.col("doc_id").isNull()).select("doc_id"))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-pred.count() // ROWS_PER_TASK))
+    if hot.isEmpty():
+        return pred.repartition(tasks, "doc_id"), None
+    same = pred["doc_id"].eqNullSafe(hot["doc_id"])
+    return (pred.join(F.broadcast(hot), same, "left_anti").repartition(tasks, "doc_id"),
+            pred.join(F.broadcast(hot), same, "left_semi").repartition(tasks, "doc_id", "label_id"))
+
+
+def rank_predictions(pred: DataFrame, by: Sequence[str] = (), score: str = "score", whole: bool = False) -> DataFrame:
     """``min_rank(desc(score))`` per document (ties share the lowest rank).
 
     rank = 1 + number of the document's predictions with a higher score,
     computed on the distinct scores (repeated scores collapse in a partial
     aggregate) with :func:`doc_prefix`, so no task holds a whole document;
     the rank returns to the rows by an equi-join that AQE can split.
+    With ``whole`` the documents are small (see :func:`by_document_size`) and a window per document ranks the rows in
+    place: they are shuffled by document once, or not at all where they are dealt out so.
     """
     keys = [*by, "doc_id"]
+    if whole:
+        rank = F.rank().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last(score))).cast("int")
+        none = F.greatest(*[F.col(c).isNull() for c in (*keys, score)])  # no rank, as no such row meets itself in a join
+        return pred.select(*keys, score, *[c for c in pred.columns if c not in (*keys, score)], F.when(~none, rank).alias("rank"))
     ties = pred.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"))
     ranks = doc_prefix(ties, keys, ["_n"], score).select(
         *keys, score, (F.col("above_n") + 1).cast("int").alias("rank"))

@@ -60,8 +60,8 @@ def q_map_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------- ensemble
 
-def _vote(spark, sf):
-    return E.vote(X.pred(spark, sf), X.members(spark, sf)) \
+def _vote(spark, sf, pred=None):
+    return E.vote(X.pred(spark, sf) if pred is None else pred, X.members(spark, sf)) \
         .withColumn("score", stable_round(F.col("score"), 9))
 
 
@@ -81,8 +81,10 @@ def q_combine(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_rank_min(spark: SparkSession, sf: str) -> DataFrame:
-    v = _vote(spark, sf).select("ensemble", "doc_id", "label_id", "score")
-    return rounded(V.rank_predictions(v, by=["ensemble"]))
+    small, large = V.by_document_size(X.pred(spark, sf))
+    votes = lambda p: _vote(spark, sf, p).select("ensemble", "doc_id", "label_id", "score")
+    ranks = V.rank_predictions(votes(small), by=["ensemble"], whole=True)
+    return rounded(ranks if large is None else ranks.unionByName(V.rank_predictions(votes(large), by=["ensemble"])))
 
 
 def q_cap_alphabetical(spark: SparkSession, sf: str) -> DataFrame:

@@ -41,3 +41,51 @@ def test_embed_returns_more_than_a_model_batch(spark):
                 sizes.append(out.num_rows)
     infer.embed(Frame(), "t", lambda texts: np.ones((len(texts), 2)), batch=4)
     assert sizes == [500]
+
+
+def _lines(spark):
+    """Line items of one document with many, of small ones and of no document."""
+    import tempfile
+    sf = tempfile.mkdtemp(prefix="subjex-sf-")
+    rows = [(1, p, 1, float(p % 5 * 10), 0.05, 0.0, "ARN"[p % 3], "FO"[p % 2]) for p in range(60)]
+    rows += [(2 + p % 9, p // 2, 1, float(p % 4 * 10), 0.05, 0.0, "ARN"[p % 3], "FO"[p // 2 % 2]) for p in range(40)]
+    rows += [(None, p, 1, 10.0, 0.05, 0.0, "A", "F") for p in range(3)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string").write.parquet(f"{sf}/lineitem.parquet")
+    return sf
+
+
+def test_ranks_of_small_documents_need_one_shuffle(spark, monkeypatch):
+    import re
+    import __spark_entry__ as ent
+    from subjex.operators import evaluate as V
+    from subjex.operators import ensemble as E
+    from subjex.plans import fixtures as X
+    from subjex.functions.scores import stable_round
+    from pyspark.sql import functions as F
+    sf = _lines(spark)
+    votes = E.vote(X.pred(spark, sf), X.members(spark, sf)).select("ensemble", "doc_id", "label_id", stable_round(F.col("score"), 9).alias("score"))
+    by_doc, want = {}, []
+    for r in votes.collect():
+        by_doc.setdefault((r.ensemble, r.doc_id), []).append(r)
+    for (_, doc), rows in by_doc.items():
+        want += [(r.ensemble, doc, round(r.score, 6), r.label_id, 1 + sum(x.score > r.score for x in rows) if doc is not None else None) for r in rows]
+    runs = []
+    for limit in (20, 10 ** 6, 0):  # some documents, none (but that of no id), all are large
+        monkeypatch.setattr(V.by_document_size, "__defaults__", (limit,))
+        df = ent.queries()["q_rank_min"](spark, sf)
+        assert df.columns == ["ensemble", "doc_id", "score", "label_id", "rank"]
+        runs.append(sorted(map(repr, map(tuple, df.collect()))))
+    assert runs == [sorted(map(repr, want))] * 3
+    small, _ = V.by_document_size(X.pred(spark, sf), 10 ** 6)
+    v = E.vote(small, X.members(spark, sf)).select("ensemble", "doc_id", "label_id", "score")
+    plan = V.rank_predictions(v, by=["ensemble"], whole=True)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in re.findall(r"Exchange hashpartitioning\((.*)", plan) if "ensemble" in x and "doc_id" in x]
+
+
+def test_query_of_ranks_moves_line_items_once(spark):
+    """Votes were dealt out anew by run, ensemble, score and bucket: seven shuffles of twice the line items."""
+    import re
+    import __spark_entry__ as ent
+    df = ent.queries()["q_rank_min"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert len([x for x in re.findall(r"Exchange hashpartitioning\((.*)", plan) if "doc_id" in x or "l_orderkey" in x]) == 1
