@@ -9,8 +9,8 @@ only those ranges whose bound reaches it; all others are skipped unread. A posti
 goes to the task of its range, whatever the number of queries; a task scores
 its ranges with numpy and only the best rows of a query leave it.
 
-Hybrid search fuses both scores over the whole vocabulary: blocks of queries meet blocks of
-label rows, and only the best row of each query leaves a task.
+Hybrid search fuses both scores over the whole vocabulary: blocks of queries meet batches of
+label rows once, and only the rows on the hull of a query's scores leave a task.
 
 A vocabulary holds one row per (label_id, label_text): a preferred label and
 each of its alternatives are scored as texts of their own, never merged. The
@@ -227,26 +227,94 @@ def bm25_pairs(pairs: DataFrame, qtok: DataFrame, index: KeywordIndex) -> DataFr
     return pairs.select("query_id", "label_id", "row").join(hit, ["query_id", "label_id", "row"], "left").fillna(0.0, ["score"])
 
 
-def _block_scores(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, cosines, keyword scores) of each query of one block against all label rows of another."""
+def _batch_scores(queries: pa.Table, labels: pa.RecordBatch, idf: np.ndarray, avgdl: float, k1: float, b: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, cosines, keyword scores) of each query of a block, with the ``idf`` of its tokens, against all label rows of a batch."""
     unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-    q, v, n = unit(_matrix(left.column("embedding"))), unit(_matrix(right.column("embedding"))), right.num_rows
-    lists = right.column("toks").combine_chunks()
-    tok, weight = lists.flatten().to_numpy(), right.column("weights").combine_chunks().flatten().to_numpy()
-    order = np.argsort(tok, kind="stable")
-    at = np.repeat(np.arange(n), lists.value_lengths().to_numpy())[order]
-    tok, weight = tok[order], weight[order]
-    own, chunk = left.column("toks").to_pylist(), max(1, CELLS // max(n, 1))
-    for lo in range(0, len(q), chunk):
-        cosines = np.round(q[lo:lo + chunk] @ v.T, DIGITS)
-        for i in range(len(cosines)):
-            mine = np.array(own[lo + i], np.int64)
-            idx = _ranges(np.searchsorted(tok, mine), np.searchsorted(tok, mine, side="right"))
-            yield lo + i, cosines[i], np.bincount(at[idx], weights=weight[idx], minlength=n)
+    q, v, n = unit(_matrix(queries.column("embedding"))), unit(_matrix(pa.chunked_array([labels.column("embedding")]))), labels.num_rows
+    lists = queries.column("toks").combine_chunks()
+    ends, asked = np.cumsum(lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+    wanted, first, own = np.unique(asked, return_index=True, return_inverse=True)
+    idf = idf[first]
+    held = labels.column("toks")
+    tok, row = held.flatten().to_numpy(), np.repeat(np.arange(n), held.value_lengths().to_numpy())
+    at = np.searchsorted(wanted, tok)
+    known = at < len(wanted)
+    known[known] = wanted[at[known]] == tok[known]
+    posting, tf = np.unique(at[known] * n + row[known], return_counts=True)  # by token, then by row
+    at, row = posting // n, posting % n
+    copies, dl = (labels.column(c).to_numpy(zero_copy_only=False)[row] for c in ("copies", "dl"))
+    tf = tf * copies  # a row given more than once has its tokens and its postings as often
+    weight = copies * idf[at] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / (avgdl if avgdl > 0 else 1.0)))
+    lo, hi = (np.searchsorted(at, np.arange(len(wanted)), side=side) for side in ("left", "right"))
+    chunk = max(1, CELLS // max(n, 1))
+    for begin in range(0, len(q), chunk):
+        cosines = np.round(q[begin:begin + chunk] @ v.T, DIGITS)
+        for i in range(begin, begin + len(cosines)):
+            mine = own[ends[i - 1] if i else 0:ends[i]]
+            idx = _ranges(lo[mine], hi[mine])
+            yield i, cosines[i - begin], np.bincount(row[idx], weights=weight[idx], minlength=n)
+
+
+def _may_win(c: np.ndarray, s: np.ndarray, place: np.ndarray, c_tol: float, s_tol: float) -> np.ndarray:
+    """Points (c, s) of which one has the greatest a c + b s, whatever the factors a, b >= 0 (not both 0) are, ties by ``place``.
+
+    Such a point lies on the upper right of the convex hull, or so close below it (the tolerances) that rounding may let it tie.
+    A point that is nowhere greater than one of smaller place never wins."""
+    right, top = np.argmax(c), np.argmax(s)
+    a, b = s[top] - s[right], c[right] - c[top]
+    some = (c + c_tol >= c[right]) | (s + s_tol >= s[top])
+    if a > 0 or b > 0:  # the hull runs above the line between its ends
+        some |= a * (c + c_tol) + b * (s + s_tol) >= a * c[right] + b * s[right]
+    some = np.flatnonzero(some)
+    c, s, place = c[some], s[some], place[some]
+    order = np.lexsort((-c, -s))
+    c_run = np.maximum.accumulate(c[order])
+    steps = order[np.append(True, c[order][1:] > c_run[:-1])]  # s falls, c grows
+    hull: list[int] = []
+    for i in steps:
+        while len(hull) > 1 and (c[hull[-1]] - c[hull[-2]]) * (s[i] - s[hull[-2]]) >= (s[hull[-1]] - s[hull[-2]]) * (c[i] - c[hull[-2]]):
+            hull.pop()
+        hull.append(int(i))
+    near = np.flatnonzero((c + c_tol >= c[hull[-1]]) | (s + s_tol >= np.interp(c + c_tol, c[hull], s[hull])))
+    near, won = near[np.argsort(place[near], kind="stable")], []
+    while len(near):
+        won.append(near[0])
+        near = near[(c[near] > c[near[0]]) | (s[near] > s[near[0]])]
+    return some[won]
+
+
+#: What a pair of blocks finds: rows that may win a query, with the query's extremes over the batch that they come from.
+CANDIDATES = "query_id long, label_id string, row string, c double, s double, v_min double, v_max double, k_max double"
+
+
+def _candidates(queries: pa.Table, labels: pa.RecordBatch, alpha: float, n: int, avgdl: float, k1: float, b: float) -> pa.RecordBatch:
+    named = np.flatnonzero(labels.column("row").is_valid().to_numpy(zero_copy_only=False))  # a label without a text has a cosine only
+    order = pc.sort_indices(pa.table([labels.column(c) for c in ("label_id", "row")], ["label_id", "row"]), sort_keys=[("label_id", "ascending"), ("row", "ascending")])
+    place = np.empty(labels.num_rows, np.int64)
+    place[order.to_numpy()] = np.arange(labels.num_rows)
+    lists, most = queries.column("df").combine_chunks(), (k1 + 1) * float(np.square(labels.column("copies").to_numpy(zero_copy_only=False).max()))
+    df = lists.flatten().to_numpy()
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    total = np.add.reduceat(np.append(idf, 0.0), np.append(0, np.cumsum(lists.value_lengths().to_numpy())[:-1]))
+    qi, li, cs, ss, ends = [], [], [], [], []
+    for i, c, s in _batch_scores(queries, labels, idf, avgdl, k1, b):
+        # rounding the fused score may tie what differs by 1e-9 there: by that much of the widest range in each score
+        tol = (4e-9 / alpha if alpha > 0 else 0.0, 4e-9 * most * max(float(total[i]), 1.0) / (1 - alpha) if alpha < 1 else 0.0)
+        x, y = (c[named] if alpha > 0 else np.zeros(len(named))), (s[named] if alpha < 1 else np.zeros(len(named)))
+        best = named[_may_win(x, y, place[named], *tol)] if len(named) else np.array([-1])
+        qi.append(np.full(len(best), i))
+        li.append(best)
+        cs.append(c[best])
+        ss.append(s[best])
+        ends.append(np.tile([[c.min(), c.max(), s.max()]], (len(best), 1)))
+    qi, li, cs, ss, ends = (np.concatenate(x) for x in (qi, li, cs, ss, ends))
+    taken = pa.array(li, mask=li < 0)
+    return pa.RecordBatch.from_arrays([queries.column("query_id").combine_chunks().take(pa.array(qi)), labels.column("label_id").take(taken), labels.column("row").take(taken),
+                                       *(pa.array(x) for x in (cs, ss, *ends.T))], names=[x.split()[0] for x in CANDIDATES.split(", ")])
 
 
 def hybrid(queries: DataFrame, vocab: DataFrame, alpha: float = 0.7, depth: int | None = None,
-           query_col: str = "query", text_col: str = "label_text", block_bytes: int = 32 << 20) -> DataFrame:
+           query_col: str = "query", text_col: str = "label_text", block_bytes: int = 64 << 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """M2: the label row of greatest fused score per query, over the whole vocabulary.
 
     fused = alpha * vector + (1 - alpha) * keyword; vector is the cosine scaled by the query's least and greatest cosine over all
@@ -254,64 +322,58 @@ def hybrid(queries: DataFrame, vocab: DataFrame, alpha: float = 0.7, depth: int
     shared token). Ties by label_id, then row. An alternative label competes by its own vector and its own text.
     Also returns the true cosine of the winner, on which the mapping threshold works.
 
-    Blocked like :func:`knn.nearest`: a block of queries meets each block of label rows, which carry their vector and
-    their postings, twice. The first pass finds each query's extremes, the second one its best fused score.
-    A task keeps the scores of a few queries at a time and returns a row per query, so what moves grows with the
-    blocks and never with the pairs. Both lists are read to their ends; ``depth``, how far to read them first, has no effect.
+    A block of queries meets each group of label rows once: the queries, with the document frequencies of their tokens, are held, the label rows, with
+    their vector and tokens, pass in batches. The extremes that scale the scores are known at the end only, but whatever they are, the
+    winner lies on the hull of a batch's scores, so a few rows per query and batch leave a task (:func:`_may_win`). Label rows are
+    written once, counted where they stand, and move once per block of queries; queries move once per group of label rows.
+    Both lists are read to their ends; ``depth``, how far to read them first, has no effect.
     """
     from subjex.functions.scores import stable_round
     from subjex.functions.vectors import cosine as cos_expr
     from subjex.session import cut_lineage
-    q = cut_lineage(queries.select("query_id", F.col(query_col).alias("query"), "embedding"))
-    v = cut_lineage(vocab.where("label_id is not null").select("label_id", F.md5(text_col).alias("row"), F.col(text_col).alias("term"), "embedding"))
-    qtok = cut_lineage(query_tokens(q))
-    index = bm25_index(v.select("label_id", F.col("term").alias("label_text")), wanted=qtok.select("tok").distinct())
+    q = cut_lineage(queries.where("query_id is not null").select("query_id", F.col(query_col).alias("query"), "embedding"))
+    v = cut_lineage(vocab.where("label_id is not null").select(
+        "label_id", F.md5(text_col).alias("row"), F.col(text_col).alias("term"), "embedding",
+        F.sort_array(F.transform(F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")), lambda t: F.xxhash64(t))).alias("toks"))
+        .withColumn("dl", F.size("toks")))
+    width = lambda df: int(df.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0])
+    n, held, avgdl = v.agg(F.count(F.lit(1)), F.coalesce(F.avg("dl"), F.lit(0.0)), F.coalesce(F.sum("dl") / F.count_if(F.lit(True)), F.lit(0.0))).first()
+    copies = cut_lineage(v.groupBy("label_id", "row").agg(F.count(F.lit(1)).cast("int").alias("copies")).where("copies > 1 and row is not null"))
+    once, right = v, v.drop("term").withColumn("copies", F.lit(1))
+    if not copies.isEmpty():
+        once = v.dropDuplicates(["label_id", "row"])
+        right = v.drop("term").join(copies, ["label_id", "row"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    df = once.select(F.explode(F.array_distinct("toks")).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).cast("int").alias("df"))
+    asked = query_tokens(q).join(df, "tok").select("query_id", F.struct("tok", "df").alias("_t"))
     none = lambda c, of: F.coalesce(c, F.array().cast(f"array<{of}>"))
-    words = index.postings.groupBy("range", "no").agg(F.collect_list(F.struct("tok", "weight")).alias("_w"))
-    words = index.labels.distinct().join(words, ["range", "no"]).select("label_id", "row", F.col("_w.tok").alias("toks"), F.col("_w.weight").alias("weights"))
-    right = cut_lineage(v.select("label_id", "row", "embedding").join(words, ["label_id", "row"], "left")
-                        .select("label_id", "row", "embedding", none(F.col("toks"), "bigint").alias("toks"), none(F.col("weights"), "double").alias("weights")))
-    left = cut_lineage(q.select("query_id", "embedding").join(qtok.groupBy("query_id").agg(F.collect_list("tok").alias("toks")), "query_id", "left")
-                       .withColumn("toks", none(F.col("toks"), "bigint")))
-
-    def sizes(df: DataFrame, per_token: int) -> tuple[int, int]:
-        r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("d"), F.coalesce(F.avg(F.size("toks")), F.lit(0)).alias("t")).first()
-        return int(r["n"]), int(8 * r["d"] + per_token * r["t"]) + 64
+    left = cut_lineage(q.drop("query").join(asked.groupBy("query_id").agg(F.sort_array(F.collect_list("_t")).alias("_t")), "query_id", "left")
+                       .select("query_id", "embedding", none(F.col("_t.tok"), "bigint").alias("toks"), none(F.col("_t.df"), "int").alias("df")))
+    n_left, asks = left.agg(F.count(F.lit(1)), F.coalesce(F.avg(F.size("toks")), F.lit(0.0))).first()
     cores = q.sparkSession.sparkContext.defaultParallelism
-    bq = block_count(*sizes(left, 8), block_bytes)
-    bv = block_count(*sizes(right, 24), block_bytes, 2 * cores, min_rows=500)
-    tasks = min(bq * bv, max(4 * cores, int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    keys = ["qb", "vb"]
-
-    def met(lhs: DataFrame, rhs: DataFrame, fn, schema: str) -> DataFrame:
-        """Each block of queries with each block of label rows."""
-        x = lhs.select("*", F.pmod(F.xxhash64("query_id"), F.lit(bq)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(bv - 1))).alias("vb"))
-        y = rhs.select("*", F.pmod(F.xxhash64("label_id", "row"), F.lit(bv)).cast("int").alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qb"))
-        x, y = (z.repartition(tasks, *keys) for z in (x, y))
-        return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(fn, schema)
-
-    def extremes(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, rows = left.column("query_id").to_pylist(), []
-        if left.num_rows and right.num_rows:
-            rows = [(ids[i], float(c.min()), float(c.max()), float(s.max())) for i, c, s in _block_scores(left, right)]
-        return pa.table([pa.array(x, y) for x, y in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), *[pa.float64()] * 3))], names=["query_id", "v_min", "v_max", "k_max"])
-
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows, one = [], {c: left.column(c).to_pylist() for c in ("query_id", "v_min", "v_max", "k_max")}
-        if left.num_rows and right.num_rows:
-            order = pc.sort_indices(right.select(["label_id", "row"]), sort_keys=[("label_id", "ascending"), ("row", "ascending")])
-            right = right.take(order)  # the first of equal scores is the smallest
-            label, row = right.column("label_id"), right.column("row")
-            for i, c, s in _block_scores(left, right):
-                lo, hi, most = one["v_min"][i], one["v_max"][i], one["k_max"][i]
-                fused = alpha * ((c - lo) / (hi - lo) if hi > lo else np.ones(len(c))) + (1 - alpha) * (s / most if most > 0 else np.zeros(len(s)))
-                at = int(np.argmax(round9(fused)))
-                rows.append((one["query_id"][i], label[at].as_py(), row[at].as_py(), float(fused[at])))
-        return pa.table([pa.array(x, y) for x, y in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.string(), pa.string(), pa.float64()))],
-                        names=["query_id", "label_id", "row", "hybrid_score"])
-    scale = met(left, right, extremes, "query_id long, v_min double, v_max double, k_max double") \
-        .groupBy("query_id").agg(F.min("v_min").alias("v_min"), F.max("v_max").alias("v_max"), F.max("k_max").alias("k_max"))
-    found = met(left.join(cut_lineage(scale), "query_id"), right.where("row is not null"), best, "query_id long, label_id string, row string, hybrid_score double")
+    bq = block_count(n_left, 8 * width(left) + int(12 * asks) + 64, block_bytes)
+    bv = block_count(n, 8 * width(v) + int(8 * held) + 64, 4 * block_bytes, -(-2 * cores // bq), min_rows=500)
+    tasks = 1 if bq * bv == 1 else min(8 * bq * bv, max(16 * cores, int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    x = left.select("*", F.pmod(F.xxhash64("query_id"), F.lit(bq)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(bv - 1))).alias("vb"), F.lit(0).alias("side"))
+    y = right.select("*", F.pmod(F.xxhash64("label_id", "row"), F.lit(bv)).cast("int").alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qb"), F.lit(1).alias("side"))
+    keys, avgdl = ["qb", "vb"], float(avgdl)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The queries of the block come first, then its label rows."""
+        parts, held = [], None
+        for rows in batches:
+            labels = int(np.searchsorted(rows.column("side").to_numpy(zero_copy_only=False), 1))
+            if labels:
+                parts.append(rows.slice(0, labels).select(["query_id", "embedding", "toks", "df"]))
+            if labels < rows.num_rows and parts:
+                held = held or pa.Table.from_batches(parts)
+                yield _candidates(held, rows.slice(labels), alpha, n, avgdl, k1, b)
+    met = x.unionByName(y, allowMissingColumns=True).repartition(tasks, *keys).sortWithinPartitions(*keys, "side").groupBy(*keys).applyInArrow(meet, CANDIDATES)
+    every = Window.partitionBy("query_id")
+    lo, hi, most = F.min("v_min").over(every), F.max("v_max").over(every), F.max("k_max").over(every)
+    found = met.select("query_id", "label_id", "row", "c", "s", lo.alias("lo"), hi.alias("hi"), most.alias("most")).where("row is not null")
+    fused = F.lit(alpha) * F.when(F.col("hi") > F.col("lo"), (F.col("c") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.lit(1.0)) \
+        + F.lit(1 - alpha) * F.when(F.col("most") > 0, F.col("s") / F.col("most")).otherwise(F.lit(0.0))
+    found = found.select("query_id", "label_id", "row", fused.alias("hybrid_score"))
     winners = top_k(found.withColumn("_s9", stable_round(F.col("hybrid_score"), 9)), 1, "query_id", "_s9").drop("_s9")
     return winners.join(q.select("query_id", F.col("embedding").alias("_q")), "query_id") \
         .join(v.select("label_id", "row", "term", F.col("embedding").alias("_v")), ["label_id", "row"]) \

@@ -203,7 +203,8 @@ def q_bm25_top1(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_hybrid_top1(spark: SparkSession, sf: str) -> DataFrame:
     from subjex.operators.bm25 import hybrid
-    items = X.hybrid_items(spark, sf)
+    from subjex.session import cut_lineage
+    items = cut_lineage(X.hybrid_items(spark, sf))  # queries and labels come from one join
     q = items.where(F.col("label") == 0).select(F.col("item_id").alias("query_id"), "embedding",
                                                 F.col("text").alias("query"))
     v = items.where(F.col("label") != 0).select(F.col("item_id").cast("string").alias("label_id"),

@@ -89,3 +89,70 @@ def test_query_of_ranks_moves_line_items_once(spark):
     df = ent.queries()["q_rank_min"](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert len([x for x in re.findall(r"Exchange hashpartitioning\((.*)", plan) if "doc_id" in x or "l_orderkey" in x]) == 1
+
+
+def _hybrid_by_hand(queries, labels, alpha):
+    """{query: (label, term, score)}: (id, text, vector) rows; a label row given more than once has its tokens and postings as often."""
+    import hashlib
+    import math
+    from collections import Counter
+    texts = Counter((i, t) for i, t, _ in labels)
+    n, avgdl = len(labels), sum(len(t.split()) for _, t, _ in labels if t is not None) / len(labels)
+    df, out = Counter(w for _, t in texts if t is not None for w in set(t.split())), {}
+    cosine = lambda x, y: round(float(np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y))), 12)
+    for qid, text, vec in queries:
+        c, s = [cosine(vec, x) for _, _, x in labels], []
+        for i, t, _ in labels:
+            words, m = (t or "").split(), texts[i, t]
+            s.append(sum(m * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * m * words.count(w) * 2.2 / (m * words.count(w) + 1.2 * (0.25 + 0.75 * len(words) / avgdl))
+                         for w in sorted(set(text.split())) if w in words))
+        fused = [alpha * ((x - min(c)) / (max(c) - min(c)) if max(c) > min(c) else 1) + (1 - alpha) * (y / max(s) if max(s) else 0) for x, y in zip(c, s)]
+        j = min((j for j in range(n) if labels[j][1] is not None), key=lambda j: (-round(fused[j], 9), labels[j][0], hashlib.md5(labels[j][1].encode()).hexdigest()))
+        out[qid] = (labels[j][0], labels[j][1], round(fused[j], 8))
+    return out
+
+
+@pytest.mark.parametrize("alpha", [0.0, 0.5, 1.0])
+def test_hybrid_of_repeated_rows_ties_and_rows_without_a_text(spark, alpha):
+    from subjex.operators.bm25 import hybrid
+    rng = np.random.default_rng(8)
+    word = lambda: " ".join(f"w{x}" for x in rng.integers(0, 30, rng.integers(1, 9)))
+    labels = [(f"l{i % 90}", word(), rng.normal(size=3).round(1).tolist()) for i in range(120)]
+    labels += labels[:9] + [("l5", None, [9.0, 0.1, 0.1]), ("a0", "", [1.0, 1.0, 0.0])] + [("b1", "w1 w2", [0.5, 0.5, 0.1]), ("b0", "w1 w2", [0.5, 0.5, 0.1])]
+    queries = [(i, word(), rng.normal(size=3).tolist()) for i in range(20)] + [(50, "unknown", [1.0, 1.0, 0.1]), (51, "w1 w2", [0.5, 0.5, 0.1])]
+    q = spark.createDataFrame(queries, "query_id long, query string, embedding array<double>")
+    v = spark.createDataFrame(labels, "label_id string, label_text string, embedding array<double>")
+    want = _hybrid_by_hand(queries, labels, alpha)
+    for size in (2048, 64 << 20):
+        got = {r.query_id: (r.label_id, r.term, round(r.hybrid_score, 8)) for r in hybrid(q, v, alpha, block_bytes=size).collect()}
+        assert got == want
+
+
+def test_points_that_may_win_are_few_and_enough():
+    from subjex.operators.bm25 import _may_win
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 50, 3000):
+        c, s = rng.normal(size=n).round(2), np.where(rng.random(n) < 0.3, 0.0, rng.gamma(2.0, size=n)).round(1)
+        place = rng.permutation(n)
+        kept = _may_win(c, s, place, 1e-8, 1e-8)
+        assert len(kept) <= 40
+        for a, b in [*rng.random((200, 2)), (0.0, 1.0), (1.0, 0.0)]:
+            f = np.round(a * c + b * s, 9)
+            assert min(range(n), key=lambda j: (-f[j], place[j])) in kept
+
+
+def test_label_rows_move_once_for_a_block_of_queries(spark):
+    """Two passes moved every label row and its postings twice for every block, and wrote postings and their blocks besides."""
+    import os
+    from subjex.operators.bm25 import hybrid
+    from subjex.session import ensure_checkpoint_dir
+    rng = np.random.default_rng(2)
+    n = 400
+    v = spark.createDataFrame([(str(i), " ".join(f"w{(i * 7 + j) % 50}" for j in range(1 + i % 40)), rng.normal(size=4).tolist()) for i in range(n)], "label_id string, label_text string, embedding array<double>")
+    q = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, i + 20)), rng.normal(size=4).tolist()) for i in range(10)], "query_id long, query string, embedding array<double>")
+    root = ensure_checkpoint_dir(spark).removeprefix("file:")
+    old = set(os.listdir(root))
+    df = hybrid(q, v, 0.5)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("InArrow") == 1 and df.count() == 10
+    assert max(spark.read.parquet(f"{root}/{d}").count() for d in set(os.listdir(root)) - old) == n  # no row per token
